@@ -102,9 +102,9 @@ def days_to_capacity(slope: Column, total: Column, expected_now: Column) -> Colu
     """Whole days until a rising line reaches the total; -1 when it never does or already has."""
     remaining = total - expected_now
     reachable = (slope > 0) & (total > 0) & (remaining > 0)
-    days = F.when(reachable, F.try_divide(remaining, slope))
-    # A nearly flat line can lie further away than an int reaches.
-    return F.coalesce(F.least(days, F.lit(2_147_483_647.0)).cast("int"), F.lit(-1))
+    # A nearly flat line may lie further away than an int reaches.
+    days = F.least(F.try_divide(remaining, slope), F.lit(2_147_483_647.0))
+    return F.when(reachable, days.cast("int")).otherwise(-1)
 
 
 def _elapsed_seconds(since: Column, as_of: Column) -> Column:

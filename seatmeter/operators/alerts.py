@@ -54,8 +54,12 @@ def throttle_events(alerts: DataFrame) -> DataFrame:
 
 
 def append_alerts(alerts: DataFrame, new: DataFrame) -> DataFrame:
-    """Queue with `new` added as not yet sent."""
-    waiting = new.withColumn("sent", F.lit(False)).withColumn("sent_at", F.lit(None).cast("timestamp"))
+    """Queue with `new` added as not yet sent, under ids above all stored ones (unique, with gaps)."""
+    last_id = alerts.agg(F.coalesce(F.max("id"), F.lit(0))).scalar()
+    waiting = (
+        new.withColumn("id", F.monotonically_increasing_id() + last_id + 1)
+        .withColumn("sent", F.lit(False)).withColumn("sent_at", F.lit(None).cast("timestamp"))
+    )
     return alerts.select(*ALERT_COLUMNS).unionByName(waiting.select(*ALERT_COLUMNS))
 
 

@@ -11,11 +11,11 @@ FEATURE_COLUMNS = ["dump_id", "server_hostname", "name", "version", "vendor_daem
                    "used_licenses", "expiration_date", "last_updated"]
 STATUS_COLUMNS = ["dump_id", "hostname", "service", "master", "version", "message", "last_checked"]
 
-# All steps group by dump_id: a text is one row of the input, so no group outgrows a single value, and the
-# hash partitioning by dump_id also serves every finer grouping that follows.
-IN_ORDER = Window.partitionBy("dump_id").orderBy("line_no")
-BEFORE = IN_ORDER.rowsBetween(Window.unboundedPreceding, -1)
-WHOLE_TEXT = Window.partitionBy("dump_id")
+
+def whole_text():
+    """All lines of a text. A text is one row of the input, so no group outgrows a single value, and the
+    hash partitioning by dump_id also serves every finer grouping that follows."""
+    return Window.partitionBy("dump_id")
 
 
 def numbered_lines(dumps: DataFrame) -> DataFrame:
@@ -36,7 +36,8 @@ def first_kind(tests: list[tuple[str, Column]]) -> Column:
 
 def carried(value: Column) -> Column:
     """Latest non-NULL value on the lines above."""
-    return F.last(value, ignorenulls=True).over(BEFORE)
+    above = whole_text().orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
+    return F.last(value, ignorenulls=True).over(above)
 
 
 def group(line: Column, pattern: str, number: int) -> Column:

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from seatmeter.functions.dates import expiry_timestamp, flexlm_start
 from seatmeter.operators.dump_lines import (
-    CHECKOUT_COLUMNS, FEATURE_COLUMNS, STATUS_COLUMNS, WHOLE_TEXT, carried, count_at, first_kind, group,
-    numbered_lines, stripped,
+    CHECKOUT_COLUMNS, FEATURE_COLUMNS, STATUS_COLUMNS, carried, count_at, first_kind, group, numbered_lines,
+    stripped, whole_text,
 )
 
 # Line patterns, and the license count of an uncounted feature.
@@ -129,7 +129,7 @@ def _in_context(dumps: DataFrame) -> DataFrame:
     matches = (kind == "inline") & (F.lower("inline_name") == F.lower("current"))
     lines = lines.withColumn("inline_version", F.when(matches, F.col("inline_version")))
     block_version = carried(F.when(kind == "usage", "").otherwise(F.col("inline_version")))
-    fatal_line = F.min(F.when(kind.isin(list(FATAL)), F.col("line_no"))).over(WHOLE_TEXT)
+    fatal_line = F.min(F.when(kind.isin(list(FATAL)), F.col("line_no"))).over(whole_text())
     return (
         lines.withColumn("block_version", F.coalesce(block_version, F.lit("")))
         .withColumn("fatal_line", fatal_line)
