@@ -15,6 +15,15 @@ def moment(value: datetime) -> Column:
     return F.lit(value.strftime("%Y-%m-%d %H:%M:%S.%f")).cast("timestamp")
 
 
+def fixed(value: Column, places: int) -> Column:
+    """Number as text with fixed decimals, exact ties to the even digit."""
+    return F.call_function("format_number", value, F.lit("0." + "0" * places))
+
+
+def rfc3339(ts: Column) -> Column:
+    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ssXXX")
+
+
 def available(total: Column, used: Column) -> Column:
     """Free licenses; negative when a pool is overdrawn."""
     return total - used
@@ -147,7 +156,7 @@ def bytes_text(size: Column) -> Column:
     text = F.concat(size.cast("string"), F.lit(" B"))
     for power, unit in enumerate(["KB", "MB", "GB", "TB", "PB", "EB"], start=1):
         step = 1024 ** power
-        scaled = F.format_string("%.1f " + unit, size / F.lit(float(step)))
+        scaled = F.concat(fixed(size / F.lit(float(step)), 1), F.lit(" " + unit))
         text = F.when(size >= F.lit(step), scaled).otherwise(text)
     return text
 

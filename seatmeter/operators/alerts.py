@@ -103,7 +103,7 @@ def alert_messages(alerts: DataFrame, to: list[str], critical_to: list[str]) ->
         "\n", F.lit("License Alert"), F.lit(""),
         line("Server", F.col("server_hostname")), line("Feature", F.col("feature_name")),
         line("Type", F.col("alert_type")), line("Severity", F.col("severity")),
-        line("Time", F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ssXXX")), F.lit(""),
+        line("Time", m.rfc3339(F.col("created_at"))), F.lit(""),
         F.lit("Message:"), F.col("message"),
     )
     return unsent_alerts(alerts).select(

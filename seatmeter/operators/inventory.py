@@ -33,22 +33,23 @@ def inventory_from_polls(polls: DataFrame) -> DataFrame:
 
 
 def refresh_inventory(current: DataFrame, batch: DataFrame) -> DataFrame:
-    """Inventory after one poll result: pools of the polled servers become inactive unless listed again.
+    """Inventory after new poll results: pools of the polled servers become inactive unless listed again.
 
-    Servers without rows in `batch` are left alone, so a poll that returned nothing changes nothing.
-    `batch` has the inventory's columns; its `id` must grow with arrival.
+    Servers without rows in `batch` are left alone, so a poll that returned nothing changes nothing. Where
+    the batch holds several polls of a server, its latest one decides what is active.
     """
-    known = current.select(*FEATURE_COLUMNS, F.lit(0).alias("arrival"))
-    listed = batch.select(*FEATURE_COLUMNS, F.lit(1).alias("arrival")).withColumn("is_active", F.lit(True))
-    ordered = known.unionByName(listed).withColumn("arrival", F.struct("arrival", "id"))
+    known = current.select(*FEATURE_COLUMNS, F.lit(0).alias("round"))
+    listed = batch.select(*FEATURE_COLUMNS, F.lit(1).alias("round"))
+    ordered = known.unionByName(listed).withColumn("arrival", F.struct("round", "last_updated", "id"))
     merged = latest_per_key(
         ordered, POOL_KEY, "arrival",
         ["id", "total_licenses", "used_licenses", "last_updated", "is_active"], ["vendor_daemon"],
     )
-    polled = batch.select("server_hostname", F.lit(True).alias("polled")).distinct()
+    polled = batch.groupBy("server_hostname").agg(F.max("last_updated").alias("latest_poll"))
+    listed_now = (F.col("arrival.round") == 1) & (F.col("last_updated") == F.col("latest_poll"))
     return (
         merged.join(polled, "server_hostname", "left")
-        .withColumn("is_active", F.when(F.col("polled"), F.col("arrival.arrival") == 1).otherwise(F.col("is_active")))
+        .withColumn("is_active", F.when(F.col("latest_poll").isNotNull(), listed_now).otherwise(F.col("is_active")))
         .select(*FEATURE_COLUMNS)
     )
 

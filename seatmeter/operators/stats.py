@@ -104,25 +104,23 @@ def recommendations(statistics: DataFrame) -> DataFrame:
     rules = [
         (avg_pct > 80, advice_row(
             "increase", "high", "High Utilization Alert", avg_pct,
-            F.format_string("Average utilization is %.1f%%, which is above the recommended 80%% threshold.", avg_pct),
+            F.concat(F.lit("Average utilization is "), m.fixed(avg_pct, 1), F.lit("%, which is above the recommended 80% threshold.")),
             F.lit("Users may experience license denials during peak times"))),
         (peak_pct > 95, advice_row(
             "alert", "high", "Peak Capacity Reached", peak_pct,
-            F.format_string("Peak utilization reached %.1f%%, indicating license shortage during peak times.",
-                            peak_pct),
+            F.concat(F.lit("Peak utilization reached "), m.fixed(peak_pct, 1), F.lit("%, indicating license shortage during peak times.")),
             F.lit("Immediate risk of license denials"))),
         ((avg_pct < 20) & (total > 5), advice_row(
             "reduce", "medium", "License Optimization Opportunity", avg_pct,
-            F.format_string("Average utilization is only %.1f%%. Consider reducing license count to optimize costs.",
-                            avg_pct),
+            F.concat(F.lit("Average utilization is only "), m.fixed(avg_pct, 1), F.lit("%. Consider reducing license count to optimize costs.")),
             F.format_string("Potential to reduce licenses by %d without impacting users", half))),
         (slope > 0.5, advice_row(
             "increase", "medium", "Growing Demand Detected", slope,
-            F.format_string("Usage is increasing by approximately %.1f licenses per day.", slope),
+            F.concat(F.lit("Usage is increasing by approximately "), m.fixed(slope, 1), F.lit(" licenses per day.")),
             F.lit("Plan for additional licenses within the next quarter"))),
         (slope < -0.5, advice_row(
             "reduce", "low", "Declining Usage Trend", -slope,
-            F.format_string("Usage is decreasing by approximately %.1f licenses per day.", -slope),
+            F.concat(F.lit("Usage is decreasing by approximately "), m.fixed(-slope, 1), F.lit(" licenses per day.")),
             F.lit("Opportunity to reduce licenses during next renewal"))),
     ]
     return unfold_advice(statistics, SERIES_KEY, rules)

@@ -163,6 +163,19 @@ _TABLES = {
         WHERE rn = 1 AND NOT EXISTS (
             SELECT 1 FROM alert_events e WHERE e.hostname = server_hostname AND e.type = 'expiration'
             AND e.datetime > {as_of} - INTERVAL 60 MINUTE)""",
+    "due": """
+        SELECT server_hostname AS hostname, sampled_at AS datetime, feature_name FROM polls
+        WHERE expiration_date >= sampled_at AND expiration_date <= sampled_at + INTERVAL 10 DAY""",
+    "due_next": """
+        SELECT a.hostname, a.datetime, a.feature_name, b.datetime AS next_at
+        FROM (SELECT *, datetime + INTERVAL 60 MINUTE AS free_at FROM due) a
+        ASOF LEFT JOIN due b ON a.hostname = b.hostname AND a.free_at <= b.datetime""",
+    "passing": """
+        SELECT hostname, datetime, feature_name, next_at FROM due_next
+        WHERE (hostname, datetime) IN (SELECT (hostname, min(datetime)) FROM due GROUP BY hostname)
+        UNION ALL
+        SELECT n.hostname, n.datetime, n.feature_name, n.next_at
+        FROM passing p JOIN due_next n ON n.hostname = p.hostname AND n.datetime = p.next_at""",
     "table_rows": """
         SELECT 'servers' AS table_name, count(*) AS row_count, CAST(NULL AS DATE) AS oldest_record,
                CAST(NULL AS DATE) AS newest_record FROM servers
@@ -203,7 +216,7 @@ _TABLES = {
         FROM polls WHERE server_type = 'rlm'""",
 }
 
-_WITH = "WITH " + ",\n".join(
+_WITH = "WITH RECURSIVE " + ",\n".join(
     f"{name} AS ({text.replace('{as_of}', AS_OF)})" for name, text in _TABLES.items()
 ) + "\n"
 
@@ -328,20 +341,27 @@ _BODIES = {
     "efficiency_score": "SELECT server_hostname, feature_name, round(score, 6) AS efficiency_score FROM scored",
     "recommendations": """
         SELECT server_hostname, feature_name, 'increase' AS type, 'high' AS priority, 'High Utilization Alert' AS title,
-               round(avg_pct, 6) AS value, 'Users may experience license denials during peak times' AS impact
+               round(avg_pct, 6) AS value,
+               printf('Average utilization is %.1f%%, which is above the recommended 80%% threshold.', avg_pct)
+                 AS description,
+               'Users may experience license denials during peak times' AS impact
         FROM enhanced WHERE avg_pct > 80
         UNION ALL
         SELECT server_hostname, feature_name, 'alert', 'high', 'Peak Capacity Reached', round(peak_pct, 6),
+               printf('Peak utilization reached %.1f%%, indicating license shortage during peak times.', peak_pct),
                'Immediate risk of license denials' FROM enhanced WHERE peak_pct > 95
         UNION ALL
         SELECT server_hostname, feature_name, 'reduce', 'medium', 'License Optimization Opportunity', round(avg_pct, 6),
+               printf('Average utilization is only %.1f%%. Consider reducing license count to optimize costs.', avg_pct),
                'Potential to reduce licenses by ' || CAST(trunc(total_licenses * 0.5) AS INTEGER)
                || ' without impacting users' FROM enhanced WHERE avg_pct < 20 AND total_licenses > 5
         UNION ALL
         SELECT server_hostname, feature_name, 'increase', 'medium', 'Growing Demand Detected', round(slope, 6),
+               printf('Usage is increasing by approximately %.1f licenses per day.', slope),
                'Plan for additional licenses within the next quarter' FROM enhanced WHERE slope > 0.5
         UNION ALL
         SELECT server_hostname, feature_name, 'reduce', 'low', 'Declining Usage Trend', round(-slope, 6),
+               printf('Usage is decreasing by approximately %.1f licenses per day.', -slope),
                'Opportunity to reduce licenses during next renewal' FROM enhanced WHERE slope < -0.5""",
     "utilization_with_trend": """
         SELECT server_hostname, feature_name, total_licenses, round(avg_usage, 6) AS avg_usage, peak_usage,
@@ -582,6 +602,91 @@ _BODIES = {
             FROM (SELECT p.* EXCLUDE (version), row_number() OVER (PARTITION BY server_hostname ORDER BY poll_id DESC) AS rn FROM polls p
                   WHERE nk % 7 <> 0)
             WHERE rn = 1) l ON l.server_hostname = s.hostname""",
+    "stream_usage_ingest": """
+        SELECT DISTINCT server_hostname, feature_name, date_trunc('minute', sampled_at) AS minute FROM polls""",
+    "stream_alert_throttle": """
+        SELECT hostname, 'expiration' AS type, datetime, feature_name, 'license expires' AS message FROM passing""",
+    "stream_status_feed": """
+        SELECT 'server_status' AS type, 'server:' || server_hostname AS channel, sampled_at AS timestamp,
+               '{"server_hostname":"' || server_hostname || '","server_type":"' || server_type || '","feature_name":"'
+               || feature_name || '","total_licenses":' || total_licenses || ',"used_licenses":' || used_licenses
+               || '}' AS data
+        FROM polls WHERE nk IN (3, 8)""",
+    "alert_feed": """
+        SELECT 'alert' AS type, 'alerts' AS channel, created_at AS timestamp,
+               '{"server_hostname":"' || server_hostname || '","feature_name":"' || feature_name || '","severity":"'
+               || severity || '","message":"' || message || '"}' AS data
+        FROM alerts""",
+    "export_servers": f"""
+        SELECT CAST(id AS VARCHAR) AS "ID", hostname AS "Hostname", description AS "Description", type AS "Type",
+               webui AS "WebUI", '2024-01-01T00:00:00Z' AS "Created At", '2024-01-31T12:00:00Z' AS "Updated At"
+        FROM servers""",
+    "export_features": """
+        SELECT server_hostname AS "Server", name AS "Feature", version AS "Version", vendor_daemon AS "Vendor Daemon",
+               CAST(total_licenses AS VARCHAR) AS "Total Licenses", CAST(used_licenses AS VARCHAR) AS "Used Licenses",
+               CAST(greatest(total_licenses - used_licenses, 0) AS VARCHAR) AS "Available",
+               strftime(expiration_date, '%Y-%m-%d') AS "Expiration Date",
+               strftime(last_updated, '%Y-%m-%dT%H:%M:%SZ') AS "Last Updated"
+        FROM features WHERE is_active""",
+    "export_utilization": """
+        SELECT server_hostname AS "Server", feature_name AS "Feature", version AS "Version",
+               vendor_daemon AS "Vendor Daemon", CAST(total_licenses AS VARCHAR) AS "Total Licenses",
+               CAST(used_licenses AS VARCHAR) AS "Used Licenses", CAST(available_licenses AS VARCHAR) AS "Available",
+               printf('%.2f', CAST(utilization_pct AS DOUBLE)) AS "Utilization %"
+        FROM current_util""",
+    "export_history": """
+        SELECT CAST(date AS VARCHAR) || ' ' || time AS "Timestamp", CAST(users_count AS VARCHAR) AS "Users Count"
+        FROM feature_usage WHERE date >= DATE '2024-01-01'""",
+    "export_stats": """
+        SELECT server_hostname AS "Server", feature_name AS "Feature", printf('%.2f', avg_usage) AS "Avg Usage",
+               CAST(peak_usage AS VARCHAR) AS "Peak Usage", CAST(min_usage AS VARCHAR) AS "Min Usage",
+               CAST(total_licenses AS VARCHAR) AS "Total Licenses",
+               printf('%.2f', avg_utilization_pct) AS "Avg Utilization %"
+        FROM stats""",
+    "export_json": """
+        SELECT count(*) AS "count", '2024-01-31T12:00:00Z' AS exported_at, '' AS server FROM current_util""",
+    "export_report": """
+        SELECT 'utilization' AS section, server_hostname AS server, count(*) AS lines FROM current_util GROUP BY 2
+        UNION ALL SELECT 'statistics', server_hostname, count(*) FROM stats GROUP BY 2""",
+    "export_names": """
+        SELECT DISTINCT server_hostname, name,
+               replace(replace(server_hostname, '@', '_'), '.', '') AS file_part, name || '___x' AS odd_part
+        FROM features""",
+    "weekly_profile": """
+        SELECT server_hostname, feature_name, CAST(dayofweek(date) AS INTEGER) AS day_of_week,
+               CAST(substr(time, 1, 2) AS INTEGER) AS hour, round(avg(users_count), 6) AS avg_usage,
+               max(users_count) AS peak_usage
+        FROM feature_usage GROUP BY 1, 2, 3, 4""",
+    "weekday_weekend": """
+        SELECT server_hostname, feature_name,
+               round(avg(users_count) FILTER (WHERE dayofweek(date) BETWEEN 1 AND 5), 6) AS weekday_avg,
+               round(avg(users_count) FILTER (WHERE dayofweek(date) IN (0, 6)), 6) AS weekend_avg
+        FROM feature_usage GROUP BY 1, 2""",
+    "denials": """
+        SELECT feature_name, reason, event_date, count(*) AS denials FROM license_events
+        WHERE event_type = 'DENIED' GROUP BY 1, 2, 3""",
+    "feature_changes": """
+        SELECT * FROM (
+            SELECT coalesce(b.server_hostname, a.server_hostname) AS server_hostname, coalesce(b.name, a.name) AS name,
+                   coalesce(b.version, a.version) AS version,
+                   coalesce(strftime(coalesce(b.expiration_date, a.expiration_date), '%Y-%m-%d %H:%M:%S'), '')
+                     AS expiration_date,
+                   b.total_licenses AS total_before, b.used_licenses AS used_before, a.total_licenses AS total_after,
+                   a.used_licenses AS used_after,
+                   CASE WHEN b.id IS NULL THEN 'added' WHEN a.id IS NULL THEN 'removed'
+                        WHEN a.total_licenses <> b.total_licenses OR a.used_licenses <> b.used_licenses THEN 'changed'
+                   END AS change
+            FROM (SELECT *, poll_id AS id FROM (
+                      SELECT *, feature_name AS name, max(polled_at) OVER (PARTITION BY server_hostname) AS latest,
+                             row_number() OVER (PARTITION BY server_hostname, feature_name, version, expiration_date
+                                                ORDER BY poll_id DESC) AS rn
+                      FROM polls WHERE polled_at < TIMESTAMP '2024-01-30 00:00:00')
+                  WHERE rn = 1 AND polled_at = latest) b
+            FULL JOIN (SELECT * FROM features WHERE is_active) a
+              ON a.server_hostname = b.server_hostname AND a.name = b.name AND a.version = b.version
+                 AND a.expiration_date IS NOT DISTINCT FROM b.expiration_date)
+        WHERE change IS NOT NULL""",
+    "inventory_refreshed": f"SELECT {_FEATURE_ROW} FROM features",
 }
 
 

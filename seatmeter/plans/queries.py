@@ -9,12 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seatmeter.operators import (
-    alerts, board, capacity, checkouts, extract, fit, flexlm, forecast, inventory, paging, quality, retention, rlm,
-    stats, usage,
+    alerts, board, capacity, checkouts, extract, fit, flexlm, forecast, inventory, paging, profile, quality,
+    retention, rlm, stats, usage,
 )
+from seatmeter.functions import metrics as m
 from seatmeter.session import configure
+from seatmeter.sinks import export
 from seatmeter.sources import derived as d
 from seatmeter.sources.derived import AS_OF
+from seatmeter.streaming import alerts as alert_stream
+from seatmeter.streaming import feed, flow, ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -198,7 +202,7 @@ def efficiency_score(spark, sf):
 
 @query
 def recommendations(spark, sf):
-    return stats.recommendations(_enhanced(spark, sf)).drop("description")
+    return stats.recommendations(_enhanced(spark, sf))
 
 
 def _trended(spark, sf):
@@ -421,3 +425,132 @@ def flexlm_checkouts(spark, sf):
 @query
 def rlm_checkouts(spark, sf):
     return rlm.rlm_checkouts(d.dumps(spark, sf).where("server_type = 'rlm'"))
+
+
+# --- streams, run over all available input
+
+
+@query
+def stream_usage_ingest(spark, sf):
+    samples = ingest.distinct_samples(d.stream_polls(spark, sf)).select("server_hostname", "feature_name", "minute")
+    return flow.run_available(samples, export.new_folder(spark, "stream"))
+
+
+@query
+def stream_alert_throttle(spark, sf):
+    due = d.stream_polls(spark, sf).where(F.col("expiration_date").between(
+        F.col("sampled_at"), F.col("sampled_at") + F.make_dt_interval(F.lit(10))))
+    candidates = due.select(
+        F.col("server_hostname").alias("hostname"), F.lit("expiration").alias("type"),
+        F.col("sampled_at").alias("datetime"), "feature_name", F.lit("license expires").alias("message"))
+    passing = alert_stream.throttled(candidates, 60)
+    return flow.run_available(passing, export.new_folder(spark, "stream"))
+
+
+@query
+def stream_status_feed(spark, sf):
+    messages = feed.poll_messages(d.stream_polls(spark, sf))
+    chosen = feed.subscribed(messages, [f"server:27000@nation-{n}.example.com" for n in (3, 8)])
+    return flow.run_available(chosen, export.new_folder(spark, "stream"))
+
+
+@query
+def alert_feed(spark, sf):
+    return feed.subscribed(feed.alert_feed(d.alerts(spark, sf)), ["alerts"])
+
+
+# --- exports, written and read back
+
+
+def _csv_roundtrip(spark, layout):
+    return export.read_csv_text(spark, export.write_csv(layout, export.new_folder(spark, "export")), layout.columns)
+
+
+@query
+def export_servers(spark, sf):
+    return _csv_roundtrip(spark, export.servers_layout(d.servers(spark, sf)))
+
+
+@query
+def export_features(spark, sf):
+    return _csv_roundtrip(spark, export.features_layout(inventory.features_of(d.features(spark, sf))))
+
+
+@query
+def export_utilization(spark, sf):
+    return _csv_roundtrip(spark, export.utilization_layout(inventory.current_utilization(d.features(spark, sf))))
+
+
+@query
+def export_history(spark, sf):
+    return _csv_roundtrip(spark, export.history_layout(usage.usage_history(d.feature_usage(spark, sf), AS_OF, 30)))
+
+
+@query
+def export_stats(spark, sf):
+    rows = usage.usage_stats(d.feature_usage(spark, sf), d.features(spark, sf), AS_OF)
+    return _csv_roundtrip(spark, export.stats_layout(rows))
+
+
+@query
+def export_json(spark, sf):
+    rows = inventory.current_utilization(d.features(spark, sf))
+    folder = export.write_json(rows, export.new_folder(spark, "export"), AS_OF, server="")
+    return spark.read.schema("`count` bigint, exported_at string, server string").json(f"{folder}/about")
+
+
+@query
+def export_report(spark, sf):
+    report = export.combined_report(d.servers(spark, sf), d.features(spark, sf), d.feature_usage(spark, sf), AS_OF)
+    folder = export.write_report_csv(report, export.new_folder(spark, "export"))
+    columns = {"utilization": ["Server", "Feature", "Version", "Total", "Used", "Available", "Utilization %"],
+               "statistics": ["Server", "Feature", "Avg Usage", "Peak Usage", "Min Usage", "Total Licenses"]}
+    sections = [
+        export.read_csv_text(spark, f"{folder}/{name}", names).groupBy("Server").agg(F.count("*").alias("lines"))
+        .select(F.lit(name).alias("section"), F.col("Server").alias("server"), "lines")
+        for name, names in columns.items()
+    ]
+    return sections[0].unionByName(sections[1])
+
+
+@query
+def export_names(spark, sf):
+    hosts = d.features(spark, sf).select("server_hostname", "name").distinct()
+    return hosts.select("server_hostname", "name", m.file_name_part(F.col("server_hostname")).alias("file_part"),
+                        m.file_name_part(F.concat("name", F.lit(" / (x)"))).alias("odd_part"))
+
+
+# --- declared by the monitored system without a computation of their own
+
+
+@query
+def weekly_profile(spark, sf):
+    return profile.weekly_profile(d.feature_usage(spark, sf))
+
+
+@query
+def weekday_weekend(spark, sf):
+    return profile.weekday_weekend(d.feature_usage(spark, sf))
+
+
+@query
+def denials(spark, sf):
+    return profile.denials(d.license_events(spark, sf))
+
+
+@query
+def feature_changes(spark, sf):
+    log = d.polls(spark, sf)
+    before = inventory.inventory_from_polls(log.where(F.col("polled_at") < F.lit("2024-01-30").cast("timestamp")))
+    return profile.feature_changes(before.where("is_active"), d.features(spark, sf).where("is_active"))
+
+
+@query
+def inventory_refreshed(spark, sf):
+    """The inventory of all but the last day, refreshed with the polls of the last day."""
+    log = d.polls(spark, sf)
+    last_day = F.col("polled_at") >= F.lit("2024-01-30").cast("timestamp")
+    batch = log.where(last_day).select(
+        F.col("poll_id").alias("id"), "server_hostname", "name", "version", "vendor_daemon", "total_licenses",
+        "used_licenses", "expiration_date", F.col("polled_at").alias("last_updated"), F.lit(True).alias("is_active"))
+    return inventory.refresh_inventory(inventory.inventory_from_polls(log.where(~last_day)), batch)

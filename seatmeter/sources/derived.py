@@ -30,7 +30,17 @@ def _server_type(key: Column) -> Column:
 
 
 def polls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return _polls_of(spark.read.parquet(f"{sf_dir}/events.parquet"), spark, sf_dir)
+
+
+def stream_polls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same polls as a stream over the event files."""
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    events = spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").parquet(sf_dir)
+    return _polls_of(events, spark, sf_dir)
+
+
+def _polls_of(events: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
     nation = spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", "n_name")
     joined = events.join(nation, F.col("user_id") % 25 == F.col("n_nationkey"))
     key, k = F.col("n_nationkey"), F.get_json_object("props", "$.k").cast("int")
