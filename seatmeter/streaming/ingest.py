@@ -78,7 +78,8 @@ class Collector:
             m.minute_text(F.col("last_updated")).alias("time"), F.col("used_licenses").alias("users_count"))
         first = samples.agg(F.min("date")).first()[0]
         fresh = usage.append_usage(self.usage(spark, batch_id), samples, first)
-        fresh.write.mode("overwrite").partitionBy("date").parquet(self.usage_path(batch_id))
+        replace_all = fresh.write.mode("overwrite").option("partitionOverwriteMode", "static")
+        replace_all.partitionBy("date").parquet(self.usage_path(batch_id))
 
 
 def collect(dumps: DataFrame, folder: str, every: str | None = "5 minutes") -> StreamingQuery:
