@@ -34,12 +34,28 @@ def first_kind(tests: list[tuple[str, Column]]) -> Column:
     return kind
 
 
+def in_order():
+    """The lines of a text from first to last."""
+    return whole_text().orderBy("line_no")
+
+
 def carried(value: Column) -> Column:
     """Latest non-NULL value on the lines above."""
-    above = whole_text().orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
+    above = in_order().rowsBetween(Window.unboundedPreceding, -1)
     return F.last(value, ignorenulls=True).over(above)
 
 
+def parts(line: Column, pattern: str, *numbers: int) -> Column:
+    """The given groups of a pattern's first match as one array, found by a single run of the pattern.
+
+    A group number 0 stands for an empty element.
+    """
+    mark = "\u0001"
+    kept = mark.join(f"${n}" if n else "" for n in numbers)
+    start = "" if pattern.startswith("^") else "(?s:^.*?)"
+    return F.split(F.regexp_replace(line, f"{start}{pattern}(?s:.*)$", kept), mark)
+
+
 def group(line: Column, pattern: str, number: int) -> Column:
     return F.regexp_extract(line, pattern, number)
 

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from seatmeter.functions.dates import expiry_timestamp, flexlm_start
 from seatmeter.operators.dump_lines import (
-    CHECKOUT_COLUMNS, FEATURE_COLUMNS, STATUS_COLUMNS, carried, count_at, first_kind, group, numbered_lines,
-    stripped, whole_text,
+    CHECKOUT_COLUMNS, FEATURE_COLUMNS, STATUS_COLUMNS, carried, first_kind, in_order, numbered_lines, parts,
+    stripped,
 )
 
 # Line patterns, and the license count of an uncounted feature.
@@ -76,65 +76,71 @@ def _classified(dumps: DataFrame) -> DataFrame:
 def _fields(lines: DataFrame) -> DataFrame:
     """Names and numbers on each line, by its kind."""
     line, kind = F.col("line"), F.col("kind")
+    # name, total, used / version, vendor, expiry / user, host, client version, start
+    found = (
+        F.when(kind == "usage", parts(line, USAGE, 1, 2, 3))
+        .when(kind == "uncounted", parts(line, UNCOUNTED, 1))
+        .when(kind == "pool_permanent", parts(line, POOL_PERMANENT, 1, 3, 2, 4, 5))
+        .when(kind == "pool_vendor_date", parts(line, POOL_VENDOR_DATE, 1, 3, 2, 4, 5))
+        .when(kind == "pool_date_vendor", parts(line, POOL_DATE_VENDOR, 1, 3, 2, 5, 4))
+        .when(kind == "checkout", parts(line, CHECKOUT, 1, 2, 4, 5))
+        .when(kind == "up", parts(line, SERVER_UP, 1, 2))
+    )
+    is_pool, is_checkout = kind.isin(list(POOL_KINDS)), kind == "checkout"
+    lines = lines.select(
+        "dump_id", "host", "captured_at", "line_no", "kind", "denies", found.alias("found"),
+        F.when(F.col("inlines"), parts(line, INLINE_VERSION, 1, 2)).alias("inline"),
+    )
 
-    def pool_part(permanent: int, vendor_date: int, date_vendor: int):
-        return (
-            F.when(kind == "pool_permanent", group(line, POOL_PERMANENT, permanent))
-            .when(kind == "pool_vendor_date", group(line, POOL_VENDOR_DATE, vendor_date))
-            .when(kind == "pool_date_vendor", group(line, POOL_DATE_VENDOR, date_vendor))
-        )
+    def part(place: int) -> Column:
+        return F.get("found", F.lit(place))
 
-    def checkout_part(number: int):
-        return F.when(kind == "checkout", stripped(group(line, CHECKOUT, number)))
+    def number(place: int) -> Column:
+        return F.coalesce(part(place).try_cast("int"), F.lit(0))
 
-    named = (
-        F.when(kind == "usage", stripped(group(line, USAGE, 1)))
-        .when(kind == "uncounted", stripped(group(line, UNCOUNTED, 1)))
-    )
-    total = F.when(kind == "usage", count_at(line, USAGE, 2)).otherwise(pool_part(3, 3, 3).try_cast("int"))
     return lines.select(
-        "dump_id", "host", "captured_at", "line_no", "kind", "denies", "inlines",
-        F.coalesce(named, pool_part(1, 1, 1)).alias("name"),
-        F.coalesce(total, F.lit(0)).alias("total"),
-        F.when(kind == "usage", count_at(line, USAGE, 3)).otherwise(0).alias("used"),
-        pool_part(2, 2, 2).alias("pool_version"),
-        F.coalesce(pool_part(4, 4, 5), F.lit("")).alias("vendor"),
-        pool_part(5, 5, 4).alias("expiry_text"),
-        F.when(F.col("inlines"), group(line, INLINE_VERSION, 1)).alias("inline_name"),
-        F.when(F.col("inlines"), group(line, INLINE_VERSION, 2)).alias("inline_version"),
-        F.when(kind == "up", F.substring_index(group(line, SERVER_UP, 1), ".", 1)).alias("master"),
-        F.when(kind == "up", group(line, SERVER_UP, 2)).alias("server_version"),
-        checkout_part(1).alias("username"), checkout_part(2).alias("user_host"),
-        checkout_part(4).alias("client_version"),
-        flexlm_start(checkout_part(5), F.col("captured_at")).alias("started"),
+        "dump_id", "host", "captured_at", "line_no", "kind", "denies",
+        F.when(kind.isin("usage", "uncounted") | is_pool, stripped(part(0))).alias("name"),
+        F.when((kind == "usage") | is_pool, number(1)).otherwise(0).alias("total"),
+        F.when(kind == "usage", number(2)).otherwise(0).alias("used"),
+        F.when(is_pool, part(2)).alias("pool_version"), F.when(is_pool, part(3)).otherwise("").alias("vendor"),
+        F.when(is_pool, part(4)).alias("expiry_text"),
+        F.get("inline", F.lit(0)).alias("inline_name"), F.get("inline", F.lit(1)).alias("inline_version"),
+        F.when(kind == "up", F.substring_index(part(0), ".", 1)).alias("master"),
+        F.when(kind == "up", part(1)).alias("server_version"),
+        F.when(is_checkout, stripped(part(0))).alias("username"),
+        F.when(is_checkout, stripped(part(1))).alias("user_host"),
+        F.when(is_checkout, stripped(part(2))).alias("client_version"),
+        flexlm_start(F.when(is_checkout, stripped(part(3))), F.col("captured_at")).alias("started"),
     )
 
 
 def _in_context(dumps: DataFrame) -> DataFrame:
-    """Lines up to the first fatal one, with the state the lines above them left."""
+    """Lines of interest up to the first fatal one, with the state the lines above them left."""
     kind, name = F.col("kind"), F.col("name")
+    whole = in_order().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     # A "no such feature" line concerns the usage line above it, once.
     named_last = carried(F.when(F.col("denies"), "").when(kind == "usage", name))
-    lines = _fields(_classified(dumps)).withColumn("named_last", named_last)
+    current = carried(F.when(kind.isin("usage", "uncounted"), name))
+    fatal_line = F.min(F.when(kind.isin(list(FATAL)), F.col("line_no"))).over(whole)
+    lines = _fields(_classified(dumps)).select(
+        "*", named_last.alias("named_last"), current.alias("current"), fatal_line.alias("fatal_line"))
+
     denied = F.col("denies") & (F.coalesce("named_last", F.lit("")) != "")
+    early = F.coalesce(kind.isin("up", "usage", *FATAL), F.lit(False))
+    inline = F.col("inline_name").isNotNull() & F.col("current").isNotNull() & ~early
+    matches = inline & (F.lower("inline_name") == F.lower("current"))
+    # The first line stays in any case: it stands for a text without any line of interest.
     lines = (
-        lines.withColumn("name", F.when(denied, F.col("named_last")).otherwise(name))
-        .withColumn("kind", F.when(denied, "removal").otherwise(kind))
+        lines.where(F.col("fatal_line").isNull() | (F.col("line_no") <= F.col("fatal_line")))
+        .withColumn("effective", F.when(denied, "removal").when(inline, "inline").otherwise(kind))
+        .withColumn("inline_version", F.when(~denied & matches, F.col("inline_version")))
+        .withColumn("name", F.when(denied, F.col("named_last")).otherwise(name))
+        .drop("kind", "inline_name", "named_last", "denies").withColumnRenamed("effective", "kind")
+        .where(kind.isNotNull() | (F.col("line_no") == 0))
     )
-    starts = F.when(kind.isin("usage", "uncounted"), name)
-    lines = lines.withColumn("current", carried(starts))
-    inline = F.col("inlines") & F.col("current").isNotNull() & (F.coalesce(kind, F.lit("")) != "removal")
-    lines = lines.withColumn("kind", F.when(inline & ~F.coalesce(kind.isin("up", "usage", *FATAL), F.lit(False)),
-                                            "inline").otherwise(kind))
-    matches = (kind == "inline") & (F.lower("inline_name") == F.lower("current"))
-    lines = lines.withColumn("inline_version", F.when(matches, F.col("inline_version")))
     block_version = carried(F.when(kind == "usage", "").otherwise(F.col("inline_version")))
-    fatal_line = F.min(F.when(kind.isin(list(FATAL)), F.col("line_no"))).over(whole_text())
-    return (
-        lines.withColumn("block_version", F.coalesce(block_version, F.lit("")))
-        .withColumn("fatal_line", fatal_line)
-        .where(F.col("fatal_line").isNull() | (F.col("line_no") <= F.col("fatal_line")))
-    )
+    return lines.withColumn("block_version", F.coalesce(block_version, F.lit("")))
 
 
 def flexlm_status(dumps: DataFrame) -> DataFrame:
@@ -173,18 +179,24 @@ def _attributed(dumps: DataFrame) -> DataFrame:
     feature = Window.partitionBy("dump_id", "key")
     any_case = Window.partitionBy("dump_id", F.lower("key"))
     is_pool = kind.isin(list(POOL_KINDS))
+    usage_at = F.when(kind == "usage", at)
+    inline_at = F.when(F.col("inline_version").isNotNull(), at)
     rows = rows.select(
         "*",
         F.coalesce(F.max(F.when(kind == "removal", at)).over(feature), F.lit(-1)).alias("removed_at"),
-        F.max_by("inline_version", F.when(F.col("inline_version").isNotNull(), at)).over(feature)
-        .alias("feature_version"),
-        F.max_by("inline_version", F.when(F.col("inline_version").isNotNull(), at)).over(any_case)
-        .alias("folded_version"),
-    ).withColumn("stays", at > F.col("removed_at"))
-    live_version = F.when(is_pool & F.col("stays"), F.col("pool_version"))
+        F.max_by("inline_version", inline_at).over(feature).alias("feature_version"),
+        F.max(usage_at).over(feature).alias("usage_line"),
+        F.max_by("total", usage_at).over(feature).alias("usage_total"),
+        F.max_by("used", usage_at).over(feature).alias("usage_used"),
+        F.max(F.when(kind == "uncounted", at)).over(feature).alias("uncounted_line"),
+        F.max(F.when(is_pool, at)).over(feature).alias("pool_line"),
+        F.count_if(kind == "checkout").over(feature).alias("by_name"),
+    )
+    live_version = F.when(is_pool & (at > F.col("removed_at")), F.col("pool_version"))
     rows = rows.select(
         "*", F.min(live_version).over(any_case).alias("least_version"),
         F.max(live_version).over(any_case).alias("most_version"),
+        F.max_by("inline_version", inline_at).over(any_case).alias("folded_version"),
     )
     only_version = F.when(F.col("least_version") == F.col("most_version"), F.col("least_version"))
     backfilled = F.coalesce("feature_version", "folded_version", only_version, F.lit(""))
@@ -208,27 +220,18 @@ def flexlm_features(dumps: DataFrame) -> DataFrame:
     """License pools per text: license-file lines by (name, version, expiry), uncounted features, and
     features only a usage line names. Used licenses follow the checkouts of the pool's version, else the
     usage line in proportion to the pool."""
-    kind, at = F.col("kind"), F.col("line_no")
+    kind, at, removed = F.col("kind"), F.col("line_no"), F.col("removed_at")
     is_pool = kind.isin(list(POOL_KINDS))
-    feature = Window.partitionBy("dump_id", "key")
-    rows = _attributed(dumps).where(F.col("fatal_line").isNull())
 
-    stays = F.col("stays")
-    used_at = F.when((kind == "usage") & stays, at)
-    rows = rows.select(
-        "*",
-        F.max(used_at).over(feature).alias("usage_line"),
-        F.max_by("total", used_at).over(feature).alias("usage_total"),
-        F.max_by("used", used_at).over(feature).alias("usage_used"),
-        F.max(F.when((kind == "uncounted") & stays, at)).over(feature).alias("uncounted_line"),
-        F.count_if(is_pool & stays).over(feature).alias("pool_lines"),
-        F.count_if(kind == "checkout").over(feature).alias("by_name"),
-    )
+    def survives(last_line: str) -> Column:
+        return F.coalesce(F.col(last_line) > removed, F.lit(False))
+
+    rows = _attributed(dumps).where(F.col("fatal_line").isNull())
     usage_only = (
-        (kind == "usage") & (at == F.col("usage_line")) & (F.col("pool_lines") == 0)
-        & F.col("uncounted_line").isNull()
+        (kind == "usage") & (at == F.col("usage_line")) & survives("usage_line") & ~survives("pool_line")
+        & ~survives("uncounted_line")
     )
-    uncounted = (kind == "uncounted") & (at == F.col("uncounted_line"))
+    uncounted = (kind == "uncounted") & (at == F.col("uncounted_line")) & survives("uncounted_line")
     record_version = (
         F.when(is_pool, F.col("pool_version"))
         .when(usage_only, F.coalesce("feature_version", F.lit("")))
@@ -240,14 +243,15 @@ def flexlm_features(dumps: DataFrame) -> DataFrame:
     rows = rows.withColumn("by_version", F.count_if(kind == "checkout").over(same_version))
 
     pools = (
-        rows.where((is_pool & stays) | usage_only | uncounted)
+        rows.where((is_pool & (at > removed)) | usage_only | uncounted)
         .withColumn("expires", F.when(is_pool, expiry_timestamp(F.col("expiry_text"))))
         .groupBy("dump_id", "host", "captured_at", "key", "record_version", "expires")
         .agg(
             F.sum(F.when(kind == "uncounted", UNCOUNTED_LICENSES).otherwise(F.col("total"))).alias("pool_total"),
             F.min_by("vendor", "line_no").alias("vendor_daemon"),
             F.max(F.when(kind == "usage", F.col("used")).otherwise(0)).alias("base_used"),
-            F.max("usage_total").alias("usage_total"), F.max("usage_used").alias("usage_used"),
+            F.max(F.when(survives("usage_line"), F.col("usage_total"))).alias("usage_total"),
+            F.max(F.when(survives("usage_line"), F.col("usage_used"))).alias("usage_used"),
             F.max("by_name").alias("by_name"), F.max("by_version").alias("by_version"),
         )
     )
