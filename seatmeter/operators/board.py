@@ -25,17 +25,16 @@ def utilization_bands(utilization: DataFrame) -> DataFrame:
 
 def dashboard_totals(servers: DataFrame, features: DataFrame, alerts: DataFrame) -> DataFrame:
     """Servers, active features, their licenses and open alerts in one row, by uncorrelated subqueries."""
-    active = features.where("is_active")
-    one = servers.sparkSession.range(1)
-
-    def single(df: DataFrame, value):
-        return df.agg(value.alias("value")).scalar()
-
-    return one.select(
-        single(servers, F.count(F.lit(1))).alias("total_servers"),
-        single(active, F.count(F.lit(1))).alias("total_features"),
-        single(active, F.coalesce(F.sum("total_licenses"), F.lit(0))).alias("total_licenses"),
-        single(alerts.where(~F.col("sent")), F.count(F.lit(1))).alias("active_alerts"),
+    rows = F.count(F.lit(1))
+    pools = features.where("is_active").agg(
+        F.struct(rows.alias("n"), F.coalesce(F.sum("total_licenses"), F.lit(0)).alias("licenses")).alias("pools"))
+    gathered = servers.sparkSession.range(1).select(
+        servers.agg(rows.alias("n")).scalar().alias("total_servers"), pools.scalar().alias("pools"),
+        alerts.where(~F.col("sent")).agg(rows.alias("n")).scalar().alias("active_alerts"),
+    )
+    return gathered.select(
+        "total_servers", F.col("pools.n").alias("total_features"), F.col("pools.licenses").alias("total_licenses"),
+        "active_alerts",
     )
 
 

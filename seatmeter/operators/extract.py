@@ -6,6 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seatmeter.operators import flexlm, rlm
+from seatmeter.session import attach
+
+
+def latest_dumps(dumps: DataFrame) -> DataFrame:
+    """The last text of every server. Ids are compared first, so only these texts are read closely."""
+    last = dumps.groupBy("host").agg(F.max_by("dump_id", F.struct("captured_at", "dump_id")).alias("dump_id"))
+    return attach(dumps, last.select("dump_id"), ["dump_id"], "left_semi")
 
 
 def _of_type(dumps: DataFrame, server_type: str) -> DataFrame:

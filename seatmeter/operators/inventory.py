@@ -14,21 +14,27 @@ from seatmeter.schemas import POOL_KEY, TABLES
 FEATURE_COLUMNS = [column.split()[0] for column in TABLES["features"].split(", ")]
 
 
-def inventory_from_polls(polls: DataFrame) -> DataFrame:
-    """Inventory as left behind by an append-only poll log.
-
-    Each pool keeps its last poll; it is active when the server's latest poll still listed it. The
-    second branch reads two columns of the log and shrinks to one row per server.
-    """
+def latest_pools(polls: DataFrame) -> DataFrame:
+    """The last poll of every pool in an append-only poll log, without telling which are still listed."""
     pools = latest_per_key(
         polls.select(*POOL_KEY, "poll_id", "vendor_daemon", "total_licenses", "used_licenses", "polled_at"),
         POOL_KEY, "poll_id", ["total_licenses", "used_licenses", "polled_at"], ["vendor_daemon"],
     )
-    latest = polls.groupBy("server_hostname").agg(F.max("polled_at").alias("latest_poll"))
-    return pools.join(latest, "server_hostname").select(
+    return pools.select(
         F.col("poll_id").alias("id"), *POOL_KEY[:3], "vendor_daemon", "total_licenses", "used_licenses",
         "expiration_date", F.col("polled_at").alias("last_updated"),
-        (F.col("polled_at") == F.col("latest_poll")).alias("is_active"),
+    )
+
+
+def inventory_from_polls(polls: DataFrame) -> DataFrame:
+    """Inventory as left behind by a poll log: a pool is active when its server's latest poll listed it.
+
+    The second branch reads two columns of the log and shrinks to one row per server.
+    """
+    latest = polls.groupBy("server_hostname").agg(F.max("polled_at").alias("latest_poll"))
+    return latest_pools(polls).join(latest, "server_hostname").select(
+        *[c for c in FEATURE_COLUMNS if c != "is_active"],
+        (F.col("last_updated") == F.col("latest_poll")).alias("is_active"),
     )
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from seatmeter.functions import metrics as m
 from seatmeter.operators.inventory import first_seen_samples, series_capacity
 from seatmeter.schemas import SAMPLE_KEY, SERIES_KEY
+from seatmeter.session import attach, settle
 
 # The selectable periods and their days, for charts, the heatmap page and the prediction page.
 PERIOD_DAYS = {"7d": 7, "30d": 30, "90d": 90, "1y": 365}
@@ -50,10 +51,15 @@ def samples_from_polls(polls: DataFrame) -> DataFrame:
 
 
 def append_usage(existing: DataFrame, batch: DataFrame, from_day: date | None = None) -> DataFrame:
-    """The samples of `batch` that are new; `from_day`, its first date, prunes the stored partitions."""
+    """The samples of `batch` that are new; `from_day`, its first date, prunes the stored partitions.
+
+    The batch is the small side: its keys pick the stored rows that matter, so the stored table is not
+    shuffled unless the batch itself is large.
+    """
     stored = existing.where(F.col("date") >= F.lit(from_day)) if from_day else existing
-    fresh = first_seen_samples(batch, SAMPLE_KEY, "id", ["users_count"])
-    return fresh.join(stored.select(*SAMPLE_KEY), SAMPLE_KEY, "left_anti").select("id", *SAMPLE_KEY, "users_count")
+    fresh = settle(first_seen_samples(batch, SAMPLE_KEY, "id", ["users_count"]))
+    seen = attach(stored.select(*SAMPLE_KEY), fresh.select(*SAMPLE_KEY), SAMPLE_KEY, "left_semi", settled=True)
+    return fresh.join(seen, SAMPLE_KEY, "left_anti").select("id", *SAMPLE_KEY, "users_count")
 
 
 def usage_history(usage: DataFrame, as_of: datetime, days: int = 7, server: str | None = None,

@@ -44,7 +44,7 @@ def query(make: Query) -> Query:
 
 @query
 def current_utilization(spark, sf):
-    return inventory.current_utilization(d.features(spark, sf))
+    return inventory.current_utilization(d.pools(spark, sf))
 
 
 @query
@@ -116,7 +116,7 @@ def usage_rows_strict(spark, sf):
 
 @query
 def usage_stats(spark, sf):
-    return usage.usage_stats(d.feature_usage(spark, sf), d.features(spark, sf), AS_OF)
+    return usage.usage_stats(d.feature_usage(spark, sf), d.pools(spark, sf), AS_OF)
 
 
 @query
@@ -126,12 +126,12 @@ def hourly_heatmap(spark, sf):
 
 @query
 def series_comparison(spark, sf):
-    chosen = usage.top_series(inventory.current_utilization(d.features(spark, sf)))
+    chosen = usage.top_series(inventory.current_utilization(d.pools(spark, sf)))
     return usage.series_comparison(d.feature_usage(spark, sf), chosen, AS_OF)
 
 
 def _searched_stats(spark, sf):
-    rows = usage.usage_stats(d.feature_usage(spark, sf), d.features(spark, sf), AS_OF)
+    rows = usage.usage_stats(d.feature_usage(spark, sf), d.pools(spark, sf), AS_OF)
     return paging.search(rows, "Nation-1")
 
 
@@ -149,12 +149,12 @@ def page_info(spark, sf):
 
 @query
 def overview_tiles(spark, sf):
-    return board.overview_tiles(inventory.current_utilization(d.features(spark, sf)))
+    return board.overview_tiles(inventory.current_utilization(d.pools(spark, sf)))
 
 
 @query
 def utilization_bands(spark, sf):
-    return board.utilization_bands(inventory.current_utilization(d.features(spark, sf))).select(
+    return board.utilization_bands(inventory.current_utilization(d.pools(spark, sf))).select(
         "server_hostname", "feature_name", "version", "utilization_pct", "band")
 
 
@@ -168,26 +168,26 @@ def linear_fit(spark, sf):
 
 @query
 def predictive_summary(spark, sf):
-    return forecast.predictive_summary(d.feature_usage(spark, sf), d.features(spark, sf), AS_OF)
+    return forecast.predictive_summary(d.feature_usage(spark, sf), d.pools(spark, sf), AS_OF)
 
 
 @query
 def forecast_30d(spark, sf):
-    return forecast.forecast(d.feature_usage(spark, sf), d.features(spark, sf), AS_OF)
+    return forecast.forecast(d.feature_usage(spark, sf), d.pools(spark, sf), AS_OF)
 
 
 @query
 def anomalies(spark, sf):
-    return forecast.anomalies(d.feature_usage(spark, sf), d.features(spark, sf), AS_OF)
+    return forecast.anomalies(d.feature_usage(spark, sf), d.pools(spark, sf), AS_OF)
 
 
 @query
 def trend_analysis(spark, sf):
-    return forecast.trend_analysis(d.feature_usage(spark, sf), d.features(spark, sf), AS_OF)
+    return forecast.trend_analysis(d.feature_usage(spark, sf), d.pools(spark, sf), AS_OF)
 
 
 def _enhanced(spark, sf):
-    return stats.enhanced_statistics(d.feature_usage(spark, sf), d.features(spark, sf), AS_OF)
+    return stats.enhanced_statistics(d.feature_usage(spark, sf), d.pools(spark, sf), AS_OF)
 
 
 @query
@@ -206,7 +206,7 @@ def recommendations(spark, sf):
 
 
 def _trended(spark, sf):
-    return capacity.utilization_with_trend(d.feature_usage(spark, sf), d.features(spark, sf), AS_OF)
+    return capacity.utilization_with_trend(d.feature_usage(spark, sf), d.pools(spark, sf), AS_OF)
 
 
 @query
@@ -323,12 +323,7 @@ def status_board(spark, sf):
     texts = d.dumps(spark, sf)
     silent = d.servers(spark, sf).where(F.col("id") % 7 == 0).select(F.col("hostname").alias("host"))
     answered = texts.join(silent, "host", "left_anti")
-    status = extract.all_status(answered)
-    order = F.col("dump_id").cast("bigint")
-    columns = [c for c in status.columns if c not in ("dump_id", "hostname")]
-    latest = status.groupBy("hostname").agg(F.max_by(F.struct(*columns), order).alias("last")).select(
-        "hostname", "last.*")
-    return board.status_board(d.servers(spark, sf), latest)
+    return board.status_board(d.servers(spark, sf), extract.all_status(extract.latest_dumps(answered)))
 
 
 @query
@@ -478,7 +473,7 @@ def export_features(spark, sf):
 
 @query
 def export_utilization(spark, sf):
-    return _csv_roundtrip(spark, export.utilization_layout(inventory.current_utilization(d.features(spark, sf))))
+    return _csv_roundtrip(spark, export.utilization_layout(inventory.current_utilization(d.pools(spark, sf))))
 
 
 @query
@@ -488,13 +483,13 @@ def export_history(spark, sf):
 
 @query
 def export_stats(spark, sf):
-    rows = usage.usage_stats(d.feature_usage(spark, sf), d.features(spark, sf), AS_OF)
+    rows = usage.usage_stats(d.feature_usage(spark, sf), d.pools(spark, sf), AS_OF)
     return _csv_roundtrip(spark, export.stats_layout(rows))
 
 
 @query
 def export_json(spark, sf):
-    rows = inventory.current_utilization(d.features(spark, sf))
+    rows = inventory.current_utilization(d.pools(spark, sf))
     folder = export.write_json(rows, export.new_folder(spark, "export"), AS_OF, server="")
     return spark.read.schema("`count` bigint, exported_at string, server string").json(f"{folder}/about")
 

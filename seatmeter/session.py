@@ -7,8 +7,8 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Largest table, in rows, that attach() lets every executor hold a copy of. Rows attached this way
-# are a key and a few numbers (about 200 bytes), so the copy stays near 40 MB.
+# Largest table, in rows, that attach() lets every executor hold a copy of. Rows attached this way are a key
+# and a few numbers (about 200 bytes), so the copy stays near 40 MB.
 MAX_BROADCAST_ROWS = 200_000
 
 _SETTINGS = {
@@ -63,13 +63,13 @@ def settle(df: DataFrame) -> DataFrame:
 
 
 def attach(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner",
-           max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Join raw rows with an aggregate of them, without shuffling the raw rows when that is safe.
+           max_rows: int = MAX_BROADCAST_ROWS, settled: bool = False) -> DataFrame:
+    """Join raw rows with a table that is usually small, without shuffling the raw rows when that is safe.
 
-    The aggregate is settled and counted first. Up to `max_rows` rows it is broadcast, so a hot key on
-    the big side costs nothing; beyond that both sides shuffle and AQE splits hot partitions.
+    `small` is settled and counted first. Up to `max_rows` rows it is broadcast, so a hot key on the big
+    side costs nothing; beyond that both sides shuffle and AQE splits hot partitions.
     """
-    small = settle(small)
+    small = small if settled else settle(small)
     if small.limit(max_rows + 1).count() <= max_rows:
         return big.join(F.broadcast(small), on, how)
     return big.join(small, on, how)

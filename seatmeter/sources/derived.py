@@ -13,35 +13,40 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seatmeter.functions import metrics as m
-from seatmeter.operators.inventory import inventory_from_polls
+from seatmeter.operators.inventory import inventory_from_polls, latest_pools
 from seatmeter.operators.usage import samples_from_polls
 from seatmeter.sources.dumps import spread
 
 AS_OF = datetime(2024, 1, 31, 12, 0, 0)
-SERVICE_HOURS = datetime(2024, 1, 1)
+IN_SERVICE_SINCE = datetime(2024, 1, 1)
+EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
+NATION = "n_nationkey int, n_name string, n_regionkey int"
 
 
 def _hostname(name: Column) -> Column:
     return F.concat(F.lit("27000@"), F.lower(F.replace(name, F.lit("_"), F.lit("-"))), F.lit(".example.com"))
 
 
+def _nation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.schema(NATION).parquet(f"{sf_dir}/nation.parquet")
+
+
 def _server_type(key: Column) -> Column:
     return F.when(key % 3 == 0, "rlm").otherwise("flexlm")
 
 
 def polls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _polls_of(spark.read.parquet(f"{sf_dir}/events.parquet"), spark, sf_dir)
+    return _polls_of(spark.read.schema(EVENTS).parquet(f"{sf_dir}/events.parquet"), spark, sf_dir)
 
 
 def stream_polls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same polls as a stream over the event files."""
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").parquet(sf_dir)
+    events = spark.readStream.schema(EVENTS).option("pathGlobFilter", "events*.parquet").parquet(sf_dir)
     return _polls_of(events, spark, sf_dir)
 
 
 def _polls_of(events: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
-    nation = spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", "n_name")
+    nation = _nation(spark, sf_dir).select("n_nationkey", "n_name")
     joined = events.join(nation, F.col("user_id") % 25 == F.col("n_nationkey"))
     key, k = F.col("n_nationkey"), F.get_json_object("props", "$.k").cast("int")
     joined = joined.select(
@@ -66,18 +71,23 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inventory_from_polls(polls(spark, sf_dir))
 
 
+def pools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The inventory without the active flag, for readers that do not ask for it: one scan less."""
+    return latest_pools(polls(spark, sf_dir))
+
+
 def feature_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return samples_from_polls(polls(spark, sf_dir))
 
 
 def servers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nation = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    nation = _nation(spark, sf_dir)
     key = F.col("n_nationkey")
     return nation.select(
         key.cast("bigint").alias("id"), _hostname(F.col("n_name")).alias("hostname"),
         F.col("n_name").alias("description"), _server_type(key).alias("type"),
         F.concat(F.lit("c"), key).alias("cacti_id"), F.concat(F.lit("https://web-"), key).alias("webui"),
-        m.moment(SERVICE_HOURS).alias("created_at"), m.moment(AS_OF).alias("updated_at"),
+        m.moment(IN_SERVICE_SINCE).alias("created_at"), m.moment(AS_OF).alias("updated_at"),
     )
 
 
@@ -119,7 +129,7 @@ def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def alert_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last alert of every server: half an hour ago for even nations, 90 minutes for odd ones."""
-    nation = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    nation = _nation(spark, sf_dir)
     key = F.col("n_nationkey")
     minutes = F.when(key % 2 == 0, 30).otherwise(90)
     return nation.select(
