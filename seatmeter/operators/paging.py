@@ -49,11 +49,13 @@ def page_of(ordered: DataFrame, limit: int, offset: int) -> DataFrame:
 
 
 def page_info(rows: DataFrame, limit: int, offset: int) -> DataFrame:
-    """One row of page data: total rows and pages, current page, neighbours."""
+    """One row of page data: total rows and pages, current page, the rows it spans, neighbours."""
     total = F.col("total")
     return rows.agg(F.count(F.lit(1)).alias("total")).select(
         "total", F.lit(limit).alias("limit"), F.lit(offset).alias("offset"),
         F.lit(offset // limit + 1).alias("page"),
         F.ceil(total / F.lit(limit)).cast("long").alias("total_pages"),
+        F.least(F.lit(offset + 1).cast("long"), total).alias("first_row"),
+        F.least(F.lit(offset + limit).cast("long"), total).alias("last_row"),
         (F.lit(offset + limit) < total).alias("has_next"), F.lit(offset > 0).alias("has_prev"),
     )

@@ -287,6 +287,7 @@ _BODIES = {
         ORDER BY peak_usage DESC, server_hostname, feature_name LIMIT 10 OFFSET 10""",
     "page_info": """
         SELECT total, 10 AS "limit", 10 AS "offset", 2 AS page, CAST(ceil(total / 10.0) AS BIGINT) AS total_pages,
+               least(11, total) AS first_row, least(20, total) AS last_row,
                20 < total AS has_next, TRUE AS has_prev
         FROM (SELECT count(*) AS total FROM stats
               WHERE lower(server_hostname) LIKE '%nation-1%' OR lower(feature_name) LIKE '%nation-1%')""",
