@@ -14,6 +14,9 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from seatmeter.operators import alerts as queue
 from seatmeter.streaming.flow import with_state_store
 
+# Alerts that arrive later than this behind the newest one are dropped.
+LATENESS = "1 day"
+
 _OUTPUT = "hostname string, type string, datetime timestamp, feature_name string, message string"
 
 
@@ -54,8 +57,15 @@ class Throttle(StatefulProcessor):
 
 
 def throttled(candidates: DataFrame, interval_minutes: int = 60) -> DataFrame:
-    """Passing alerts of a stream of `hostname, type, datetime, feature_name, message`."""
+    """Passing alerts of a stream of `hostname, type, datetime, feature_name, message`.
+
+    All alerts of one check carry the same time, and at most one of them can pass. Dropping the others first
+    spreads a busy host over many tasks and leaves the throttle one row per host and check.
+    """
     with_state_store(candidates.sparkSession)
+    if interval_minutes > 0:
+        candidates = candidates.withWatermark("datetime", LATENESS).dropDuplicatesWithinWatermark(
+            ["hostname", "type", "datetime"])
     return candidates.groupBy("hostname", "type").transformWithStateInPandas(
         Throttle(interval_minutes), outputStructType=_OUTPUT, outputMode="append", timeMode="none")
 

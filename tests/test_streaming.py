@@ -96,7 +96,8 @@ def test_throttle(spark, tmp_path, minutes):
     source, target = str(tmp_path / "in"), str(tmp_path / "out")
 
     def rows(moments):
-        return [("hot", "expiration", t, "cad", "m") for t in moments] + [("cold", "expiration", moments[0], "cad", "m")]
+        twice = [("hot", "expiration", t, name, "m") for t in moments for name in ("cad", "mesh")]
+        return twice + [("cold", "expiration", moments[0], "cad", "m")]
 
     def run(moments):
         return flow.run_available(alerts.throttled(stream_of(spark, rows(moments), schema, source), minutes), target)
@@ -104,7 +105,8 @@ def test_throttle(spark, tmp_path, minutes):
     run(times)
     out = run(late)
     hot = sorted(r.datetime for r in out.collect() if r.hostname == "hot")
-    assert hot == greedy(times + late, timedelta(minutes=minutes))
+    both = sorted((times + late) * 2)
+    assert hot == greedy(both, timedelta(minutes=minutes))
     assert out.where("hostname = 'cold'").count() == 2
 
 
