@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seatmeter.functions import metrics as m
+from seatmeter.functions.texts import CAPACITY_CLASSES, advice
 from seatmeter.operators.fit import finish_fit, fit_columns
 from seatmeter.operators.inventory import series_capacity
-from seatmeter.operators.stats import advice_row, unfold_advice
+from seatmeter.operators.stats import unfold_advice
 from seatmeter.operators.usage import first_day, first_whole_day, minute_index, since
 from seatmeter.schemas import SERIES_KEY
 
@@ -52,17 +53,11 @@ def capacity_classes(trended: DataFrame) -> DataFrame:
     """One row per (class, series); a series may be in one utilization class and one trend class."""
     pct, slope = F.col("utilization_pct"), F.col("trend_slope")
 
-    def entry(name: str, text: str):
-        return F.struct(F.lit(name).alias("capacity_class"), F.lit(text).alias("recommendation"))
+    def entry(name: str):
+        return F.struct(F.lit(name).alias("capacity_class"), F.lit(CAPACITY_CLASSES[name]).alias("recommendation"))
 
-    level = (
-        F.when(pct >= 80, entry("high_utilization", "High utilization - consider increasing licenses"))
-        .when(pct <= 20, entry("low_utilization", "Low utilization - consider reducing licenses"))
-    )
-    trend = (
-        F.when(slope > 0.5, entry("trending_up", "Usage increasing - monitor capacity"))
-        .when(slope < -0.5, entry("trending_down", "Usage decreasing - opportunity to optimize"))
-    )
+    level = F.when(pct >= 80, entry("high_utilization")).when(pct <= 20, entry("low_utilization"))
+    trend = F.when(slope > 0.5, entry("trending_up")).when(slope < -0.5, entry("trending_down"))
     unfolded = trended.withColumn("entry", F.explode(F.array_compact(F.array(level, trend))))
     return unfolded.select("entry.*", *trended.columns)
 
@@ -89,17 +84,7 @@ def capacity_summary(trended: DataFrame, days: int = 30) -> DataFrame:
 def capacity_recommendations(summary: DataFrame) -> DataFrame:
     high, low, up = F.col("features_at_capacity"), F.col("features_underutilized"), F.col("features_trending_up")
     rules = [
-        (high > 0, advice_row(
-            "increase", "high", "Features at High Utilization", high,
-            F.format_string("%d features have utilization above 80%% and may need additional licenses.", high),
-            F.lit("Prevent license denials and ensure user productivity"))),
-        (low > 0, advice_row(
-            "reduce", "medium", "Underutilized Features Detected", low,
-            F.format_string("%d features have utilization below 20%% and may have excess licenses.", low),
-            F.lit("Potential cost savings by reducing unused licenses"))),
-        (up > 0, advice_row(
-            "alert", "medium", "Growing Usage Trends", up,
-            F.format_string("%d features show increasing usage trends.", up),
-            F.lit("Plan for capacity increases in the next quarter"))),
+        (high > 0, advice("many_at_capacity", high)), (low > 0, advice("many_underused", low)),
+        (up > 0, advice("many_growing", up)),
     ]
     return unfold_advice(summary, ["period_analyzed"], rules)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seatmeter.functions import metrics as m
+from seatmeter.functions.texts import TREND_ACTIONS
 from seatmeter.operators.fit import fit_series
 from seatmeter.operators.inventory import series_capacity
 from seatmeter.operators.usage import first_whole_day, since
@@ -79,11 +80,11 @@ def trend_analysis(usage: DataFrame, features: DataFrame, as_of: datetime, days:
     reach = F.col("days_to_capacity")
     near = (reach >= 0) & (reach < 30)
     action = (
-        F.when(full, "Immediately increase license count - at capacity")
-        .when(near, "Consider increasing license count within 30 days")
-        .when((reach >= 30) & (reach < 90), "Monitor usage and plan for potential license increase")
-        .when((slope < -0.5) & (total > 0), "Consider reducing license count to optimize costs")
-        .otherwise("No action required")
+        F.when(full, TREND_ACTIONS["full"])
+        .when(near, TREND_ACTIONS["near"])
+        .when((reach >= 30) & (reach < 90), TREND_ACTIONS["ahead"])
+        .when((slope < -0.5) & (total > 0), TREND_ACTIONS["shrinking"])
+        .otherwise(TREND_ACTIONS["none"])
     )
 
     def projected(ahead: int):

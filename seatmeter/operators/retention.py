@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seatmeter.functions import metrics as m
-from seatmeter.operators.stats import advice_row, unfold_advice
+from seatmeter.functions.texts import STORAGE_ACTIONS, advice
+from seatmeter.operators.stats import unfold_advice
 from seatmeter.operators.usage import first_day, first_whole_day
 
 # Estimated size of a stored sample, and the row counts above which advice is given.
@@ -105,18 +106,10 @@ def storage_advice(stats: DataFrame, features: DataFrame, large_usage: int = LAR
     inactive = features.agg(F.count_if(~F.col("is_active")).alias("inactive")).scalar()
     name, rows, gone = F.col("table_name"), F.col("row_count"), F.col("inactive_features")
     rules = [
-        ((name == "feature_usage") & (rows > large_usage), advice_row(
-            "retention", "medium", "Large Usage History", rows,
-            F.format_string("feature_usage table has %d rows. Consider implementing data retention.", rows),
-            F.lit("Reducing old data can significantly reduce database size"))),
-        ((name == "features") & (gone > many_inactive), advice_row(
-            "cleanup", "low", "Inactive Features", gone,
-            F.format_string("There are %d inactive feature records that could be archived.", gone),
-            F.lit("Minor space savings, cleaner data"))),
+        ((name == "feature_usage") & (rows > large_usage), advice("large_usage", rows)),
+        ((name == "features") & (gone > many_inactive), advice("many_inactive", gone)),
     ]
-    action = (
-        F.when(F.col("type") == "retention", "Configure data retention policy to delete data older than 90-365 days")
-        .otherwise("Archive or delete old inactive feature records")
-    )
+    actions = F.create_map(*[F.lit(text) for pair in STORAGE_ACTIONS.items() for text in pair])
     counted = stats.withColumn("inactive_features", inactive)
-    return unfold_advice(counted, ["table_name"], rules).withColumn("action", action)
+    return unfold_advice(counted, ["table_name"], rules).withColumn(
+        "action", F.element_at(actions, F.col("type")))

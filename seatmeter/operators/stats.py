@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seatmeter.functions import metrics as m
+from seatmeter.functions.texts import advice
 from seatmeter.operators.fit import fit_series
 from seatmeter.operators.inventory import series_capacity
 from seatmeter.operators.usage import first_day, first_whole_day, hourly_profile, minute_index, peak_hour, since
@@ -83,16 +84,9 @@ def enhanced_statistics(usage: DataFrame, features: DataFrame, as_of: datetime,
     )
 
 
-def advice_row(kind: str, priority: str, title: str, value: Column, description: Column, impact: Column) -> Column:
-    return F.struct(
-        F.lit(kind).alias("type"), F.lit(priority).alias("priority"), F.lit(title).alias("title"),
-        value.cast("double").alias("value"), description.alias("description"), impact.alias("impact"),
-    )
-
-
 def unfold_advice(df: DataFrame, kept: list[str], rules: list[tuple[Column, Column]]) -> DataFrame:
     """One row per rule that holds."""
-    holding = F.array_compact(F.array(*[F.when(condition, advice) for condition, advice in rules]))
+    holding = F.array_compact(F.array(*[F.when(condition, told) for condition, told in rules]))
     return df.select(*kept, F.explode(holding).alias("advice")).select(*kept, "advice.*")
 
 
@@ -100,27 +94,12 @@ def recommendations(statistics: DataFrame) -> DataFrame:
     """Rule-based advice on the rows of enhanced_statistics; `value` is the number the text quotes."""
     avg_pct, peak_pct = F.col("avg_utilization_pct"), F.col("peak_utilization_pct")
     slope, total = F.col("trend_slope"), F.col("total_licenses")
-    half = (total * 0.5).cast("int")
     rules = [
-        (avg_pct > 80, advice_row(
-            "increase", "high", "High Utilization Alert", avg_pct,
-            F.concat(F.lit("Average utilization is "), m.fixed(avg_pct, 1), F.lit("%, which is above the recommended 80% threshold.")),
-            F.lit("Users may experience license denials during peak times"))),
-        (peak_pct > 95, advice_row(
-            "alert", "high", "Peak Capacity Reached", peak_pct,
-            F.concat(F.lit("Peak utilization reached "), m.fixed(peak_pct, 1), F.lit("%, indicating license shortage during peak times.")),
-            F.lit("Immediate risk of license denials"))),
-        ((avg_pct < 20) & (total > 5), advice_row(
-            "reduce", "medium", "License Optimization Opportunity", avg_pct,
-            F.concat(F.lit("Average utilization is only "), m.fixed(avg_pct, 1), F.lit("%. Consider reducing license count to optimize costs.")),
-            F.format_string("Potential to reduce licenses by %d without impacting users", half))),
-        (slope > 0.5, advice_row(
-            "increase", "medium", "Growing Demand Detected", slope,
-            F.concat(F.lit("Usage is increasing by approximately "), m.fixed(slope, 1), F.lit(" licenses per day.")),
-            F.lit("Plan for additional licenses within the next quarter"))),
-        (slope < -0.5, advice_row(
-            "reduce", "low", "Declining Usage Trend", -slope,
-            F.concat(F.lit("Usage is decreasing by approximately "), m.fixed(-slope, 1), F.lit(" licenses per day.")),
-            F.lit("Opportunity to reduce licenses during next renewal"))),
+        (avg_pct > 80, advice("high_average", avg_pct, m.fixed(avg_pct, 1))),
+        (peak_pct > 95, advice("high_peak", peak_pct, m.fixed(peak_pct, 1))),
+        ((avg_pct < 20) & (total > 5),
+         advice("low_average", avg_pct, m.fixed(avg_pct, 1), (total * 0.5).cast("int"))),
+        (slope > 0.5, advice("growing", slope, m.fixed(slope, 1))),
+        (slope < -0.5, advice("declining", -slope, m.fixed(-slope, 1))),
     ]
     return unfold_advice(statistics, SERIES_KEY, rules)
