@@ -20,7 +20,7 @@ _SETTINGS = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     # The JVM never compiles methods above 8000 bytes of bytecode. Larger fused stages (the text extraction
-    # has some) run several times faster as separate, smaller generated functions.
+    # has some) run faster as separate, smaller generated functions.
     "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
