@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from seatmeter.llm import quality_rules as rules
+from seatmeter.llm import simhash
 from seatmeter.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -20,14 +22,15 @@ def query(make):
 
 @query
 def op1_quality_rules(spark, sf):
-    return rules.rule_report(table(spark, sf, "documents"))
+    report = rules.rule_report(table(spark, sf, "documents"))
+    return report.withColumn("failed_rules", F.array_join("failed_rules", ","))
 
 
 _STOP = ", ".join(f"'{w}'" for w in rules.STOP_WORDS)
 ORACLES["op1_quality_rules"] = rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
-w AS (SELECT r, doc_id, t, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), x -> x <> '') AS w,
-        list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
+w AS (SELECT r, doc_id, t, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+        list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
 g AS (SELECT r, i, array_to_string(w[i:i + 7], ' ') AS g FROM
         (SELECT r, w, unnest(range(1, len(w) - 6)) AS i FROM w WHERE len(w) >= 8)),
 f AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n FROM g) WHERE n > 1),
@@ -37,7 +40,7 @@ c AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::
         length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
         (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines,
         coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, len(l)::BIGINT AS n_lines,
-        len(list_filter(w, x -> list_contains([{_STOP}], lower(x))))::BIGINT AS n_stop_words
+        len(list_filter(w, lambda x: list_contains([{_STOP}], lower(x))))::BIGINT AS n_stop_words
       FROM w LEFT JOIN rep USING (r)),
 v AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
         list_filter([
@@ -45,6 +48,12 @@ v AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_fail
           CASE WHEN coalesce(n_symbols / nullif(n_words, 0), 0) > 0.1 THEN 'symbols' END,
           CASE WHEN n_words >= 50 AND n_stop_words / n_words < 0.02 THEN 'stop_words' END,
           CASE WHEN coalesce(n_dup_lines / nullif(n_lines, 0), 0) > 0.5 THEN 'repeated_lines' END],
-          x -> x IS NOT NULL) AS failed_rules FROM c)
-SELECT *, NOT base_failed AND len(failed_rules) = 0 AS kept FROM v
+          lambda x: x IS NOT NULL) AS failed_rules FROM c)
+SELECT * REPLACE (array_to_string(failed_rules, ',') AS failed_rules),
+  NOT base_failed AND len(failed_rules) = 0 AS kept FROM v
 """
+
+
+@query
+def op7_simhash_near_dedup(spark, sf):
+    return simhash.near_duplicates(table(spark, sf, "documents"))
