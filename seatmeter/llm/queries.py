@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seatmeter.llm import packing, simhash
 from seatmeter.llm import quality_rules as rules
-from seatmeter.llm import simhash
 from seatmeter.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,3 +57,8 @@ SELECT * REPLACE (array_to_string(failed_rules, ',') AS failed_rules),
 @query
 def op7_simhash_near_dedup(spark, sf):
     return simhash.near_duplicates(table(spark, sf, "documents"))
+
+
+@query
+def op2_best_fit_packing(spark, sf):
+    return packing.pack(packing.pieces(table(spark, sf, "documents"), with_ids=False))
