@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seatmeter.llm import packing, simhash
+from seatmeter.llm import mil, packing, simhash
 from seatmeter.llm import quality_rules as rules
 from seatmeter.llm.common import table
 
@@ -62,3 +62,8 @@ def op7_simhash_near_dedup(spark, sf):
 @query
 def op2_best_fit_packing(spark, sf):
     return packing.pack(packing.pieces(table(spark, sf, "documents"), with_ids=False))
+
+
+@query
+def op5_quality_classifier(spark, sf):
+    return mil.quality_report(table(spark, sf, "documents"), table(spark, sf, "labels"))
