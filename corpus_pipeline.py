@@ -1,14 +1,15 @@
 """The corpus pipeline: quality rules, quality classifier, near-duplicates, mixing, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
-stage's documents.
+stage's documents. All stages but the last return the columns of the documents; the last one returns the pieces of the
+packed sequences.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seatmeter.llm import quality_rules
+from seatmeter.llm import mil, mixing, packing, quality_rules, simhash
 from seatmeter.llm.common import settled, table
 
 
@@ -17,7 +18,33 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(docs)
 
 
-STAGES = [("quality rules", quality)]
+def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a score below one half go. The model is learned from the labelled documents of this stage."""
+    return mil.rejected_removed(docs, table(spark, sf_dir, "labels"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays."""
+    return simhash.near_duplicates_removed(docs)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources are repeated to more even weights, each document once at least and twice at most."""
+    return mixing.mixed(docs)
+
+
+def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of at most 2,048 tokens with their sequence and offset."""
+    return packing.pack(packing.pieces(docs, with_ids=False))
+
+
+STAGES = [
+    ("quality rules", quality),
+    ("quality classifier", classifier),
+    ("SimHash near-dedup", near_duplicates),
+    ("mixing sources to target weights", mixture),
+    ("best-fit packing", sequences),
+]
 
 # The classifier's weights and the token ids cannot be expressed in SQL; tests compare with brute force.
 ORACLE_SQL = None

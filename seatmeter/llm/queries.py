@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seatmeter.llm import mil, packing, simhash
+from seatmeter.llm import mil, mixing, packing, simhash
 from seatmeter.llm import quality_rules as rules
 from seatmeter.llm.common import table
 
@@ -67,3 +67,8 @@ def op2_best_fit_packing(spark, sf):
 @query
 def op5_quality_classifier(spark, sf):
     return mil.quality_report(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query
+def op8_mixing(spark, sf):
+    return mixing.mixing_report(table(spark, sf, "documents"))
