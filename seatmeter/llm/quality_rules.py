@@ -11,6 +11,7 @@ metric. An empty table gives an empty table.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -121,19 +122,18 @@ def compiled(rules: tuple[Rule, ...], metrics: dict[str, Column]) -> Column:
         else F.array().cast("array<string>")
 
 
-def judged(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = BASE_RULES + RATIO_RULES,
-           keep: tuple[str, ...] | None = None) -> tuple[DataFrame, dict[str, Column], Column]:
-    df, metrics = counted(docs if keep is None else docs.select(*keep), text)
-    return df, metrics, compiled(rules, metrics)
-
-
 def apply_rules(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = BASE_RULES + RATIO_RULES) -> DataFrame:
-    """The rows that break no rule, with the columns they came with."""
+    """The rows that break no rule, with the columns they came with.
+
+    Rows read and rows broken by each rule are observed metrics of the plan. Spark moves no filter below an observation,
+    so the filter is not rewritten into many copies of the counting steps.
+    """
     df, metrics = counted(docs, text)
-    bad = F.lit(False)
-    for rule in rules:
-        bad = bad | broken(rule, metrics)
-    return df.where(~bad).select(*docs.columns)
+    bad = spare(df.columns, "_bad")
+    df = df.withColumn(bad, compiled(rules, metrics))
+    df = df.observe(f"quality_rules_{uuid.uuid4().hex}", F.count(F.lit(1)).alias("rows"), *[
+        F.count_if(F.array_contains(bad, rule.name)).alias(rule.name) for rule in rules])
+    return df.where(F.size(bad) == 0).select(*docs.columns)
 
 
 def rule_report(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
