@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seatmeter.llm import mil, mixing, packing, simhash
+from seatmeter.llm import langid, mil, mixing, packing, simhash
 from seatmeter.llm import quality_rules as rules
 from seatmeter.llm.common import table
 
@@ -72,3 +72,8 @@ def op5_quality_classifier(spark, sf):
 @query
 def op8_mixing(spark, sf):
     return mixing.mixing_report(table(spark, sf, "documents"))
+
+
+@query
+def op10_language_id(spark, sf):
+    return langid.language_report(table(spark, sf, "documents"))
