@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seatmeter.llm import langid, mil, mixing, packing, simhash
+from seatmeter.llm import brown, langid, mil, mixing, packing, simhash
 from seatmeter.llm import quality_rules as rules
 from seatmeter.llm.common import table
 
@@ -77,3 +77,8 @@ def op8_mixing(spark, sf):
 @query
 def op10_language_id(spark, sf):
     return langid.language_report(table(spark, sf, "documents"))
+
+
+@query
+def op6_lm_scoring(spark, sf):
+    return brown.lm_scores(table(spark, sf, "documents"))
