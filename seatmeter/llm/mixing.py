@@ -94,7 +94,8 @@ def largest_exponent(sources: DataFrame, targets: Targets) -> tuple[float, float
 
 
 def plan(rows: DataFrame, targets: Targets = Targets()) -> DataFrame:
-    """Per source: tokens, weight, rate (epochs with fraction), epochs (whole ones), cutoff (last hash of the next).
+    """Per source: tokens, weight, rate (epochs with fraction), epochs (whole ones), partly (whether one more
+    begins) and cutoff (the hash before which that one ends; null: none exceeds the budget).
 
     `rows` has source, row (hash of a row) and tokens.
     """
@@ -127,34 +128,31 @@ def plan(rows: DataFrame, targets: Targets = Targets()) -> DataFrame:
     last = last.groupBy("s", "bucket", "turn").agg(
         F.sum("tokens").alias("tokens"), F.max("left").alias("left"), F.max("before").alias("before"))
     upto = F.sum("tokens").over(W.partitionBy("s").orderBy("turn").rowsBetween(W.unboundedPreceding, 0))
-    # Below the range's first hash if not even its first row fits.
-    first = F.shiftleft(F.col("bucket").cast("long"), 64 - BUCKET_BITS) - 1
+    # Where a range ends beyond the budget, one of its hashes is the first that does not fit.
     cutoffs = (last.withColumn("fits", F.col("before") + upto <= F.col("left"))
-               .groupBy("s").agg(F.coalesce(F.max(F.when(F.col("fits"), F.col("turn"))), F.min(first)).alias("cutoff")))
+               .groupBy("s").agg(F.min(F.when(~F.col("fits"), F.col("turn"))).alias("cutoff")))
     out = weighted.join(cutoffs, F.col("source").eqNullSafe(F.col("s")), "left")
-    # If no range exceeds what is left (a sum's rounding), the whole epoch fits.
-    out = out.select("source", "tokens", "weight", "rate", "epochs",
-                     F.when(F.col("left") > 0, F.coalesce("cutoff", F.lit((1 << 63) - 1))).alias("cutoff"))
+    out = out.select("source", "tokens", "weight", "rate", "epochs", (F.col("left") > 0).alias("partly"), "cutoff")
     free = sums.where("tokens = 0").select(
         "source", "tokens", F.lit(0.0).alias("weight"), F.lit(1.0).alias("rate"), F.lit(1).cast("long").alias("epochs"),
-        F.lit(None).cast("long").alias("cutoff"))
+        F.lit(False).alias("partly"), F.lit(None).cast("long").alias("cutoff"))
     return settled(out.union(free), "mixing-plan")
 
 
 def copies(docs: DataFrame, targets: Targets = Targets(), key: str = "doc_id", source: str = "source",
            text: str = "text") -> tuple[DataFrame, dict[str, str]]:
-    """`docs` with one row per copy, and the names of the appended columns source_rate, epoch, block and place."""
+    """`docs` with one row per copy, and the names of the columns appended for epoch, block and place."""
     rows = settled(docs.select(F.col(source).alias("source"), _row_hash(key, text).alias("row"),
                                F.size(words(whole(text))).cast("long").alias("tokens")), "mixing-rows")
     chosen = plan(rows, targets).select(
         F.col("source").alias("p_source"), F.col("rate").alias("p_rate"), F.col("epochs").alias("p_epochs"),
-        F.col("cutoff").alias("p_cutoff"))
+        F.col("partly").alias("p_partly"), F.col("cutoff").alias("p_cutoff"))
     names = {n: spare(docs.columns, n) for n in ("row_hash", "epoch", "block", "place")}
-    names |= {n: spare(docs.columns, n) for n in ("p_source", "p_rate", "p_epochs", "p_cutoff")}
-    for old in ("p_source", "p_rate", "p_epochs", "p_cutoff"):
+    names |= {n: spare(docs.columns, n) for n in ("p_source", "p_rate", "p_epochs", "p_partly", "p_cutoff")}
+    for old in ("p_source", "p_rate", "p_epochs", "p_partly", "p_cutoff"):
         chosen = chosen.withColumnRenamed(old, names[old])
     row, epochs = F.col(names["row_hash"]), F.col(names["p_epochs"])
-    more = F.coalesce(_turn(row, epochs) <= F.col(names["p_cutoff"]), F.lit(False))
+    more = F.col(names["p_partly"]) & F.coalesce(_turn(row, epochs) < F.col(names["p_cutoff"]), F.lit(True))
     times = epochs + more.cast("long")
     out = (docs.withColumn(names["row_hash"], _row_hash(key, text))
            .join(chosen, F.col(source).eqNullSafe(F.col(names["p_source"])))
