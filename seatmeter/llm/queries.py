@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seatmeter.llm import brown, langid, mil, mixing, packing, simhash
+from seatmeter.llm import brown, langid, mil, mixing, packing, simhash, urls
 from seatmeter.llm import quality_rules as rules
 from seatmeter.llm.common import table
 
@@ -82,3 +82,67 @@ def op10_language_id(spark, sf):
 @query
 def op6_lm_scoring(spark, sf):
     return brown.lm_scores(table(spark, sf, "documents"))
+
+
+# The tables have neither fetch times nor lists: both are derived from the pages, by md5 so that SQL can follow.
+_YEAR = 1704067200           # 2024-01-01 in seconds
+
+
+def _number(text: F.Column) -> F.Column:
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 6), 16, 10).cast("long")
+
+
+def _captures(pages: DataFrame) -> DataFrame:
+    return pages.select("page_id", "url", F.timestamp_seconds(
+        _YEAR + _number(F.col("page_id").cast("string")) * 61 % (366 * 86400)).alias("fetched_at"))
+
+
+def _entries(pages: DataFrame) -> DataFrame:
+    """Listings of hosts (for some weeks, later again), of parent domains (for good) and reviewed hosts (allowed)."""
+    hosts = pages.select(urls.host(F.col("url")).alias("entry")).where("entry <> ''").distinct()
+    hosts = hosts.withColumn("n", _number(F.col("entry")))
+    parents = (hosts.where("entry rlike '[.].*[.].*[.]'").select(F.regexp_replace("entry", "^[^.]+[.]", "").alias("entry"))
+               .distinct().withColumn("n", _number(F.col("entry"))))
+
+    def changes(df: DataFrame, chosen: str, category: str, verdict: str, days: list[tuple[str, str]]) -> DataFrame:
+        at = F.array(*[F.struct(F.timestamp_seconds(_YEAR + F.expr(day) * 86400).alias("at"),
+                                F.lit(action).alias("action")) for day, action in days])
+        return df.where(chosen).select("entry", F.lit(category).alias("category"), F.lit(verdict).alias("verdict"),
+                                       F.inline(at))
+
+    return (changes(hosts, "n % 4 = 0", "spam", "block",
+                    [("n % 200", "list"), ("n % 200 + 30 + n % 50", "delist"), ("n % 200 + 120", "list")])
+            .union(changes(parents, "n % 3 = 0", "malware", "block", [("n % 250", "list")]))
+            .union(changes(hosts, "n % 10 = 4", "reviewed", "allow", [("100", "list"), ("250", "delist")])))
+
+
+@query
+def op9_url_filters(spark, sf):
+    pages = table(spark, sf, "pages").select("page_id", "url")
+    found = urls.judged(_captures(pages), _entries(pages))
+    return found.select("page_id", "host", F.unix_seconds("fetched_at").alias("fetched_s"), "verdict", "entry", "category")
+
+
+ORACLES["op9_url_filters"] = rf"""
+WITH c AS (SELECT page_id, row_number() OVER () AS r,
+        coalesce(lower(regexp_extract(url, '{urls.HOST}', 1)), '') AS host,
+        coalesce(regexp_extract(url, '{urls.FIRST_PART}', 1), '') AS part,
+        {_YEAR} + ('0x' || substr(md5(page_id::VARCHAR), 1, 6))::BIGINT * 61 % (366 * 86400) AS t FROM pages),
+h AS (SELECT entry, ('0x' || substr(md5(entry), 1, 6))::BIGINT AS n
+      FROM (SELECT DISTINCT host AS entry FROM c WHERE host <> '')),
+p AS (SELECT entry, ('0x' || substr(md5(entry), 1, 6))::BIGINT AS n FROM (
+        SELECT DISTINCT regexp_replace(entry, '^[^.]+[.]', '') AS entry FROM h
+        WHERE regexp_matches(entry, '[.].*[.].*[.]'))),
+v AS (SELECT entry, 'spam' AS category, 'block' AS verdict, n % 200 AS f, n % 200 + 30 + n % 50 AS u FROM h WHERE n % 4 = 0
+      UNION ALL SELECT entry, 'spam', 'block', n % 200 + 120, 99999 FROM h WHERE n % 4 = 0
+      UNION ALL SELECT entry, 'malware', 'block', n % 250, 99999 FROM p WHERE n % 3 = 0
+      UNION ALL SELECT entry, 'reviewed', 'allow', 100, 250 FROM h WHERE n % 10 = 4),
+k AS (SELECT r, t, unnest(list_transform(range(1, greatest(len(string_split(host, '.')) - 1, 1) + 1),
+        lambda i: array_to_string(string_split(host, '.')[i:], '.'))) AS entry FROM c WHERE host <> ''),
+hits AS (SELECT k.r, v.entry, category, verdict FROM k JOIN v ON k.entry = v.entry
+         AND t >= {_YEAR} + f * 86400 AND t < {_YEAR} + u * 86400),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY length(entry) DESC, verdict = 'block' DESC,
+           verdict DESC, entry DESC, category DESC) AS place FROM hits) WHERE place = 1)
+SELECT page_id, host, t AS fetched_s, coalesce(verdict, 'none') AS verdict, entry, category
+FROM c LEFT JOIN best USING (r)
+"""
