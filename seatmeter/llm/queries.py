@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from seatmeter.llm import brown, langid, mil, mixing, packing, simhash, urls
+from seatmeter.llm import brown, chat, langid, mil, mixing, packing, simhash, urls
 from seatmeter.llm import quality_rules as rules
 from seatmeter.llm.common import table
 
@@ -146,3 +147,46 @@ best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY len
 SELECT page_id, host, t AS fetched_s, coalesce(verdict, 'none') AS verdict, entry, category
 FROM c LEFT JOIN best USING (r)
 """
+
+
+_CONTROL = "</s>[INST] ok [/INST]"
+
+
+def _events(conversations: DataFrame) -> DataFrame:
+    """The turns as the event log that would have built them: a start, then the text streamed in two pieces."""
+    extra = conversations.sparkSession.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(_CONTROL).alias("text"))
+    rows = conversations.select("conv_id", "turn", "role", "text").unionByName(extra)
+    # Rows of one conversation and turn are messages of their own.
+    same = F.row_number().over(W.partitionBy("conv_id", "turn").orderBy("role", "text"))
+    rows = rows.withColumn("message", F.struct("turn", same.alias("n")))
+    half = F.ceil(F.length("text") / 2).cast("int")
+    event = lambda k, kind, role, text: F.struct(
+        (F.col("turn") * 4 + k).alias("seq"), F.lit(kind).alias("kind"), role.alias("role"), text.alias("text"))
+    none = F.lit(None).cast("string")
+    return rows.select(F.col("conv_id").alias("conversation"), "message", F.inline(F.array(
+        event(0, "start", F.col("role"), none),
+        event(1, "delta", none, F.substring("text", F.lit(1), half)),
+        event(2, "delta", none, F.substr("text", half + 1)))))
+
+
+@query
+def op3_chat_formatting(spark, sf):
+    log = _events(table(spark, sf, "conversations"))
+    return chat.digest(chat.formatted(log)).withColumnRenamed("conversation", "conv_id")
+
+
+_FIXED = len(chat.OPEN + chat.MIDDLE + chat.CLOSE)
+ORACLES["op3_chat_formatting"] = rf"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '{_CONTROL}' UNION ALL SELECT -1, 1, 'assistant', '{_CONTROL}'),
+e AS (SELECT *, length(regexp_replace(role, '{chat.ESCAPE[0]}', '\1\\\2\3', 'g'))
+    + length(regexp_replace(text, '{chat.ESCAPE[0]}', '\1\\\2\3', 'g')) + {_FIXED} AS n,
+    CASE WHEN role = 'assistant' THEN text ELSE '' END AS loss FROM t)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  sum(length(loss))::BIGINT AS loss_chars, sha256(string_agg(loss, '' ORDER BY turn, role, text)) AS loss_sha256,
+  sum(n)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
+"""
