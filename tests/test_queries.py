@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
+from seatmeter.plans.queries import QUERIES
 from tools.check import rows_of
 
 SF = "/root/testdata/sf0.001"
@@ -23,7 +24,7 @@ def db():
     return connection
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, db, name):
     found = queries()[name](spark, SF)
     cursor = db.execute(oracle_sql()[name])
