@@ -125,7 +125,7 @@ def placed(lengths: np.ndarray, capacity: int, seed: int = 0) -> tuple[np.ndarra
 def pack(parts: DataFrame, size: str = "length", capacity: int = LENGTH, shard_pieces: int = SHARD_PIECES) -> DataFrame:
     """`parts` with sequence_id and offset. Sizes are 1 to `capacity`."""
     own = list(parts.columns)
-    row, seq, off = spare(own, "_row"), "sequence_id", "offset"
+    row, seq, off = (spare(own, n) for n in ("_row", "_sequence", "_offset"))
     parts = settled(parts.withColumn(row, F.monotonically_increasing_id()), "packing-pieces")
     short = parts.where(F.col(size) < capacity).select(F.col(row).alias("row"), F.col(size).cast("long").alias("size"))
     shards = max(1, -(-short.count() // shard_pieces))
@@ -137,8 +137,10 @@ def pack(parts: DataFrame, size: str = "length", capacity: int = LENGTH, shard_p
 
     found = short.groupBy(F.pmod(F.xxhash64("row"), F.lit(shards)).alias("shard")).applyInPandas(
         place, "row long, seq long, off long")
-    return parts.join(found, F.col(row) == F.col("row"), "left").select(
-        *own, F.coalesce("seq", -1 - F.col(row)).alias(seq), F.coalesce("off", F.lit(0)).cast("long").alias(off))
+    found = found.select(F.col("row").alias(row), F.col("seq").alias(seq), F.col("off").alias(off))
+    return parts.join(found, row, "left").select(
+        *own, F.coalesce(seq, -1 - F.col(row)).alias("sequence_id"),
+        F.coalesce(off, F.lit(0)).cast("long").alias("offset"))
 
 
 def sequences(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH,

@@ -80,12 +80,16 @@ def judged(captures: DataFrame, entries: DataFrame, url: str = "url", fetched: s
     decided = hits.groupBy("row").agg(F.max(F.struct(
         F.length("entry").alias("size"), (F.col("verdict") == "block").alias("first"), "verdict", "entry", "category",
     )).alias("hit"))
-    return marked.join(decided, F.col(row) == F.col("row"), "left").select(
-        *own, host(F.col(url)).alias("host"), F.coalesce("hit.verdict", F.lit("none")).alias("verdict"),
-        F.col("hit.entry").alias("entry"), F.col("hit.category").alias("category"))
+    hit = spare([*own, row], "_hit")
+    decided = decided.select(F.col("row").alias(row), F.col("hit").alias(hit))
+    return marked.join(decided, row, "left").select(
+        *own, host(F.col(url)).alias("host"), F.coalesce(F.col(hit)["verdict"], F.lit("none")).alias("verdict"),
+        F.col(hit)["entry"].alias("entry"), F.col(hit)["category"].alias("category"))
 
 
 def blocked_removed(captures: DataFrame, entries: DataFrame, url: str = "url", fetched: str = "fetched_at") -> DataFrame:
     """The captures that no entry blocked when they were fetched, with the columns they came with."""
-    verdict = judged(captures.select("*"), entries, url, fetched)
-    return verdict.where("verdict <> 'block'").select(*[verdict[c] for c in captures.columns])
+    inner = [f"_{k}" for k in range(len(captures.columns))]      # apart from host, verdict, entry and category
+    named = dict(zip(captures.columns, inner))
+    verdict = judged(captures.toDF(*inner), entries, named[url], named[fetched])
+    return verdict.where("verdict <> 'block'").select(*inner).toDF(*captures.columns)
