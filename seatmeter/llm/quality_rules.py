@@ -122,25 +122,30 @@ def compiled(rules: tuple[Rule, ...], metrics: dict[str, Column]) -> Column:
         else F.array().cast("array<string>")
 
 
-def apply_rules(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = BASE_RULES + RATIO_RULES) -> DataFrame:
-    """The rows that break no rule, with the columns they came with.
+def judged(docs: DataFrame, text: str, rules: tuple[Rule, ...]) -> tuple[DataFrame, dict[str, Column], Column]:
+    """`docs` with counts and broken rules appended, the metrics, and the broken rules.
 
     Rows read and rows broken by each rule are observed metrics of the plan. Spark moves no filter below an observation,
-    so the filter is not rewritten into many copies of the counting steps.
+    so a filter on the verdict is not rewritten into many copies of the counting steps.
     """
     df, metrics = counted(docs, text)
     bad = spare(df.columns, "_bad")
     df = df.withColumn(bad, compiled(rules, metrics))
     df = df.observe(f"quality_rules_{uuid.uuid4().hex}", F.count(F.lit(1)).alias("rows"), *[
         F.count_if(F.array_contains(bad, rule.name)).alias(rule.name) for rule in rules])
+    return df, metrics, F.col(bad)
+
+
+def apply_rules(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = BASE_RULES + RATIO_RULES) -> DataFrame:
+    """The rows that break no rule, with the columns they came with."""
+    df, _, bad = judged(docs, text, rules)
     return df.where(F.size(bad) == 0).select(*docs.columns)
 
 
 def rule_report(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: the counts, the broken rules, whether a base rule is among them, and the verdict."""
-    df, m = counted(docs.select(*dict.fromkeys([key, text])), text)
+    df, m, ratios = judged(docs.select(*dict.fromkeys([key, text])), text, RATIO_RULES)
     base = broken(BASE_RULES[0], m) | (100 * m["n_repeat_words"] > 30 * m["n_words"])
-    ratios = compiled(RATIO_RULES, m)
     return df.select(
         key, *[m[n].alias(n) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                                        "n_lines", "n_stop_words")],

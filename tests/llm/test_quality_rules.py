@@ -45,9 +45,10 @@ def test_filter_keeps_columns_and_repeated_rows(spark):
     assert q.apply_rules(edge_docs(spark, [])).count() == 0
 
 
-def test_filter_stays_above_the_counting(spark):
-    plan = q.apply_rules(edge_docs(spark))._jdf.queryExecution().optimizedPlan().toString()
-    assert len(plan) < 20_000
+def test_filters_stay_above_the_counting(spark):
+    for df in (q.apply_rules(edge_docs(spark)), q.rule_report(edge_docs(spark)).where("kept and n_words > 3")):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.index("Filter") < plan.index("CollectMetrics") and plan.count("split(") == 2
 
 
 def test_own_rule_table(spark):
