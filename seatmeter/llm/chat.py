@@ -53,7 +53,7 @@ def folded(events: DataFrame) -> DataFrame:
     resets = F.col("kind").isin("start", "edit", "regenerate")
     grouped = e.groupBy("conversation", "message").agg(
         F.min("seq").alias("place"), F.max(F.when(resets, F.col("seq"))).alias("reset"),
-        F.max_by("role", F.when(F.col("role").isNotNull(), F.col("seq"))).alias("role"),
+        F.max_by("role", F.when(F.col("role").isNotNull(), F.struct("seq", "kind", "role"))).alias("role"),
         F.array_sort(F.collect_list(F.struct("seq", "kind", "text"))).alias("events"))
     live = F.filter("events", lambda x: (F.col("reset").isNull() | (x["seq"] >= F.col("reset")))
                     & (x["kind"] != "regenerate"))

@@ -127,12 +127,13 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, key: str = "vec_id", vector:
     rows = settled(rows.withColumn("width", F.size("x")).withColumn("row", F.monotonically_increasing_id()), "topk-rows")
     count, asking = rows.agg(F.count("*"), F.count_if("asks")).first()
     blocks, groups = max(1, -(-count // block_rows)), max(1, -(-asking // query_rows))
-    unit = ["width", "block", "part"]
     candidates = rows.select("width", F.pmod(F.xxhash64("row"), F.lit(blocks)).alias("block"),
                              F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("part"), "id", "row", "x")
+    # The queries' columns have names of their own: both sides come from one table.
     queries = rows.where("asks").select(
-        "width", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"),
-        F.pmod(F.xxhash64("row", F.lit(1)), F.lit(groups)).cast("int").alias("part"), "id", "row", "x")
+        F.col("width").alias("q_width"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("q_block"),
+        F.pmod(F.xxhash64("row", F.lit(1)), F.lit(groups)).cast("int").alias("q_part"),
+        F.col("id").alias("q_id"), F.col("row").alias("q_row"), F.col("x").alias("q_x"))
 
     def search(there: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple] = []
@@ -140,13 +141,13 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, key: str = "vec_id", vector:
             there = there.sort_values(["id", "row"])
             ids, places = there["id"].to_numpy(), {r: p for p, r in enumerate(there["row"].tolist())}
             block = SlicedBlock(np.array(there["x"].tolist(), dtype=np.int64).reshape(len(there), -1))
-            for query, row, x in zip(asked["id"], asked["row"], asked["x"]):
+            for query, row, x in zip(asked["q_id"], asked["q_row"], asked["q_x"]):
                 out += [(row, query, ids[r], s) for r, s in block.top(
                     np.asarray(x, dtype=np.int64), k, places.get(row, -1))]
         return pd.DataFrame(out, columns=["row", "query_id", "id", "score"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    found = candidates.groupBy(*unit).cogroup(queries.groupBy(*unit)).applyInPandas(
+    found = candidates.groupBy("width", "block", "part").cogroup(queries.groupBy("q_width", "q_block", "q_part")).applyInPandas(
         search, f"row long, query_id {kind}, id {kind}, score long")
     ranked = found.withColumn("rank", F.row_number().over(W.partitionBy("row").orderBy(F.desc("score"), "id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(key), "score")
