@@ -211,14 +211,17 @@ def learned(texts: DataFrame, counts: DataFrame, clustered: int = CLUSTERED, cla
     documents = texts.count()
     shapes = {r[0]: (r[1], r[2]) for r in
               counts.groupBy(_shape_column(F.col("word"))).agg(F.count("*"), F.sum("n")).collect()}
-    top = counts.orderBy(F.desc("n"), "word").limit(dictionary).toPandas()
-    lexicon = Lexicon([w.encode() for w in top["word"]], top["n"].to_numpy(dtype=np.float64), clustered)
+    top = counts.orderBy(F.desc("n"), "word").limit(dictionary).select(F.col("word").cast("binary"), "n").toArrow()
+    lexicon = Lexicon(top["word"].to_pylist(), top["n"].to_numpy().astype(np.float64), clustered)
+    del top
     shared = spark.sparkContext.broadcast(lexicon)
-    pairs = pair_counts(texts, shared).toPandas()
-    pair = pairs["pair"].to_numpy(dtype=np.int64)
+    # At most (clustered + 7)^2 rows of two numbers, as Arrow buffers.
+    pairs = pair_counts(texts, shared).toArrow()
+    pair = pairs["pair"].to_numpy()
     order = np.argsort(pair)
-    pair, n = pair[order], pairs["n"].to_numpy(dtype=np.float64)[order]
-    first, second = pair // lexicon.states, pair % lexicon.states
+    n = pairs["n"].to_numpy()[order].astype(np.float64)
+    first, second = (x.astype(np.int32) for x in np.divmod(pair[order], lexicon.states))
+    del pairs, pair, order
     cls = exchanged(first, second, n, lexicon.clustered, lexicon.states, classes)
     size = int(cls.max()) + 1
     between = np.bincount(cls[first] * size + cls[second], weights=n, minlength=size * size).reshape(size, size)

@@ -200,8 +200,8 @@ def links(prints: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS,
     count = prints.count()
     depth = int(min(16, max(0, np.ceil(np.log2(max(1, count / shard_points))))))
     size = min(ROUTING_SAMPLE, 256 << depth)
-    rows = prints.orderBy(F.xxhash64("fp"), "fp").limit(size).collect() if depth else []
-    sample = np.array([r[0] for r in rows], dtype=np.int64).view(np.uint64)
+    rows = prints.orderBy(F.xxhash64("fp"), "fp").limit(size if depth else 0).select("fp").toArrow()
+    sample = rows["fp"].to_numpy().astype(np.int64).view(np.uint64)
     masks = block_masks(blocks)
     trees = spark.sparkContext.broadcast([Tree(sample, m, radius, depth) for m in masks])
 
