@@ -604,7 +604,7 @@ _BODIES = {
                   WHERE nk % 7 <> 0)
             WHERE rn = 1) l ON l.server_hostname = s.hostname""",
     "stream_usage_ingest": """
-        SELECT DISTINCT server_hostname, feature_name, date_trunc('minute', sampled_at) AS minute FROM polls""",
+        SELECT id, server_hostname, feature_name, date, time, users_count FROM feature_usage""",
     "stream_alert_throttle": """
         SELECT hostname, 'expiration' AS type, datetime, feature_name, 'license expires' AS message FROM passing""",
     "stream_status_feed": """

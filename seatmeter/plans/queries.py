@@ -427,8 +427,12 @@ def rlm_checkouts(spark, sf):
 
 @query
 def stream_usage_ingest(spark, sf):
-    samples = ingest.distinct_samples(d.stream_polls(spark, sf)).select("server_hostname", "feature_name", "minute")
-    return flow.run_available(samples, export.new_folder(spark, "stream"))
+    samples = d.stream_polls(spark, sf).select(
+        F.col("poll_id").alias("id"), "server_hostname", "feature_name", F.to_date("sampled_at").alias("date"),
+        m.minute_text(F.col("sampled_at")).alias("time"), F.col("used_licenses").alias("users_count"))
+    folder = export.new_folder(spark, "stream")
+    ingest.distinct_samples(samples, folder, every=None).awaitTermination()
+    return ingest.SampleLog(f"{folder}/samples").rows(spark)
 
 
 @query
@@ -438,8 +442,9 @@ def stream_alert_throttle(spark, sf):
     candidates = due.select(
         F.col("server_hostname").alias("hostname"), F.lit("expiration").alias("type"),
         F.col("sampled_at").alias("datetime"), "feature_name", F.lit("license expires").alias("message"))
-    passing = alert_stream.throttled(candidates, 60)
-    return flow.run_available(passing, export.new_folder(spark, "stream"))
+    folder = export.new_folder(spark, "stream")
+    alert_stream.throttle(candidates, folder, 60, every=None).awaitTermination()
+    return alert_stream.Throttle(folder, 60).passing(spark)
 
 
 @query

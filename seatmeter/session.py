@@ -18,7 +18,6 @@ _SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Also split a hot reducer partition when that costs one more shuffle downstream.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
-    "spark.sql.sources.partitionOverwriteMode": "dynamic",
     # The JVM never compiles methods above 8000 bytes of bytecode. Larger fused stages (the text extraction
     # has some) run faster as separate, smaller generated functions.
     "spark.sql.codegen.hugeMethodLimit": "8000",

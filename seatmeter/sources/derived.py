@@ -41,7 +41,8 @@ def polls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_polls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same polls as a stream over the event files."""
-    events = spark.readStream.schema(EVENTS).option("pathGlobFilter", "events*.parquet").parquet(sf_dir)
+    # A pattern that only the table matches: it may be a file or a folder of part files, and a stream takes no file path.
+    events = spark.readStream.schema(EVENTS).parquet(f"{sf_dir}/events.parque[t]")
     return _polls_of(events, spark, sf_dir)
 
 

@@ -2,72 +2,81 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from datetime import datetime
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StreamingQuery
 
 from seatmeter.operators import alerts as queue
-from seatmeter.streaming.flow import with_state_store
+from seatmeter.streaming.flow import for_each, removed, stored
 
-# Alerts that arrive later than this behind the newest one are dropped.
-LATENESS = "1 day"
+_ALERT = "hostname string, type string, datetime timestamp, feature_name string, message string"
+_KEY = ["hostname", "type"]
 
-_OUTPUT = "hostname string, type string, datetime timestamp, feature_name string, message string"
 
+class Throttle:
+    """foreachBatch target that lets the first alert of a (host, type) pass and the next one only after the interval.
 
-class Throttle(StatefulProcessor):
-    """Lets the first alert of a (host, type) pass and the next one only after the resend interval.
+    All alerts of one check carry the same time, and at most one of them can pass: they are reduced to one row per
+    key and time first, on the map side, so a busy host is spread over many tasks. What meets per key are distinct
+    times, sorted as a whole, so the result does not depend on how rows are split into files, batches of a task or
+    partitions. State is the last passing time of each key, as a table per micro-batch.
 
-    State is one timestamp per key. Rows arrive as Arrow batches and only one batch is held at a time; the
-    passing ones are found by binary search, so work in Python goes with the alerts that pass.
+    An alert older than the last one that passed in an earlier micro-batch cannot pass any more (an alert counts as
+    recent when it lies after the time minus the interval). Such alerts are kept in `late`, none is dropped.
+    A repeated micro-batch replaces its own output.
     """
 
-    def __init__(self, interval_minutes: int) -> None:
-        self.interval = np.timedelta64(interval_minutes, "m")
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "at timestamp")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        known = self.last.get()
-        last = np.datetime64(pd.Timestamp(known[0])) if known is not None else None
-        for batch in rows:
-            batch = batch.sort_values("datetime", kind="stable").reset_index(drop=True)
-            times = batch["datetime"].to_numpy()
-            passing = []
-            place = 0 if last is None else int(np.searchsorted(times, last + self.interval))
-            while place < len(times):
-                passing.append(place)
-                last = times[place]
-                if self.interval > np.timedelta64(0, "m"):
-                    place = int(np.searchsorted(times, last + self.interval))
-                else:
-                    place += 1
-            yield batch.loc[passing, ["hostname", "type", "datetime", "feature_name", "message"]]
-        if last is not None:
-            self.last.update((pd.Timestamp(last).to_pydatetime(),))
-
-    def close(self) -> None:
-        pass
-
-
-def throttled(candidates: DataFrame, interval_minutes: int = 60) -> DataFrame:
-    """Passing alerts of a stream of `hostname, type, datetime, feature_name, message`.
-
-    All alerts of one check carry the same time, and at most one of them can pass. Dropping the others first
-    spreads a busy host over many tasks and leaves the throttle one row per host and check.
-    """
-    with_state_store(candidates.sparkSession)
-    if interval_minutes > 0:
-        candidates = candidates.withWatermark("datetime", LATENESS).dropDuplicatesWithinWatermark(
-            ["hostname", "type", "datetime"])
-    return candidates.groupBy("hostname", "type").transformWithStateInPandas(
-        Throttle(interval_minutes), outputStructType=_OUTPUT, outputMode="append", timeMode="none")
+    def __init__(self, folder: str, interval_minutes: int) -> None:
+        self.folder, self.interval = folder, interval_minutes
+
+    def _path(self, kind: str, batch_id: int) -> str:
+        return f"{self.folder}/{kind}/batch_id={batch_id}"
+
+    def passing(self, spark: SparkSession) -> DataFrame:
+        return stored(spark, _ALERT, [f"{self.folder}/passing"])
+
+    def late(self, spark: SparkSession) -> DataFrame:
+        return stored(spark, _ALERT, [f"{self.folder}/late"])
+
+    def __call__(self, candidates: DataFrame, batch_id: int) -> None:
+        spark = candidates.sparkSession
+        if self.interval <= 0:
+            candidates.select("hostname", "type", "datetime", "feature_name", "message").write.mode("overwrite").parquet(
+                self._path("passing", batch_id))
+            return
+        known = stored(spark, "hostname string, type string, last timestamp", [self._path("last", batch_id - 1)])
+        # One row per key and time, read three times below.
+        once_path = self._path("once", batch_id)
+        once = candidates.groupBy(*_KEY, "datetime").agg(F.min(F.struct("feature_name", "message")).alias("first"))
+        once = once.select(*_KEY, "datetime", "first.*").join(known, _KEY, "left")
+        once.write.mode("overwrite").parquet(once_path)
+        once = spark.read.schema(once.schema).parquet(once_path)
+        late = once.where("datetime < last")
+        late.drop("last").write.mode("overwrite").parquet(self._path("late", batch_id))
+
+        gap = F.make_dt_interval(mins=F.lit(self.interval))
+        start = F.struct(F.col("last").alias("last"), F.array().cast("array<timestamp>").alias("passed"))
+        times = once.groupBy(*_KEY).agg(F.max("last").alias("last"), F.array_sort(F.collect_list("datetime")).alias("times"))
+        passed = times.select(*_KEY, F.explode(F.aggregate(
+            "times", start,
+            lambda acc, t: F.when(acc["last"].isNull() | (t >= acc["last"] + gap), F.struct(
+                t.alias("last"), F.array_append(acc["passed"], t).alias("passed"))).otherwise(acc),
+            lambda acc: acc["passed"])).alias("datetime"))
+        once.join(passed, [*_KEY, "datetime"]).drop("last").write.mode("overwrite").parquet(self._path("passing", batch_id))
+
+        now = stored(spark, _ALERT, [self._path("passing", batch_id)]).select(*_KEY, F.col("datetime").alias("last"))
+        now.union(known).groupBy(*_KEY).agg(F.max("last").alias("last")).write.mode("overwrite").parquet(
+            self._path("last", batch_id))
+        removed(spark, once_path)
+        removed(spark, self._path("last", batch_id - 2))
+
+
+def throttle(candidates: DataFrame, folder: str, interval_minutes: int = 60,
+             every: str | None = "1 minute") -> StreamingQuery:
+    """Throttle a stream of `hostname, type, datetime, feature_name, message` into `folder`."""
+    return for_each(candidates, Throttle(folder, interval_minutes), folder, every)
 
 
 class Dispatcher:

@@ -2,17 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
-
-def with_state_store(spark: SparkSession) -> SparkSession:
-    """Keep streaming state in RocksDB: it spills to local disk, and its snapshots lie in the checkpoint folder."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKSDB)
-    return spark
-
 
 def run_available(stream: DataFrame, folder: str) -> DataFrame:
     """Write all available input to parquet below `folder` and return what was written."""
@@ -23,3 +18,32 @@ def run_available(stream: DataFrame, folder: str) -> DataFrame:
     )
     started.awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/rows")
+
+
+def for_each(stream: DataFrame, target: Callable[[DataFrame, int], None], folder: str,
+             every: str | None) -> StreamingQuery:
+    """Hand every micro-batch to `target`; `every=None` takes what is there and stops."""
+    trigger = {"processingTime": every} if every else {"availableNow": True}
+    return (stream.writeStream.foreachBatch(target).option("checkpointLocation", f"{folder}/progress")
+            .trigger(**trigger).start())
+
+
+def stored(spark: SparkSession, schema: str, paths: list[str], base: str | None = None) -> DataFrame:
+    """The rows of the given folders or path patterns; those that do not exist hold none."""
+    reader = spark.read.schema(schema).option("ignoreMissingFiles", True)
+    out = spark.createDataFrame([], schema)
+    for path in paths:
+        try:
+            found = (reader.option("basePath", base) if base else reader).parquet(path)
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+        else:
+            out = out.unionByName(found.select(*out.columns))
+    return out
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a folder of an earlier batch, where there is one."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)

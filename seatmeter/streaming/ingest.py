@@ -7,85 +7,100 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from seatmeter.functions import metrics as m
-from seatmeter.operators import extract, inventory, usage
-from seatmeter.schemas import FEATURE_USAGE, FEATURES
-from seatmeter.streaming.flow import with_state_store
+from seatmeter.operators import extract, inventory
+from seatmeter.operators.inventory import first_seen_samples
+from seatmeter.schemas import FEATURE_USAGE, FEATURES, SAMPLE_KEY
+from seatmeter.streaming.flow import for_each, removed, stored
 
-# Two collection intervals. Later samples are left to the batch append.
-LATENESS = "10 minutes"
+_STORED = f"{FEATURE_USAGE}, batch_id bigint"
 
 
-def distinct_samples(samples: DataFrame) -> DataFrame:
-    """One sample per series and minute from a stream with `server_hostname`, `feature_name`, `sampled_at`.
+class SampleLog:
+    """foreachBatch target that stores each sample key once, however late its rows arrive.
 
-    The state forgets a minute once the watermark has passed it, so it does not grow with the stream.
+    Samples lie by date and, below, by micro-batch. A micro-batch is compared with the stored samples of its own dates
+    only: these folders are listed and read, no others. There is no watermark and so no lateness that drops rows. A
+    repeated micro-batch sees what was there before it and replaces its own output.
     """
-    with_state_store(samples.sparkSession)
-    minute = samples.withColumn("minute", F.date_trunc("minute", "sampled_at"))
-    return minute.withWatermark("sampled_at", LATENESS).dropDuplicatesWithinWatermark(
-        ["server_hostname", "feature_name", "minute"])
+
+    def __init__(self, folder: str) -> None:
+        self.folder = folder
+
+    def rows(self, spark: SparkSession) -> DataFrame:
+        return stored(spark, _STORED, [self.folder], self.folder).drop("batch_id")
+
+    def before(self, spark: SparkSession, dates: list, batch_id: int) -> DataFrame:
+        found = stored(spark, _STORED, [f"{self.folder}/date={day}" for day in dates], self.folder)
+        return found.where(F.col("batch_id") < batch_id)
+
+    def __call__(self, samples: DataFrame, batch_id: int) -> None:
+        spark = samples.sparkSession
+        first = first_seen_samples(samples, SAMPLE_KEY, "id", ["users_count"]).select("id", *SAMPLE_KEY, "users_count")
+        dates = [r[0] for r in samples.select("date").distinct().collect()]
+        known = self.before(spark, dates, batch_id)
+        # Keys can be null, so they are compared null-safely, as the grouping above does.
+        same = [first[c].eqNullSafe(known[c]) for c in SAMPLE_KEY]
+        fresh = first.join(known, same, "left_anti").withColumn("batch_id", F.lit(batch_id).cast("long"))
+        (fresh.repartition("date").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("date", "batch_id").parquet(self.folder))
 
 
 class Collector:
     """foreachBatch target that keeps the stored inventory and samples up to date.
 
-    Each micro-batch writes to directories named after its id, with overwrite, and reads only what earlier
-    batches wrote. A batch repeated after a failure therefore replaces its own output.
+    Each micro-batch writes to directories named after its id, with overwrite, and reads only what earlier batches
+    wrote. A batch repeated after a failure therefore replaces its own output. The inventories of the last two batches
+    are kept; samples are stored by date.
     """
 
     def __init__(self, folder: str) -> None:
         self.folder = folder
+        self.samples = SampleLog(f"{folder}/feature_usage")
 
     def features_path(self, batch_id: int) -> str:
         return f"{self.folder}/features/batch_id={batch_id}"
 
-    def usage_path(self, batch_id: int) -> str:
-        return f"{self.folder}/feature_usage/batch_id={batch_id}"
-
     def features(self, spark: SparkSession, batch_id: int) -> DataFrame:
         """Inventory as of a batch; empty before the first one."""
-        if batch_id < 0:
-            return spark.createDataFrame([], FEATURES)
-        return spark.read.schema(FEATURES).parquet(self.features_path(batch_id))
-
-    def usage(self, spark: SparkSession, before_batch: int | None = None) -> DataFrame:
-        if before_batch == 0:
-            return spark.createDataFrame([], FEATURE_USAGE)
-        stored = spark.read.schema(f"{FEATURE_USAGE}, batch_id bigint").parquet(f"{self.folder}/feature_usage")
-        if before_batch is not None:
-            stored = stored.where(F.col("batch_id") < before_batch)
-        return stored.drop("batch_id")
+        return stored(spark, FEATURES, [self.features_path(batch_id)])
+
+    def usage(self, spark: SparkSession) -> DataFrame:
+        return self.samples.rows(spark)
 
     def __call__(self, dumps: DataFrame, batch_id: int) -> None:
         spark = dumps.sparkSession
-        # Ids grow with the capture time; pools of one text follow each other.
-        place = F.row_number().over(Window.partitionBy("dump_id").orderBy("name", "version", "expiration_date"))
-        numbered = (
-            extract.all_features(dumps)
-            .withColumn("id", F.unix_micros("last_updated") * 512 + place - 1)
-            .withColumn("is_active", F.lit(True))
-        )
         # Extracted pools are read several times below; they are written once and read back.
+        pools = extract.all_features(dumps).withColumn("is_active", F.lit(True))
         polled_path = f"{self.folder}/polled/batch_id={batch_id}"
-        numbered.write.mode("overwrite").parquet(polled_path)
-        batch = spark.read.schema(numbered.schema).parquet(polled_path)
+        pools.write.mode("overwrite").parquet(polled_path)
+        batch = self._numbered(spark.read.schema(pools.schema).parquet(polled_path), batch_id)
 
         refreshed = inventory.refresh_inventory(self.features(spark, batch_id - 1), batch)
         refreshed.write.mode("overwrite").parquet(self.features_path(batch_id))
-
-        samples = batch.select(
+        self.samples(batch.select(
             "id", "server_hostname", F.col("name").alias("feature_name"), F.to_date("last_updated").alias("date"),
-            m.minute_text(F.col("last_updated")).alias("time"), F.col("used_licenses").alias("users_count"))
-        first = samples.agg(F.min("date")).first()[0]
-        fresh = usage.append_usage(self.usage(spark, batch_id), samples, first)
-        replace_all = fresh.write.mode("overwrite").option("partitionOverwriteMode", "static")
-        replace_all.partitionBy("date").parquet(self.usage_path(batch_id))
+            m.minute_text(F.col("last_updated")).alias("time"), F.col("used_licenses").alias("users_count")), batch_id)
+        removed(spark, polled_path)
+        removed(spark, self.features_path(batch_id - 2))
+
+    @staticmethod
+    def _numbered(pools: DataFrame, batch_id: int) -> DataFrame:
+        """Unique ids that grow with the batch and, in it, with the capture time.
+
+        The running count goes over one row per text, of which a micro-batch has at most its number of files.
+        """
+        texts = pools.groupBy("dump_id").agg(F.min("last_updated").alias("at"), F.count("*").alias("n"))
+        before = F.sum("n").over(Window.orderBy("at", "dump_id")) - F.col("n")
+        place = F.row_number().over(Window.partitionBy("dump_id").orderBy("name", "version", "expiration_date"))
+        return (pools.join(texts.select("dump_id", before.alias("before")), "dump_id")
+                .withColumn("id", F.lit(batch_id << 32) + F.col("before") + place).drop("before"))
 
 
 def collect(dumps: DataFrame, folder: str, every: str | None = "5 minutes") -> StreamingQuery:
     """Start collecting from a stream of status texts; `every=None` takes what is there and stops."""
-    trigger = {"processingTime": every} if every else {"availableNow": True}
-    return (
-        dumps.writeStream.foreachBatch(Collector(folder))
-        .option("checkpointLocation", f"{folder}/progress").trigger(**trigger).start()
-    )
+    return for_each(dumps, Collector(folder), folder, every)
+
+
+def distinct_samples(samples: DataFrame, folder: str, every: str | None = "5 minutes") -> StreamingQuery:
+    """Store one sample per series and minute from a stream of `id`, the sample key and `users_count`."""
+    return for_each(samples, SampleLog(f"{folder}/samples"), folder, every)

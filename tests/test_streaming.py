@@ -1,5 +1,6 @@
 """Streaming jobs, run with availableNow over small inputs and compared with their batch counterparts."""
 
+import random
 from datetime import date, datetime, timedelta
 from urllib.parse import quote
 
@@ -7,9 +8,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from seatmeter.operators import alerts as queue
+from seatmeter.plans.queries import QUERIES
 from seatmeter.schemas import ALERTS
 from seatmeter.sources.dumps import read_dumps, stream_dumps
-from seatmeter.streaming import alerts, feed, flow, ingest
+from seatmeter.streaming import alerts, feed, ingest
 
 HOST = "27000@lic.example.org"
 
@@ -70,13 +72,24 @@ def stream_of(spark, rows, schema, folder):
     return spark.readStream.schema(schema).parquet(folder)
 
 
-def test_distinct_samples(spark, tmp_path):
-    base = datetime(2024, 3, 1, 12)
-    rows = [("h", "cad", base), ("h", "cad", base + timedelta(seconds=40)), ("h", "cad", base + timedelta(seconds=60)),
-            ("h", "mesh", base)]
-    schema = "server_hostname string, feature_name string, sampled_at timestamp"
-    out = flow.run_available(ingest.distinct_samples(stream_of(spark, rows, schema, str(tmp_path / "in"))), str(tmp_path / "out"))
-    assert sorted((r.feature_name, r.minute.minute) for r in out.collect()) == [("cad", 0), ("cad", 1), ("mesh", 0)]
+SAMPLES = "id bigint, server_hostname string, feature_name string, date date, time string, users_count int"
+
+
+def test_distinct_samples_however_late(spark, tmp_path):
+    """Three files, one per micro-batch, newest first, with repeats in and across them."""
+    rows = [(i, f"h{i % 3}", "cad", date(2024, 3, 1 + i // 40), f"{i % 24:02}:00:00", i) for i in range(120)]
+    rows += [(1000 + i, *rows[i][1:]) for i in range(0, 120, 5)]
+    source, target = str(tmp_path / "in"), str(tmp_path / "out")
+    for part in (rows[80:], rows[40:80], rows[:40], [(2000, None, None, date(2024, 3, 1), None, 1)] * 2):
+        ingest.distinct_samples(stream_of(spark, part, SAMPLES, source), target, every=None).awaitTermination()
+    log = ingest.SampleLog(f"{target}/samples")
+    key = lambda r: (r.server_hostname or "", r.feature_name or "", r.date, r.time or "")
+    got = sorted(map(key, log.rows(spark).collect()))
+    assert got == sorted({(h, f, d, t) for _, h, f, d, t, _ in rows} | {("", "", date(2024, 3, 1), "")})
+    # A batch that runs again replaces its own output.
+    log(spark.createDataFrame(rows[40:80], SAMPLES), 1)
+    assert sorted(map(key, log.rows(spark).collect())) == got
+    assert [r[0] for r in log.before(spark, ["2024-03-02", "1999-01-01"], 99).select("date").distinct().collect()] == [date(2024, 3, 2)]
 
 
 def greedy(times, interval):
@@ -87,29 +100,93 @@ def greedy(times, interval):
     return passing
 
 
+ALERT = "hostname string, type string, datetime timestamp, feature_name string, message string"
+
+
 @pytest.mark.parametrize("minutes", [60, 0])
 def test_throttle(spark, tmp_path, minutes):
     base = datetime(2024, 3, 1)
     times = [base + timedelta(minutes=m) for m in (0, 10, 59, 60, 61, 100, 120, 300, 301)]
-    late = [base + timedelta(minutes=m) for m in (330, 361, 400)]
-    schema = "hostname string, type string, datetime timestamp, feature_name string, message string"
+    later = [base + timedelta(minutes=m) for m in (330, 361, 400)]
     source, target = str(tmp_path / "in"), str(tmp_path / "out")
 
     def rows(moments):
         twice = [("hot", "expiration", t, name, "m") for t in moments for name in ("cad", "mesh")]
         return twice + [("cold", "expiration", moments[0], "cad", "m")]
 
-    def run(moments):
-        return flow.run_available(alerts.throttled(stream_of(spark, rows(moments), schema, source), minutes), target)
-
-    run(times)
-    out = run(late)
+    for moments in (times, later):
+        alerts.throttle(stream_of(spark, rows(moments), ALERT, source), target, minutes, every=None).awaitTermination()
+    out = alerts.Throttle(target, minutes).passing(spark)
     hot = sorted(r.datetime for r in out.collect() if r.hostname == "hot")
-    both = sorted((times + late) * 2)
-    assert hot == greedy(both, timedelta(minutes=minutes))
+    assert hot == greedy(sorted((times + later) * 2), timedelta(minutes=minutes))
     assert out.where("hostname = 'cold'").count() == 2
 
 
+@pytest.mark.parametrize("batch_rows", ["20", "10000"])
+def test_throttle_does_not_depend_on_batches_and_files(spark, tmp_path, batch_rows):
+    rng = random.Random(7)
+    times = [datetime(2024, 3, 1) + timedelta(minutes=rng.randrange(60_000)) for _ in range(900)]
+    source, target = str(tmp_path / "in"), str(tmp_path / "out")
+    spark.createDataFrame([("h", "expiration", t, "cad", "m") for t in times], ALERT).repartition(7).write.parquet(source)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch_rows)
+    try:
+        stream = spark.readStream.schema(ALERT).parquet(source)
+        alerts.throttle(stream, target, 60, every=None).awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    got = sorted(r.datetime for r in alerts.Throttle(target, 60).passing(spark).collect())
+    assert got == greedy(times, timedelta(minutes=60))
+
+
+def test_late_alerts_are_kept_aside(spark, tmp_path):
+    base, source, target = datetime(2024, 3, 5), str(tmp_path / "in"), str(tmp_path / "out")
+    for day in (3, 0, 3, 5):
+        rows = [("h", "expiration", base + timedelta(days=day), f"f{day}", "m")]
+        alerts.throttle(stream_of(spark, rows, ALERT, source), target, 60, every=None).awaitTermination()
+    job = alerts.Throttle(target, 60)
+    assert sorted(r.feature_name for r in job.passing(spark).collect()) == ["f3", "f5"]
+    assert [r.feature_name for r in job.late(spark).collect()] == ["f0"]
+    # The same batch again, with the state before it.
+    job(spark.createDataFrame([("h", "expiration", base + timedelta(days=5), "f5", "m")], ALERT), 3)
+    assert sorted(r.feature_name for r in job.passing(spark).collect()) == ["f3", "f5"]
+
+
+STREAMS = ["stream_usage_ingest", "stream_alert_throttle", "stream_status_feed"]
+
+
+@pytest.mark.parametrize("name", STREAMS)
+def test_streams_read_a_folder_of_part_files(spark, tmp_path, name):
+    sf, parts = "/root/testdata/sf0.001", str(tmp_path)
+    spark.read.parquet(f"{sf}/events.parquet").repartition(4).write.parquet(f"{parts}/events.parquet")
+    spark.read.parquet(f"{sf}/nation.parquet").write.parquet(f"{parts}/nation.parquet")
+    whole, split = (sorted(map(str, QUERIES[name](spark, folder).collect())) for folder in (sf, parts))
+    assert whole == split and whole
+
+
+def test_two_hosts_captured_in_the_same_second(spark, tmp_path):
+    source, store = tmp_path / "in", str(tmp_path / "store")
+    for host in (HOST, "27000@other.example.org"):
+        capture(source, "20240301120500", text("cad", 3, "mesh 1.0 4 acme permanent\n"), host=host)
+    ingest.collect(stream_dumps(spark, str(source)), store, every=None).awaitTermination()
+    collector = ingest.Collector(store)
+    for table in (collector.features(spark, 0), collector.usage(spark)):
+        ids = [r.id for r in table.collect()]
+        assert len(ids) == 4 and len(set(ids)) == 4
+
+
+def test_store_does_not_keep_old_copies(spark, tmp_path):
+    source, store = tmp_path / "in", tmp_path / "store"
+    for k in range(4):
+        capture(source, f"2024030{k + 1}120500", text("cad", k))
+        ingest.collect(stream_dumps(spark, str(source)), str(store), every=None).awaitTermination()
+    assert sorted(p.name for p in (store / "features").iterdir()) == ["batch_id=2", "batch_id=3"]
+    assert list((store / "polled").iterdir()) == []
+    assert sorted(p.name for p in (store / "feature_usage").glob("date=*")) == [f"date=2024-03-0{k}" for k in range(1, 5)]
+    ids = [r.id for r in ingest.Collector(str(store)).usage(spark).orderBy("date").collect()]
+    assert ids == sorted(ids) and len(set(ids)) == 4
+
+
 def test_dispatch(spark, tmp_path):
     now = datetime(2024, 3, 31, 12)
     rows = spark.createDataFrame([
