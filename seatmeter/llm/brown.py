@@ -8,7 +8,7 @@ words (last character full stop, comma or neither; ASCII only or not), or the en
 most (CLUSTERED + 7)^2 whatever the corpus, and go to the driver, where exchange clustering moves one word after the
 other into the class that raises the training likelihood most.
 
-Scoring: the `DICTIONARY` most frequent words with their counts go to all tasks (a bound of about 30 MB), so most
+Scoring: the most frequent words (`DICTIONARY` at most) with their counts go to all tasks (a bound of about 30 MB), so most
 tokens are scored where the text is. The counts of the remaining words are joined: only these words are shuffled, and
 none of them is frequent. So every token gets its exact count, at any size of the vocabulary.
 
@@ -204,6 +204,24 @@ class Model:
         return len(place) + 1, len(found) + self.end_known, float(base), float(score), rare
 
 
+def frequent(counts: DataFrame, most: int) -> tuple[list[bytes], np.ndarray]:
+    """The words above a count, and their counts, by falling count. The count is the lowest one, in steps of an eighth
+    of a doubling, that at most `most` words reach: words of equal count are in or out together, and nothing is sorted
+    but those words."""
+    step = F.floor(F.log2("n") * 8).cast("int")
+    sizes = sorted(counts.groupBy(step.alias("step")).count().collect(), reverse=True)    # 512 rows at most
+    reached, lowest = 0, None
+    for r in sizes:
+        reached += r["count"]
+        if reached > most:
+            break
+        lowest = r["step"]
+    chosen = counts.where(step >= lowest if lowest is not None else F.lit(False)).select(
+        F.col("word").cast("binary").alias("word"), "n").toArrow()
+    pairs = sorted(zip(chosen["n"].to_pylist(), chosen["word"].to_pylist()), key=lambda x: (-x[0], x[1]))
+    return [w for _, w in pairs], np.array([n for n, _ in pairs], dtype=np.float64)
+
+
 def learned(texts: DataFrame, counts: DataFrame, clustered: int = CLUSTERED, classes: int = CLASSES,
             dictionary: int = DICTIONARY) -> Model:
     """`texts`: the training texts (binary), `counts`: their word counts."""
@@ -211,9 +229,7 @@ def learned(texts: DataFrame, counts: DataFrame, clustered: int = CLUSTERED, cla
     documents = texts.count()
     shapes = {r[0]: (r[1], r[2]) for r in
               counts.groupBy(_shape_column(F.col("word"))).agg(F.count("*"), F.sum("n")).collect()}
-    top = counts.orderBy(F.desc("n"), "word").limit(dictionary).select(F.col("word").cast("binary"), "n").toArrow()
-    lexicon = Lexicon(top["word"].to_pylist(), top["n"].to_numpy().astype(np.float64), clustered)
-    del top
+    lexicon = Lexicon(*frequent(counts, dictionary), clustered)
     shared = spark.sparkContext.broadcast(lexicon)
     # At most (clustered + 7)^2 rows of two numbers, as Arrow buffers.
     pairs = pair_counts(texts, shared).toArrow()
