@@ -199,9 +199,10 @@ def links(prints: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS,
     spark, radius = prints.sparkSession, distance // blocks
     count = prints.count()
     depth = int(min(16, max(0, np.ceil(np.log2(max(1, count / shard_points))))))
-    size = min(ROUTING_SAMPLE, 256 << depth)
-    rows = prints.orderBy(F.xxhash64("fp"), "fp").limit(size if depth else 0).select("fp").toArrow()
-    sample = rows["fp"].to_numpy().astype(np.int64).view(np.uint64)
+    # Distinct fingerprints have evenly spread hashes, so the sample's size is that asked for, give or take its root.
+    one_in = max(1, count // min(ROUTING_SAMPLE, 256 << depth))
+    rows = prints.where(F.pmod(F.xxhash64("fp"), F.lit(one_in)) == 0 if depth else F.lit(False)).select("fp").toArrow()
+    sample = np.sort(rows["fp"].to_numpy().astype(np.int64).view(np.uint64))
     masks = block_masks(blocks)
     trees = spark.sparkContext.broadcast([Tree(sample, m, radius, depth) for m in masks])
 
