@@ -77,7 +77,13 @@ def with_active_flag(features: DataFrame) -> DataFrame:
 
 
 def current_utilization(features: DataFrame, server: str | None = None) -> DataFrame:
-    """Use of every pool with licenses, as of the latest refresh of its (server, feature); ties stay.
+    """`utilization_now`, most used first."""
+    return utilization_now(features, server).orderBy(
+        F.col("utilization_pct").desc(), "feature_name", "server_hostname", "version")
+
+
+def utilization_now(features: DataFrame, server: str | None = None) -> DataFrame:
+    """Use of every pool with licenses, as of the latest refresh of its (server, feature), in no order; ties stay.
 
     `rank() = 1` is answered by a group limit before the shuffle: only rows that tie for the latest
     refresh leave a map task, however hot the feature.
@@ -95,7 +101,6 @@ def current_utilization(features: DataFrame, server: str | None = None) -> DataF
             m.available(total, used).alias("available_licenses"),
             m.percent_of(used, total).alias("utilization_pct"), "vendor_daemon",
         )
-        .orderBy(F.col("utilization_pct").desc(), "feature_name", "server_hostname", "version")
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from datetime import datetime, timedelta
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seatmeter.functions import metrics as m
@@ -36,8 +36,8 @@ def table_stats(tables: dict[str, DataFrame]) -> DataFrame:
 
 
 def with_row_share(stats: DataFrame) -> DataFrame:
-    """Adds rows as percent of the largest table; one row per table, so it is gathered as a scalar."""
-    largest = stats.agg(F.max("row_count").alias("largest")).scalar()
+    """Adds rows as percent of the largest table; the window spans one row per table, six at most."""
+    largest = F.max("row_count").over(Window.partitionBy(F.lit(0)))
     return stats.withColumn("row_share_pct", m.percent_of(F.col("row_count"), largest))
 
 

@@ -241,8 +241,17 @@ _BODIES = {
     "features_snapshot": f"SELECT {_FEATURE_ROW} FROM features",
     "usage_dedup": "SELECT id, server_hostname, feature_name, date, time, users_count FROM feature_usage",
     "usage_appended": """
-        SELECT id, server_hostname, feature_name, date, time, users_count FROM feature_usage
-        WHERE id % 2 = 1""",
+        SELECT id, server_hostname, feature_name, date, time, users_count FROM feature_usage u
+        WHERE NOT EXISTS (FROM feature_usage s WHERE s.server_hostname = u.server_hostname
+            AND s.feature_name = u.feature_name AND s.date - CAST(s.id % 2 AS INTEGER) = u.date AND s.time = u.time)""",
+    "stored_history_of_series": """
+        SELECT server_hostname, feature_name, CAST(CAST(date AS VARCHAR) || ' ' || time AS TIMESTAMP) AS timestamp,
+               users_count FROM feature_usage
+        WHERE date >= DATE '2024-01-01' AND server_hostname = '27000@nation-8.example.com' AND feature_name = 'view'""",
+    "usage_stats_of_server": """
+        SELECT server_hostname, feature_name, round(avg_usage, 6) AS avg_usage, peak_usage, min_usage, total_licenses,
+               round(avg_utilization_pct, 6) AS avg_utilization_pct FROM stats
+        WHERE server_hostname = '27000@nation-3.example.com'""",
     "feature_dedup_cleanup": f"""
         SELECT {_FEATURE_ROW} FROM features
         WHERE id IN (SELECT max(id) FROM features WHERE expiration_date IS NOT NULL
@@ -434,8 +443,11 @@ _BODIES = {
         FROM alerts WHERE created_at > {AS_OF} - INTERVAL 30 DAY""",
     "alerts_mark_sent": f"""
         SELECT id, server_hostname, feature_name, alert_type, message, severity,
-               sent OR severity = 'critical' AS sent,
-               CASE WHEN severity = 'critical' AND NOT sent THEN {AS_OF} ELSE sent_at END AS sent_at, created_at
+               TRUE AS sent, CASE WHEN NOT sent THEN {AS_OF} ELSE sent_at END AS sent_at, created_at
+        FROM alerts""",
+    "alerts_dispatched": f"""
+        SELECT id, server_hostname, feature_name, alert_type, message, severity,
+               TRUE AS sent, CASE WHEN NOT sent THEN {AS_OF} ELSE sent_at END AS sent_at, created_at
         FROM alerts""",
     "alert_messages": """
         SELECT id, CASE WHEN severity = 'critical' THEN 'ops@example.com,oncall@example.com' ELSE 'ops@example.com' END
@@ -461,11 +473,21 @@ _BODIES = {
                     WHEN s >= 3600 THEN (s // 3600) || 'h ' || (s // 60 % 60) || 'm'
                     WHEN s >= 60 THEN (s // 60) || 'm' ELSE s || 's' END AS duration
         FROM (SELECT *, {_AGE} AS s FROM checkouts)""",
+    "checkout_detail_of_feature": f"""
+        SELECT server_hostname, feature_name, license_version, username, host, version, checked_out_at,
+               CASE WHEN s >= 86400 THEN (s // 86400) || 'd ' || (s // 3600 % 24) || 'h ' || (s // 60 % 60) || 'm'
+                    WHEN s >= 3600 THEN (s // 3600) || 'h ' || (s // 60 % 60) || 'm'
+                    ELSE (s // 60) || 'm' END AS age,
+               CASE WHEN s >= 86400 THEN (s // 86400) || 'd ' || (s // 3600 % 24) || 'h'
+                    WHEN s >= 3600 THEN (s // 3600) || 'h ' || (s // 60 % 60) || 'm'
+                    WHEN s >= 60 THEN (s // 60) || 'm' ELSE s || 's' END AS duration
+        FROM (SELECT *, {_AGE} AS s FROM checkouts)
+        WHERE server_hostname = '27000@nation-8.example.com' AND feature_name = 'view'""",
     "checked_out_only": f"""
         SELECT {', '.join('f.' + c.strip() for c in _FEATURE_ROW.split(','))}, c.n AS checkout_count,
                greatest(total_licenses - used_licenses, 0) AS available_licenses
         FROM features f JOIN (SELECT server_hostname, feature_name, license_version, count(*) AS n FROM checkouts
-                              WHERE lower(username) LIKE '%7' GROUP BY 1, 2, 3) c
+                              WHERE username LIKE '%7' GROUP BY 1, 2, 3) c
           ON c.server_hostname = f.server_hostname AND c.feature_name = f.name AND c.license_version = f.version""",
     "checkouts_by_name": "SELECT server_hostname, feature_name, count(*) AS checkout_count FROM checkouts GROUP BY 1, 2",
     "server_type_distribution": """
@@ -478,17 +500,16 @@ _BODIES = {
                (SELECT count(*) FROM alerts WHERE NOT sent) AS active_alerts""",
     "checkouts_with_type": """
         SELECT c.server_hostname, feature_name, username, coalesce(s.type, 'flexlm') AS server_type
-        FROM checkouts c LEFT JOIN servers s ON s.hostname = c.server_hostname AND s.id % 2 = 0""",
+        FROM checkouts c LEFT JOIN servers s ON CASE WHEN s.id % 2 = 1 THEN 'moved-' ELSE '' END || s.hostname = c.server_hostname""",
     "live_or_stored": """
-        SELECT server_hostname, feature_name AS name, version, vendor_daemon, total_licenses, used_licenses,
-               expiration_date, 'live' AS origin, CAST(NULL AS TIMESTAMP) AS last_updated
-        FROM polls WHERE server_type = 'rlm' AND polled_at = TIMESTAMP '2024-01-30 00:00:00'
+        SELECT CASE WHEN server_type = 'flexlm' THEN 'standby-' ELSE '' END || server_hostname AS server_hostname,
+               feature_name AS name, version, vendor_daemon, total_licenses, used_licenses,
+               expiration_date, 'live' AS origin, CAST(NULL AS TIMESTAMP) AS last_updated FROM polls
         UNION ALL
         SELECT f.server_hostname, name, version, vendor_daemon, total_licenses, used_licenses, expiration_date,
                'stored', max(last_updated) OVER (PARTITION BY f.server_hostname)
         FROM features f WHERE is_active AND f.server_hostname NOT IN (
-            SELECT server_hostname FROM polls
-            WHERE server_type = 'rlm' AND polled_at = TIMESTAMP '2024-01-30 00:00:00')""",
+            SELECT server_hostname FROM polls WHERE server_type = 'rlm')""",
     "host_quality": """
         SELECT id, hostname, type,
                CASE WHEN form = 2 THEN 'port must be between 1 and 65535'
@@ -520,7 +541,10 @@ _BODIES = {
         SELECT total AS usage_records_total, d30 AS usage_records_30_days, d90 AS usage_records_90_days,
                total AS usage_records_365_days, e.n AS events_total, e.recent AS events_30_days, a.n AS alerts_total,
                a.sent AS alerts_sent, total - d90 AS potential_savings_rows,
-               (total - d90) * 100 AS potential_savings_bytes
+               (total - d90) * 100 AS potential_savings_bytes,
+               CASE WHEN (total - d90) * 100 < 1024 THEN ((total - d90) * 100) || ' B'
+                    WHEN (total - d90) * 100 < 1048576 THEN printf('%.1f KB', (total - d90) * 100 / 1024.0::DOUBLE)
+                    ELSE printf('%.1f MB', (total - d90) * 100 / 1048576.0::DOUBLE) END AS potential_savings_human
         FROM (SELECT count(*) AS total, count(*) FILTER (WHERE date >= DATE '2024-03-15') AS d30,
                      count(*) FILTER (WHERE date >= DATE '2024-01-15') AS d90 FROM feature_usage),
              (SELECT count(*) AS n, count(*) FILTER (WHERE event_date >= DATE '2024-03-15') AS recent
@@ -645,10 +669,18 @@ _BODIES = {
                printf('%.2f', avg_utilization_pct) AS "Avg Utilization %"
         FROM stats""",
     "export_json": """
-        SELECT count(*) AS "count", '2024-01-31T12:00:00Z' AS exported_at, '' AS server FROM current_util""",
+        SELECT server_hostname, feature_name, version, total_licenses, used_licenses, available_licenses,
+               round(CAST(utilization_pct AS DOUBLE), 6) AS utilization_pct, vendor_daemon,
+               count(*) OVER () AS "count", '2024-01-31T12:00:00Z' AS exported_at, '' AS server FROM current_util""",
     "export_report": """
-        SELECT 'utilization' AS section, server_hostname AS server, count(*) AS lines FROM current_util GROUP BY 2
-        UNION ALL SELECT 'statistics', server_hostname, count(*) FROM stats GROUP BY 2""",
+        SELECT 'utilization' AS section, server_hostname AS "Server", feature_name AS "Feature", version AS "Version",
+               CAST(total_licenses AS VARCHAR) AS "Total", CAST(used_licenses AS VARCHAR) AS "Used",
+               CAST(available_licenses AS VARCHAR) AS "Available",
+               printf('%.2f', CAST(utilization_pct AS DOUBLE)) AS "Utilization %", NULL AS "Avg Usage",
+               NULL AS "Peak Usage", NULL AS "Min Usage", NULL AS "Total Licenses" FROM current_util
+        UNION ALL
+        SELECT 'statistics', server_hostname, feature_name, NULL, NULL, NULL, NULL, NULL, printf('%.2f', avg_usage),
+               CAST(peak_usage AS VARCHAR), CAST(min_usage AS VARCHAR), CAST(total_licenses AS VARCHAR) FROM stats""",
     "export_names": """
         SELECT DISTINCT server_hostname, name,
                replace(replace(server_hostname, '@', '_'), '.', '') AS file_part, name || '___x' AS odd_part

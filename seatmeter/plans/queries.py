@@ -16,6 +16,7 @@ from seatmeter.functions import metrics as m
 from seatmeter.session import configure
 from seatmeter.sinks import export
 from seatmeter.sources import derived as d
+from seatmeter.sources import tables
 from seatmeter.sources.derived import AS_OF
 from seatmeter.streaming import alerts as alert_stream
 from seatmeter.streaming import feed, flow, ingest
@@ -59,11 +60,29 @@ def usage_dedup(spark, sf):
 
 @query
 def usage_appended(spark, sf):
-    known = d.feature_usage(spark, sf)
     polls = d.polls(spark, sf).select(
         F.col("poll_id").alias("id"), "server_hostname", "feature_name", F.to_date("sampled_at").alias("date"),
         F.date_format("sampled_at", "HH:mm:00").alias("time"), F.col("used_licenses").alias("users_count"))
-    return usage.append_usage(known.where(F.col("id") % 2 == 0), polls)
+    return usage.append_usage(d.earlier_usage(spark, sf), polls)
+
+
+def _stored_usage(spark, sf):
+    """The samples, written by day and read back as a stored table."""
+    folder = export.new_folder(spark, "stored")
+    tables.write_usage(d.feature_usage(spark, sf), folder)
+    return tables.read_table(spark, folder, "feature_usage")
+
+
+@query
+def stored_history_of_series(spark, sf):
+    """History of one series from the stored table; only the period's days are read."""
+    return usage.usage_history(_stored_usage(spark, sf), AS_OF, 30, server="27000@nation-8.example.com", feature="view")
+
+
+@query
+def usage_stats_of_server(spark, sf):
+    host = "27000@nation-3.example.com"
+    return usage.usage_stats(d.feature_usage(spark, sf), d.pools(spark, sf), AS_OF, server=host)
 
 
 @query
@@ -126,7 +145,7 @@ def hourly_heatmap(spark, sf):
 
 @query
 def series_comparison(spark, sf):
-    chosen = usage.top_series(inventory.current_utilization(d.pools(spark, sf)))
+    chosen = usage.top_series(inventory.utilization_now(d.pools(spark, sf)))
     return usage.series_comparison(d.feature_usage(spark, sf), chosen, AS_OF)
 
 
@@ -149,12 +168,12 @@ def page_info(spark, sf):
 
 @query
 def overview_tiles(spark, sf):
-    return board.overview_tiles(inventory.current_utilization(d.pools(spark, sf)))
+    return board.overview_tiles(inventory.utilization_now(d.pools(spark, sf)))
 
 
 @query
 def utilization_bands(spark, sf):
-    return board.utilization_bands(inventory.current_utilization(d.pools(spark, sf))).select(
+    return board.utilization_bands(inventory.utilization_now(d.pools(spark, sf))).select(
         "server_hostname", "feature_name", "version", "utilization_pct", "band")
 
 
@@ -261,7 +280,7 @@ def alerts_appended(spark, sf):
 @query
 def alerts_mark_sent(spark, sf):
     queue = d.alerts(spark, sf)
-    return alerts.mark_sent(queue, alerts.unsent_alerts(queue).where("severity = 'critical'"), AS_OF)
+    return alerts.mark_sent(queue, alerts.unsent_alerts(queue), AS_OF)
 
 
 @query
@@ -283,10 +302,15 @@ def checkout_detail(spark, sf):
     return checkouts.checkout_detail(d.checkouts(spark, sf), AS_OF)
 
 
+@query
+def checkout_detail_of_feature(spark, sf):
+    host = "27000@nation-8.example.com"
+    return checkouts.checkout_detail(d.checkouts(spark, sf), AS_OF, server=host, feature="VIEW")
+
+
 @query
 def checked_out_only(spark, sf):
-    held = d.checkouts(spark, sf).where(F.endswith("username", F.lit("7")))
-    return checkouts.checked_out_only(d.features(spark, sf), held)
+    return checkouts.checked_out_only(d.features(spark, sf), d.held_checkouts(spark, sf))
 
 
 @query
@@ -306,24 +330,20 @@ def dashboard_totals(spark, sf):
 
 @query
 def checkouts_with_type(spark, sf):
-    typed = board.with_server_type(d.checkouts(spark, sf), d.servers(spark, sf).where(F.col("id") % 2 == 0))
+    typed = board.with_server_type(d.checkouts(spark, sf), d.moved_servers(spark, sf))
     return typed.select("server_hostname", "feature_name", "username", "server_type")
 
 
 @query
 def live_or_stored(spark, sf):
-    live = d.polls(spark, sf).where(
-        (F.col("server_type") == "rlm") & (F.col("polled_at") == F.lit("2024-01-30").cast("timestamp")))
-    return board.live_or_stored(live, d.features(spark, sf))
+    return board.live_or_stored(d.live_pools(spark, sf), d.features(spark, sf))
 
 
 @query
 def status_board(spark, sf):
-    """Latest status text of every server; the servers of each seventh nation never answered."""
-    texts = d.dumps(spark, sf)
-    silent = d.servers(spark, sf).where(F.col("id") % 7 == 0).select(F.col("hostname").alias("host"))
-    answered = texts.join(silent, "host", "left_anti")
-    return board.status_board(d.servers(spark, sf), extract.all_status(extract.latest_dumps(answered)))
+    """Latest status text of every configured server."""
+    texts = d.redirected_dumps(spark, sf)
+    return board.status_board(d.servers(spark, sf), extract.all_status(extract.latest_dumps(texts)))
 
 
 @query
@@ -368,8 +388,7 @@ def retention_stats(spark, sf):
 def retention_stats_later(spark, sf):
     later = datetime(2024, 4, 14, 12)
     return retention.retention_stats(
-        d.feature_usage(spark, sf), d.license_events(spark, sf), d.alerts(spark, sf), later
-    ).drop("potential_savings_human")
+        d.feature_usage(spark, sf), d.license_events(spark, sf), d.alerts(spark, sf), later)
 
 
 @query
@@ -385,8 +404,7 @@ def usage_kept(spark, sf):
 
 @query
 def storage_advice(spark, sf):
-    counted = {n: t for n, t in _tables(spark, sf).items() if n in ("features", "feature_usage")}
-    return retention.storage_advice(retention.table_stats(counted), d.features(spark, sf), large_usage=1000)
+    return retention.storage_advice(retention.table_stats(_tables(spark, sf)), d.features(spark, sf), large_usage=1000)
 
 
 # --- status texts
@@ -425,6 +443,14 @@ def rlm_checkouts(spark, sf):
 # --- streams, run over all available input
 
 
+@query
+def alerts_dispatched(spark, sf):
+    """Render the queue's messages, then the next queue snapshot with them marked sent."""
+    queue = d.alerts(spark, sf)
+    dispatcher = alert_stream.Dispatcher(export.new_folder(spark, "dispatch"), ["ops@example.com"], ["oncall@example.com"])
+    return dispatcher.settle(queue, dispatcher.render(queue, 1), AS_OF, 1)
+
+
 @query
 def stream_usage_ingest(spark, sf):
     samples = d.stream_polls(spark, sf).select(
@@ -496,21 +522,20 @@ def export_stats(spark, sf):
 def export_json(spark, sf):
     rows = inventory.current_utilization(d.pools(spark, sf))
     folder = export.write_json(rows, export.new_folder(spark, "export"), AS_OF, server="")
-    return spark.read.schema("`count` bigint, exported_at string, server string").json(f"{folder}/about")
+    about = spark.read.schema("`count` bigint, exported_at string, server string").json(f"{folder}/about")
+    return spark.read.schema(rows.schema).json(f"{folder}/rows").join(F.broadcast(about))
 
 
 @query
 def export_report(spark, sf):
     report = export.combined_report(d.servers(spark, sf), d.features(spark, sf), d.feature_usage(spark, sf), AS_OF)
     folder = export.write_report_csv(report, export.new_folder(spark, "export"))
-    columns = {"utilization": ["Server", "Feature", "Version", "Total", "Used", "Available", "Utilization %"],
-               "statistics": ["Server", "Feature", "Avg Usage", "Peak Usage", "Min Usage", "Total Licenses"]}
-    sections = [
-        export.read_csv_text(spark, f"{folder}/{name}", names).groupBy("Server").agg(F.count("*").alias("lines"))
-        .select(F.lit(name).alias("section"), F.col("Server").alias("server"), "lines")
-        for name, names in columns.items()
-    ]
-    return sections[0].unionByName(sections[1])
+    used = export.read_csv_text(spark, f"{folder}/utilization", [
+        "Server", "Feature", "Version", "Total", "Used", "Available", "Utilization %"])
+    stats = export.read_csv_text(spark, f"{folder}/statistics", [
+        "Server", "Feature", "Avg Usage", "Peak Usage", "Min Usage", "Total Licenses"])
+    return used.withColumn("section", F.lit("utilization")).unionByName(
+        stats.withColumn("section", F.lit("statistics")), allowMissingColumns=True)
 
 
 @query

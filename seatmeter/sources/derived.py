@@ -114,6 +114,39 @@ def checkouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def earlier_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log stored before: all samples, those with odd ids a day earlier."""
+    return feature_usage(spark, sf_dir).withColumn(
+        "date", F.date_sub("date", F.when(F.col("id") % 2 == 1, 1).otherwise(0)))
+
+
+def held_checkouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All checkouts; only users ending in 7 hold a license of a version that is in the inventory."""
+    return checkouts(spark, sf_dir).withColumn(
+        "license_version", F.when(F.endswith("username", F.lit("7")), F.col("license_version")).otherwise("v9"))
+
+
+def moved_servers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All servers; those with odd ids are configured under a new name only."""
+    moved = F.concat(F.lit("moved-"), "hostname")
+    return servers(spark, sf_dir).withColumn("hostname", F.when(F.col("id") % 2 == 1, moved).otherwise(F.col("hostname")))
+
+
+def live_pools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All polls as live answers; flexlm servers answer under the names of their standbys."""
+    standby = F.concat(F.lit("standby-"), "server_hostname")
+    return polls(spark, sf_dir).withColumn(
+        "server_hostname", F.when(F.col("server_type") == "flexlm", standby).otherwise(F.col("server_hostname")))
+
+
+def redirected_dumps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All status texts; those of each seventh nation come from a host that is not configured."""
+    silent = servers(spark, sf_dir).where(F.col("id") % 7 == 0).select(F.col("hostname").alias("host"), F.lit(True).alias("silent"))
+    texts = dumps(spark, sf_dir).join(silent, "host", "left")
+    return texts.withColumn("host", F.when(F.col("silent"), F.concat(F.lit("spare-"), "host")).otherwise(F.col("host"))) \
+        .drop("silent")
+
+
 def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One stored alert per pool that expired within ten days of its last poll; even ids were sent."""
     seen, expires = F.col("last_updated"), F.col("expiration_date")
