@@ -88,6 +88,7 @@ def alert_severity(days: Column) -> Column:
 
 
 def alert_message(feature: Column, server: Column, days: Column, expires: Column) -> Column:
+    # Fixed value: the wording of an expiry alert.
     return F.concat(
         F.lit("License '"), feature, F.lit("' on "), server, F.lit(" expires in "),
         days.cast("string"), F.lit(" days ("), F.date_format(expires, "yyyy-MM-dd"), F.lit(")"),

@@ -48,6 +48,7 @@ ADVICE = {
         "There are {} inactive feature records that could be archived.",
         "Minor space savings, cleaner data"),
 }
+# The actions that go with storage advice, capacity trends and capacity classes.
 STORAGE_ACTIONS = {
     "retention": "Configure data retention policy to delete data older than 90-365 days",
     "cleanup": "Archive or delete old inactive feature records",

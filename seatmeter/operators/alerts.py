@@ -99,6 +99,7 @@ def alert_messages(alerts: DataFrame, to: list[str], critical_to: list[str]) ->
     def line(label: str, value):
         return F.concat(F.lit(f"{label}: "), value)
 
+    # Fixed value: the layout of a delivered message.
     body = F.concat_ws(
         "\n", F.lit("License Alert"), F.lit(""),
         line("Server", F.col("server_hostname")), line("Feature", F.col("feature_name")),

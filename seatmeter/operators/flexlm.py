@@ -2,8 +2,9 @@
 
 Lines are classified by regular expressions in a fixed test order; what a line means also depends on the
 lines above it (current feature, its license version, a removal of the feature just named), which window
-functions over the text carry along. One shuffle by text serves all steps, and it moves the fields taken
-from the lines, not the lines.
+functions over the text carry along. Lines without a meaning are dropped where the text is read. One shuffle by text
+serves all later steps, and it moves the fields taken from the other lines (of stored texts; rendered test texts are
+already dealt out by text, so nothing is left to move).
 """
 
 from __future__ import annotations
@@ -67,10 +68,12 @@ def _classified(dumps: DataFrame) -> DataFrame:
         *[(name, _matches(pattern)) for name, pattern in POOL_KINDS.items()],
         ("checkout", _matches(CHECKOUT)),
     ]
-    return numbered_lines(dumps).select(
+    lines = numbered_lines(dumps).select(
         "*", first_kind(tests).alias("kind"), _matches(NO_SUCH_FEATURE).alias("denies"),
         _matches(INLINE_VERSION).alias("inlines"),
     )
+    # The first line stands for a text without any line of interest.
+    return lines.where(F.col("kind").isNotNull() | F.col("denies") | F.col("inlines") | (F.col("line_no") == 0))
 
 
 def _fields(lines: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# The supported types and the patterns of a host. The reasons given below are texts of the same kind.
 SUPPORTED_TYPES = ["flexlm", "rlm"]
 _IPV4 = r"^(\d{1,3}\.){3}\d{1,3}$"
 _OCTETS = r"^((25[0-5]|2[0-4]\d|[01]?\d?\d)\.){3}(25[0-5]|2[0-4]\d|[01]?\d?\d)$"

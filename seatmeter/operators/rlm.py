@@ -85,7 +85,7 @@ def rlm_features(dumps: DataFrame) -> DataFrame:
 
 
 def rlm_checkouts(dumps: DataFrame) -> DataFrame:
-    """One row per checkout line; each line stands for itself, so nothing is shuffled."""
+    """One row per checkout line; each line stands for itself, so stored texts are not shuffled at all."""
     line = F.col("line")
     holder = group(line, CHECKOUT, 3)
     return (

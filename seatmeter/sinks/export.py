@@ -21,6 +21,9 @@ def _text(name: str):
     return F.col(name).cast("string")
 
 
+# The column headings of the CSV layouts below.
+
+
 def servers_layout(servers: DataFrame) -> DataFrame:
     return servers.select(
         _text("id").alias("ID"), F.col("hostname").alias("Hostname"), F.col("description").alias("Description"),

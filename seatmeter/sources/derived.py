@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from seatmeter.functions import metrics as m
 from seatmeter.operators.inventory import inventory_from_polls, latest_pools
 from seatmeter.operators.usage import samples_from_polls
-from seatmeter.sources.dumps import spread
 
 AS_OF = datetime(2024, 1, 31, 12, 0, 0)
 IN_SERVICE_SINCE = datetime(2024, 1, 1)
@@ -183,7 +182,10 @@ def dumps(spark: SparkSession, sf_dir: str) -> DataFrame:
     k steers the variants: unreachable servers, a stopped vendor daemon, case differences, removed,
     uncounted and version-less features, one to three license-file lines, zero to three checkouts.
     """
-    log = spread(polls(spark, sf_dir).withColumn("dump_id", F.col("poll_id").cast("string")))
+    # The polls are dealt out before their texts are rendered: the test tables are one small file, and rendering and
+    # reading texts is the work. Stored texts come in many files and are not shuffled.
+    count = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    log = polls(spark, sf_dir).withColumn("dump_id", F.col("poll_id").cast("string")).repartition(count, "dump_id")
     k, feature, host = F.col("k"), F.col("feature_name"), F.col("server_hostname")
     half = F.floor(F.col("total_licenses") / 2)
     machine = F.substring_index(host, "@", -1)

@@ -20,22 +20,13 @@ def _described(texts: DataFrame) -> DataFrame:
     )
 
 
-def spread(dumps: DataFrame) -> DataFrame:
-    """Texts partitioned by dump_id, which is the only shuffle the extraction needs.
-
-    Whole texts are smaller than the fields of their lines, and this also balances the line work, so the
-    number of partitions is fixed: adaptive coalescing goes by bytes and would join too many.
-    """
-    count = int(dumps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return dumps.repartition(count, "dump_id")
-
-
 def read_dumps(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per capture. Texts are parsed where they are read; only fields of their lines are shuffled afterwards."""
     texts = (
         spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(folder)
         .select("value", F.col("_metadata.file_path").alias("path"))
     )
-    return spread(_described(texts))
+    return _described(texts)
 
 
 def stream_dumps(spark: SparkSession, folder: str, files_per_trigger: int = 1000) -> DataFrame:

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from seatmeter.operators import alerts as queue
+from seatmeter.operators import flexlm, rlm
 from seatmeter.plans.queries import QUERIES
 from seatmeter.schemas import ALERTS
 from seatmeter.sources.dumps import read_dumps, stream_dumps
@@ -34,6 +35,16 @@ def test_read_dumps(spark, tmp_path):
     assert row.text.startswith("    lic") and quote(HOST) in row.dump_id or HOST in row.dump_id
 
 
+def test_stored_texts_are_parsed_where_they_are_read(spark, tmp_path):
+    capture(tmp_path, "20240301120500", "x v1.0: u@h 1/0 at 03/01 12:00 (handle: 1)\n", kind="rlm")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    texts = read_dumps(spark, str(tmp_path))
+    assert "Exchange" not in plan(rlm.rlm_checkouts(texts))
+    for extracted in (flexlm.flexlm_features(texts), flexlm.flexlm_status(texts), rlm.rlm_status(texts)):
+        below = plan(extracted).split("Exchange")[-1]           # what lies under the lowest exchange
+        assert "Generate posexplode" in below and "value" not in below.split("[plan_id")[0].split("Project")[0]
+
+
 def test_collect(spark, tmp_path):
     source, store = tmp_path / "in", str(tmp_path / "store")
     capture(source, "20240301120500", text("cad", 3, "mesh 1.0 4 acme permanent\n"))
