@@ -2,25 +2,61 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import date, datetime
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seatmeter.functions import metrics as m
 from seatmeter.functions.texts import advice
-from seatmeter.operators.fit import fit_series
 from seatmeter.operators.inventory import series_capacity
-from seatmeter.operators.usage import first_day, first_whole_day, hourly_profile, minute_index, peak_hour, since
+from seatmeter.operators.usage import first_day, first_whole_day, minute_index, peak_hour, since
 from seatmeter.schemas import SERIES_KEY
 
 MIN_SAMPLES = 2
 
 
-def series_median(rows: DataFrame) -> DataFrame:
-    """Exact median per series. Counting equal values first leaves few rows for the percentile."""
-    counted = rows.groupBy(*SERIES_KEY, "users_count").agg(F.count(F.lit(1)).alias("times"))
-    return counted.groupBy(*SERIES_KEY).agg(F.percentile("users_count", 0.5, F.col("times")).alias("median_usage"))
+def counted_samples(usage: DataFrame, as_of: datetime, days: int) -> DataFrame:
+    """How often each value occurs per series, day and hour: the one pass from which all but the latest samples follow.
+
+    Every reader below groups this same table and selects days inside its aggregates, not by a filter, so that the
+    shuffle of the counts is made once and reused.
+    """
+    rows = since(usage, first_day(as_of, days))
+    return rows.groupBy(*SERIES_KEY, "date", m.sample_hour(F.col("time")).alias("hour"), "users_count").agg(
+        F.count(F.lit(1)).alias("times"))
+
+
+def series_median(counts: DataFrame, start: date) -> DataFrame:
+    """Exact median per series from `start` on; few rows per series reach the percentile."""
+    times = F.sum(F.when(F.col("date") >= F.lit(start), F.col("times"))).alias("times")
+    by_value = counts.groupBy(*SERIES_KEY, "users_count").agg(times).where("times > 0")
+    return by_value.groupBy(*SERIES_KEY).agg(F.percentile("users_count", 0.5, F.col("times")).alias("median_usage"))
+
+
+def series_moments(counts: DataFrame, start: date, min_samples: int) -> DataFrame:
+    """Mean, spread, extremes and slope per day of each series from `start` on, from weighted sums of whole numbers."""
+    inside = F.col("date") >= F.lit(start)
+    n = F.when(inside, F.col("times")).cast("double")
+    x, y = F.datediff("date", F.lit(start)).cast("double"), F.col("users_count").cast("double")
+    sums = counts.groupBy(*SERIES_KEY).agg(
+        F.sum(n).alias("n"), F.sum(n * x).alias("x"), F.sum(n * y).alias("y"), F.sum(n * x * x).alias("xx"),
+        F.sum(n * x * y).alias("xy"), F.sum(n * y * y).alias("yy"),
+        F.min(F.when(inside, F.col("users_count"))).alias("least"),
+        F.max(F.when(inside, F.col("users_count"))).alias("most"),
+    ).where(F.col("n") >= min_samples)
+    n, x, y = F.col("n"), F.col("x"), F.col("y")
+    across = n * F.col("xx") - x * x
+    return sums.select(
+        *SERIES_KEY, (y / n).alias("mean"), "least", "most",
+        (F.sqrt(F.greatest(n * F.col("yy") - y * y, F.lit(0.0))) / n).alias("stddev"),
+        F.when(across > 0, (n * F.col("xy") - x * y) / across).otherwise(0.0).alias("slope"))
+
+
+def counted_profile(counts: DataFrame) -> DataFrame:
+    """Mean use per series and hour."""
+    return counts.groupBy(*SERIES_KEY, "hour").agg(
+        (F.sum(F.col("users_count") * F.col("times")) / F.sum("times")).alias("avg_usage"))
 
 
 def moving_averages(rows: DataFrame, windows: tuple[int, ...] = (7, 30)) -> DataFrame:
@@ -53,20 +89,22 @@ def efficiency_score(avg_pct: Column, peak_pct: Column, stddev: Column, total: C
 
 
 def enhanced_statistics(usage: DataFrame, features: DataFrame, as_of: datetime, days: int = 30) -> DataFrame:
-    """All statistics of a series side by side; the parts are aggregates joined on the series key.
+    """All statistics of a series side by side; the parts are aggregates joined on the series key. The samples are read
+    twice: for the counts and for the latest ones.
 
     The peak hour covers the cutoff's own day too, the rest starts on the first whole day. The last
     three calendar columns repeat fixed answers of the monitored system.
     """
-    rows = since(usage, first_whole_day(as_of, days))
-    fitted = fit_series(usage, as_of, days, MIN_SAMPLES)
-    hours = peak_hour(hourly_profile(since(usage, first_day(as_of, days))))
+    start = first_whole_day(as_of, days)
+    counts = counted_samples(usage, as_of, days)
+    fitted = series_moments(counts, start, MIN_SAMPLES)
+    hours = peak_hour(counted_profile(counts))
     total, mean, slope = F.col("total_licenses"), F.col("mean"), F.col("slope")
     avg_pct, peak_pct = F.col("avg_utilization_pct"), F.col("peak_utilization_pct")
     joined = (
         fitted.join(series_capacity(features), SERIES_KEY)
-        .join(series_median(rows), SERIES_KEY)
-        .join(moving_averages(rows), SERIES_KEY)
+        .join(series_median(counts, start), SERIES_KEY)
+        .join(moving_averages(since(usage, start)), SERIES_KEY)
         .join(hours, SERIES_KEY, "left")
         .withColumn("peak_usage", F.greatest("most", F.lit(0)))
         .withColumn("avg_utilization_pct", m.mean_percent_of(mean, total))

@@ -231,3 +231,19 @@ def test_beyond_the_broadcast_bound(samples, features, monkeypatch):
     original = session.attach
     monkeypatch.setattr(forecast, "attach", lambda big, small, on: original(big, small, on, max_rows=1))
     assert forecast.anomalies(samples, features, AS_OF).collect() == wanted
+
+
+def test_enhanced_statistics_reads_stored_samples_twice(spark, tmp_path):
+    from seatmeter.sources import derived, tables
+
+    sf, store = "/root/testdata/sf0.001", str(tmp_path)
+    tables.write_usage(derived.feature_usage(spark, sf), store)
+    samples = tables.read_table(spark, store, "feature_usage")
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        rows = stats.enhanced_statistics(samples, derived.pools(spark, sf), derived.AS_OF)
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    assert plan.count("PartitionFilters: [isnotnull(date") <= 2 and "ReusedExchange" in plan
