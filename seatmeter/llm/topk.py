@@ -7,7 +7,7 @@ negative components the complements are added. The sum is exact and is itself a
 picked from the most significant slice downward: a slice either narrows the candidates or admits them; rows still equal
 after the last slice are ties, of which the smallest ids are taken. Only the picked rows' scores are ever written out.
 
-The queries are a stated set and meet all rows, in blocks: queries are cut into groups of `QUERY_ROWS`, each pair of
+The queries are a stated set and meet all rows, in blocks: queries are cut into groups of about `QUERY_ROWS`, each pair of
 query group and candidate block is one task-sized unit of bounded size, and a row goes to each unit of its block. Blocks
 are dealt by a hash, so a vector that a third of all rows share fills no unit. A unit returns k rows per query, which a
 ranked window reduces before the shuffle.
@@ -31,7 +31,8 @@ from pyspark.sql import functions as F
 from seatmeter.llm.common import settled
 
 BLOCK_ROWS = 1 << 14
-QUERY_ROWS = 256
+QUERY_ROWS = 2048             # a candidate row is shuffled once for so many queries
+LEAST_UNITS, LEAST_QUERIES = 16, 256
 SCALE = 256
 
 
@@ -126,7 +127,10 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, key: str = "vec_id", vector:
         F.transform(vector, lambda x: F.floor(x.cast("double") * scale)).alias("x"))
     rows = settled(rows.withColumn("width", F.size("x")).withColumn("row", F.monotonically_increasing_id()), "topk-rows")
     count, asking = rows.agg(F.count("*"), F.count_if("asks")).first()
-    blocks, groups = max(1, -(-count // block_rows)), max(1, -(-asking // query_rows))
+    blocks = max(1, -(-count // block_rows))
+    # Few blocks get more groups of fewer queries, so that all cores have a unit.
+    more = min(-(-asking // LEAST_QUERIES), -(-LEAST_UNITS // blocks))
+    groups = max(1, -(-asking // query_rows), more)
     candidates = rows.select("width", F.pmod(F.xxhash64("row"), F.lit(blocks)).alias("block"),
                              F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("part"), "id", "row", "x")
     # The queries' columns have names of their own: both sides come from one table.
