@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from seatmeter.operators import extract
+from seatmeter.streaming.flow import for_each, stored
 
+MESSAGE = "type string, channel string, timestamp timestamp, data string"
 ALERT_CHANNEL = "alerts"
 EVERYTHING = "all"
 
@@ -32,7 +35,7 @@ def alert_feed(alerts: DataFrame) -> DataFrame:
 
 
 def status_messages(dumps: DataFrame) -> DataFrame:
-    """One message per status text with its status, pools and checkouts (for use in foreachBatch).
+    """One message per status text with its status, pools and checkouts. `status_feed` does this on a stream.
 
     The lists gather what one text contains, so a single input value bounds them.
     """
@@ -48,6 +51,24 @@ def status_messages(dumps: DataFrame) -> DataFrame:
         F.coalesce("features", F.array()).alias("features"), F.coalesce("users", F.array()).alias("users")))
 
 
+class StatusFeed:
+    """foreachBatch target that turns status texts into messages; a repeated micro-batch replaces its own."""
+
+    def __init__(self, folder: str) -> None:
+        self.folder = folder
+
+    def __call__(self, dumps: DataFrame, batch_id: int) -> None:
+        status_messages(dumps).write.mode("overwrite").parquet(f"{self.folder}/messages/batch_id={batch_id}")
+
+    def messages(self, spark: SparkSession) -> DataFrame:
+        return stored(spark, MESSAGE, [f"{self.folder}/messages"])
+
+
+def status_feed(dumps: DataFrame, folder: str, every: str | None = "10 seconds") -> StreamingQuery:
+    """Messages of a stream of status texts, one per text, below `folder`."""
+    return for_each(dumps, StatusFeed(folder), folder, every)
+
+
 def subscribed(messages: DataFrame, channels: list[str]) -> DataFrame:
     """The messages of the given channels; `all` takes every one."""
     if EVERYTHING in channels:

@@ -216,3 +216,17 @@ def test_feed(spark, tmp_path):
     row = feed.subscribed(messages, [f"server:{HOST}"]).first()
     assert '"service":"up"' in row.data and '"name":"cad"' in row.data and '"users":[]' in row.data
     assert feed.subscribed(messages, ["alerts"]).count() == 0 and feed.subscribed(messages, ["all"]).count() == 1
+
+
+def test_status_feed_of_a_stream(spark, tmp_path):
+    source, target = tmp_path / "in", str(tmp_path / "out")
+    for stamp, used in (("20240301120500", 3), ("20240301121000", 4)):
+        capture(source, stamp, text("cad", used))
+        capture(source, stamp, "Cannot connect to license server\n", host="other")
+        feed.status_feed(stream_dumps(spark, str(source)), target, every=None).awaitTermination()
+    messages = feed.StatusFeed(target).messages(spark)
+    assert messages.count() == 4
+    mine = feed.subscribed(messages, [f"server:{HOST}"]).orderBy("timestamp").collect()
+    assert ['"used_licenses":3' in mine[0].data, '"used_licenses":4' in mine[1].data] == [True, True]
+    down = feed.subscribed(messages, ["server:other"]).first()
+    assert '"service":"down"' in down.data and '"features":[]' in down.data
