@@ -2,18 +2,27 @@
 
     P(word, previous) = P(class of word | class of previous) * P(word | class of word)
 
-Gathered from all training documents: the count of every word (a distributed table that grows with the corpus) and the
-counts of neighbouring states. A state is one of the `CLUSTERED` most frequent words, one of six shapes for all other
-words (last character full stop, comma or neither; ASCII only or not), or the end of a document. The state pairs are at
-most (CLUSTERED + 7)^2 whatever the corpus, and go to the driver, where exchange clustering moves one word after the
-other into the class that raises the training likelihood most.
-
-Scoring: the most frequent words (`DICTIONARY` at most) with their counts go to all tasks (a bound of about 30 MB), so most
-tokens are scored where the text is. The counts of the remaining words are joined: only these words are shuffled, and
-none of them is frequent. So every token gets its exact count, at any size of the vocabulary.
-
-Smoothing: transitions are Dirichlet-smoothed with the class shares. A clustered word has its share of its class; any
-other word has (count + 0.5) / (tokens + 0.5 * (words + 1)) of its shape, so one part is left for unseen words.
+Gathered from all training documents: the count of every word (a distributed table that grows with the corpus), the
+counts of neighbouring states among the head, and the neighbours of every other word. The head is the `CLUSTERED` most
+frequent words; a state is a head word, one of six shapes for all other words (last character full stop, comma or
+neither; ASCII only or not), or the end of a document.
+
+Every word goes through exchange clustering. The head starts: its state pairs, at most (CLUSTERED + 7)^2, go to the
+driver, where one word after the other moves into the class that raises the training likelihood most. The other words
+(the tail) are one row each with their neighbours, in tasks, and start in classes of their shapes. `PASSES` passes move
+hashed halves of the tail by the same gain; a class other than the shape's must gain log(classes) more, what it costs to
+name it. Words with little evidence so stay with their shape: without that cost, words seen once or twice follow chance,
+and held-out texts score below the base. A neighbour's class comes from the dictionary or, for the words beyond it, from
+the table (word, class) by a join. After every pass the counts between head words and classes go to the driver, which
+exchanges the head again. What a pass sends to the driver or to all tasks is bounded by the head, the classes and the
+dictionary, and not by the vocabulary.
+
+Scoring: the most frequent words (`DICTIONARY` at most) with their counts and classes go to all tasks (a bound of about
+30 MB), so most tokens are scored where the text is. The counts and classes of the remaining words are joined: only these
+words are shuffled, with the classes beside them, and none of them is frequent.
+
+Smoothing: transitions are Dirichlet-smoothed with the class shares. A word has (count + 0.5) / (tokens + 0.5 * words) of
+its class; the class of a shape counts one word more, so one part is left for unseen words.
 
 Defined cases: a null text is empty, and an empty text is its end token. Repeated rows count as often as they occur.
 Null keys are allowed and count as training rows. Without training documents the base score is 0 and the model knows
@@ -22,13 +31,17 @@ only uniform transitions. Extra columns are ignored. An empty table gives an emp
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections import Counter
+from copy import copy
 from dataclasses import dataclass
 from typing import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import (
@@ -40,6 +53,7 @@ from seatmeter.llm.common import remainder, settled
 CLUSTERED = 2000
 CLASSES = 64
 ROUNDS = 8
+PASSES = 4                   # over the tail, each moving one half
 DICTIONARY = 200_000
 SHAPES = 6
 PRIOR = 50.0                 # weight of the class shares in a transition
@@ -55,12 +69,21 @@ def shape(word: bytes) -> int:
     return (1 if word.endswith(b".") else 2 if word.endswith(b",") else 0) + (0 if word.isascii() else 3)
 
 
+def code(word: bytes) -> int:
+    """56 bits of the word's md5, then its shape. Words of equal code would share a class, and keep their own counts."""
+    return int(hashlib.md5(word).hexdigest()[:14], 16) * 8 + shape(word)
+
+
 def _shape_column(word: Column) -> Column:
     last = F.right(word, F.lit(1))
     return (F.when(last == ".", 1).when(last == ",", 2).otherwise(0)
             + F.when(F.octet_length(word) == F.length(word), 0).otherwise(3))
 
 
+def _code_column(word: Column) -> Column:
+    return F.conv(F.substring(F.md5(word.cast("binary")), 1, 14), 16, 10).cast("long") * 8 + _shape_column(word)
+
+
 def word_counts(texts: DataFrame) -> DataFrame:
     """(word, n) over all rows of `texts`, whose one column text is binary."""
 
@@ -85,11 +108,20 @@ class Lexicon:
         self.counts, self.clustered = counts, min(clustered, len(words))
         self.place = {w: k for k, w in enumerate(words)}
         self.shapes = np.fromiter(map(shape, words), dtype=np.int64, count=len(words))
+        self.half = np.array([*(code(w) >> 3 & 1 for w in words), 0])
         self.state = np.where(np.arange(len(words)) < self.clustered, np.arange(len(words)),
                               self.clustered + self.shapes)
         self.end = self.clustered + SHAPES
         self.states = self.end + 1
 
+    def widened(self) -> Lexicon:
+        """The same words, each a state of its own."""
+        out = copy(self)
+        out.clustered = len(self.counts)
+        out.state, out.end = np.arange(out.clustered), out.clustered + SHAPES
+        out.states = out.end + 1
+        return out
+
     def looked_up(self, text: bytes | None) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
         """(place in the lexicon or -1, state) of each word, and the words that have no place."""
         words = tokens(text)
@@ -101,6 +133,15 @@ class Lexicon:
         state[missing] = self.clustered + np.fromiter(map(shape, rare), dtype=np.int64, count=len(rare))
         return place, state, rare
 
+    def ids(self, text: bytes | None) -> np.ndarray:
+        """The place of each word, -1 - code for words that have none, between two ends (the number of words)."""
+        words, end = tokens(text), len(self.counts)
+        find = self.place.get
+        place = np.fromiter((find(w, -1) for w in words), dtype=np.int64, count=len(words))
+        for k in np.flatnonzero(place < 0).tolist():
+            place[k] = -1 - code(words[k])
+        return np.concatenate([[end], place, [end]])
+
 
 def pair_counts(texts: DataFrame, lexicon) -> DataFrame:
     """(pair, n): how often one state follows another; pair = first * states + second. `lexicon` is a broadcast."""
@@ -129,8 +170,9 @@ def _xlogx(x: np.ndarray) -> np.ndarray:
 
 
 def exchanged(first: np.ndarray, second: np.ndarray, n: np.ndarray, clustered: int, states: int,
-              classes: int = CLASSES, rounds: int = ROUNDS) -> np.ndarray:
-    """The class of each state. Clustered words share the first `classes` classes, other states keep one of their own.
+              classes: int = CLASSES, rounds: int = ROUNDS, start: np.ndarray | None = None) -> np.ndarray:
+    """The class of each state. Clustered words share the first `classes` classes, other states keep one of their own, or
+    the one they have in `start`.
 
     One word after the other, most frequent first, moves to the class with the largest sum of
     N(c, d) log N(c, d) - 2 N(c) log N(c); the rounds end early when no word moves.
@@ -138,6 +180,8 @@ def exchanged(first: np.ndarray, second: np.ndarray, n: np.ndarray, clustered: i
     classes = max(1, min(classes, clustered))
     cls = np.concatenate([np.arange(clustered) % classes, classes + np.arange(states - clustered)])
     size = classes + states - clustered
+    if start is not None:
+        cls, size = start.copy(), int(start.max()) + 1
     between = np.bincount(cls[first] * size + cls[second], weights=n, minlength=size * size).reshape(size, size)
     total = between.sum(axis=0)
     by_first, by_second = np.argsort(first, kind="stable"), np.argsort(second, kind="stable")
@@ -178,30 +222,245 @@ def exchanged(first: np.ndarray, second: np.ndarray, n: np.ndarray, clustered: i
     return cls
 
 
+def neighbours(texts: DataFrame, lexicon, clustered: int) -> DataFrame:
+    """(word, items, items_n): each word beyond the head with 2 * neighbour + side and its n, side 0 for the words after it. `lexicon`
+    is a broadcast. A word of the tail is at most one in `clustered` tokens, and so is its row."""
+
+    def sides(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lex = lexicon.value
+
+        def packed(held: list[np.ndarray]) -> pd.DataFrame:
+            ids = np.concatenate(held)
+            # Where one text meets the next, both are ends.
+            tail = (ids < 0) | (ids >= clustered) & (ids != len(lex.counts))
+            first, second = np.flatnonzero(tail[:-1]), np.flatnonzero(tail[1:]) + 1
+            word = np.concatenate([ids[first], ids[second]])
+            item = np.concatenate([2 * ids[first + 1], 2 * ids[second - 1] + 1])
+            return pd.DataFrame({"word": word, "item": item}).groupby(["word", "item"], sort=False).size().reset_index(name="n")
+
+        held, n = [], 0
+        for batch in batches:
+            for text in batch["text"]:
+                held.append(lex.ids(text))
+                n += len(held[-1])
+                if n > 1_000_000:
+                    yield packed(held)
+                    held, n = [], 0
+        if held:
+            yield packed(held)
+
+    # Dealt by word once: both groupings keep to it.
+    rows = texts.mapInPandas(sides, "word long, item long, n long").repartition("word")
+    return (rows.groupBy("word", "item").agg(F.sum("n").alias("n"))
+            .groupBy("word").agg(F.collect_list(F.struct("item", "n")).alias("items"))
+            # Two arrays of numbers take half the room of one array of structs.
+            .select("word", F.col("items.item").alias("items"), F.col("items.n").alias("items_n")))
+
+
+def _items(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, neighbour, side, n) of every item."""
+    lists = batch[name]
+    row = np.repeat(np.arange(len(lists)), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+    item, n = (x.flatten().to_numpy(zero_copy_only=False) for x in (lists, batch[name + "_n"]))
+    return row, item >> 1, item & 1, n
+
+
+def histograms(batch: pa.RecordBatch, place_class: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(after, before, own) of each row: counts of the neighbours' classes, and of the word beside itself."""
+    word = batch["word"].to_numpy(zero_copy_only=False)
+    sides, own = np.zeros((len(word), 2, size)), np.zeros(len(word))
+    for name in ("items", "more"):
+        row, other, side, n = _items(batch, name)
+        self = other == word[row]
+        own += np.bincount(row[self & (side == 0)], weights=n[self & (side == 0)], minlength=len(word))
+        used = (other >= 0) & ~self
+        sides += np.bincount((row[used] * 2 + side[used]) * size + place_class[other[used]], weights=n[used],
+                             minlength=sides.size).reshape(sides.shape)
+    return sides[:, 0], sides[:, 1], own
+
+
+def gains(between: np.ndarray, after: np.ndarray, before: np.ndarray, own: np.ndarray, old: np.ndarray) -> np.ndarray:
+    """What the training likelihood gains when a word, taken from its class `old`, joins each class but the end's: the
+    terms of `exchanged` for many words at once, each beside the same `between`."""
+    classes, word = len(between) - 1, np.arange(len(old))
+    gain = np.zeros((len(old), classes))
+    here = np.tile(np.diagonal(between)[:classes], (len(old), 1))
+    here[word, old] -= after[word, old] + before[word, old] + own
+    for mine, others, table in ((after, before, between), (before, after, between.T)):
+        # Entry (w, d, x) changes table[c, d] into table[c, d] + x for each class c.
+        at, d = np.nonzero(mine)
+        x = mine[at, d]
+        for k in range(0, len(old), 500):
+            part = slice(*np.searchsorted(at, (k, k + 500)))
+            w, e, n = at[part], d[part], x[part]
+            if not len(w):
+                continue
+            rest = table[:classes, e].T.copy()
+            same = np.flatnonzero(e == old[w])
+            rest[np.arange(len(w)), old[w]] -= n
+            rest[same] -= others[w[same], :classes]
+            rest[same, e[same]] -= own[w[same]]
+            change = _xlogx(rest + n[:, None]) - _xlogx(rest)
+            starts = np.flatnonzero(np.diff(w, prepend=-1))
+            gain[w[starts]] += np.add.reduceat(change, starts)
+        gain -= _xlogx(here + mine[:, :classes]) - _xlogx(here)
+    gain += _xlogx(here + after[:, :classes] + before[:, :classes] + own[:, None]) - _xlogx(here)
+    count = before.sum(axis=1) + own
+    total = np.tile(between.sum(axis=0)[:classes], (len(old), 1))
+    total[word, old] -= count
+    return gain - 2 * (_xlogx(total + count[:, None]) - _xlogx(total))
+
+
+def _with_classes(tail: DataFrame, known: DataFrame | None, places: int, classes: int) -> DataFrame:
+    """`tail` with the class (`old`) of the words beyond the dictionary, and such words among the neighbours as items of
+    the class they have (`more`). Without `known` that is the class of the shape. `tail` is not shuffled again."""
+    # Items of rare neighbours other than the word itself.
+    rare = F.filter(F.arrays_zip("items", "items_n"),
+                    lambda x: (x["items"] < 0) & (F.shiftright(x["items"], 1) != F.col("word")))
+    shaped = lambda word: (-1 - word).bitwiseAND(F.lit(7)) + classes
+    item = lambda cls, side: (places + 1 + cls) * 2 + side.bitwiseAND(F.lit(1))
+    if known is None:
+        more = F.transform(rare, lambda x: item(shaped(F.shiftright(x["items"], 1)), x["items"]))
+        return tail.select("word", "items", "items_n", more.alias("more"),
+                           F.transform(rare, lambda x: x["items_n"]).alias("more_n"), shaped(F.col("word")).alias("old"))
+    beyond = known.where("word < 0")
+    found = (tail.select("word", F.inline(rare)).withColumn("other", F.shiftright("items", 1))
+             .join(beyond.select(F.col("word").alias("other"), "class"), "other")
+             .groupBy("word", item(F.col("class"), F.col("items")).alias("item")).agg(F.sum("items_n").alias("n"))
+             .groupBy("word").agg(F.collect_list(F.struct("item", "n")).alias("more"))
+             .select("word", F.col("more.item").alias("more"), F.col("more.n").alias("more_n")))
+    return (tail.join(found.hint("shuffle_hash"), "word", "left")
+            .join(beyond.select("word", F.col("class").alias("old")).hint("shuffle_hash"), "word", "left")
+            .select("word", "items", "items_n", "more", "more_n", "old"))
+
+
+def _old(batch: pa.RecordBatch, place_class: np.ndarray) -> np.ndarray:
+    word = batch["word"].to_numpy(zero_copy_only=False)
+    beyond = batch["old"].fill_null(0).to_numpy(zero_copy_only=False)
+    return np.where(word >= 0, place_class[np.maximum(word, 0)], beyond)
+
+
+def moved(rows: DataFrame, state, half: int, classes: int) -> DataFrame:
+    """(word, class) after the words of one half have moved. `state` is a broadcast of the dictionary's halves and
+    shapes, the classes by place and the counts between classes."""
+
+    def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        halves, shapes, place_class, between = state.value
+        for batch in batches:
+            word, old = batch["word"].to_numpy(zero_copy_only=False), _old(batch, place_class)
+            at, place = np.arange(len(word)), np.clip(word, 0, len(halves) - 1)
+            gain = gains(between, *histograms(batch, place_class, len(between)), old)
+            home = classes + np.where(word >= 0, shapes[place], (-1 - word) & 7)
+            stay = gain[at, home]
+            gain[:, classes:] = -np.inf
+            gain[:, :classes] -= math.log(classes)
+            gain[at, home] = stay
+            new = gain.argmax(axis=1)
+            mine = np.where(word >= 0, halves[place], (-1 - word) >> 3 & 1) == half
+            new = np.where(mine & (gain[at, new] > gain[at, old] + 1e-9), new, old)
+            yield pa.RecordBatch.from_pydict({"word": pa.array(word), "class": pa.array(new.astype(np.int64))})
+
+    return rows.mapInArrow(move, "word long, class long")
+
+
+def tail_pairs(rows: DataFrame, state, clustered: int, classes: int) -> DataFrame:
+    """(pair, n) of the pairs with a word of the tail; the states are the head, the tail's classes and the end."""
+    states = clustered + classes + 1
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place_class = state.value[2]
+        # The state of a place: a head word its own, a word of the tail that of its class, the end the last.
+        at = np.where(np.arange(len(place_class)) < clustered, np.arange(len(place_class)), clustered + place_class)
+        held = np.zeros((2, classes, states))
+        for batch in batches:
+            word, old = batch["word"].to_numpy(zero_copy_only=False), _old(batch, place_class)
+            for name in ("items", "more"):
+                row, other, side, n = _items(batch, name)
+                self = other == word[row]
+                to = np.where(self, clustered + old[row], at[np.maximum(other, 0)])
+                # A pair within the tail counts once, from its first word.
+                used = ((other >= 0) | self) & ((side == 0) | (to < clustered) | (to == states - 1))
+                held += np.bincount(((side * classes + old[row]) * states + to)[used], weights=n[used],
+                                    minlength=held.size).reshape(held.shape)
+        side, cls, to = np.nonzero(held)
+        mine = clustered + cls
+        pair = np.where(side == 0, mine * states + to, to * states + mine)
+        yield pa.RecordBatch.from_pydict({"pair": pa.array(pair), "n": pa.array(held[side, cls, to].astype(np.int64))})
+
+    return rows.mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+
+
+def spread(texts: DataFrame, shared, head: np.ndarray, first: np.ndarray, second: np.ndarray, n: np.ndarray,
+           classes: int, passes: int = PASSES) -> tuple[np.ndarray, DataFrame, np.ndarray]:
+    """(class by place, (word, class) of the words beyond the dictionary, counts between the classes).
+
+    `shared`: broadcast lexicon; `head`: classes of the head; `first`, `second`, `n`: the state pairs. Classes are the
+    learned ones, one per shape, the end."""
+    spark, lexicon = texts.sparkSession, shared.value
+    c, places, end = lexicon.clustered, len(lexicon.counts), classes + SHAPES
+    place_class = np.concatenate([head, classes + lexicon.shapes[c:], [end], np.arange(end)])
+
+    def counted(cls: np.ndarray, a: np.ndarray, b: np.ndarray, times: np.ndarray) -> np.ndarray:
+        return np.bincount(cls[a] * (end + 1) + cls[b], weights=times, minlength=(end + 1) ** 2).reshape(end + 1, end + 1)
+
+    between = counted(np.concatenate([head, np.arange(classes, end + 1)]), first, second, n)
+    known, states = None, c + end + 1
+    inner = ((first < c) | (first == lexicon.end)) & ((second < c) | (second == lexicon.end))
+    head_pairs = [*(np.where(x[inner] == lexicon.end, states - 1, x[inner]).astype(np.int64) for x in (first, second)), n[inner]]
+    tail = neighbours(texts, shared, c).persist(StorageLevel.DISK_ONLY)
+    for k in range(passes):
+        state = spark.sparkContext.broadcast((lexicon.half, np.append(lexicon.shapes, 0), place_class, between))
+        known = settled(moved(_with_classes(tail, known, places, classes), state, k % 2, classes), "brown-classes")
+        # At most one row of two numbers per word of the dictionary, and per pair of a head word and a class.
+        got = known.where("word >= 0").toArrow()
+        place_class[got["word"].to_numpy()] = got["class"].to_numpy()
+        state = spark.sparkContext.broadcast((None, None, place_class, None))
+        pairs = tail_pairs(_with_classes(tail, known, places, classes), state, c, end).toArrow()
+        tail_side = [*np.divmod(pairs["pair"].to_numpy(), states), pairs["n"].to_numpy()]
+        a, b, times = (np.concatenate(x) for x in zip(head_pairs, tail_side))
+        order = np.argsort(a * states + b)
+        start = np.concatenate([place_class[:c], np.arange(end + 1)])
+        cls = exchanged(a[order], b[order], times[order], c, states, classes, 1, start)
+        place_class[:c] = cls[:c]
+        between = counted(cls, a, b, times)
+    tail.unpersist()
+    return place_class[:places], known.where("word < 0"), between
+
+
 @dataclass
 class Model:
-    lexicon: Lexicon
+    lexicon: Lexicon            # every word a state
     classes: np.ndarray         # class by state
     transition: np.ndarray      # log10 P(class | class)
     emission: np.ndarray        # log10 P(word | class) by place in the lexicon
     base: np.ndarray            # log10 of the base share by place in the lexicon
-    shape_loss: np.ndarray      # log10 of the denominator of each shape
+    loss: np.ndarray            # log10 of the denominator of each class
+    shape_loss: np.ndarray      # log10 of the denominator of each shape's class
     base_loss: float            # log10 of the base denominator
     end_base: float
     end_known: int
     train_tokens: int
+    beyond: DataFrame           # (word, n, class) of the words beyond the lexicon
 
-    def scored(self, text: bytes | None) -> tuple[int, int, float, float, list[bytes]]:
-        """(tokens, known, base score, score, rare words): the rare words' log10(count + 0.5) are still to be added."""
+    def scored(self, text: bytes | None) -> tuple[int, int, float, float, list[tuple[int, bytes, int, int]]]:
+        """(tokens, known, base score, score, rare words). A rare word is (position, word, class before, class after), -1
+        for the class of another rare word; its counts and the transitions beside it are still to be added."""
         place, state, rare = self.lexicon.looked_up(text)
-        cls = self.classes[state]
         end = self.classes[self.lexicon.end]
-        way = np.concatenate([[end], cls, [end]])
+        way = np.concatenate([[end], np.where(place >= 0, self.classes[state], -1), [end]])
         found = place[place >= 0]
-        lost = self.shape_loss[state[place < 0] - self.lexicon.clustered].sum() if rare else 0.0
         base = self.base[found].sum() - len(rare) * self.base_loss + self.end_base
-        score = self.transition[way[:-1], way[1:]].sum() + self.emission[found].sum() - lost
-        return len(place) + 1, len(found) + self.end_known, float(base), float(score), rare
+        sure = (way[:-1] >= 0) & (way[1:] >= 0)
+        score = self.transition[way[:-1][sure], way[1:][sure]].sum() + self.emission[found].sum()
+        at = np.flatnonzero(place < 0)
+        rows = list(zip(at.tolist(), rare, way[at].tolist(), way[at + 2].tolist()))
+        return len(place) + 1, len(found) + self.end_known, float(base), float(score), rows
+
+    def rest(self, cls: np.ndarray, before: np.ndarray, after: np.ndarray) -> float:
+        """What the rare words of one text, in order, add to the score apart from log10(count + 0.5)."""
+        t, last = self.transition, before < 0
+        back = t[before[~last], cls[~last]].sum() + t[cls[np.flatnonzero(last) - 1], cls[last]].sum()
+        return float(back + t[cls[after >= 0], after[after >= 0]].sum() - self.loss[cls].sum())
 
 
 def frequent(counts: DataFrame, most: int) -> tuple[list[bytes], np.ndarray]:
@@ -238,28 +497,33 @@ def learned(texts: DataFrame, counts: DataFrame, clustered: int = CLUSTERED, cla
     n = pairs["n"].to_numpy()[order].astype(np.float64)
     first, second = (x.astype(np.int32) for x in np.divmod(pair[order], lexicon.states))
     del pairs, pair, order
-    cls = exchanged(first, second, n, lexicon.clustered, lexicon.states, classes)
-    size = int(cls.max()) + 1
-    between = np.bincount(cls[first] * size + cls[second], weights=n, minlength=size * size).reshape(size, size)
+    c = lexicon.clustered
+    head = exchanged(first, second, n, c, lexicon.states, classes)[:c]
+    classes = max(1, min(classes, c))
+    cls, known, between = spread(texts, shared, head, first, second, n, classes)
+    del first, second, n
+    size = len(between)
     total = between.sum(axis=0)
     share = (total + 0.5) / (total.sum() + 0.5 * size)
     transition = np.log10((between + PRIOR * share) / (between.sum(axis=1, keepdims=True) + PRIOR))
 
-    words, occurrences = np.zeros(SHAPES), np.zeros(SHAPES)
-    for k, (distinct, sum_) in shapes.items():
-        words[k], occurrences[k] = distinct, sum_
-    c = lexicon.clustered
-    words -= np.bincount(lexicon.shapes[:c], minlength=SHAPES)
-    occurrences -= np.bincount(lexicon.shapes[:c], weights=lexicon.counts[:c], minlength=SHAPES)
-    shape_loss = np.log10(occurrences + 0.5 * (words + 1))
-    emission = np.concatenate([
-        np.log10(lexicon.counts[:c] / np.maximum(total[cls[:c]], 1.0)),
-        np.log10(lexicon.counts[c:] + 0.5) - shape_loss[lexicon.shapes[c:]]])
+    frequent_words = spark.createDataFrame(pd.DataFrame({"word": [w.decode() for w in lexicon.place]}), "word string")
+    beyond = settled(
+        counts.join(F.broadcast(frequent_words), "word", "left_anti").withColumn("code", -1 - _code_column(F.col("word")))
+        .join(known.select(F.col("word").alias("code"), "class"), "code").select("word", "n", "class"), "brown-beyond")
+    words = np.zeros(size - 1)
+    words[classes:] = 1
+    words += np.bincount(cls, minlength=size - 1)
+    for d, more in beyond.groupBy("class").count().collect():
+        words[d] += more
+    loss = np.log10(np.maximum(total[:-1] + 0.5 * words, 0.5))
+    emission = np.log10(lexicon.counts + 0.5) - loss[cls]
     distinct = sum(v[0] for v in shapes.values()) + (documents > 0)
     train = int(sum(v[1] for v in shapes.values())) + documents
     base_loss = math.log10(train + 0.5 * (distinct + 1))
-    return Model(lexicon, cls, transition, emission, np.log10(lexicon.counts + 0.5) - base_loss, shape_loss, base_loss,
-                 math.log10(documents + 0.5) - base_loss, int(documents > 0), train)
+    return Model(lexicon.widened(), np.concatenate([cls, np.arange(classes, size)]), transition, emission,
+                 np.log10(lexicon.counts + 0.5) - base_loss, loss, loss[classes:], base_loss,
+                 math.log10(documents + 0.5) - base_loss, int(documents > 0), train, beyond)
 
 
 def lm_scores(docs: DataFrame, key: str = "doc_id", text: str = "text", clustered: int = CLUSTERED,
@@ -269,11 +533,15 @@ def lm_scores(docs: DataFrame, key: str = "doc_id", text: str = "text", clustere
     train = docs.where(~held_out).select(F.col(text).cast("binary").alias("text"))
     counts = settled(word_counts(train), "brown-counts")
     model = learned(train, counts, clustered, classes, dictionary)
+    classes = len(model.loss) - SHAPES
+    beyond, model.beyond = model.beyond, None
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    rare_word = StructType([StructField("position", LongType()), StructField("word", StringType()),
+                            StructField("before", LongType()), StructField("after", LongType())])
     schema = StructType([docs.select(F.col(key).alias("key")).schema[0], StructField("held_out", BooleanType()),
                          StructField("n_tokens", LongType()), StructField("n_known", LongType()),
                          StructField("base_score", DoubleType()), StructField("score", DoubleType()),
-                         StructField("rare", ArrayType(StringType()))])
+                         StructField("rare", ArrayType(rare_word))])
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = shared.value
@@ -282,16 +550,27 @@ def lm_scores(docs: DataFrame, key: str = "doc_id", text: str = "text", clustere
             yield pd.DataFrame({
                 "key": batch["key"], "held_out": batch["held_out"], "n_tokens": [r[0] for r in rows],
                 "n_known": [r[1] for r in rows], "base_score": [r[2] for r in rows], "score": [r[3] for r in rows],
-                "rare": [[w.decode() for w in r[4]] for r in rows]})
+                "rare": [[{"position": p, "word": w.decode(), "before": b, "after": a} for p, w, b, a in r[4]] for r in rows]})
+
+    def join_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        m = shared.value
+        for batch in batches:
+            ways = zip(batch["class"], batch["before"], batch["after"])
+            yield pd.DataFrame({"row": batch["row"], "more": batch["more"], "found": batch["found"],
+                                "rest": [m.rest(*w) for w in ways]})
 
     rows = docs.select(F.col(key).alias("key"), held_out.alias("held_out"), F.col(text).cast("binary").alias("text"))
     part = settled(rows.mapInPandas(score, schema).withColumn("row", F.monotonically_increasing_id()), "brown-scores")
-    rare = part.select("row", F.explode("rare").alias("word")).join(counts, "word", "left")
+    rare = part.select("row", F.inline("rare")).join(beyond, "word", "left").withColumn(
+        "class", F.coalesce("class", (classes + _shape_column(F.col("word"))).cast("long")))
     rest = rare.groupBy("row").agg(
-        F.sum(F.log10(F.coalesce(F.col("n"), F.lit(0)) + 0.5)).alias("more"), F.count("n").alias("found"))
+        F.sum(F.log10(F.coalesce(F.col("n"), F.lit(0)) + 0.5)).alias("more"), F.count("n").alias("found"),
+        F.array_sort(F.collect_list(F.struct("position", "class", "before", "after"))).alias("ways")
+        ).select("row", "more", "found", "ways.class", "ways.before", "ways.after").mapInPandas(
+            join_up, "row long, more double, found long, rest double")
     return part.drop("rare").join(rest, "row", "left").select(
         F.col("key").alias(key), "held_out", "n_tokens",
         (F.col("n_known") + F.coalesce("found", F.lit(0))).alias("n_known"),
         F.lit(model.train_tokens).cast("long").alias("train_tokens"),
         (F.col("base_score") + F.coalesce("more", F.lit(0.0))).alias("base_score"),
-        (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"))
+        (F.col("score") + F.coalesce("more", F.lit(0.0)) + F.coalesce("rest", F.lit(0.0))).alias("score"))

@@ -84,3 +84,42 @@ def test_empty_and_untrained(spark):
     held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 5 == 1)
     row = q.lm_scores(edge_docs(spark, [(held, "one two", "en", "a")])).first()
     assert (row.n_tokens, row.n_known, row.train_tokens, row.base_score) == (3, 0, 0, 0.0) and row.score <= 0
+
+
+def likelihood(first, second, n, cls):
+    size = int(cls.max()) + 1
+    between = np.bincount(cls[first] * size + cls[second], weights=n, minlength=size * size).reshape(size, size)
+    return q._xlogx(between).sum() - q._xlogx(between.sum(axis=0)).sum() - q._xlogx(between.sum(axis=1)).sum()
+
+
+def test_gains_are_differences_of_the_likelihood():
+    """In closed chains, where every word is as often first as second. State 9 is the end, of class 4."""
+    rng = np.random.default_rng(1)
+    way = np.concatenate([[9], rng.integers(0, 9, 300), [9]])
+    count = Counter(zip(way[:-1].tolist(), way[1:].tolist()))
+    first, second = (np.array([p[k] for p in count]) for k in (0, 1))
+    n = np.array(list(count.values()), dtype=float)
+    cls = np.append(np.arange(9) % 4, 4)
+    between = np.bincount(cls[first] * 5 + cls[second], weights=n, minlength=25).reshape(5, 5)
+    for w in range(9):
+        after, before = (np.bincount(cls[b[(a == w) & (b != w)]], weights=n[(a == w) & (b != w)], minlength=5)[None]
+                         for a, b in ((first, second), (second, first)))
+        gain = q.gains(between, after, before, n[(first == w) & (second == w)].sum(keepdims=True), cls[[w]])[0]
+        want = [likelihood(first, second, n, np.where(np.arange(10) == w, c, cls)) for c in range(4)]
+        assert gain - gain[0] == pytest.approx(np.array(want) - want[0])
+
+
+@pytest.mark.parametrize("dictionary", [15, 1000])
+def test_words_beyond_the_head_get_classes(spark, dictionary):
+    """Frequent words h stand between a and b, g between b and a; so do twenty rare words x and twenty y."""
+    rng = np.random.default_rng(2)
+    pick = lambda often, seldom: f"{often}{rng.integers(4)}" if rng.random() < 0.7 else f"{seldom}{rng.integers(20)}"
+    texts = [(" ".join(f"a {pick('h', 'x')} b {pick('g', 'y')}" for _ in range(50)).encode(),) for _ in range(40)]
+    docs = spark.createDataFrame(texts, "text binary")
+    model = q.learned(docs, q.word_counts(docs).cache(), clustered=10, classes=4, dictionary=dictionary)
+    got = {w.decode(): int(model.classes[k]) for w, k in model.lexicon.place.items()}
+    got |= {r.word: r["class"] for r in model.beyond.collect()}
+    assert len(got) == 50 and (model.beyond.count() > 20) == (dictionary < 50)
+    h, g = ({got[f"{s}{i}"] for i in range(4)} for s in "hg")
+    x, y = ([c for i in range(20) if (c := got[f"{s}{i}"]) < 4] for s in "xy")
+    assert min(len(x), len(y)) >= 5 and set(x) <= h and set(y) <= g
