@@ -10,7 +10,7 @@ few thousand numbers is fitted. Scoring is one narrow pass over all texts, witho
 
 Defined cases: null and empty texts, and texts without words, are one passage of zeros and get a score like any other.
 Without usable labels every score is 0.5. Labels that are null are ignored; a document with several labels counts once
-for each. Repeated rows get equal scores. Extra columns pass through `scored`. An empty table gives an empty table.
+for each. Repeated rows count once in learning and get equal scores. Extra columns pass through `scored`. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -150,13 +150,14 @@ def fit(bags: list[np.ndarray], labels: np.ndarray, seed: int = 0) -> Model:
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str,
                     max_labels: int = MAX_LABELS) -> DataFrame:
-    """Text and label of at most `max_labels` labelled documents whose id the hold-out rule leaves for learning."""
+    """The distinct texts and labels of at most `max_labels` ids with labels, left for learning by the hold-out rule."""
     chosen = (labels.select(F.col(key).alias("key"), F.col(label).cast("double").alias("label"))
               .where(F.col("label").isin(0.0, 1.0) & (remainder("key", 3) != 1))
-              .orderBy(F.xxhash64("key"), "key", "label").limit(max_labels))
+              .distinct().orderBy(F.xxhash64("key"), "key", "label").limit(max_labels))
     texts = docs.select(F.col(key).alias("key"), whole(text).alias("text"))
     # The broadcast side has max_labels rows of two numbers.
-    return texts.where(F.length("text") <= MAX_LABELLED_CHARS).join(F.broadcast(chosen), "key")
+    return (texts.where(F.length("text") <= MAX_LABELLED_CHARS).join(F.broadcast(chosen), "key")
+            .dropDuplicates(["key", "label", "text"]))
 
 
 def learned(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality",
@@ -170,9 +171,10 @@ def learned(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
                 "bag": [passages(bytes(t)).tobytes() for t in batch["text"]]})
 
     rows = (sample.select(F.xxhash64("key", "text").alias("hash"), "label", F.col("text").cast("binary").alias("text"))
-            .mapInPandas(encode, "hash long, label double, bag binary").collect())
-    # A document that occurs more than once with its label adds rows beyond max_labels only as often as it is repeated.
-    rows = sorted(rows)[:max_labels]
+            .mapInPandas(encode, "hash long, label double, bag binary")
+            # An id may have many texts. They are cut on the executors: as the last step, the limit would run on the driver.
+            .orderBy("hash", "label").limit(max_labels).coalesce(1).collect())
+    rows = sorted(rows)
     y = np.array([r["label"] for r in rows])
     if len(set(y.tolist())) < 2:
         return None

@@ -1,5 +1,8 @@
+import zlib
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from seatmeter.llm import mil as q
 from tests.llm.cases import GOOD, edge_docs
@@ -79,3 +82,18 @@ def test_sample_is_bounded(spark):
     labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
     sample = q.labelled_sample(docs, labels, "doc_id", "text", "quality", 10)
     assert sample.count() == 10 and sample.where(q.remainder("key", 3) == 1).count() == 0
+
+
+def test_copies_do_not_push_out_the_sample(spark):
+    """Copies of one row, in the documents and in the labels, take one place in a small sample each."""
+    free = [i for i in range(200) if zlib.crc32(str(i).encode()) % 3 != 1]
+    hash_of = {r.i: r.h for r in spark.createDataFrame([(i,) for i in free], "i long").select(
+        "i", F.xxhash64("i").alias("h")).collect()}
+    hot = min(free, key=hash_of.get)
+    rows = [(i, f"text {i}") for i in free] + [(hot, f"text {hot}")] * 500
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, k % 2) for k, i in enumerate(free)] + [(hot, free.index(hot) % 2)] * 500,
+                                   "doc_id long, quality int")
+    sample = q.labelled_sample(docs, labels, "doc_id", "text", "quality", 40).collect()
+    assert len(sample) == 40 and len({r.key for r in sample}) == 40
+    assert q.learned(docs, labels, max_labels=40) is not None
