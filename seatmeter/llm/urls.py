@@ -50,8 +50,11 @@ def intervals(entries: DataFrame) -> DataFrame:
 
     `entries` has entry, category, verdict, at (timestamp) and action (list or delist).
     """
+    # Hosts ignore case, paths do not.
+    domain = F.substring_index("entry", "/", 1)
+    entry = F.concat(F.lower(domain), F.substr("entry", F.length(domain) + 1))
     of = W.partitionBy("entry", "category", "verdict").orderBy("at", F.desc(F.col("action") == "delist"))
-    changes = (entries.select(F.lower("entry").alias("entry"), "category", "verdict", "at", "action")
+    changes = (entries.select(entry.alias("entry"), "category", "verdict", "at", "action")
                .where("entry is not null and at is not null and action in ('list', 'delist')").distinct()
                .withColumn("before", F.lag("action").over(of))
                .where("action <> coalesce(before, 'delist')"))

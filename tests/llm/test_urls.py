@@ -85,3 +85,11 @@ def test_against_brute_force(spark):
                 if (host == e or host.endswith("." + e)) and active(e, c, v, t)]
         want.append((max(hits)[2], max(hits)[3], max(hits)[4]) if hits else ("none", None, None))
     assert verdicts(spark, rows, listed) == want
+
+
+def test_entries_keep_the_case_of_their_path(spark):
+    entries = spark.sql("select 'Example.COM/Forum' entry, 'c' category, 'block' verdict, timestamp'2024-01-01' at, 'list' action")
+    captures = spark.sql("select url, timestamp'2024-02-01' fetched_at from values ('http://example.com/Forum/1'),"
+                         " ('http://EXAMPLE.com/forum') as t(url)")
+    got = {r.url: (r.verdict, r.entry) for r in q.judged(captures, entries).collect()}
+    assert got == {"http://example.com/Forum/1": ("block", "example.com/Forum"), "http://EXAMPLE.com/forum": ("none", None)}
