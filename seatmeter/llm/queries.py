@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from seatmeter.llm import brown, chat, langid, mil, mixing, packing, simhash, topk, urls
+from seatmeter.llm import brown, chat, langid, mil, mixing, packing, simhash, topk, urls, whitening
 from seatmeter.llm import quality_rules as rules
 from seatmeter.llm.common import table
 
@@ -206,3 +206,8 @@ s AS (SELECT q.r, q.vec_id AS query_id, c.vec_id, list_inner_product(q.x::DOUBLE
 k AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM k WHERE rank <= 5
 """
+
+
+@query
+def op12_embedding_whitening(spark, sf):
+    return whitening.whitened(table(spark, sf, "embeddings")).withColumn("deviation", F.col("deviation").cast("long"))

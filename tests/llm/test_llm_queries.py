@@ -21,7 +21,8 @@ COLUMNS = {
     "op4": "query_id rank vec_id score", "op5": "doc_id held_out score predicted",
     "op6": "doc_id held_out n_tokens n_known train_tokens base_score score",
     "op7": "doc_id fingerprint component_id", "op8": "doc_id source epoch block place",
-    "op9": "page_id host fetched_s verdict entry category", "op10": "doc_id held_out lang_pred score"}
+    "op9": "page_id host fetched_s verdict entry category", "op10": "doc_id held_out lang_pred score",
+    "op12": "vec_id component n deviation whitened explained identity_error"}
 
 
 def test_all_are_registered():
