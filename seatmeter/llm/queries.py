@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from seatmeter.llm import brown, chat, langid, mil, mixing, packing, simhash, topk, urls, whitening
+from seatmeter.llm import brown, chat, langid, mil, mixing, packing, periodic, simhash, topk, urls, whitening
 from seatmeter.llm import quality_rules as rules
-from seatmeter.llm.common import table
+from seatmeter.llm.common import table, whole, words
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -211,3 +211,32 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM k WHERE rank <= 5
 @query
 def op12_embedding_whitening(spark, sf):
     return whitening.whitened(table(spark, sf, "embeddings")).withColumn("deviation", F.col("deviation").cast("long"))
+
+
+def _with_runs(documents: DataFrame) -> DataFrame:
+    """The documents' texts, of which every tenth, by its id's crc32, goes on with one of its stretches from some word."""
+    ids = documents.select("doc_id", whole("text").alias("text"), F.crc32(
+        F.col("doc_id").cast("string").cast("binary")).alias("h"))
+    chosen = ids.where("h % 10 = 0").select("*", words(F.col("text")).alias("w")).select(
+        "*", F.size("w").alias("n"), F.floor(F.col("h") / 10).alias("g"))
+    begin = F.expr("cast(g % n AS int)")
+    period = F.expr("cast(1 + floor((n - g % n) / (3 + g % 8)) AS int)")
+    planted = chosen.select("doc_id", F.when(F.col("n") == 0, F.col("text")).otherwise(F.array_join(F.concat(
+        F.slice("w", F.lit(1), begin),
+        F.transform(F.sequence(begin, F.col("n") - 1), lambda i: F.get(F.col("w"), begin + (i - begin) % period))), " "))
+        .alias("text"))
+    return ids.where("h IS NULL OR h % 10 <> 0").select("doc_id", "text").union(planted)
+
+
+@query
+def op11_periodic_runs(spark, sf):
+    found = periodic.periodic_runs(_with_runs(table(spark, sf, "documents")))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(
+        r["length"], (-r["start"]).alias("s"), (-r["period"]).alias("p"))))
+    lines = F.transform("runs", lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n")))
+    return found.withColumn("r", longest).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("r.s")).alias("start"),
+        F.col("r.length").alias("length"), (-F.col("r.p")).alias("period"),
+        F.expr("r.length * 1000 div -r.p").alias("exponent_milli"),
+        F.sha2(F.concat_ws("", lines).cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"), "n_words")
