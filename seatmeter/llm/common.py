@@ -37,14 +37,14 @@ def remainder(doc_id: str, modulus: int) -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % modulus
 
 
-def settled(df: DataFrame, name: str) -> DataFrame:
+def settled(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Compute `df` once, as a Parquet table in the shared folder, and go on from there.
 
-    Lost executors then cost a read, not a recomputation. Each call has a folder of its own.
+    Lost executors then cost a read, not a recomputation. Each call has a folder of its own. `options` are the writer's.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/seatmeter-llm/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

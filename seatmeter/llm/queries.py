@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from seatmeter.llm import brown, chat, langid, mil, mixing, packing, periodic, simhash, topk, urls, whitening
+from seatmeter.llm import (
+    brown, chat, langid, mil, mixing, packing, periodic, repeats, simhash, topk, urls, whitening,
+)
 from seatmeter.llm import quality_rules as rules
 from seatmeter.llm.common import table, whole, words
 
@@ -240,3 +242,11 @@ def op11_periodic_runs(spark, sf):
         F.expr("r.length * 1000 div -r.p").alias("exponent_milli"),
         F.sha2(F.concat_ws("", lines).cast("binary"), 256).alias("runs_sha256"),
         F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"), "n_words")
+
+
+@query
+def op13_suffix_array_dedup(spark, sf):
+    found = repeats.repeats_removed(table(spark, sf, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
+                        F.sha2("kept", 256).alias("kept_sha256"))

@@ -23,7 +23,7 @@ COLUMNS = {
     "op7": "doc_id fingerprint component_id", "op8": "doc_id source epoch block place",
     "op9": "page_id host fetched_s verdict entry category", "op10": "doc_id held_out lang_pred score",
     "op11": "doc_id n_runs start length period exponent_milli runs_sha256 collapsed_sha256",
-    "op12": "vec_id component n deviation whitened explained identity_error"}
+    "op13": "doc_id n_bytes n_removed n_spans kept_sha256", "op12": "vec_id component n deviation whitened explained identity_error"}
 
 
 def test_all_are_registered():
