@@ -22,6 +22,24 @@ def test_ids_are_those_of_the_tokenizer_file(spark, tokenizer):
         assert q.token_ids(text).tolist() == tokenizer.encode(text, add_special_tokens=False).ids + [0]
 
 
+@pytest.mark.parametrize("blank", [" ", "\n", "\t", "\u00a0", " \n\t", "\r\n"])
+def test_long_runs_of_blanks(tokenizer, blank):
+    for n in (1_000, 400_000, 1_000_000):
+        for text in (blank * n, f"a b{blank * n}c d", f"<|endoftext|>{blank * n}"):
+            assert q.token_ids(text).tolist() == tokenizer.encode(text, add_special_tokens=False).ids + [0]
+
+
+def test_very_long_run_and_word(tokenizer):
+    for text in ("x" + " " * 5_000_000 + "y", "w" * 3_000_000):
+        assert q.token_ids(text).tolist() == tokenizer.encode(text, add_special_tokens=False).ids + [0]
+
+
+def test_one_shard_to_a_task(spark):
+    parts = spark.range(500).selectExpr("id", "cast(id % 40 + 1 as int) AS length")
+    plan = q.pack(parts, capacity=41, shard_pieces=50)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM, [plan_id" in plan and plan.count("hashpartitioning(shard") == 0
+
+
 def test_cuts():
     assert q.cuts(1) == [(0, 1)] and q.cuts(2048) == [(0, 2048)] and q.cuts(2049) == [(0, 1), (1, 2048)]
     assert q.cuts(5000) == [(0, 904), (904, 2048), (2952, 2048)]
