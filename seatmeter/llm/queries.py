@@ -155,7 +155,8 @@ _CONTROL = "</s>[INST] ok [/INST]"
 
 
 def _events(conversations: DataFrame) -> DataFrame:
-    """The turns as the event log that would have built them: a start, then the text streamed in two pieces."""
+    """The turns as an event log that could have built them. By md5 of conversation and turn, a message is streamed in
+    two pieces as it is, or drafted first, in other words, and then generated anew or edited."""
     extra = conversations.sparkSession.range(2).select(
         F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(_CONTROL).alias("text"))
@@ -164,13 +165,21 @@ def _events(conversations: DataFrame) -> DataFrame:
     same = F.row_number().over(W.partitionBy("conv_id", "turn").orderBy("role", "text"))
     rows = rows.withColumn("message", F.struct("turn", same.alias("n")))
     half = F.ceil(F.length("text") / 2).cast("int")
-    event = lambda k, kind, role, text: F.struct(
-        (F.col("turn") * 4 + k).alias("seq"), F.lit(kind).alias("kind"), role.alias("role"), text.alias("text"))
+    first, second = F.substring("text", F.lit(1), half), F.substr("text", half + 1)
+    draft = F.reverse(second)
     none = F.lit(None).cast("string")
-    return rows.select(F.col("conv_id").alias("conversation"), "message", F.inline(F.array(
-        event(0, "start", F.col("role"), none),
-        event(1, "delta", none, F.substring("text", F.lit(1), half)),
-        event(2, "delta", none, F.substr("text", half + 1)))))
+    # A null turn comes before all others, and its events keep their order.
+    begin = F.coalesce(F.col("turn").cast("long"), F.lit(-(1 << 50))) * 8
+    event = lambda k, kind, role, text: F.struct(
+        (begin + k).alias("seq"), F.lit(kind).alias("kind"), role.alias("role"), text.alias("text"))
+    start, a, b = event(0, "start", F.col("role"), none), event(4, "delta", none, first), event(5, "delta", none, second)
+    way = _number(F.concat_ws(",", F.col("conv_id").cast("string"), F.col("turn").cast("string"))) % 4
+    log = (F.when(way == 0, F.array(start, event(1, "delta", none, draft), event(2, "regenerate", none, none), a, b))
+           .when(way == 1, F.array(event(0, "start", F.col("role"), draft), event(1, "delta", none, first),
+                                   event(4, "edit", none, first), b))
+           .when(way == 2, F.array(start, a, b, event(6, "edit", none, F.col("text"))))
+           .otherwise(F.array(start, a, b)))
+    return rows.select(F.col("conv_id").alias("conversation"), "message", F.inline(log))
 
 
 @query

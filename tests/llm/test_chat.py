@@ -6,6 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from seatmeter.llm import chat as q
+from seatmeter.llm import queries
 
 LOG = "conversation long, seq long, message long, kind string, role string, text string"
 
@@ -76,3 +77,16 @@ def test_no_python_in_the_plan(spark):
     log.count()
     plan = q.digest(q.formatted(log))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_events_of_a_table_hold_every_kind_and_null_turns_keep_their_order(spark):
+    rows = [(c, t, "assistant" if t % 2 else "user", f"zzzz aaaa {c} {t}") for c in range(6) for t in range(9)]
+    rows += [(7, None, "user", "zzzz aaaa"), (7, None, "user", "yyyy bbbb"), (7, 0, "assistant", "mmmm"), (8, 1, "user", None)]
+    table = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")
+    log = queries._events(table)
+    assert {r.kind for r in log.collect()} == {"start", "delta", "edit", "regenerate"}
+    got = {r.conversation: [tuple(t) for t in r.turns] for r in q.formatted(log).select(
+        "conversation", q.read_turns(F.col("formatted")).alias("turns")).collect()}
+    assert got[3] == [(r, t) for c, _, r, t in rows if c == 3]
+    assert got[7] == [("user", "yyyy bbbb"), ("user", "zzzz aaaa"), ("assistant", "mmmm")] and got[8] == [("user", "")]
+    assert got[-1] == [("user", queries._CONTROL), ("assistant", queries._CONTROL)]
