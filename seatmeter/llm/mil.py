@@ -1,12 +1,12 @@
 """Quality classifier: attention-based multiple-instance learning (Ilse, Tomczak and Welling, 2018).
 
-A document is a bag of passages of about `PASSAGE_WORDS` words. Every passage of the whole text is encoded; gated
-attention weighs the encodings, and the weighted mean is scored. Only document labels are needed: the attention learns
-which passages decide.
+A document is a bag of passages of about `PASSAGE_WORDS` words, or, above `PASSAGES` of them, of `PASSAGES` longer ones
+that cover the whole text. Every passage is encoded from its own words; gated attention weighs the encodings, and the
+weighted mean is scored. Only document labels are needed: the attention learns which passages decide.
 
-Learning uses a bounded sample: `MAX_LABELS` labelled documents at most, chosen by a hash of their ids, none longer than
-`MAX_LABELLED_CHARS`. Their passage features (about two thirds of the texts' size) go to the driver, where a model of a
-few thousand numbers is fitted. Scoring is one narrow pass over all texts, without a shuffle, at any size.
+Learning uses a bounded sample: `MAX_LABELS` labelled documents at most, chosen by a hash of their ids, of any length.
+Their passage features (47 KB a document at most, so 280 MB in all) go to the driver, where a model of a few thousand
+numbers is fitted. Scoring is one narrow pass over all texts, without a shuffle, at any size.
 
 Defined cases: null and empty texts, and texts without words, are one passage of zeros and get a score like any other.
 Without usable labels every score is 0.5. Labels that are null are ignored; a document with several labels counts once
@@ -29,7 +29,7 @@ from seatmeter.llm.common import remainder, whole
 
 PASSAGE_WORDS = 80
 MAX_LABELS = 6000
-MAX_LABELLED_CHARS = 200_000
+PASSAGES = 128               # of a document at most; longer texts have longer passages
 PAIR_BINS = 64
 HIDDEN, GATE = 32, 16
 EPOCHS, BATCH, RATE, DECAY = 15, 64, 0.005, 1e-4
@@ -44,37 +44,46 @@ FEATURES = _BINS + PAIR_BINS + 6
 
 
 def passages(text: bytes | None) -> np.ndarray:
-    """One row of features per passage: shares of character kinds and of hashed letter pairs, mean word length,
-    distinct words and words equal to the one before in the passage, distinct words and repeated lines in the whole
-    text, passage size."""
-    words = (text or b"").split()
+    """One row of features per passage, each from the passage's own words: shares of character kinds and of hashed letter
+    pairs, mean word length, distinct words, words equal to the one before, words not seen earlier in the text, words in
+    lines that repeat an earlier one, passage size."""
+    lines, words = [], []
+    for line in (text or b"").split(b"\n"):
+        lines.append(line)
+        words.append(line.split())
+    of_line = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+    words = [w for line in words for w in line]
     if not words:
         return np.zeros((1, FEATURES), dtype=np.float32)
-    count = -(-len(words) // PASSAGE_WORDS)
+    count = min(PASSAGES, -(-len(words) // PASSAGE_WORDS))
     edges = np.arange(count + 1) * len(words) // count
     ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1)
     stops = ends[edges[1:] - 1]
     sizes = np.diff(stops, prepend=0)
     data = np.frombuffer(b" ".join(words) + b" ", dtype=np.uint8)
-    owner = np.repeat(np.arange(count), sizes)
-    kinds = np.bincount(owner * _BINS + _KIND[data], minlength=count * _BINS).reshape(count, _BINS)
-    pair = (data[:-1].astype(np.int64) * 37 + data[1:]) % PAIR_BINS
-    pairs = np.bincount(owner[:-1] * PAIR_BINS + pair, minlength=count * PAIR_BINS).reshape(count, PAIR_BINS)
-    lines = text.split(b"\n")
-    seen: set[bytes] = set()
-    repeated = 0
-    for line in lines:
-        if line in seen:
-            repeated += len(line)
+    kinds, pairs = np.zeros((count, _BINS)), np.zeros((count, PAIR_BINS))
+    for k, (start, stop) in enumerate(zip((stops - sizes).tolist(), stops.tolist())):
+        part = data[start:stop]
+        kinds[k] = np.bincount(_KIND[part], minlength=_BINS)
+        pairs[k] = np.bincount((part[:-1] * np.int64(37) + part[1:]) % PAIR_BINS, minlength=PAIR_BINS)
+    known: set[bytes] = set()
+    repeated = np.zeros(len(lines))
+    for k, line in enumerate(lines):
+        if line in known:
+            repeated[k] = 1
         else:
-            seen.add(line)
-    spans = [words[a:b] for a, b in zip(edges[:-1].tolist(), edges[1:].tolist())]
+            known.add(line)
     n = np.diff(edges).astype(np.float64)
-    own = np.fromiter((len(set(s)) for s in spans), dtype=np.float64, count=count) / n
+    own, fresh, seen = np.zeros(count), np.zeros(count), set()
+    for k, (start, stop) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist())):
+        distinct = set(words[start:stop])
+        own[k], fresh[k] = len(distinct), -len(seen)
+        seen |= distinct
+        fresh[k] += len(seen)
     same = np.fromiter(map(eq, words, [b"", *words[:-1]]), dtype=np.float64, count=len(words))
     rest = np.column_stack([
-        np.minimum(sizes / n, 50) / 10, own, np.sqrt(np.add.reduceat(same, edges[:-1]) / n), np.full(count, len(set(words)) / len(words)),
-        np.full(count, repeated / len(text)), np.log1p(n) / 5])
+        np.minimum(sizes / n, 50) / 10, own / n, np.sqrt(np.add.reduceat(same, edges[:-1]) / n), fresh / n,
+        np.add.reduceat(np.repeat(repeated, of_line), edges[:-1]) / n, np.log1p(n) / 5])
     return np.hstack([kinds / sizes[:, None], 4 * np.sqrt(pairs / sizes[:, None]), rest]).astype(np.float32)
 
 
@@ -156,8 +165,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, key: str, text: str, lab
               .distinct().orderBy(F.xxhash64("key"), "key", "label").limit(max_labels))
     texts = docs.select(F.col(key).alias("key"), whole(text).alias("text"))
     # The broadcast side has max_labels rows of two numbers.
-    return (texts.where(F.length("text") <= MAX_LABELLED_CHARS).join(F.broadcast(chosen), "key")
-            .dropDuplicates(["key", "label", "text"]))
+    return texts.join(F.broadcast(chosen), "key").dropDuplicates(["key", "label", "text"])
 
 
 def learned(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality",

@@ -97,3 +97,39 @@ def test_copies_do_not_push_out_the_sample(spark):
     sample = q.labelled_sample(docs, labels, "doc_id", "text", "quality", 40).collect()
     assert len(sample) == 40 and len({r.key for r in sample}) == 40
     assert q.learned(docs, labels, max_labels=40) is not None
+
+
+def test_one_passage_of_many_decides(spark):
+    """A document is bad if one of its passages is. The attention falls on that passage, and shuffled ones score alike."""
+    rng = np.random.default_rng(8)
+    prose = "the house of our north stands by a water and in winter people walk to it for their view".split()
+    def bag(bad, size):
+        parts = [" ".join(rng.choice(prose, q.PASSAGE_WORDS)) for _ in range(size)]
+        if bad:
+            parts[rng.integers(size)] = " ".join(rng.choice(["##$$%%", "!!||!!", "&&<>##", "$#%|"], q.PASSAGE_WORDS))
+        return q.passages(" ".join(parts).encode())
+    bad = rng.random(300) < 0.5
+    bags = [bag(b, int(rng.integers(8, 20))) for b in bad]
+    model = q.fit(bags[:200], 1.0 - bad[:200])
+    right = 0
+    for b, x in zip(bad[200:], bags[200:]):
+        got = q._forward(model.weights, (x - model.mean) / model.scale, np.array([0]))
+        right += (got["p"][0] < 0.5) == b
+        if b:
+            odd = int(x[:, q._KIND[ord("#")]].argmax())
+            assert got["a"].argmax() == odd and got["a"][odd] > 3 / len(x)
+    assert right >= 97
+
+
+def test_long_labelled_texts_are_learned_from(spark):
+    """Texts of 240,000 to 300,000 characters, and a bag of bounded size whatever the text."""
+    rows = [(i, (GOOD + " ") * (1500 + 9 * i) if i % 2 else "#### $$$$ spam " * (17_000 + 90 * i), "en", "a") for i in range(40)]
+    docs = edge_docs(spark, rows)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    assert q.labelled_sample(docs, labels, "doc_id", "text", "quality", 100).count() > 20
+    report = {r.doc_id: r.predicted for r in q.quality_report(docs, labels).collect()}
+    assert report == {i: i % 2 for i in range(40)}
+    long = q.passages(b"word " * 1_000_000)
+    assert len(long) == q.PASSAGES
+    tail = b"word " * 999_000
+    assert not np.array_equal(q.passages(tail + b"one " * 1000)[-1], q.passages(tail + b"### " * 1000)[-1])
