@@ -89,7 +89,7 @@ def test_every_row_is_read_without_a_budget(spark):
 
 def test_last_epoch_is_a_prefix_of_its_permutation(spark):
     docs = edge_docs(spark, [(i, "w " * (1 + i % 3), "en", "a") for i in range(200)])
-    rows = docs.select(F.col("source"), q._row_hash("doc_id", "text").alias("row"),
+    rows = docs.select(F.col("source"), q._row_hash("doc_id", "text").alias("row"), F.lit(0).alias("number"),
                        F.size(q.words(F.col("text"))).cast("long").alias("tokens"), "doc_id")
     order = sorted(rows.select("doc_id", "tokens", q._turn(F.col("row"), F.lit(0)).alias("turn")).collect(),
                    key=lambda r: r.turn)
@@ -120,3 +120,31 @@ def test_blocks_hold_the_weights(spark):
     per = {(r.block, r.source): r["count"] for r in rows}
     shares = [per[b, "a"] / (per[b, "a"] + per[b, "b"]) for b in range(8)]
     assert max(shares) - min(shares) < 0.12
+
+
+@pytest.mark.parametrize("budget", [1300.0, 1800.0, 400.0, 2401.0])
+def test_equal_rows_are_cut_at_the_budget(spark, budget):
+    """Half the rows are copies of one: the budget is met to within a row, and other rows are read as often as before."""
+    rows = [(5, "a b c d", "en", "a")] * 300 + [(100 + i, f"w{i} x y z", "en", "a") for i in range(300)]
+    got = q.mixing_report(edge_docs(spark, rows), q.Targets(entropy=None, epochs=None, budget=budget)).collect()
+    assert budget - 4 < 4 * len(got) <= budget
+    times = {}
+    for r in got:
+        times[r.doc_id] = times.get(r.doc_id, 0) + 1
+    assert all(times.get(100 + i, 0) in (int(budget // 2400), int(budget // 2400) + 1) for i in range(300))
+
+
+def test_written_rows_stand_by_block_and_place(spark, tmp_path):
+    docs = edge_docs(spark, DOCS)
+    q.mixed(docs).write.parquet(str(tmp_path / "m"))
+    want = {}
+    for r in q.mixing_report(docs).collect():
+        want.setdefault(r.doc_id, []).append((r.block, r.place))
+    held, last = 0, (-1, 0)
+    for path in sorted((tmp_path / "m").glob("*.parquet")):
+        for r in spark.read.parquet(str(path)).collect():
+            later = sorted(x for x in want[r.doc_id] if x >= last)
+            last = later[0]
+            want[r.doc_id].remove(last)
+            held += 1
+    assert not any(want.values()) and held >= len(DOCS)
