@@ -5,7 +5,9 @@ import os
 
 import corpus_pipeline
 import duckdb
+import public_tokenizers
 import pytest
+from tokenizers import Tokenizer
 
 from __spark_entry__ import oracle_sql, queries
 from seatmeter.llm import mil, mixing, packing, quality_rules, simhash
@@ -67,6 +69,15 @@ def test_pipeline_stage_by_stage(spark):
     assert held[5].selectExpr("sum(length)").first()[0] == tokens
     assert max(r[1] for r in held[5].groupBy("sequence_id").sum("length").collect()) <= 2048
     assert corpus_pipeline.run(spark, SF).count() == held[5].count()
+    # Read back from the sequences, every copy is a kept text.
+    tokenizer, content = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), {}
+    for r in held[5].orderBy("sequence_id", "offset").collect():
+        content.setdefault(r.sequence_id, []).extend(r.ids)
+    read = {}
+    for r in held[5].orderBy("doc_id", "copy", "piece").collect():
+        read.setdefault((r.doc_id, r.copy), []).extend(content[r.sequence_id][r.offset:r.offset + r.length])
+    assert sorted((d, tokenizer.decode(ids[:-1])) for (d, _), ids in read.items()) == sorted(
+        (r.doc_id, r.text) for r in held[4].collect())
 
 
 def test_pipeline_on_edges(spark):
