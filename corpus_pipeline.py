@@ -2,12 +2,13 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
 stage's documents. All stages but the last return the columns of the documents; the last one returns the pieces of the
-packed sequences.
+packed sequences with their token ids, so training reads a sequence as its pieces in the order of their offsets.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from seatmeter.llm import mil, mixing, packing, quality_rules, simhash
 from seatmeter.llm.common import settled, table
@@ -34,8 +35,10 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of at most 2,048 tokens with their sequence and offset."""
-    return packing.pack(packing.pieces(docs, with_ids=False))
+    """Pieces of at most 2,048 tokens with their ids, sequence and offset. `copy` numbers the rows that were packed, as a
+    document may be there twice."""
+    docs = docs.select("doc_id", "text").withColumn("copy", F.monotonically_increasing_id())
+    return packing.pack(packing.pieces(docs, also=("copy",)))
 
 
 STAGES = [
