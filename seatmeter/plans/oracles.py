@@ -204,6 +204,99 @@ _TABLES = {
         UNION ALL
         SELECT poll_id, server_hostname, 'free_' || (k % 2), '', '', 9999, 0, NULL, sampled_at
         FROM polls WHERE server_type = 'flexlm' AND k % 20 > 1""",
+    "event_steps": """
+        SELECT *, lag(tm) OVER w AS at_before, lag(event_type) OVER w AS type_before,
+               lead(id) OVER w IS NULL AS is_last
+        FROM (SELECT *, CAST(event_date AS TIMESTAMP) + CAST(event_time AS INTERVAL) AS tm FROM license_events
+              WHERE event_type IN ('IN', 'OUT'))
+        WINDOW w AS (PARTITION BY feature_name, username ORDER BY tm, id)""",
+    "sessions": """
+        SELECT feature_name, username, CASE WHEN type_before = 'OUT' THEN at_before END AS started_at, tm AS ended_at,
+               CASE WHEN event_type = 'OUT' THEN 'replaced' WHEN type_before = 'OUT' THEN 'returned' ELSE 'unmatched' END
+                 AS state
+        FROM event_steps WHERE event_type = 'IN' OR type_before = 'OUT'
+        UNION ALL SELECT feature_name, username, tm, NULL, 'held' FROM event_steps WHERE is_last AND event_type = 'OUT'""",
+    "levels": """
+        SELECT feature_name, tm, started, sum(step) OVER (PARTITION BY feature_name ORDER BY tm) AS users
+        FROM (SELECT feature_name, tm, sum(step) AS step, sum(started) AS started
+              FROM (SELECT feature_name, started_at AS tm, 1 AS step, 1 AS started FROM sessions
+                    UNION ALL SELECT feature_name, ended_at, -1, 0 FROM sessions WHERE started_at IS NOT NULL)
+              WHERE tm IS NOT NULL GROUP BY 1, 2)""",
+    "tool_states": """
+        SELECT server_hostname, 'tool' || (k % 10) AS feature_name, sampled_at AS tm,
+               arg_max(total_licenses // 4, poll_id) AS total,
+               arg_max(least(total_licenses // 4, used_licenses), poll_id) AS used
+        FROM polls GROUP BY 1, 2, 3""",
+    "denied": """
+        SELECT id, feature_name, username, reason, CAST(event_date AS TIMESTAMP) + CAST(event_time AS INTERVAL) AS tm
+        FROM license_events WHERE event_type = 'DENIED'""",
+    "rounds": """
+        SELECT server_hostname, polled_at, row_number() OVER w AS round, lead(polled_at) OVER w AS next_at
+        FROM (SELECT DISTINCT server_hostname, polled_at FROM polls)
+        WINDOW w AS (PARTITION BY server_hostname ORDER BY polled_at)""",
+    "round_states": """
+        SELECT *, lag(round) OVER w AS round_before, lag(next_at) OVER w AS next_before,
+               lag(total) OVER w AS total_before, lag(used) OVER w AS used_before, lead(round) OVER w IS NULL AS is_last
+        FROM (SELECT server_hostname, feature_name AS name, version, expiration_date, polled_at,
+                     arg_max(total_licenses, poll_id) AS total, arg_max(used_licenses, poll_id) AS used
+              FROM polls GROUP BY ALL) JOIN rounds USING (server_hostname, polled_at)
+        WINDOW w AS (PARTITION BY server_hostname, name, version, expiration_date ORDER BY round)""",
+    "pool_points": """
+        SELECT server_hostname, name, version, expiration_date, polled_at AS tm, TRUE AS listed, total, used
+        FROM round_states
+        WHERE round_before IS NULL OR round_before + 1 < round OR total <> total_before OR used <> used_before
+        UNION ALL SELECT server_hostname, name, version, expiration_date, next_before, FALSE, NULL, NULL
+        FROM round_states WHERE round_before + 1 < round
+        UNION ALL SELECT server_hostname, name, version, expiration_date, next_at, FALSE, NULL, NULL
+        FROM round_states WHERE is_last AND next_at IS NOT NULL""",
+    "answers": """
+        SELECT poll_id, server_hostname, sampled_at AS tm, CAST(poll_id AS VARCHAR) AS dump_id,
+               row_number() OVER (PARTITION BY server_hostname ORDER BY sampled_at, CAST(poll_id AS VARCHAR)) AS n
+        FROM polls WHERE k % 20 <> 0""",
+    "seen_holders": """
+        SELECT DISTINCT a.server_hostname, n, tm, dump_id, feature_name, 'user' || i AS username, 'host' || (k % 7) AS host
+        FROM holders h JOIN answers a USING (poll_id)""",
+    "hours": """
+        SELECT server_hostname, feature_name, CAST(date AS DATE) AS day, CAST(substr(time, 1, 2) AS INTEGER) AS hour,
+               date_diff('day', DATE '1970-01-01', date) * 24 + CAST(substr(time, 1, 2) AS INTEGER) AS slot,
+               avg(users_count) AS level
+        FROM feature_usage GROUP BY ALL""",
+    "hour_moments": """
+        SELECT server_hostname, feature_name, count(*) AS hours, avg(level) AS mean, var_pop(level) AS variance
+        FROM hours GROUP BY 1, 2""",
+    "lagged": """
+        SELECT a.server_hostname, a.feature_name, b.slot - a.slot AS lag, count(*) AS pairs,
+               avg((a.level - mean) * (b.level - mean)) / any_value(variance) AS r
+        FROM hours a JOIN hours b ON a.server_hostname = b.server_hostname AND a.feature_name = b.feature_name
+             AND b.slot - a.slot IN (24, 168)
+        JOIN hour_moments m ON m.server_hostname = a.server_hostname AND m.feature_name = a.feature_name
+        WHERE variance > 1e-9 GROUP BY 1, 2, 3""",
+    "by_hour": """
+        SELECT server_hostname, feature_name, string_agg(coalesce(CAST(level AS VARCHAR), '-'), ',' ORDER BY i) AS pattern
+        FROM (SELECT DISTINCT server_hostname, feature_name FROM feature_usage) CROSS JOIN range(24) r(i)
+        LEFT JOIN (SELECT server_hostname, feature_name, CAST(substr(time, 1, 2) AS INTEGER) AS i,
+                          CAST(round(avg(users_count) * 1000) AS BIGINT) AS level FROM feature_usage GROUP BY 1, 2, 3)
+          USING (server_hostname, feature_name, i) GROUP BY 1, 2""",
+    "by_weekday": """
+        SELECT server_hostname, feature_name, string_agg(coalesce(CAST(level AS VARCHAR), '-'), ',' ORDER BY i) AS pattern
+        FROM (SELECT DISTINCT server_hostname, feature_name FROM feature_usage) CROSS JOIN range(7) r(i)
+        LEFT JOIN (SELECT server_hostname, feature_name, dayofweek(date) AS i,
+                          CAST(round(avg(users_count) * 1000) AS BIGINT) AS level FROM feature_usage GROUP BY 1, 2, 3)
+          USING (server_hostname, feature_name, i) GROUP BY 1, 2""",
+    "week_cells": """
+        SELECT server_hostname, feature_name, dayofweek(date) * 24 + CAST(substr(time, 1, 2) AS INTEGER) AS slot,
+               avg(users_count) AS level
+        FROM feature_usage GROUP BY 1, 2, 3""",
+    "busy_cells": """
+        SELECT server_hostname, feature_name, slot + turn * 168 AS slot, level,
+               slot + turn * 168 - row_number() OVER (PARTITION BY server_hostname, feature_name ORDER BY slot + turn * 168)
+                 AS island
+        FROM (SELECT *, avg(level) OVER (PARTITION BY server_hostname, feature_name) AS mean FROM week_cells),
+             (VALUES (0), (1)) t(turn)
+        WHERE mean > 0 AND level >= 1.25 * mean - 1e-9""",
+    "stretches": """
+        SELECT server_hostname, feature_name, min(slot) % 168 AS start, count(*) AS hours, sum(level) AS total
+        FROM busy_cells GROUP BY server_hostname, feature_name, island HAVING min(slot) BETWEEN 1 AND 168""",
     "rlm_pools": """
         SELECT poll_id, server_hostname, feature_name AS name, 'v' || (k % 3) || '.1' AS version, vendor_daemon,
                total_licenses, used_licenses,
@@ -235,6 +328,55 @@ def _direction(slope: str) -> str:
 
 
 _BODIES = {
+    "checkout_sessions": """
+        SELECT *, CAST(epoch(ended_at) - epoch(started_at) AS BIGINT) AS seconds FROM sessions""",
+    "peak_concurrency": """
+        SELECT feature_name, CAST(tm AS DATE) AS day, sum(started) AS started, max(users) AS peak_users,
+               arg_min(tm, (-users, tm)) AS peak_at
+        FROM levels GROUP BY 1, 2""",
+    "denials_at_capacity": """
+        SELECT d.id, d.feature_name, username, reason, d.tm AS denied_at, sum(total) AS total_licenses,
+               sum(used) AS used_licenses, sum(used) >= sum(total) AS at_capacity
+        FROM (SELECT * FROM denied CROSS JOIN (SELECT DISTINCT server_hostname FROM polls)) d
+        ASOF LEFT JOIN tool_states s
+          ON s.server_hostname = d.server_hostname AND s.feature_name = d.feature_name AND s.tm <= d.tm
+        GROUP BY 1, 2, 3, 4, 5""",
+    "pool_history": """
+        SELECT server_hostname, name, version, expiration_date, tm AS valid_from,
+               lead(tm) OVER (PARTITION BY server_hostname, name, version, expiration_date ORDER BY tm) AS valid_to,
+               listed, total AS total_licenses, used AS used_licenses
+        FROM pool_points""",
+    "checkout_changes": """
+        SELECT server_hostname, feature_name, username, host,
+               CASE WHEN n = 1 THEN 'present' ELSE 'appeared' END AS change, tm AS seen_at, dump_id
+        FROM seen_holders h WHERE NOT EXISTS (FROM seen_holders p WHERE p.server_hostname = h.server_hostname
+            AND p.feature_name = h.feature_name AND p.username = h.username AND p.host = h.host AND p.n = h.n - 1)
+        UNION ALL
+        SELECT h.server_hostname, feature_name, username, host, 'left', c.tm, c.dump_id
+        FROM seen_holders h JOIN answers c ON c.server_hostname = h.server_hostname AND c.n = h.n + 1
+        WHERE NOT EXISTS (FROM seen_holders p WHERE p.server_hostname = h.server_hostname
+            AND p.feature_name = h.feature_name AND p.username = h.username AND p.host = h.host AND p.n = h.n + 1)""",
+    "seasonal_patterns": """
+        SELECT server_hostname, feature_name, hours, coalesce(d.pairs, 0) AS daily_pairs,
+               coalesce(w.pairs, 0) AS weekly_pairs, round(d.r, 6) AS daily_correlation, round(w.r, 6) AS weekly_correlation,
+               coalesce(d.pairs >= 10 AND d.r >= 0.3, FALSE) AS has_daily_cycle,
+               coalesce(w.pairs >= 10 AND w.r >= 0.3, FALSE) AS has_weekly_cycle,
+               h.pattern AS hourly_pattern, y.pattern AS daily_pattern
+        FROM hour_moments
+        LEFT JOIN (FROM lagged WHERE lag = 24) d USING (server_hostname, feature_name)
+        LEFT JOIN (FROM lagged WHERE lag = 168) w USING (server_hostname, feature_name)
+        JOIN by_hour h USING (server_hostname, feature_name) JOIN by_weekday y USING (server_hostname, feature_name)""",
+    "peak_periods": """
+        SELECT server_hostname, feature_name, start_hour, hours, (start_hour + hours - 1) % 24 AS end_hour,
+               string_agg(DISTINCT CAST(start // 24 AS VARCHAR), ',' ORDER BY CAST(start // 24 AS VARCHAR)) AS days_of_week,
+               round(sum(total) / sum(hours), 6) AS avg_usage,
+               CASE WHEN hours BETWEEN 6 AND 14 AND start_hour BETWEEN 6 AND 10 THEN 'Business Hours'
+                    WHEN (start_hour + hours // 2) % 24 BETWEEN 5 AND 11 THEN 'Morning Peak'
+                    WHEN (start_hour + hours // 2) % 24 BETWEEN 12 AND 16 THEN 'Afternoon Peak'
+                    WHEN (start_hour + hours // 2) % 24 BETWEEN 17 AND 21 THEN 'Evening Peak'
+                    ELSE 'Night Peak' END AS label
+        FROM (SELECT *, start % 24 AS start_hour FROM stretches)
+        GROUP BY server_hostname, feature_name, start_hour, hours""",
     "current_utilization": """
         SELECT server_hostname, feature_name, version, total_licenses, used_licenses, available_licenses,
                round(utilization_pct, 6) AS utilization_pct, vendor_daemon FROM current_util""",

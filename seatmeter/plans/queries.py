@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seatmeter.operators import (
-    alerts, board, capacity, checkouts, extract, fit, flexlm, forecast, inventory, paging, profile, quality,
-    retention, rlm, stats, usage,
+    alerts, board, capacity, changes, checkouts, cycles, extract, fit, flexlm, forecast, inventory, paging, profile,
+    quality, retention, rlm, sessions, stats, usage,
 )
 from seatmeter.functions import metrics as m
 from seatmeter.session import configure
@@ -579,3 +579,47 @@ def inventory_refreshed(spark, sf):
         F.col("poll_id").alias("id"), "server_hostname", "name", "version", "vendor_daemon", "total_licenses",
         "used_licenses", "expiration_date", F.col("polled_at").alias("last_updated"), F.lit(True).alias("is_active"))
     return inventory.refresh_inventory(inventory.inventory_from_polls(log.where(~last_day)), batch)
+
+
+# --- events and changes over whole logs
+
+
+@query
+def checkout_sessions(spark, sf):
+    return sessions.checkout_sessions(d.license_events(spark, sf))
+
+
+@query
+def peak_concurrency(spark, sf):
+    return sessions.peak_concurrency(sessions.checkout_sessions(d.license_events(spark, sf)))
+
+
+@query
+def denials_at_capacity(spark, sf):
+    return sessions.denials_at_capacity(d.license_events(spark, sf), d.tool_polls(spark, sf))
+
+
+@query
+def pool_history(spark, sf):
+    return changes.pool_history(d.polls(spark, sf))
+
+
+@query
+def checkout_changes(spark, sf):
+    """From all status texts: who appeared and who left between the captures of each server."""
+    texts = d.dumps(spark, sf)
+    return changes.checkout_changes(changes.captures_of(extract.all_status(texts)), extract.all_checkouts(texts))
+
+
+@query
+def seasonal_patterns(spark, sf):
+    found = cycles.seasonal_patterns(d.feature_usage(spark, sf))
+    values = lambda name: F.array_join(F.transform(
+        name, lambda x: F.coalesce(F.round(x * 1000).cast("long").cast("string"), F.lit("-"))), ",").alias(name)
+    return found.select(*[values(c) if c.endswith("_pattern") else F.col(c) for c in found.columns])
+
+
+@query
+def peak_periods(spark, sf):
+    found = cycles.peak_periods(d.feature_usage(spark, sf))
+    return found.withColumn("days_of_week", F.array_join(F.transform("days_of_week", lambda x: x.cast("string")), ","))

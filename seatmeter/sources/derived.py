@@ -105,6 +105,14 @@ def license_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def tool_polls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The polls as those of the tools that the license events name, each server holding a few licenses of a tool."""
+    return polls(spark, sf_dir).select(
+        "poll_id", "server_hostname", F.concat(F.lit("tool"), F.col("k") % 10).alias("feature_name"), "sampled_at",
+        F.floor(F.col("total_licenses") / 4).cast("int").alias("total_licenses"),
+        F.least(F.floor(F.col("total_licenses") / 4), "used_licenses").cast("int").alias("used_licenses"))
+
+
 def checkouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return polls(spark, sf_dir).select(
         "server_hostname", "feature_name", F.concat(F.lit("user"), "user_id").alias("username"),
