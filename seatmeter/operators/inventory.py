@@ -42,22 +42,26 @@ def refresh_inventory(current: DataFrame, batch: DataFrame) -> DataFrame:
     """Inventory after new poll results: pools of the polled servers become inactive unless listed again.
 
     Servers without rows in `batch` are left alone, so a poll that returned nothing changes nothing. Where
-    the batch holds several polls of a server, its latest one decides what is active.
+    the batch holds several polls of a server, its latest one decides what is active. Polls count by their time, not by
+    their arrival: one that is older than what is known of its server adds pools and replaces older numbers, but it
+    neither replaces newer ones nor decides what is active. Of equal times the later arrival counts.
     """
     known = current.select(*FEATURE_COLUMNS, F.lit(0).alias("round"))
     listed = batch.select(*FEATURE_COLUMNS, F.lit(1).alias("round"))
-    ordered = known.unionByName(listed).withColumn("arrival", F.struct("round", "last_updated", "id"))
+    ordered = known.unionByName(listed).withColumn("arrival", F.struct("last_updated", "round", "id"))
     merged = latest_per_key(
         ordered, POOL_KEY, "arrival",
         ["id", "total_licenses", "used_licenses", "last_updated", "is_active"], ["vendor_daemon"],
     )
-    polled = batch.groupBy("server_hostname").agg(F.max("last_updated").alias("latest_poll"))
-    listed_now = (F.col("arrival.round") == 1) & (F.col("last_updated") == F.col("latest_poll"))
-    return (
-        merged.join(polled, "server_hostname", "left")
-        .withColumn("is_active", F.when(F.col("latest_poll").isNotNull(), listed_now).otherwise(F.col("is_active")))
-        .select(*FEATURE_COLUMNS)
-    )
+    latest = ordered.groupBy("server_hostname").agg(
+        F.max(F.when(F.col("round") == 0, F.col("last_updated"))).alias("latest_known"),
+        F.max(F.when(F.col("round") == 1, F.col("last_updated"))).alias("latest_poll"))
+    is_new = F.col("arrival.round") == 1
+    newer = F.col("latest_known").isNull() | (F.col("latest_poll") >= F.col("latest_known"))
+    active = (F.when(F.col("latest_poll").isNull(), F.col("is_active"))
+              .when(newer, is_new & (F.col("last_updated") == F.col("latest_poll")))
+              .otherwise(~is_new & F.col("is_active")))
+    return merged.join(latest, "server_hostname", "left").withColumn("is_active", active).select(*FEATURE_COLUMNS)
 
 
 def drop_duplicate_features(features: DataFrame) -> DataFrame:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from datetime import datetime
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -15,16 +17,39 @@ _ALERT = "hostname string, type string, datetime timestamp, feature_name string,
 _KEY = ["hostname", "type"]
 
 
+def first_after(interval_minutes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Keeps, of rows sorted by key and time, those at least the interval after the key's last kept one (or `last`)."""
+    gap = interval_minutes * 60_000_000
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, free = None, None
+        for batch in batches:
+            at, last = (batch.column(c).cast(pa.int64()).to_pylist() for c in ("datetime", "last"))
+            kept = []
+            for place, now in enumerate(zip(*(batch.column(c).to_pylist() for c in _KEY))):
+                if now != key:
+                    key, free = now, None if last[place] is None else last[place] + gap
+                if free is None or at[place] >= free:
+                    kept.append(place)
+                    free = at[place] + gap
+            if kept:
+                yield batch.take(pa.array(kept))
+
+    return run
+
+
 class Throttle:
     """foreachBatch target that lets the first alert of a (host, type) pass and the next one only after the interval.
 
     All alerts of one check carry the same time, and at most one of them can pass: they are reduced to one row per
-    key and time first, on the map side, so a busy host is spread over many tasks. What meets per key are distinct
-    times, sorted as a whole, so the result does not depend on how rows are split into files, batches of a task or
-    partitions. State is the last passing time of each key, as a table per micro-batch.
+    key and time first, on the map side, so a busy host is spread over many tasks. Distinct times are sorted by key and
+    time and read in that order; a task holds one time, that of the key's last passing alert, whatever the key's number
+    of alerts. The result does not depend on how rows are split into files, batches of a task or partitions. State is
+    the last passing time of each key, as a table per micro-batch.
 
     An alert older than the last one that passed in an earlier micro-batch cannot pass any more (an alert counts as
-    recent when it lies after the time minus the interval). Such alerts are kept in `late`, none is dropped.
+    recent when it lies after the time minus the interval). Such alerts, and those without a time, are kept in `late`,
+    none is dropped.
     A repeated micro-batch replaces its own output.
     """
 
@@ -53,18 +78,11 @@ class Throttle:
         once = once.select(*_KEY, "datetime", "first.*").join(known, _KEY, "left")
         once.write.mode("overwrite").parquet(once_path)
         once = spark.read.schema(once.schema).parquet(once_path)
-        late = once.where("datetime < last")
-        late.drop("last").write.mode("overwrite").parquet(self._path("late", batch_id))
-
-        gap = F.make_dt_interval(mins=F.lit(self.interval))
-        start = F.struct(F.col("last").alias("last"), F.array().cast("array<timestamp>").alias("passed"))
-        times = once.groupBy(*_KEY).agg(F.max("last").alias("last"), F.array_sort(F.collect_list("datetime")).alias("times"))
-        passed = times.select(*_KEY, F.explode(F.aggregate(
-            "times", start,
-            lambda acc, t: F.when(acc["last"].isNull() | (t >= acc["last"] + gap), F.struct(
-                t.alias("last"), F.array_append(acc["passed"], t).alias("passed"))).otherwise(acc),
-            lambda acc: acc["passed"])).alias("datetime"))
-        once.join(passed, [*_KEY, "datetime"]).drop("last").write.mode("overwrite").parquet(self._path("passing", batch_id))
+        too_late = F.col("datetime").isNull() | F.coalesce(F.col("datetime") < F.col("last"), F.lit(False))
+        once.where(too_late).drop("last").write.mode("overwrite").parquet(self._path("late", batch_id))
+        ordered = once.where(~too_late).repartition(*_KEY).sortWithinPartitions(*_KEY, "datetime")
+        passed = ordered.mapInArrow(first_after(self.interval), once.schema)
+        passed.drop("last").write.mode("overwrite").parquet(self._path("passing", batch_id))
 
         now = stored(spark, _ALERT, [self._path("passing", batch_id)]).select(*_KEY, F.col("datetime").alias("last"))
         now.union(known).groupBy(*_KEY).agg(F.max("last").alias("last")).write.mode("overwrite").parquet(

@@ -44,6 +44,6 @@ def stored(spark: SparkSession, schema: str, paths: list[str], base: str | None
 
 
 def removed(spark: SparkSession, path: str) -> None:
-    """Delete a folder of an earlier batch, where there is one."""
+    """Delete a folder of an earlier batch, where there is one. It needs a classic session, not Spark Connect."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -10,39 +12,87 @@ from seatmeter.functions import metrics as m
 from seatmeter.operators import extract, inventory
 from seatmeter.operators.inventory import first_seen_samples
 from seatmeter.schemas import FEATURE_USAGE, FEATURES, SAMPLE_KEY
+from seatmeter.session import attach
 from seatmeter.streaming.flow import for_each, removed, stored
 
 _STORED = f"{FEATURE_USAGE}, batch_id bigint"
+_CLOSED = f"{FEATURE_USAGE}, upto bigint"
+_NO_DATE = "__HIVE_DEFAULT_PARTITION__"      # the folder of rows without a date
 
 
 class SampleLog:
     """foreachBatch target that stores each sample key once, however late its rows arrive.
 
-    Samples lie by date and, below, by micro-batch. A micro-batch is compared with the stored samples of its own dates
-    only: these folders are listed and read, no others. There is no watermark and so no lateness that drops rows. A
-    repeated micro-batch sees what was there before it and replaces its own output.
+    Samples lie by date and, below, by micro-batch. A micro-batch is written once, then compared with the stored samples
+    of its own dates only: one listing and one scan of these folders, whose rows meet the batch's keys without a shuffle
+    while those fit a broadcast. There is no watermark and so no lateness that drops rows. A repeated micro-batch sees
+    what was there before it and replaces its own output. Spark's own duplicate suppression is not used: of equal keys in
+    a micro-batch it keeps any row, the store the one with the smallest id.
+
+    `close` merges the micro-batches of days that are over; rows that come for such a day afterwards are stored as before.
     """
 
     def __init__(self, folder: str) -> None:
         self.folder = folder
+        self.closed = f"{folder}.closed"
 
     def rows(self, spark: SparkSession) -> DataFrame:
-        return stored(spark, _STORED, [self.folder], self.folder).drop("batch_id")
+        return self._with_closed(spark, stored(spark, _STORED, [self.folder], self.folder), "*").drop("batch_id")
+
+    def _with_closed(self, spark: SparkSession, open_: DataFrame, days: str) -> DataFrame:
+        """Open rows with those of the closed days; what a closed day has taken in counts there."""
+        closed = stored(spark, _CLOSED, [f"{self.closed}/date={days}"], self.closed)
+        last = closed.groupBy(F.struct("date").alias("day")).agg(F.max("upto").alias("last"))
+        # A day that was closed again lies there twice until the older copy is deleted. There are as many rows as days.
+        last = F.broadcast(last)
+        closed = closed.join(last, (F.struct("date") == F.col("day")) & (F.col("upto") == F.col("last")))
+        open_ = open_.join(last, F.struct("date") == F.col("day"), "left").where("last IS NULL OR batch_id > last")
+        columns = [c.split()[0] for c in _STORED.split(", ")]
+        return open_.select(*columns).unionByName(closed.withColumn("batch_id", F.col("upto")).select(*columns))
 
     def before(self, spark: SparkSession, dates: list, batch_id: int) -> DataFrame:
-        found = stored(spark, _STORED, [f"{self.folder}/date={day}" for day in dates], self.folder)
-        return found.where(F.col("batch_id") < batch_id)
+        days = f"{{{','.join(_NO_DATE if day is None else str(day) for day in dates)}}}"
+        found = stored(spark, _STORED, [f"{self.folder}/date={days}"], self.folder).where(F.col("batch_id") < batch_id)
+        return self._with_closed(spark, found, days)
 
     def __call__(self, samples: DataFrame, batch_id: int) -> None:
         spark = samples.sparkSession
-        first = first_seen_samples(samples, SAMPLE_KEY, "id", ["users_count"]).select("id", *SAMPLE_KEY, "users_count")
-        dates = [r[0] for r in samples.select("date").distinct().collect()]
-        known = self.before(spark, dates, batch_id)
-        # Keys can be null, so they are compared null-safely, as the grouping above does.
-        same = [first[c].eqNullSafe(known[c]) for c in SAMPLE_KEY]
-        fresh = first.join(known, same, "left_anti").withColumn("batch_id", F.lit(batch_id).cast("long"))
-        (fresh.repartition("date").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("date", "batch_id").parquet(self.folder))
+        arrived = f"{self.folder}.arrived/batch_id={batch_id}"
+        first_seen_samples(samples, SAMPLE_KEY, "id", ["users_count"]).select(
+            "id", *SAMPLE_KEY, "users_count", F.struct(*SAMPLE_KEY).alias("key")).write.mode("overwrite").parquet(arrived)
+        first = spark.read.parquet(arrived)
+        dates = [r[0] for r in first.select("date").distinct().collect()]
+        if dates:
+            # Keys can be null. As one struct they compare null-safely, as the grouping above does.
+            known = self.before(spark, dates, batch_id).select(F.struct(*SAMPLE_KEY).alias("key"))
+            seen = attach(known, first.select("key"), ["key"], "left_semi", settled=True)
+            fresh = first.join(seen, "key", "left_anti").drop("key").withColumn("batch_id", F.lit(batch_id).cast("long"))
+            # By day, and a day with very many rows in several files.
+            (fresh.hint("rebalance", "date").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+             .partitionBy("date", "batch_id").parquet(self.folder))
+        removed(spark, arrived)
+
+    def close(self, spark: SparkSession, before: date, batch_id: int) -> list[date]:
+        """Merge what micro-batches up to `batch_id` stored for days before `before`, one file set a day.
+
+        The merged day counts as soon as its folder is complete; only then are the folders it replaces deleted. Repeated
+        after a failure, it does the rest.
+        """
+        open_ = stored(spark, _STORED, [self.folder], self.folder)
+        ready = open_.where((F.col("date") < F.lit(before)) & (F.col("batch_id") <= batch_id))
+        parts = [(r[0], r[1]) for r in ready.select("date", "batch_id").distinct().collect()]
+        days = sorted({day for day, _ in parts})
+        if days:
+            rows = self.before(spark, days, batch_id + 1).drop("batch_id").withColumn("upto", F.lit(batch_id).cast("long"))
+            (rows.hint("rebalance", "date").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+             .partitionBy("date", "upto").parquet(self.closed))
+            closed = stored(spark, _CLOSED, [self.closed], self.closed)
+            for day, upto in (tuple(r) for r in closed.select("date", "upto").distinct().collect()):
+                if upto < batch_id and day in days:
+                    removed(spark, f"{self.closed}/date={day}/upto={upto}")
+        for day, batch in parts:
+            removed(spark, f"{self.folder}/date={day}/batch_id={batch}")
+        return days
 
 
 class Collector:

@@ -103,6 +103,56 @@ def test_distinct_samples_however_late(spark, tmp_path):
     assert [r[0] for r in log.before(spark, ["2024-03-02", "1999-01-01"], 99).select("date").distinct().collect()] == [date(2024, 3, 2)]
 
 
+def test_samples_without_a_date_are_stored_once(spark, tmp_path):
+    log = ingest.SampleLog(str(tmp_path / "log"))
+    rows = [(1, "h", "cad", None, "10:00:00", 3), (2, None, None, None, None, 4), (3, "h", "cad", date(2024, 3, 1), "10:00:00", 5)]
+    for batch in range(3):
+        log(spark.createDataFrame([(r[0] + 10 * batch, *r[1:]) for r in rows], SAMPLES), batch)
+    assert sorted(r.id for r in log.rows(spark).collect()) == [1, 2, 3]
+    log(spark.createDataFrame([], SAMPLES), 3)
+    assert log.rows(spark).count() == 3
+
+
+def test_stored_days_are_listed_and_read_once(spark, tmp_path):
+    log = ingest.SampleLog(str(tmp_path / "log"))
+    log(spark.createDataFrame([(i, "h", "cad", date(2024, 3, 1 + i), "10:00:00", 3) for i in range(20)], SAMPLES), 0)
+    plan = log.before(spark, [date(2024, 3, 1 + i) for i in range(20)], 5)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") <= 1 and plan.count("Union") <= 3
+
+
+def test_closed_days(spark, tmp_path):
+    """Days that are over become one file set; rows that come for them later are compared with it and kept."""
+    log = ingest.SampleLog(str(tmp_path / "log"))
+    row = lambda i, day, minute: (i, "h", "cad", date(2024, 3, day), f"10:{minute:02}:00", i)
+    for batch in range(4):
+        log(spark.createDataFrame([row(10 * batch + k, 1 + k, batch) for k in range(3)], SAMPLES), batch)
+    before = sorted(map(tuple, log.rows(spark).collect()))
+    assert log.close(spark, date(2024, 3, 3), 3) == [date(2024, 3, 1), date(2024, 3, 2)]
+    assert sorted(map(tuple, log.rows(spark).collect())) == before and len(before) == 12
+    assert sorted(p.name for p in (tmp_path / "log").glob("date=*/batch_id=*")) == [f"batch_id={b}" for b in range(4)]
+    log(spark.createDataFrame([row(90, 1, 2), row(91, 1, 30), row(92, 3, 2)], SAMPLES), 4)
+    assert sorted(r.id for r in log.rows(spark).collect()) == sorted([r[0] for r in before] + [91])
+    # Closed again, also by a run that had stopped before deleting what it replaced.
+    assert log.close(spark, date(2024, 3, 3), 4) == [date(2024, 3, 1)]
+    assert log.rows(spark).count() == 13 and log.close(spark, date(2024, 3, 3), 4) == []
+    spark.createDataFrame([row(91, 1, 30)], SAMPLES).drop("date").write.parquet(str(tmp_path / "log/date=2024-03-01/batch_id=4"))
+    assert log.rows(spark).count() == 13
+
+
+def test_newest_captures_first(spark, tmp_path):
+    """Captures that arrive later but are older add pools; they change neither newer numbers nor what is active."""
+    source, store = tmp_path / "in", str(tmp_path / "store")
+    for batch, (stamp, used, more) in enumerate([
+            ("20240302120000", 5, ""), ("20240301120000", 3, "mesh 1.0 4 acme permanent\n"), ("20240303120000", 7, "mesh 1.0 4 acme permanent\n"),
+            ("20240302180000", 1, "old 1.0 2 acme permanent\n")]):
+        capture(source, stamp, text("cad", used, more))
+        ingest.collect(stream_dumps(spark, str(source)), store, every=None).awaitTermination()
+        rows = {r.name: (r.used_licenses, r.is_active) for r in ingest.Collector(store).features(spark, batch).collect()}
+        assert rows == [{"cad": (5, True)}, {"cad": (5, True), "mesh": (0, False)}, {"cad": (7, True), "mesh": (0, True)},
+                        {"cad": (7, True), "mesh": (0, True), "old": (0, False)}][batch]
+    assert ingest.Collector(store).usage(spark).count() == 7
+
+
 def greedy(times, interval):
     passing = []
     for moment in sorted(times):
@@ -163,6 +213,22 @@ def test_late_alerts_are_kept_aside(spark, tmp_path):
     assert sorted(r.feature_name for r in job.passing(spark).collect()) == ["f3", "f5"]
 
 
+def test_a_hot_key_is_read_in_order_and_not_gathered(spark, tmp_path):
+    """A third of all alerts are one host's; nothing is collected per key."""
+    rng = random.Random(3)
+    rows = [("hot" if i % 3 == 0 else f"h{rng.randrange(9)}", "expiration", datetime(2024, 3, 1) + timedelta(seconds=rng.randrange(10 ** 6)),
+             "cad", "m") for i in range(6000)] + [("hot", "expiration", None, "cad", "m")]
+    job = alerts.Throttle(str(tmp_path), 60)
+    for batch in (0, 1):
+        job(spark.createDataFrame([r for i, r in enumerate(rows) if (r[2] or rows[0][2]) < datetime(2024, 3, 6) or batch], ALERT), batch)
+    got = {}
+    for r in job.passing(spark).collect():
+        got.setdefault(r.hostname, []).append(r.datetime)
+    for host in {r[0] for r in rows}:
+        assert sorted(got[host]) == greedy({r[2] for r in rows if r[0] == host and r[2]}, timedelta(minutes=60))
+    assert job.late(spark).where("datetime IS NULL").count() == 2
+
+
 STREAMS = ["stream_usage_ingest", "stream_alert_throttle", "stream_status_feed"]
 
 
