@@ -5,13 +5,18 @@ from __future__ import annotations
 from datetime import datetime, timedelta
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seatmeter.functions import metrics as m
 from seatmeter.functions.texts import STORAGE_ACTIONS, advice
 from seatmeter.operators.stats import unfold_advice
 from seatmeter.operators.usage import first_day, first_whole_day
+from seatmeter.schemas import TABLES
+from seatmeter.session import settle
+from seatmeter.sources.tables import DAY_COLUMN, read_by_day, write_by_day
+from seatmeter.streaming.flow import removed
 
 # Estimated size of a stored sample, and the row counts above which advice is given.
 BYTES_PER_SAMPLE = 100
@@ -20,10 +25,8 @@ MANY_INACTIVE = 100
 
 
 def table_stats(tables: dict[str, DataFrame]) -> DataFrame:
-    """Rows per table, date span of the usage table, share of the largest table. Missing tables are skipped.
-
-    Counts and spans are answered from file footers where the table is plain parquet.
-    """
+    """Rows per table, date span of the usage table. Missing tables are skipped. `stored_table_stats` answers the same
+    from file footers."""
     day = {"feature_usage": "date"}
     parts = []
     for name, table in tables.items():
@@ -35,6 +38,39 @@ def table_stats(tables: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def stored_table_stats(spark: SparkSession, folder: str, names: tuple[str, ...] = tuple(TABLES)) -> DataFrame:
+    """`table_stats` of stored Parquet tables without reading rows: counts come from the file footers.
+
+    The usage table lies by day, so its span is that of the days that hold a row. Spark answers aggregates from footers
+    only in its newer Parquet reader: the tables are read in a session of their own, with that reader switched on, and no
+    setting of the caller's session changes.
+    """
+    reader = spark.newSession()
+    reader.conf.set("spark.sql.sources.useV1SourceList", "avro,csv,json,kafka,orc,text")
+    reader.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+    parts = []
+    for name in names:
+        try:
+            table = reader.read.schema(TABLES[name]).parquet(f"{folder}/{name}")
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            continue
+        count = F.count(F.lit(1)).alias("rows")
+        if name == "feature_usage":
+            parts.append(table.groupBy("date").agg(count).agg(
+                F.lit(name).alias("table_name"), F.coalesce(F.sum("rows"), F.lit(0)).alias("row_count"),
+                F.min("date").alias("oldest_record"), F.max("date").alias("newest_record")))
+        else:
+            none = F.lit(None).cast("date")
+            parts.append(table.agg(count).select(
+                F.lit(name).alias("table_name"), F.col("rows").alias("row_count"), none.alias("oldest_record"),
+                none.alias("newest_record")))
+    if not parts:
+        return spark.createDataFrame([], "table_name string, row_count long, oldest_record date, newest_record date")
+    return reduce(DataFrame.unionByName, parts)
+
+
 def with_row_share(stats: DataFrame) -> DataFrame:
     """Adds rows as percent of the largest table; the window spans one row per table, six at most."""
     largest = F.max("row_count").over(Window.partitionBy(F.lit(0)))
@@ -88,6 +124,31 @@ def cleaned(table: DataFrame, name: str, as_of: datetime, days: int) -> DataFram
     return table.where(~F.coalesce(expired(name, as_of, days), F.lit(False)))
 
 
+def clean_stored(spark: SparkSession, folder: str, name: str, as_of: datetime, days: int) -> DataFrame:
+    """Deletes the expired rows of a table that `tables.write_by_day` wrote, and returns rows deleted and kept.
+
+    Days after the cutoff's are not read for it, and their files are not touched. Days of which every row has expired are
+    dropped as folders; of the others, only those that lose a row are written anew. Repeated after a failure, it does the
+    rest: a day is replaced as a whole, or not at all.
+    """
+    day, table = DAY_COLUMN[name], read_by_day(spark, folder, name)
+    last_day = (as_of - timedelta(days=days)).date()
+    gone = F.coalesce(expired(name, as_of, days), F.lit(False))
+    old = table.where(F.col(day) <= F.lit(last_day))
+    counts = [tuple(r) for r in old.groupBy(day).agg(F.count(F.lit(1)), F.count_if(gone)).collect()]
+    partly = [d for d, count, lost in counts if 0 < lost < count]
+    if partly:
+        # Written aside first: a folder cannot be read and replaced by one job.
+        kept = settle(old.where(F.col(day).isin(partly) & ~gone))
+        write_by_day(kept.drop(day) if name in ("alerts", "alert_events") else kept, folder, name, "overwrite")
+    for d, count, lost in counts:
+        if lost == count:
+            removed(spark, f"{folder}/{name}/{day}={d}")
+    return read_by_day(spark, folder, name).agg(
+        F.lit(name).alias("table_name"), F.lit(sum(lost for *_, lost in counts)).cast("long").alias("rows_deleted"),
+        F.count(F.lit(1)).alias("rows_kept"))
+
+
 def cleanup_counts(tables: dict[str, DataFrame], as_of: datetime, days: int) -> DataFrame:
     """Rows deleted and kept per table."""
     parts = [

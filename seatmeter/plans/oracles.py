@@ -307,6 +307,7 @@ _TABLES = {
         SELECT poll_id, server_hostname, 'tool_' || (k % 5), 'v2.0', vendor_daemon, 999, k % 9,
                TIMESTAMP '2099-01-01 00:00:00', sampled_at
         FROM polls WHERE server_type = 'rlm'""",
+    "text_pools": "SELECT * FROM flex_pools UNION ALL SELECT * FROM rlm_pools",
 }
 
 _WITH = "WITH RECURSIVE " + ",\n".join(
@@ -328,6 +329,34 @@ def _direction(slope: str) -> str:
 
 
 _BODIES = {
+    "collected_inventory": """
+        SELECT p.server_hostname, name, version, vendor_daemon, total_licenses, used_licenses, expiration_date,
+               p.sampled_at AS last_updated, p.sampled_at = latest AS is_active
+        FROM (SELECT *, row_number() OVER (PARTITION BY server_hostname, name, version, expiration_date
+                                           ORDER BY sampled_at DESC, CAST(poll_id AS VARCHAR) DESC) AS rn FROM text_pools) p
+        JOIN (SELECT server_hostname, max(sampled_at) AS latest FROM text_pools GROUP BY 1) USING (server_hostname)
+        WHERE rn = 1""",
+    "collected_usage": """
+        SELECT server_hostname, feature_name, date, time, users_count
+        FROM (SELECT server_hostname, name AS feature_name, CAST(sampled_at AS DATE) AS date,
+                     strftime(sampled_at, '%H:%M:00') AS time, used_licenses AS users_count,
+                     row_number() OVER (PARTITION BY server_hostname, name, date_trunc('minute', sampled_at)
+                                        ORDER BY sampled_at, CAST(poll_id AS VARCHAR), version, expiration_date NULLS FIRST) AS rn
+              FROM text_pools)
+        WHERE rn = 1""",
+    "stream_status_texts": """
+        SELECT 'server_status' AS type, 'server:' || server_hostname AS channel, sampled_at AS timestamp,
+               CASE WHEN server_type = 'flexlm' THEN CASE k % 20 WHEN 0 THEN 'down' WHEN 1 THEN 'warning' ELSE 'up' END
+                    WHEN k % 10 = 1 THEN 'warning' WHEN k % 20 = 0 THEN 'down' ELSE 'up' END AS service,
+               coalesce(n, 0) AS features, coalesce(used, 0) AS used,
+               (SELECT count(*) FROM holders h WHERE h.poll_id = polls.poll_id) AS users
+        FROM polls LEFT JOIN (SELECT poll_id, count(*) AS n, sum(used_licenses) AS used FROM text_pools GROUP BY 1)
+          USING (poll_id)""",
+    "deep_page": """
+        SELECT server_hostname, feature_name, date, time, users_count FROM feature_usage
+        ORDER BY users_count DESC, date, time, server_hostname, feature_name
+        LIMIT 25 OFFSET (SELECT count(*) * 3 // 4 FROM feature_usage)""",
+    "stored_table_stats": "SELECT * FROM table_rows",
     "checkout_sessions": """
         SELECT *, CAST(epoch(ended_at) - epoch(started_at) AS BIGINT) AS seconds FROM sessions""",
     "peak_concurrency": """
@@ -865,5 +894,10 @@ _BODIES = {
 }
 
 
+# Stored tables answer as the tables they were written from.
+_BODIES["stored_cleanup"] = _BODIES["retention_cleanup"]
+_BODIES["stored_usage_kept"] = _BODIES["usage_kept"]
+
+
 def oracle_sql() -> dict[str, str]:
     return {name: _WITH + body for name, body in _BODIES.items()}

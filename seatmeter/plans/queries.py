@@ -16,7 +16,7 @@ from seatmeter.functions import metrics as m
 from seatmeter.session import configure
 from seatmeter.sinks import export
 from seatmeter.sources import derived as d
-from seatmeter.sources import tables
+from seatmeter.sources import dumps, tables
 from seatmeter.sources.derived import AS_OF
 from seatmeter.streaming import alerts as alert_stream
 from seatmeter.streaming import feed, flow, ingest
@@ -166,6 +166,15 @@ def page_info(spark, sf):
     return paging.page_info(_searched_stats(spark, sf), *paging.page_bounds(limit=10, page=2))
 
 
+@query
+def deep_page(spark, sf):
+    """A page in the second half of all samples, most users first."""
+    rows = d.feature_usage(spark, sf).drop("id")
+    directory = paging.PageDirectory(rows, [("users_count", True), ("date", False), ("time", False),
+                                            ("server_hostname", False), ("feature_name", False)])
+    return directory.page(*paging.page_bounds(limit=25, offset=directory.total * 3 // 4))
+
+
 @query
 def overview_tiles(spark, sf):
     return board.overview_tiles(inventory.utilization_now(d.pools(spark, sf)))
@@ -378,6 +387,43 @@ def table_stats(spark, sf):
     return retention.with_row_share(retention.table_stats(_tables(spark, sf)))
 
 
+@query
+def stored_table_stats(spark, sf):
+    """Counts and span of the written tables, from file footers."""
+    folder = export.new_folder(spark, "tables")
+    for name, table in _tables(spark, sf).items():
+        if name == "feature_usage":
+            tables.write_by_day(table, folder, name)
+        else:
+            table.write.parquet(f"{folder}/{name}")
+    return retention.stored_table_stats(spark, folder)
+
+
+AGING = ["feature_usage", "license_events", "alerts", "alert_events"]
+
+
+def _cleaned_folder(spark, sf):
+    folder = export.new_folder(spark, "aging")
+    stored = _tables(spark, sf)
+    for name in AGING:
+        tables.write_by_day(stored[name], folder, name)
+    counts = [retention.clean_stored(spark, folder, name, AS_OF, 14) for name in AGING]
+    return folder, counts
+
+
+@query
+def stored_cleanup(spark, sf):
+    """Rows deleted from and kept in tables written by day."""
+    counts = _cleaned_folder(spark, sf)[1]
+    return counts[0].union(counts[1]).union(counts[2]).union(counts[3])
+
+
+@query
+def stored_usage_kept(spark, sf):
+    """The samples that a written table holds after its cleanup."""
+    return tables.read_by_day(spark, _cleaned_folder(spark, sf)[0], "feature_usage")
+
+
 @query
 def retention_stats(spark, sf):
     return retention.retention_stats(
@@ -480,6 +526,37 @@ def stream_status_feed(spark, sf):
     return flow.run_available(chosen, export.new_folder(spark, "stream"))
 
 
+def _collected(spark, sf):
+    """All status texts, written as bundles, read as a stream, extracted and stored."""
+    folder = export.new_folder(spark, "collected")
+    dumps.write_bundles(d.dumps(spark, sf), f"{folder}/texts")
+    ingest.collect(dumps.stream_bundles(spark, f"{folder}/texts"), f"{folder}/store", every=None).awaitTermination()
+    return ingest.Collector(f"{folder}/store")
+
+
+@query
+def collected_inventory(spark, sf):
+    return _collected(spark, sf).features(spark, 0).drop("id")
+
+
+@query
+def collected_usage(spark, sf):
+    return _collected(spark, sf).usage(spark).drop("id")
+
+
+@query
+def stream_status_texts(spark, sf):
+    """Status messages of all texts, read from bundles; of their data the state and what the lists add up to."""
+    folder = export.new_folder(spark, "texts")
+    dumps.write_bundles(d.dumps(spark, sf), f"{folder}/texts")
+    feed.status_feed(dumps.stream_bundles(spark, f"{folder}/texts"), f"{folder}/feed", every=None).awaitTermination()
+    data = F.from_json("data", "service string, features array<struct<used_licenses: int>>, users array<struct<username: string>>")
+    messages = feed.StatusFeed(f"{folder}/feed").messages(spark).withColumn("data", data)
+    used = F.aggregate("data.features.used_licenses", F.lit(0).cast("long"), lambda n, x: n + x)
+    return messages.select("type", "channel", "timestamp", "data.service", F.size("data.features").alias("features"),
+                           used.alias("used"), F.size("data.users").alias("users"))
+
+
 @query
 def alert_feed(spark, sf):
     return feed.subscribed(feed.alert_feed(d.alerts(spark, sf)), ["alerts"])

@@ -16,6 +16,26 @@ def read_table(spark: SparkSession, folder: str, name: str, fmt: str = "parquet"
     return reader.load(f"{folder}/{name}")
 
 
+# The day a row of an aging table belongs to, which its folder is named after.
+DAY_COLUMN = {"feature_usage": "date", "license_events": "event_date", "alerts": "created_on", "alert_events": "raised_on"}
+_DAY_OF = {"alerts": "created_at", "alert_events": "datetime"}
+
+
+def write_by_day(rows: DataFrame, folder: str, name: str, mode: str = "append") -> None:
+    """An aging table with one folder per day; mode `overwrite` replaces the days that `rows` has, and no others."""
+    day = DAY_COLUMN[name]
+    if name in _DAY_OF:
+        rows = rows.withColumn(day, F.to_date(_DAY_OF[name]))
+    (rows.hint("rebalance", day).write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(day)
+     .parquet(f"{folder}/{name}"))
+
+
+def read_by_day(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table that `write_by_day` wrote, with its day column."""
+    schema = TABLES[name] if name not in _DAY_OF else f"{TABLES[name]}, {DAY_COLUMN[name]} date"
+    return spark.read.schema(schema).parquet(f"{folder}/{name}")
+
+
 def write_usage(usage: DataFrame, folder: str) -> None:
     """Append samples, one directory per day, each file ordered by series for min/max skipping."""
     (
