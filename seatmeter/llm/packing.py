@@ -28,9 +28,10 @@ from typing import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
 
 from seatmeter.llm.common import settled, spare
 
@@ -38,6 +39,7 @@ LENGTH = 2048
 END = 0
 VOCABULARY = "byte_bpe_50k"
 SHARD_PIECES = 1 << 17
+BROADCAST_PIECES = 500_000
 
 
 @lru_cache(maxsize=4)
@@ -80,13 +82,15 @@ def cuts(n: int, length: int = LENGTH) -> list[tuple[int, int]]:
 
 
 def pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH,
-           vocabulary: str = VOCABULARY, end: int = END, with_ids: bool = True, also: tuple[str, ...] = ()) -> DataFrame:
-    """One row per piece: key, the columns `also`, piece, start, length, ids_crc32 and, if wanted, ids."""
+           vocabulary: str = VOCABULARY, end: int = END, with_ids: bool = True, also: tuple[str, ...] = (),
+           compact: bool = False) -> DataFrame:
+    """One row per piece: key, the columns `also`, piece, start, length, ids_crc32 and, if wanted, ids; `compact` ones are
+    bytes, two an id (`unpacked` reads them), for vocabularies of at most 65,536."""
     own = list(dict.fromkeys([key, *also]))
     fields = [*(docs.schema[c] for c in own), StructField("piece", IntegerType()), StructField("start", LongType()),
               StructField("length", LongType()), StructField("ids_crc32", LongType())]
     if with_ids:
-        fields.append(StructField("ids", ArrayType(IntegerType())))
+        fields.append(StructField("ids", BinaryType() if compact else ArrayType(IntegerType())))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -95,7 +99,8 @@ def pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int
                 ids = token_ids(text_, vocabulary, end)
                 for k, (start, n) in enumerate(cuts(len(ids), length)):
                     part = ids[start:start + n]
-                    rows.append((place, k, start, n, zlib.crc32(part), *([part.astype(np.int32)] if with_ids else [])))
+                    kept = part.astype("<u2").tobytes() if compact else part.astype(np.int32)
+                    rows.append((place, k, start, n, zlib.crc32(part), *([kept] if with_ids else [])))
             made = pd.DataFrame(rows, columns=["_place", *(f.name for f in fields[len(own):])])
             given = batch[own].iloc[made.pop("_place").to_numpy(dtype=np.int64)].reset_index(drop=True)
             yield pd.concat([given, made], axis=1)
@@ -135,13 +140,8 @@ def placed(lengths: np.ndarray, capacity: int, seed: int = 0) -> tuple[np.ndarra
     return sequence, offset
 
 
-def pack(parts: DataFrame, size: str = "length", capacity: int = LENGTH, shard_pieces: int = SHARD_PIECES) -> DataFrame:
-    """`parts` with sequence_id and offset. Sizes are 1 to `capacity`."""
-    own = list(parts.columns)
-    row, seq, off = (spare(own, n) for n in ("_row", "_sequence", "_offset"))
-    parts = settled(parts.withColumn(row, F.monotonically_increasing_id()), "packing-pieces")
-    short = parts.where(F.col(size) < capacity).select(F.col(row).alias("row"), F.col(size).cast("long").alias("size"))
-    shards = max(1, -(-short.count() // shard_pieces))
+def places(short: DataFrame, shards: int, capacity: int) -> DataFrame:
+    """(row, seq, off) of the rows (row, size): where the rule puts them in their shard."""
 
     def place(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("row")
@@ -150,16 +150,53 @@ def pack(parts: DataFrame, size: str = "length", capacity: int = LENGTH, shard_p
 
     # One shard to a task: sizes are known, so nothing is left to chance or to the planner.
     short = short.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int")).repartitionById(shards, "shard")
-    found = short.groupBy("shard").applyInPandas(place, "row long, seq long, off long")
-    found = found.select(F.col("row").alias(row), F.col("seq").alias(seq), F.col("off").alias(off))
+    return short.groupBy("shard").applyInPandas(place, "row long, seq long, off long")
+
+
+def pack(parts: DataFrame, size: str = "length", capacity: int = LENGTH, shard_pieces: int = SHARD_PIECES) -> DataFrame:
+    """`parts` with sequence_id and offset. Sizes are 1 to `capacity`."""
+    own = list(parts.columns)
+    row, seq, off = (spare(own, n) for n in ("_row", "_sequence", "_offset"))
+    parts = settled(parts.withColumn(row, F.monotonically_increasing_id()), "packing-pieces", compression="zstd")
+    short = parts.where(F.col(size) < capacity).select(F.col(row).alias("row"), F.col(size).cast("long").alias("size"))
+    shards = max(1, -(-short.count() // shard_pieces))
+
+    found = places(short, shards, capacity)
+    found = settled(found.select(F.col("row").alias(row), F.col("seq").alias(seq), F.col("off").alias(off)), "packing-places")
+    # Three numbers a row: up to half a million rows go to every executor, so the pieces' ids stay where they are.
+    few = found.limit(BROADCAST_PIECES + 1).count() <= BROADCAST_PIECES
+    found = F.broadcast(found) if few else found.hint("shuffle_hash")
     return parts.join(found, row, "left").select(
         *own, F.coalesce(seq, -1 - F.col(row)).alias("sequence_id"),
         F.coalesce(off, F.lit(0)).cast("long").alias("offset"))
 
 
+def unpacked(packed: DataFrame) -> DataFrame:
+    """Compact ids as arrays of numbers; the other columns stay."""
+    schema = StructType([StructField(f.name, ArrayType(IntegerType()) if f.name == "ids" else f.dataType) for f in packed.schema])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                values = [np.frombuffer(v.as_buffer(), dtype="<u2") for v in part.column("ids")]
+                offsets = np.append(0, np.cumsum([len(v) for v in values])).astype(np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(values).astype(np.int32)))
+                yield pa.RecordBatch.from_arrays(
+                    [ids if n == "ids" else part.column(n) for n in schema.names], schema.names)
+
+    return packed.mapInArrow(run, schema)
+
+
+def packed_ids(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH,
+               vocabulary: str = VOCABULARY, end: int = END, also: tuple[str, ...] = ()) -> DataFrame:
+    """`pack` of all pieces, with their ids."""
+    return unpacked(pack(pieces(docs, key, text, length, vocabulary, end, also=also, compact=True), capacity=length))
+
+
 def sequences(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH,
               vocabulary: str = VOCABULARY, end: int = END) -> DataFrame:
     """The training sequences themselves: sequence_id and ids, at most `length` of them."""
-    packed = pack(pieces(docs, key, text, length, vocabulary, end), capacity=length)
+    packed = packed_ids(docs, key, text, length, vocabulary, end)
     return packed.groupBy("sequence_id").agg(F.flatten(F.transform(
         F.array_sort(F.collect_list(F.struct("offset", "ids"))), lambda x: x["ids"])).alias("ids"))

@@ -35,9 +35,11 @@ def test_very_long_run_and_word(tokenizer):
 
 
 def test_one_shard_to_a_task(spark):
-    parts = spark.range(500).selectExpr("id", "cast(id % 40 + 1 as int) AS length")
-    plan = q.pack(parts, capacity=41, shard_pieces=50)._jdf.queryExecution().executedPlan().toString()
-    assert "REPARTITION_BY_NUM, [plan_id" in plan and plan.count("hashpartitioning(shard") == 0
+    short = spark.range(500).selectExpr("id AS row", "id % 40 + 1 AS size")
+    found = q.places(short, 10, 41)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "REPARTITION_BY_NUM" in plan
+    assert found.rdd.getNumPartitions() == 10 and found.selectExpr("seq >> 32 AS s", "spark_partition_id() AS p").distinct().count() == 10
 
 
 def test_cuts():
@@ -101,3 +103,17 @@ def test_several_shards_and_own_columns(spark):
 
 def test_empty(spark):
     assert q.pack(q.pieces(edge_docs(spark, []))).count() == 0
+
+
+@pytest.mark.parametrize("few", [500_000, 0])
+def test_compact_ids_and_both_joins(spark, monkeypatch, few):
+    monkeypatch.setattr(q, "BROADCAST_PIECES", few)
+    docs = edge_docs(spark)
+    key = lambda r: (str(r.doc_id), r.piece, r.ids)
+    a, b = (sorted(df.collect(), key=key) for df in (q.packed_ids(docs, length=64, also=("key",)), q.pack(q.pieces(docs, length=64), capacity=64)))
+    assert [key(r) for r in a] == [key(r) for r in b]
+    assert all(r.ids_crc32 == zlib.crc32(np.array(r.ids, dtype="<u4").tobytes()) and r.key == f"k{r.doc_id}" for r in a)
+    fill = {}
+    for r in a:
+        fill[r.sequence_id] = fill.get(r.sequence_id, 0) + r.length
+    assert max(fill.values()) <= 64
