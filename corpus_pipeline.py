@@ -38,7 +38,7 @@ def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of at most 2,048 tokens with their ids, sequence and offset. `copy` numbers the rows that were packed, as a
     document may be there twice."""
     docs = docs.select("doc_id", "text").withColumn("copy", F.monotonically_increasing_id())
-    return packing.pack(packing.pieces(docs, also=("copy",)))
+    return packing.packed_ids(docs, also=("copy",))
 
 
 STAGES = [
