@@ -9,29 +9,31 @@ neither; ASCII only or not), or the end of a document.
 
 Every word goes through exchange clustering. The head starts: its state pairs, at most (CLUSTERED + 7)^2, go to the
 driver, where one word after the other moves into the class that raises the training likelihood most. The other words
-(the tail) are one row each with their neighbours, in tasks, and start in classes of their shapes. `PASSES` passes move
-hashed halves of the tail by the same gain; a class other than the shape's must gain log(classes) more, what it costs to
-name it. Words with little evidence so stay with their shape: without that cost, words seen once or twice follow chance,
-and held-out texts score below the base. A neighbour's class comes from the dictionary or, for the words beyond it, from
-the table (word, class) by a join. After every pass the counts between head words and classes go to the driver, which
-exchanges the head again. What a pass sends to the driver or to all tasks is bounded by the head, the classes and the
-dictionary, and not by the vocabulary.
-
-Scoring: the most frequent words (`DICTIONARY` at most) with their counts and classes go to all tasks (a bound of about
-30 MB), so most tokens are scored where the text is. The counts and classes of the remaining words are joined: only these
-words are shuffled, with the classes beside them, and none of them is frequent.
+(the tail) lie in tasks, each with the counts of the states beside it, and start in classes of their shapes. In each of
+`PASSES` passes every word of the tail moves to the class with the largest gain, the others of the tail staying where they
+started; a class other than the shape's must gain log(classes) more, what it costs to name it. Words with little evidence
+so stay with their shape: without that cost, words seen once or twice follow chance, and held-out texts score below the
+base. After every pass the counts between head words and the tail's classes go to the driver, which exchanges the head
+again. What a pass sends to the driver or to all tasks is bounded by the head, the classes and the dictionary, and not by
+the vocabulary; a pass reads the tail once and shuffles nothing but sums.
+
+The most frequent words (`DICTIONARY` at most, none longer than `LONGEST` bytes) with their counts and classes go to all
+tasks (a bound of about 40 MB). Texts are then read as sequences of classes, in batches. For the words beyond the
+dictionary, a batch asks once for each different one: its code goes to the bucket that holds the words of that range of
+codes, and the count and the class come back. The batches with the answers are written once. One pass over them counts the
+classes' transitions in the training documents, another one scores all documents.
 
 Smoothing: transitions are Dirichlet-smoothed with the class shares. A word has (count + 0.5) / (tokens + 0.5 * words) of
 its class; the class of a shape counts one word more, so one part is left for unseen words.
 
 Defined cases: a null text is empty, and an empty text is its end token. Repeated rows count as often as they occur.
 Null keys are allowed and count as training rows. Without training documents the base score is 0 and the model knows
-only uniform transitions. Extra columns are ignored. An empty table gives an empty table.
+only uniform transitions. Words beyond the dictionary are known by 60 bits of their hash. Extra columns are ignored. An
+empty table gives an empty table.
 """
 
 from __future__ import annotations
 
-import hashlib
 import math
 from collections import Counter
 from copy import copy
@@ -41,23 +43,27 @@ from typing import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import StorageLevel
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import (
-    ArrayType, BooleanType, DoubleType, LongType, StringType, StructField, StructType,
-)
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, LongType, StructField, StructType
 
 from seatmeter.llm.common import remainder, settled
 
 CLUSTERED = 2000
 CLASSES = 64
 ROUNDS = 8
-PASSES = 4                   # over the tail, each moving one half
+PASSES = 4                   # over the tail
 DICTIONARY = 200_000
+LONGEST = 256                # bytes of a word of the dictionary
 SHAPES = 6
 PRIOR = 50.0                 # weight of the class shares in a transition
-COUNTER = 300_000            # distinct words a counting task holds before it passes them on
+COUNTER = 500_000            # distinct words a counting task holds before it passes them on
+BATCH = 2_000_000            # tokens of a batch
+BUCKET_ITEMS = 2_000_000     # neighbours, or different words asked for, to a bucket
+SMALL = 16                   # counts up to this are looked up when gains are computed
+UNKNOWN = 255                # in a sequence of classes: a word beyond the dictionary
 
 
 def tokens(text: bytes | None) -> list[bytes]:
@@ -70,8 +76,8 @@ def shape(word: bytes) -> int:
 
 
 def code(word: bytes) -> int:
-    """56 bits of the word's md5, then its shape. Words of equal code would share a class, and keep their own counts."""
-    return int(hashlib.md5(word).hexdigest()[:14], 16) * 8 + shape(word)
+    """60 bits of the word's hash, then its shape."""
+    return (xxhash.xxh64_intdigest(word, 42) >> 4) * 8 + shape(word)
 
 
 def _shape_column(word: Column) -> Column:
@@ -81,7 +87,7 @@ def _shape_column(word: Column) -> Column:
 
 
 def _code_column(word: Column) -> Column:
-    return F.conv(F.substring(F.md5(word.cast("binary")), 1, 14), 16, 10).cast("long") * 8 + _shape_column(word)
+    return F.shiftrightunsigned(F.xxhash64(word), 4) * 8 + _shape_column(word)
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
@@ -108,7 +114,6 @@ class Lexicon:
         self.counts, self.clustered = counts, min(clustered, len(words))
         self.place = {w: k for k, w in enumerate(words)}
         self.shapes = np.fromiter(map(shape, words), dtype=np.int64, count=len(words))
-        self.half = np.array([*(code(w) >> 3 & 1 for w in words), 0])
         self.state = np.where(np.arange(len(words)) < self.clustered, np.arange(len(words)),
                               self.clustered + self.shapes)
         self.end = self.clustered + SHAPES
@@ -122,25 +127,27 @@ class Lexicon:
         out.states = out.end + 1
         return out
 
-    def looked_up(self, text: bytes | None) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-        """(place in the lexicon or -1, state) of each word, and the words that have no place."""
-        words = tokens(text)
-        find = self.place.get
-        place = np.fromiter((find(w, -1) for w in words), dtype=np.int64, count=len(words))
+    def places(self, words: list[bytes]) -> np.ndarray:
+        """The place of each word in the lexicon, -1 for those that have none."""
+        return np.fromiter((self.place.get(w, -1) for w in words), dtype=np.int64, count=len(words))
+
+    def states_of(self, words: list[bytes]) -> np.ndarray:
+        place = self.places(words)
         missing = np.flatnonzero(place < 0)
-        rare = [words[k] for k in missing.tolist()]
         state = self.state[place] if len(self.state) else np.zeros(len(words), dtype=np.int64)
-        state[missing] = self.clustered + np.fromiter(map(shape, rare), dtype=np.int64, count=len(rare))
-        return place, state, rare
-
-    def ids(self, text: bytes | None) -> np.ndarray:
-        """The place of each word, -1 - code for words that have none, between two ends (the number of words)."""
-        words, end = tokens(text), len(self.counts)
-        find = self.place.get
-        place = np.fromiter((find(w, -1) for w in words), dtype=np.int64, count=len(words))
+        state[missing] = self.clustered + np.fromiter((shape(words[k]) for k in missing.tolist()), dtype=np.int64,
+                                                      count=len(missing))
+        return state
+
+    def ids(self, words: list[bytes], known: dict[bytes, int]) -> np.ndarray:
+        """The place of each word, -1 - code for words that have none. `known` keeps codes found before."""
+        place = self.places(words)
         for k in np.flatnonzero(place < 0).tolist():
-            place[k] = -1 - code(words[k])
-        return np.concatenate([[end], place, [end]])
+            word = words[k]
+            if word not in known:
+                known[word] = -1 - code(word)
+            place[k] = known[word]
+        return place
 
 
 def pair_counts(texts: DataFrame, lexicon) -> DataFrame:
@@ -151,7 +158,7 @@ def pair_counts(texts: DataFrame, lexicon) -> DataFrame:
         held, n = [], 0
         for batch in batches:
             for text in batch["text"]:
-                state = np.concatenate([[lex.end], lex.looked_up(text)[1], [lex.end]])
+                state = np.concatenate([[lex.end], lex.states_of(tokens(text)), [lex.end]])
                 held.append(state[:-1] * lex.states + state[1:])
                 n += len(held[-1])
                 if n > 4_000_000:
@@ -222,66 +229,8 @@ def exchanged(first: np.ndarray, second: np.ndarray, n: np.ndarray, clustered: i
     return cls
 
 
-def neighbours(texts: DataFrame, lexicon, clustered: int) -> DataFrame:
-    """(word, items, items_n): each word beyond the head with 2 * neighbour + side and its n, side 0 for the words after it. `lexicon`
-    is a broadcast. A word of the tail is at most one in `clustered` tokens, and so is its row."""
-
-    def sides(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lex = lexicon.value
-
-        def packed(held: list[np.ndarray]) -> pd.DataFrame:
-            ids = np.concatenate(held)
-            # Where one text meets the next, both are ends.
-            tail = (ids < 0) | (ids >= clustered) & (ids != len(lex.counts))
-            first, second = np.flatnonzero(tail[:-1]), np.flatnonzero(tail[1:]) + 1
-            word = np.concatenate([ids[first], ids[second]])
-            item = np.concatenate([2 * ids[first + 1], 2 * ids[second - 1] + 1])
-            return pd.DataFrame({"word": word, "item": item}).groupby(["word", "item"], sort=False).size().reset_index(name="n")
-
-        held, n = [], 0
-        for batch in batches:
-            for text in batch["text"]:
-                held.append(lex.ids(text))
-                n += len(held[-1])
-                if n > 1_000_000:
-                    yield packed(held)
-                    held, n = [], 0
-        if held:
-            yield packed(held)
-
-    # Dealt by word once: both groupings keep to it.
-    rows = texts.mapInPandas(sides, "word long, item long, n long").repartition("word")
-    return (rows.groupBy("word", "item").agg(F.sum("n").alias("n"))
-            .groupBy("word").agg(F.collect_list(F.struct("item", "n")).alias("items"))
-            # Two arrays of numbers take half the room of one array of structs.
-            .select("word", F.col("items.item").alias("items"), F.col("items.n").alias("items_n")))
-
-
-def _items(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, neighbour, side, n) of every item."""
-    lists = batch[name]
-    row = np.repeat(np.arange(len(lists)), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
-    item, n = (x.flatten().to_numpy(zero_copy_only=False) for x in (lists, batch[name + "_n"]))
-    return row, item >> 1, item & 1, n
-
-
-def histograms(batch: pa.RecordBatch, place_class: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(after, before, own) of each row: counts of the neighbours' classes, and of the word beside itself."""
-    word = batch["word"].to_numpy(zero_copy_only=False)
-    sides, own = np.zeros((len(word), 2, size)), np.zeros(len(word))
-    for name in ("items", "more"):
-        row, other, side, n = _items(batch, name)
-        self = other == word[row]
-        own += np.bincount(row[self & (side == 0)], weights=n[self & (side == 0)], minlength=len(word))
-        used = (other >= 0) & ~self
-        sides += np.bincount((row[used] * 2 + side[used]) * size + place_class[other[used]], weights=n[used],
-                             minlength=sides.size).reshape(sides.shape)
-    return sides[:, 0], sides[:, 1], own
-
-
-def gains(between: np.ndarray, after: np.ndarray, before: np.ndarray, own: np.ndarray, old: np.ndarray) -> np.ndarray:
-    """What the training likelihood gains when a word, taken from its class `old`, joins each class but the end's: the
-    terms of `exchanged` for many words at once, each beside the same `between`."""
+def _dense_gains(between: np.ndarray, after: np.ndarray, before: np.ndarray, own: np.ndarray, old: np.ndarray) -> np.ndarray:
+    """`gains`, each term by itself."""
     classes, word = len(between) - 1, np.arange(len(old))
     gain = np.zeros((len(old), classes))
     here = np.tile(np.diagonal(between)[:classes], (len(old), 1))
@@ -311,120 +260,517 @@ def gains(between: np.ndarray, after: np.ndarray, before: np.ndarray, own: np.nd
     return gain - 2 * (_xlogx(total + count[:, None]) - _xlogx(total))
 
 
-def _with_classes(tail: DataFrame, known: DataFrame | None, places: int, classes: int) -> DataFrame:
-    """`tail` with the class (`old`) of the words beyond the dictionary, and such words among the neighbours as items of
-    the class they have (`more`). Without `known` that is the class of the shape. `tail` is not shuffled again."""
-    # Items of rare neighbours other than the word itself.
-    rare = F.filter(F.arrays_zip("items", "items_n"),
-                    lambda x: (x["items"] < 0) & (F.shiftright(x["items"], 1) != F.col("word")))
-    shaped = lambda word: (-1 - word).bitwiseAND(F.lit(7)) + classes
-    item = lambda cls, side: (places + 1 + cls) * 2 + side.bitwiseAND(F.lit(1))
-    if known is None:
-        more = F.transform(rare, lambda x: item(shaped(F.shiftright(x["items"], 1)), x["items"]))
-        return tail.select("word", "items", "items_n", more.alias("more"),
-                           F.transform(rare, lambda x: x["items_n"]).alias("more_n"), shaped(F.col("word")).alias("old"))
-    beyond = known.where("word < 0")
-    found = (tail.select("word", F.inline(rare)).withColumn("other", F.shiftright("items", 1))
-             .join(beyond.select(F.col("word").alias("other"), "class"), "other")
-             .groupBy("word", item(F.col("class"), F.col("items")).alias("item")).agg(F.sum("items_n").alias("n"))
-             .groupBy("word").agg(F.collect_list(F.struct("item", "n")).alias("more"))
-             .select("word", F.col("more.item").alias("more"), F.col("more.n").alias("more_n")))
-    return (tail.join(found.hint("shuffle_hash"), "word", "left")
-            .join(beyond.select("word", F.col("class").alias("old")).hint("shuffle_hash"), "word", "left")
-            .select("word", "items", "items_n", "more", "more_n", "old"))
-
-
-def _old(batch: pa.RecordBatch, place_class: np.ndarray) -> np.ndarray:
-    word = batch["word"].to_numpy(zero_copy_only=False)
-    beyond = batch["old"].fill_null(0).to_numpy(zero_copy_only=False)
-    return np.where(word >= 0, place_class[np.maximum(word, 0)], beyond)
-
-
-def moved(rows: DataFrame, state, half: int, classes: int) -> DataFrame:
-    """(word, class) after the words of one half have moved. `state` is a broadcast of the dictionary's halves and
-    shapes, the classes by place and the counts between classes."""
-
-    def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        halves, shapes, place_class, between = state.value
+def gains(between: np.ndarray, after: np.ndarray, before: np.ndarray, own: np.ndarray, old: np.ndarray) -> np.ndarray:
+    """What the training likelihood gains when a word, taken from its class `old`, joins each class but the end's: the
+    terms of `exchanged` for many words at once, each beside the same `between`.
+
+    Most words have a few neighbours of small counts, so a cell's change for all classes is looked up; what differs is
+    the word's own class, and the cells that its removal changes. Words beside themselves are computed term by term.
+    """
+    classes = len(between) - 1
+    gain = np.zeros((len(old), classes))
+    alone = own > 0
+    if alone.any():
+        gain[alone] = _dense_gains(between, after[alone], before[alone], own[alone], old[alone])
+    words = np.flatnonzero(~alone)
+    if not len(words):
+        return gain
+    after, before, old = after[words], before[words], old[words]
+    out, row = np.zeros((len(words), classes)), np.arange(len(words))
+    diagonal = np.diagonal(between)[:classes]
+    step = np.arange(1, SMALL + 1, dtype=np.float64)[:, None, None]
+
+    def change(rest: np.ndarray, x: np.ndarray) -> np.ndarray:
+        return _xlogx(rest + x) - _xlogx(rest)
+
+    for mine, others, table in ((after, before, between), (before, after, between.T)):
+        looked_up = change(table.T[None, :, :classes], step)        # by count, neighbour's class and class
+        at, d = np.nonzero(mine)
+        x = mine[at, d]
+        small = (x <= SMALL) & (x == np.floor(x))
+        for k in range(0, len(at), 20_000):
+            part = slice(k, k + 20_000)
+            w, e, n, low = at[part], d[part], x[part], small[part]
+            cells = looked_up[np.where(low, n, 1).astype(np.int64) - 1, e]
+            if not low.all():
+                cells[~low] = change(table[:classes, e[~low]].T, n[~low, None])
+            own_class = table[old[w], e]
+            cells[np.arange(len(w)), old[w]] = change(own_class - n - np.where(e == old[w], others[w, old[w]], 0), n)
+            # A neighbour of the word's own class: the word's removal changed the counts of that class with others.
+            same = np.flatnonzero(e == old[w])
+            hit, c = np.nonzero(others[w[same], :classes])
+            cell = same[hit]
+            elsewhere = c != old[w[cell]]
+            cell, c = cell[elsewhere], c[elsewhere]
+            cells[cell, c] = change(table[c, e[cell]] - others[w[cell], c], n[cell])
+            starts = np.flatnonzero(np.diff(w, prepend=-1))
+            out[w[starts]] += np.add.reduceat(cells, starts)
+        inner = d < classes
+        w, e, n = at[inner], d[inner], x[inner]
+        here = diagonal[e] - np.where(e == old[w], after[w, e] + before[w, e], 0)
+        out[w, e] -= change(here, n)
+    both = after[:, :classes] + before[:, :classes]
+    w, e = np.nonzero(both)
+    here = diagonal[e] - np.where(e == old[w], both[w, e], 0)
+    out[w, e] += change(here, both[w, e])
+    count, total = before.sum(axis=1), between.sum(axis=0)[:classes]
+    low = (count <= SMALL) & (count == np.floor(count)) & (count > 0)
+    joined = change(total[None, :], step[:, 0])[np.where(low, count, 1).astype(np.int64) - 1]
+    joined[~low] = change(total[None, :], count[~low, None])
+    joined[row, old] = change(total[old] - count, count)
+    gain[words] = out - 2 * joined
+    return gain
+
+
+# ---- the tail: words beyond the head, with the states beside them ------------------------------------------------
+
+
+def _bucket(word: np.ndarray, buckets: int) -> np.ndarray:
+    """Words beyond the dictionary by ranges of their codes, others by their places."""
+    return np.where(word < 0, (-1 - word >> 31) * buckets >> 32, word % buckets)
+
+
+def _pack(word: np.ndarray, size: np.ndarray, item: np.ndarray, n: np.ndarray) -> bytes:
+    head = np.array([len(word), len(item)], dtype="<i8")
+    return b"".join(x.tobytes() for x in (head, word.astype("<i8"), size.astype("<u4"), item.astype("<u2"), n.astype("<u4")))
+
+
+def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    words, items = np.frombuffer(data, dtype="<i8", count=2).tolist()
+    out, at = [], 16
+    for kind, count in (("<i8", words), ("<u4", words), ("<u2", items), ("<u4", items)):
+        out.append(np.frombuffer(data, dtype=kind, count=count, offset=at))
+        at += out[-1].nbytes
+    return tuple(out)
+
+
+def _grouped(word: np.ndarray, item: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Different words, the number of items of each, the items, and how often."""
+    order = np.lexsort((item, word))
+    word, item, n = word[order], item[order], n[order]
+    new_word = np.append(True, word[1:] != word[:-1])[:len(word)]
+    first = np.flatnonzero(new_word | np.append(True, item[1:] != item[:-1])[:len(word)])
+    n = np.add.reduceat(n, first) if len(first) else n
+    word, item = word[first], item[first]
+    starts = np.flatnonzero(new_word[first])
+    return word[starts], np.diff(np.append(starts, len(word))), item, n
+
+
+def neighbours(texts: DataFrame, lexicon, buckets: int) -> DataFrame:
+    """(bucket, data): the words of the tail with 2 * state + side of the words beside them (side 0: after it) and how
+    often; the state after the end's is the word itself. A word has at most 4,016 of these. `lexicon` is a broadcast."""
+
+    def sides(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lex = lexicon.value
+
+        def dealt(held: list[np.ndarray]) -> pa.RecordBatch:
+            # Where one text meets the next, both are ends.
+            word = np.concatenate(held)
+            place = word >= 0
+            state = np.where(place, np.append(lex.state, lex.end)[np.maximum(word, 0)], lex.clustered + (-1 - word & 7))
+            tail = np.flatnonzero((state >= lex.clustered) & (state != lex.end))
+            beside = [np.where(word[tail + k] == word[tail], lex.states, state[tail + k]) for k in (1, -1)]
+            found = _grouped(np.concatenate([word[tail]] * 2), np.concatenate([2 * beside[0], 2 * beside[1] + 1]),
+                             np.ones(2 * len(tail), dtype=np.int64))
+            return _by_bucket(*found, buckets)
+
+        held, n = [], 0
+        known: dict[bytes, int] = {}
+        edge = np.array([len(lex.counts)])
+        for batch in batches:
+            for text in batch.column(0):
+                held += [edge, lex.ids(tokens(text.as_py()), known), edge]
+                n += len(held[-2])
+                if n > BATCH:
+                    yield dealt(held)
+                    held, n = [], 0
+                    known.clear()
+        if held:
+            yield dealt(held)
+
+    def merge(held: list[bytes]) -> bytes:
+        parts = [_unpack(data) for data in held]
+        return _pack(*_grouped(np.concatenate([np.repeat(p[0], p[1]) for p in parts]),
+                               *(np.concatenate([p[k].astype(np.int64) for p in parts]) for k in (2, 3))))
+
+    rows = texts.mapInArrow(sides, "bucket int, data binary")
+    return settled(_merged(rows, merge, buckets), "brown-tail", compression="zstd")
+
+
+def _by_bucket(word: np.ndarray, size: np.ndarray, item: np.ndarray, n: np.ndarray, buckets: int) -> pa.RecordBatch:
+    bucket = _bucket(word, buckets)
+    order = np.argsort(bucket, kind="stable")
+    ends = np.cumsum(size)
+    cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+    numbers, data = [], []
+    for a, b in zip(cuts, np.append(cuts[1:], len(order))):
+        chosen = order[a:b]
+        each = size[chosen]
+        at = np.repeat(ends[chosen] - each, each) + np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+        numbers.append(int(bucket[chosen[0]]))
+        data.append(_pack(word[chosen], each, item[at], n[at]))
+    return pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(data, pa.binary())], ["bucket", "data"])
+
+
+def _merged(rows: DataFrame, merge, buckets: int) -> DataFrame:
+    """One row per bucket, from all of its rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def done() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([merge(held)], pa.binary())],
+                                              ["bucket", "data"])
+
         for batch in batches:
-            word, old = batch["word"].to_numpy(zero_copy_only=False), _old(batch, place_class)
-            at, place = np.arange(len(word)), np.clip(word, 0, len(halves) - 1)
-            gain = gains(between, *histograms(batch, place_class, len(between)), old)
-            home = classes + np.where(word >= 0, shapes[place], (-1 - word) & 7)
+            for bucket, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if bucket != now and held:
+                    yield done()
+                    held = []
+                now = bucket
+                held.append(data.as_py())
+        if held:
+            yield done()
+
+    return rows.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "bucket int, data binary")
+
+
+@dataclass
+class Base:
+    """What the words of the tail move beside: the classes of the states and the counts between classes, with all of the
+    tail in the classes of its shapes."""
+    between: np.ndarray
+    state_class: np.ndarray     # by state
+    shapes: np.ndarray          # of the dictionary's words
+    clustered: int
+    classes: int                # learned ones
+
+    def moved(self, data: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, tuple]]:
+        """(words, their counts, their classes, (word, state, side, n) of the items), some thousand words at a time."""
+        word, size, item, n = _unpack(data)
+        ends, all_ = np.cumsum(size), len(self.between)
+        myself = len(self.state_class)
+        for first in range(0, len(word), 8192):
+            part = slice(first, first + 8192)
+            some = slice(int(ends[first] - size[first]), int(ends[part][-1]))
+            row = np.repeat(np.arange(len(word[part])), size[part])
+            state, side, times = item[some] >> 1, item[some] & 1, n[some].astype(np.float64)
+            beside = state != myself
+            cell = (row * 2 + side)[beside] * all_ + self.state_class[state[beside]]
+            counts = np.bincount(cell, weights=times[beside], minlength=len(word[part]) * 2 * all_).reshape(-1, 2, all_)
+            own = np.bincount(row[~beside & (side == 0)], weights=times[~beside & (side == 0)], minlength=len(word[part]))
+            home = self.classes + np.where(word[part] >= 0, self.shapes[np.maximum(word[part], 0)], -1 - word[part] & 7)
+            gain = gains(self.between, counts[:, 0], counts[:, 1], own, home)
+            at = np.arange(len(home))
             stay = gain[at, home]
-            gain[:, classes:] = -np.inf
-            gain[:, :classes] -= math.log(classes)
-            gain[at, home] = stay
-            new = gain.argmax(axis=1)
-            mine = np.where(word >= 0, halves[place], (-1 - word) >> 3 & 1) == half
-            new = np.where(mine & (gain[at, new] > gain[at, old] + 1e-9), new, old)
-            yield pa.RecordBatch.from_pydict({"word": pa.array(word), "class": pa.array(new.astype(np.int64))})
-
-    return rows.mapInArrow(move, "word long, class long")
-
-
-def tail_pairs(rows: DataFrame, state, clustered: int, classes: int) -> DataFrame:
-    """(pair, n) of the pairs with a word of the tail; the states are the head, the tail's classes and the end."""
-    states = clustered + classes + 1
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place_class = state.value[2]
-        # The state of a place: a head word its own, a word of the tail that of its class, the end the last.
-        at = np.where(np.arange(len(place_class)) < clustered, np.arange(len(place_class)), clustered + place_class)
-        held = np.zeros((2, classes, states))
+            gain[:, self.classes:] = -np.inf
+            gain[:, :self.classes] -= math.log(self.classes)
+            best = gain.argmax(axis=1)
+            cls = np.where(gain[at, best] > stay + 1e-9, best, home)
+            yield word[part], counts[:, 0].sum(axis=1) + own, cls, (row, state, side, times)
+
+
+def tail_pass(tail: DataFrame, base) -> DataFrame:
+    """(kind, a, n). Kind 0: place of a word of the dictionary, class. Kind 1: pair of states, count, where the states are
+    the head, the classes of the tail and the end. `base` is a broadcast."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        b = base.value
+        every = b.classes + SHAPES
+        states = b.clustered + every + 1
+        # A head word is a state of its own, a word of the tail that of its shape, the end the last.
+        other = np.concatenate([np.arange(b.clustered), b.clustered + b.classes + np.arange(SHAPES), [states - 1]])
+        held = np.zeros((2, every, states))
+        places, found = [], []
         for batch in batches:
-            word, old = batch["word"].to_numpy(zero_copy_only=False), _old(batch, place_class)
-            for name in ("items", "more"):
-                row, other, side, n = _items(batch, name)
-                self = other == word[row]
-                to = np.where(self, clustered + old[row], at[np.maximum(other, 0)])
-                # A pair within the tail counts once, from its first word.
-                used = ((other >= 0) | self) & ((side == 0) | (to < clustered) | (to == states - 1))
-                held += np.bincount(((side * classes + old[row]) * states + to)[used], weights=n[used],
-                                    minlength=held.size).reshape(held.shape)
-        side, cls, to = np.nonzero(held)
-        mine = clustered + cls
-        pair = np.where(side == 0, mine * states + to, to * states + mine)
-        yield pa.RecordBatch.from_pydict({"pair": pa.array(pair), "n": pa.array(held[side, cls, to].astype(np.int64))})
-
-    return rows.mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
-
-
-def spread(texts: DataFrame, shared, head: np.ndarray, first: np.ndarray, second: np.ndarray, n: np.ndarray,
-           classes: int, passes: int = PASSES) -> tuple[np.ndarray, DataFrame, np.ndarray]:
-    """(class by place, (word, class) of the words beyond the dictionary, counts between the classes).
-
-    `shared`: broadcast lexicon; `head`: classes of the head; `first`, `second`, `n`: the state pairs. Classes are the
-    learned ones, one per shape, the end."""
-    spark, lexicon = texts.sparkSession, shared.value
-    c, places, end = lexicon.clustered, len(lexicon.counts), classes + SHAPES
-    place_class = np.concatenate([head, classes + lexicon.shapes[c:], [end], np.arange(end)])
-
-    def counted(cls: np.ndarray, a: np.ndarray, b: np.ndarray, times: np.ndarray) -> np.ndarray:
-        return np.bincount(cls[a] * (end + 1) + cls[b], weights=times, minlength=(end + 1) ** 2).reshape(end + 1, end + 1)
-
-    between = counted(np.concatenate([head, np.arange(classes, end + 1)]), first, second, n)
-    known, states = None, c + end + 1
+            for data in batch.column("data"):
+                for word, _, cls, (row, state, side, n) in b.moved(data.as_py()):
+                    mine = cls[row]
+                    to = np.where(state == len(b.state_class), b.clustered + mine, np.append(other, 0)[state])
+                    # A pair within the tail counts once, from its first word.
+                    used = (side == 0) | (to < b.clustered) | (to == states - 1)
+                    held += np.bincount(((side.astype(np.int64) * every + mine) * states + to)[used], weights=n[used],
+                                        minlength=held.size).reshape(held.shape)
+                    places.append(word[word >= 0])
+                    found.append(cls[word >= 0])
+        side, mine, to = np.nonzero(held)
+        pair = np.where(side == 0, (b.clustered + mine) * states + to, to * states + b.clustered + mine)
+        place, cls = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (places, found))
+        yield pa.RecordBatch.from_pydict({
+            "kind": pa.array(np.repeat([0, 1], [len(place), len(pair)]).astype(np.int32)),
+            "a": pa.array(np.concatenate([place, pair]).astype(np.int64)),
+            "n": pa.array(np.concatenate([cls, held[side, mine, to]]).astype(np.int64))})
+
+    return tail.mapInArrow(run, "kind int, a long, n long").groupBy("kind", "a").agg(F.sum("n").alias("n"))
+
+
+def beyond_words(tail: DataFrame, base) -> DataFrame:
+    """(bucket, data): codes, counts and classes of the words beyond the dictionary, by code."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for bucket, data in zip(batch.column("bucket").to_pylist(), batch.column("data")):
+                parts = [(-1 - w[w < 0], n[w < 0], c[w < 0]) for w, n, c, _ in base.value.moved(data.as_py())]
+                if parts:
+                    codes, n, cls = (np.concatenate(x) for x in zip(*parts))
+                    order = np.argsort(codes)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([bucket], pa.int32()), pa.array([_answers(codes[order], n[order], cls[order])], pa.binary())],
+                        ["bucket", "data"])
+
+    return settled(tail.mapInArrow(run, "bucket int, data binary"), "brown-classes", compression="zstd")
+
+
+def _answers(codes: np.ndarray, n: np.ndarray, cls: np.ndarray) -> bytes:
+    return b"".join((codes.astype("<i8").tobytes(), n.astype("<i8").tobytes(), cls.astype("<u1").tobytes()))
+
+
+def _read_answers(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    size = len(data) // 17
+    return (np.frombuffer(data, "<i8", size), np.frombuffer(data, "<i8", size, 8 * size),
+            np.frombuffer(data, "<u1", size, 16 * size))
+
+
+@dataclass
+class Clustering:
+    lexicon: Lexicon
+    classes: int                # learned ones
+    cls: np.ndarray             # class by place in the lexicon
+    known: DataFrame            # (bucket, data) of the words beyond
+    buckets: int
+    words: np.ndarray           # different words by class
+    totals: np.ndarray          # tokens by class, the end's last
+    documents: int
+
+
+def clustered_words(texts: DataFrame, counts: DataFrame, clustered: int, classes: int, dictionary: int) -> Clustering:
+    spark = texts.sparkSession
+    documents = texts.count()
+    lexicon = Lexicon(*frequent(counts, dictionary), clustered)
+    shared = spark.sparkContext.broadcast(lexicon)
+    # At most (clustered + 7)^2 rows of two numbers, as Arrow buffers.
+    pairs = pair_counts(texts, shared).toArrow()
+    pair = pairs["pair"].to_numpy()
+    order = np.argsort(pair)
+    n = pairs["n"].to_numpy()[order].astype(np.float64)
+    first, second = (x.astype(np.int32) for x in np.divmod(pair[order], lexicon.states))
+    del pairs, pair, order
+    c = lexicon.clustered
+    head = exchanged(first, second, n, c, lexicon.states, classes)[:c]
+    classes = max(1, min(classes, c))
+    end = classes + SHAPES
+    states = c + end + 1
     inner = ((first < c) | (first == lexicon.end)) & ((second < c) | (second == lexicon.end))
     head_pairs = [*(np.where(x[inner] == lexicon.end, states - 1, x[inner]).astype(np.int64) for x in (first, second)), n[inner]]
-    tail = neighbours(texts, shared, c).persist(StorageLevel.DISK_ONLY)
-    for k in range(passes):
-        state = spark.sparkContext.broadcast((lexicon.half, np.append(lexicon.shapes, 0), place_class, between))
-        known = settled(moved(_with_classes(tail, known, places, classes), state, k % 2, classes), "brown-classes")
+    beside_tail = float(n[~((first < c) | (first == lexicon.end))].sum())
+    buckets = 1 + int(2 * beside_tail) // BUCKET_ITEMS
+    tail = neighbours(texts, shared, buckets)
+    cls = np.append(classes + lexicon.shapes, end)
+    shapes = np.append(lexicon.shapes, 0)
+    for _ in range(PASSES):
+        state_class = np.concatenate([head, np.arange(classes, end + 1)])
+        between = np.bincount(state_class[first] * (end + 1) + state_class[second], weights=n,
+                              minlength=(end + 1) ** 2).reshape(end + 1, end + 1)
+        base = spark.sparkContext.broadcast(Base(between, state_class, shapes, c, classes))
         # At most one row of two numbers per word of the dictionary, and per pair of a head word and a class.
-        got = known.where("word >= 0").toArrow()
-        place_class[got["word"].to_numpy()] = got["class"].to_numpy()
-        state = spark.sparkContext.broadcast((None, None, place_class, None))
-        pairs = tail_pairs(_with_classes(tail, known, places, classes), state, c, end).toArrow()
-        tail_side = [*np.divmod(pairs["pair"].to_numpy(), states), pairs["n"].to_numpy()]
-        a, b, times = (np.concatenate(x) for x in zip(head_pairs, tail_side))
-        order = np.argsort(a * states + b)
-        start = np.concatenate([place_class[:c], np.arange(end + 1)])
-        cls = exchanged(a[order], b[order], times[order], c, states, classes, 1, start)
-        place_class[:c] = cls[:c]
-        between = counted(cls, a, b, times)
-    tail.unpersist()
-    return place_class[:places], known.where("word < 0"), between
+        got = tail_pass(tail, base).toArrow()
+        kind, a, times = (got[x].to_numpy() for x in ("kind", "a", "n"))
+        cls[a[kind == 0]] = times[kind == 0]
+        one, two = np.divmod(a[kind == 1], states)
+        one, two, times = (np.concatenate(x) for x in zip(head_pairs, (one, two, times[kind == 1].astype(np.float64))))
+        order = np.argsort(one * states + two)
+        start = np.concatenate([head, np.arange(end + 1)])
+        head = exchanged(one[order], two[order], times[order], c, states, classes, 1, start)[:c]
+    cls[:c] = head
+    known = beyond_words(tail, base)
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, total = np.zeros(end, dtype=np.int64), np.zeros(end, dtype=np.int64)
+        for batch in batches:
+            for data in batch.column("data"):
+                _, times, own = _read_answers(data.as_py())
+                words += np.bincount(own, minlength=end)
+                total += np.bincount(own, weights=times, minlength=end).astype(np.int64)
+        yield pa.RecordBatch.from_pydict({"class": pa.array(np.arange(end)), "words": pa.array(words), "total": pa.array(total)})
+
+    words, totals = np.bincount(cls[:-1], minlength=end).astype(np.float64), np.zeros(end + 1)
+    totals[:end] = np.bincount(cls[:-1], weights=lexicon.counts, minlength=end)
+    totals[end] = documents
+    for r in known.mapInArrow(sums, "class long, words long, total long").groupBy("class").agg(
+            F.sum("words").alias("words"), F.sum("total").alias("total")).collect():
+        words[r["class"]] += r["words"]
+        totals[r["class"]] += r["total"]
+    words[classes:] += 1
+    return Clustering(lexicon, classes, cls[:-1], known, buckets, words, totals, documents)
+
+
+# ---- batches: documents as sequences of classes ------------------------------------------------------------------
+
+
+@dataclass
+class Reader:
+    """What turns texts into classes and sums. It goes to all tasks."""
+    lexicon: Lexicon
+    cls: np.ndarray
+    emission: np.ndarray        # log10 P(word | class) by place
+    base: np.ndarray            # log10 of the base share by place
+
+
+@dataclass
+class Batch:
+    """Documents of one batch: tokens, whether they train, sums over the dictionary's words, the classes of all tokens
+    (`UNKNOWN` for words beyond) and, for these, the number of the word among the batch's different ones."""
+    tokens: np.ndarray
+    train: np.ndarray
+    known: np.ndarray
+    base: np.ndarray
+    emission: np.ndarray
+    classes: np.ndarray
+    rare: np.ndarray
+    n: np.ndarray               # answers, by number
+    own: np.ndarray
+
+    _KINDS = (("tokens", "<u4"), ("train", "<u1"), ("known", "<u4"), ("base", "<f8"), ("emission", "<f8"),
+              ("classes", "<u1"), ("rare", "<u4"), ("n", "<i8"), ("own", "<u1"))
+
+    def packed(self) -> bytes:
+        parts = [getattr(self, name).astype(kind) for name, kind in self._KINDS]
+        return np.array([len(p) for p in parts], dtype="<i8").tobytes() + b"".join(p.tobytes() for p in parts)
+
+    @classmethod
+    def unpacked(cls, data: bytes) -> Batch:
+        sizes, at, parts = np.frombuffer(data, "<i8", len(cls._KINDS)).tolist(), 8 * len(cls._KINDS), []
+        for (_, kind), size in zip(cls._KINDS, sizes):
+            parts.append(np.frombuffer(data, kind, size, at))
+            at += parts[-1].nbytes
+        return cls(*parts)
+
+    def sequence(self, chosen: np.ndarray, end: int) -> np.ndarray:
+        """The classes of the chosen documents' tokens, an end before, between and behind them."""
+        classes = self.classes.copy()
+        classes[classes == UNKNOWN] = self.own[self.rare]
+        classes = classes[np.repeat(chosen, self.tokens)].astype(np.int64)
+        stops = np.cumsum(self.tokens[chosen].astype(np.int64))
+        return np.concatenate([[end], np.insert(classes, stops, end)])
+
+
+_PARTS = "bucket int, batch long, data binary, keys {}"
+
+
+def resolved(docs: DataFrame, clustering: Clustering, reader) -> DataFrame:
+    """(batch, data, keys): `docs` (key, train, text) in batches with the answers for words beyond the dictionary.
+    `reader` is a broadcast."""
+    buckets, classes = clustering.buckets, clustering.classes
+    keys = ArrayType(docs.schema["key"].dataType)
+    schema = StructType([*docs.sparkSession.createDataFrame([], "bucket int, batch long, data binary").schema.fields,
+                         StructField("keys", keys)])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        r, number = reader.value, TaskContext.get().partitionId() << 32
+
+        def asked(part: pa.RecordBatch, held: list[np.ndarray], number: int) -> pa.RecordBatch:
+            ids = np.concatenate(held)
+            sizes = np.array([len(h) for h in held])
+            owner = np.repeat(np.arange(len(held)), sizes)
+            found = ids >= 0
+            codes, rare = np.unique(-1 - ids[~found], return_inverse=True)
+            by = lambda w: np.bincount(owner[found], weights=w, minlength=len(held))
+            sequence = np.full(len(ids), UNKNOWN)
+            sequence[found] = r.cls[ids[found]]
+            batch = Batch(sizes, part.column("train").to_numpy(zero_copy_only=False), by(np.ones(found.sum())),
+                          by(r.base[ids[found]]), by(r.emission[ids[found]]), sequence, rare, np.zeros(0), np.zeros(0))
+            bucket = _bucket(-1 - codes, buckets)
+            cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
+            data = [codes[a:b].tobytes() for a, b in zip(cuts, np.append(cuts[1:], len(codes)))]
+            own = pa.ListArray.from_arrays(pa.array([0, len(held)] + [len(held)] * len(data), pa.int32()), part.column("key"))
+            return pa.RecordBatch.from_arrays(
+                [pa.array([-1, *bucket[cuts].tolist()], pa.int32()), pa.array([number] * (len(data) + 1), pa.int64()),
+                 pa.array([batch.packed(), *data], pa.binary()), own], schema.names)
+
+        for batch in batches:
+            held, n, first = [], 0, 0
+            for k, text in enumerate(batch.column("text")):
+                known: dict[bytes, int] = {} if not held else known
+                held.append(r.lexicon.ids(tokens(text.as_py()), known))
+                n += len(held[-1])
+                if n >= BATCH or k + 1 == batch.num_rows:
+                    yield asked(batch.slice(first, len(held)), held, number)
+                    held, n, first, number = [], 0, k + 1, number + 1
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, table = None, None
+        for batch in batches:
+            out = []
+            for bucket, number, data in zip(*(batch.column(c).to_pylist() for c in ("bucket", "batch", "data"))):
+                if bucket != now:
+                    now, table = bucket, _read_answers(b"")
+                if number < 0:                         # the bucket's words come before all questions
+                    table = _read_answers(data)
+                    continue
+                codes = np.frombuffer(data, "<i8")
+                at = np.minimum(np.searchsorted(table[0], codes), max(0, len(table[0]) - 1))
+                hit = table[0][at] == codes if len(table[0]) else np.zeros(len(codes), dtype=bool)
+                n, own = np.zeros(len(codes), dtype=np.int64), classes + (codes & 7)
+                n[hit], own[hit] = table[1][at[hit]], table[2][at[hit]]
+                out.append((bucket, number, n.astype("<i8").tobytes() + own.astype("<u1").tobytes()))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(
+                    zip(*out), (pa.int32(), pa.int64(), pa.binary()))], ["bucket", "batch", "data"])
+
+    def put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, own = None, None, []
+
+        def done() -> pa.RecordBatch:
+            batch = Batch.unpacked(held.column("data")[0].as_py())
+            sizes = [len(d) // 9 for d in own]
+            batch.n = np.concatenate([np.frombuffer(d, "<i8", s) for d, s in zip(own, sizes)] + [np.zeros(0, np.int64)])
+            batch.own = np.concatenate([np.frombuffer(d, "<u1", s, 8 * s) for d, s in zip(own, sizes)] + [np.zeros(0, np.uint8)])
+            return pa.RecordBatch.from_arrays([held.column("bucket"), held.column("batch"), pa.array([batch.packed()], pa.binary()),
+                                               held.column("keys")], schema.names)
+
+        for batch in batches:
+            number = batch.column("batch").to_pylist()
+            for k, bucket in enumerate(batch.column("bucket").to_pylist()):
+                if number[k] != now and held is not None:
+                    yield done()
+                    own = []
+                now = number[k]
+                if bucket < 0:
+                    held = batch.slice(k, 1)
+                else:
+                    own.append(batch.column("data")[k].as_py())
+        if held is not None:
+            yield done()
+
+    parts = settled(docs.mapInArrow(read, schema), "brown-questions", compression="zstd")
+    small = "bucket int, batch long, data binary"
+    questions = parts.where("bucket >= 0").select("bucket", "batch", "data")
+    words = clustering.known.select("bucket", F.lit(-1).cast("long").alias("batch"), "data")
+    answers = (questions.unionByName(words).repartition(buckets, "bucket").sortWithinPartitions("bucket", "batch")
+               .mapInArrow(answer, small))
+    whole = parts.where("bucket < 0").unionByName(answers.withColumn("keys", F.lit(None).cast(keys)))
+    # The answers of a batch follow it by bucket, which is the order of its codes.
+    return settled(whole.repartition("batch").sortWithinPartitions("batch", "bucket").mapInArrow(put_together, schema),
+                   "brown-batches", compression="zstd")
+
+
+def transitions(batches: DataFrame, end: int) -> np.ndarray:
+    """How often one class follows another in the documents that train."""
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros((end + 1) ** 2, dtype=np.int64)
+        for row in rows:
+            for data in row.column("data"):
+                batch = Batch.unpacked(data.as_py())
+                way = batch.sequence(batch.train > 0, end)
+                held += np.bincount(way[:-1] * (end + 1) + way[1:], minlength=len(held))
+        yield pa.RecordBatch.from_pydict({"pair": pa.array(np.arange(len(held))), "n": pa.array(held)})
+
+    # Classes squared, in each task as in the result.
+    counted = batches.select("data").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros((end + 1) ** 2)
+    out[counted["pair"].to_numpy()] = counted["n"].to_numpy()
+    return out.reshape(end + 1, end + 1)
 
 
 @dataclass
@@ -441,26 +787,20 @@ class Model:
     end_known: int
     train_tokens: int
     beyond: DataFrame           # (word, n, class) of the words beyond the lexicon
-
-    def scored(self, text: bytes | None) -> tuple[int, int, float, float, list[tuple[int, bytes, int, int]]]:
-        """(tokens, known, base score, score, rare words). A rare word is (position, word, class before, class after), -1
-        for the class of another rare word; its counts and the transitions beside it are still to be added."""
-        place, state, rare = self.lexicon.looked_up(text)
-        end = self.classes[self.lexicon.end]
-        way = np.concatenate([[end], np.where(place >= 0, self.classes[state], -1), [end]])
-        found = place[place >= 0]
-        base = self.base[found].sum() - len(rare) * self.base_loss + self.end_base
-        sure = (way[:-1] >= 0) & (way[1:] >= 0)
-        score = self.transition[way[:-1][sure], way[1:][sure]].sum() + self.emission[found].sum()
-        at = np.flatnonzero(place < 0)
-        rows = list(zip(at.tolist(), rare, way[at].tolist(), way[at + 2].tolist()))
-        return len(place) + 1, len(found) + self.end_known, float(base), float(score), rows
-
-    def rest(self, cls: np.ndarray, before: np.ndarray, after: np.ndarray) -> float:
-        """What the rare words of one text, in order, add to the score apart from log10(count + 0.5)."""
-        t, last = self.transition, before < 0
-        back = t[before[~last], cls[~last]].sum() + t[cls[np.flatnonzero(last) - 1], cls[last]].sum()
-        return float(back + t[cls[after >= 0], after[after >= 0]].sum() - self.loss[cls].sum())
+    batches: DataFrame          # the documents, read
+
+    def scores(self, batch: Batch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(known, base score, score) of each document."""
+        everything = np.ones(len(batch.tokens), dtype=bool)
+        way = batch.sequence(everything, len(self.loss))
+        steps = batch.tokens.astype(np.int64) + 1
+        score = batch.emission + np.add.reduceat(self.transition[way[:-1], way[1:]], np.cumsum(steps) - steps)
+        owner = np.repeat(np.arange(len(steps)), batch.tokens)[batch.classes == UNKNOWN]
+        n, own = batch.n[batch.rare], batch.own[batch.rare]
+        by = lambda w: np.bincount(owner, weights=w, minlength=len(steps))
+        half = np.log10(n + 0.5)
+        return (batch.known + by(n > 0).astype(np.int64) + self.end_known,
+                batch.base + by(half - self.base_loss) + self.end_base, score + by(half - self.loss[own]))
 
 
 def frequent(counts: DataFrame, most: int) -> tuple[list[bytes], np.ndarray]:
@@ -468,109 +808,79 @@ def frequent(counts: DataFrame, most: int) -> tuple[list[bytes], np.ndarray]:
     of a doubling, that at most `most` words reach: words of equal count are in or out together, and nothing is sorted
     but those words."""
     step = F.floor(F.log2("n") * 8).cast("int")
-    sizes = sorted(counts.groupBy(step.alias("step")).count().collect(), reverse=True)    # 512 rows at most
+    short = counts.where(F.octet_length("word") <= LONGEST)
+    sizes = sorted(short.groupBy(step.alias("step")).count().collect(), reverse=True)    # 512 rows at most
     reached, lowest = 0, None
     for r in sizes:
         reached += r["count"]
         if reached > most:
             break
         lowest = r["step"]
-    chosen = counts.where(step >= lowest if lowest is not None else F.lit(False)).select(
+    chosen = short.where(step >= lowest if lowest is not None else F.lit(False)).select(
         F.col("word").cast("binary").alias("word"), "n").toArrow()
     pairs = sorted(zip(chosen["n"].to_pylist(), chosen["word"].to_pylist()), key=lambda x: (-x[0], x[1]))
     return [w for _, w in pairs], np.array([n for n, _ in pairs], dtype=np.float64)
 
 
 def learned(texts: DataFrame, counts: DataFrame, clustered: int = CLUSTERED, classes: int = CLASSES,
-            dictionary: int = DICTIONARY) -> Model:
-    """`texts`: the training texts (binary), `counts`: their word counts."""
+            dictionary: int = DICTIONARY, docs: DataFrame | None = None) -> Model:
+    """`texts`: the training texts (binary), `counts`: their word counts; `docs`: all documents (key, train, text), if
+    there are more."""
     spark = texts.sparkSession
-    documents = texts.count()
-    shapes = {r[0]: (r[1], r[2]) for r in
-              counts.groupBy(_shape_column(F.col("word"))).agg(F.count("*"), F.sum("n")).collect()}
-    lexicon = Lexicon(*frequent(counts, dictionary), clustered)
-    shared = spark.sparkContext.broadcast(lexicon)
-    # At most (clustered + 7)^2 rows of two numbers, as Arrow buffers.
-    pairs = pair_counts(texts, shared).toArrow()
-    pair = pairs["pair"].to_numpy()
-    order = np.argsort(pair)
-    n = pairs["n"].to_numpy()[order].astype(np.float64)
-    first, second = (x.astype(np.int32) for x in np.divmod(pair[order], lexicon.states))
-    del pairs, pair, order
-    c = lexicon.clustered
-    head = exchanged(first, second, n, c, lexicon.states, classes)[:c]
-    classes = max(1, min(classes, c))
-    cls, known, between = spread(texts, shared, head, first, second, n, classes)
-    del first, second, n
-    size = len(between)
+    found = clustered_words(texts, counts, clustered, classes, dictionary)
+    lexicon, end = found.lexicon, found.classes + SHAPES
+    loss = np.log10(np.maximum(found.totals[:-1] + 0.5 * found.words, 0.5))
+    emission = np.log10(lexicon.counts + 0.5) - loss[found.cls]
+    distinct, occurrences = counts.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    distinct += found.documents > 0
+    train = int(occurrences) + found.documents
+    base_loss = math.log10(train + 0.5 * (distinct + 1))
+    base = np.log10(lexicon.counts + 0.5) - base_loss
+    reader = spark.sparkContext.broadcast(Reader(lexicon, found.cls, emission, base))
+    if docs is None:
+        docs = texts.select(F.lit(0).alias("key"), F.lit(True).alias("train"), "text")
+    batches = resolved(docs, found, reader)
+    between = transitions(batches, end)
     total = between.sum(axis=0)
-    share = (total + 0.5) / (total.sum() + 0.5 * size)
+    share = (total + 0.5) / (total.sum() + 0.5 * len(between))
     transition = np.log10((between + PRIOR * share) / (between.sum(axis=1, keepdims=True) + PRIOR))
 
-    frequent_words = spark.createDataFrame(pd.DataFrame({"word": [w.decode() for w in lexicon.place]}), "word string")
-    beyond = settled(
-        counts.join(F.broadcast(frequent_words), "word", "left_anti").withColumn("code", -1 - _code_column(F.col("word")))
-        .join(known.select(F.col("word").alias("code"), "class"), "code").select("word", "n", "class"), "brown-beyond")
-    words = np.zeros(size - 1)
-    words[classes:] = 1
-    words += np.bincount(cls, minlength=size - 1)
-    for d, more in beyond.groupBy("class").count().collect():
-        words[d] += more
-    loss = np.log10(np.maximum(total[:-1] + 0.5 * words, 0.5))
-    emission = np.log10(lexicon.counts + 0.5) - loss[cls]
-    distinct = sum(v[0] for v in shapes.values()) + (documents > 0)
-    train = int(sum(v[1] for v in shapes.values())) + documents
-    base_loss = math.log10(train + 0.5 * (distinct + 1))
-    return Model(lexicon.widened(), np.concatenate([cls, np.arange(classes, size)]), transition, emission,
-                 np.log10(lexicon.counts + 0.5) - base_loss, loss, loss[classes:], base_loss,
-                 math.log10(documents + 0.5) - base_loss, int(documents > 0), train, beyond)
+    def rows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for data in part.column("data"):
+                codes, _, cls = _read_answers(data.as_py())
+                yield pa.RecordBatch.from_pydict({"code": pa.array(codes), "class": pa.array(cls.astype(np.int64))})
+
+    beyond = counts.withColumn("code", _code_column(F.col("word"))).join(
+        found.known.mapInArrow(rows, "code long, class long"), "code").select("word", "n", "class")
+    return Model(lexicon.widened(), np.concatenate([found.cls, np.arange(found.classes, end + 1)]), transition, emission, base,
+                 loss, loss[found.classes:], base_loss, math.log10(found.documents + 0.5) - base_loss,
+                 int(found.documents > 0), train, beyond, batches)
 
 
 def lm_scores(docs: DataFrame, key: str = "doc_id", text: str = "text", clustered: int = CLUSTERED,
               classes: int = CLASSES, dictionary: int = DICTIONARY) -> DataFrame:
     """Per document: key, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     held_out = F.coalesce(remainder(key, 5) == 1, F.lit(False))
-    train = docs.where(~held_out).select(F.col(text).cast("binary").alias("text"))
-    counts = settled(word_counts(train), "brown-counts")
-    model = learned(train, counts, clustered, classes, dictionary)
-    classes = len(model.loss) - SHAPES
-    beyond, model.beyond = model.beyond, None
+    rows = docs.select(F.col(key).alias("key"), (~held_out).alias("train"), F.col(text).cast("binary").alias("text"))
+    texts = rows.where("train").select("text")
+    model = learned(texts, settled(word_counts(texts), "brown-counts"), clustered, classes, dictionary, rows)
+    batches, train_tokens = model.batches, model.train_tokens
+    model.beyond = model.batches = None
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rare_word = StructType([StructField("position", LongType()), StructField("word", StringType()),
-                            StructField("before", LongType()), StructField("after", LongType())])
-    schema = StructType([docs.select(F.col(key).alias("key")).schema[0], StructField("held_out", BooleanType()),
+    schema = StructType([docs.select(F.col(key)).schema[0], StructField("held_out", BooleanType()),
                          StructField("n_tokens", LongType()), StructField("n_known", LongType()),
-                         StructField("base_score", DoubleType()), StructField("score", DoubleType()),
-                         StructField("rare", ArrayType(rare_word))])
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = shared.value
-        for batch in batches:
-            rows = [m.scored(t) for t in batch["text"]]
-            yield pd.DataFrame({
-                "key": batch["key"], "held_out": batch["held_out"], "n_tokens": [r[0] for r in rows],
-                "n_known": [r[1] for r in rows], "base_score": [r[2] for r in rows], "score": [r[3] for r in rows],
-                "rare": [[{"position": p, "word": w.decode(), "before": b, "after": a} for p, w, b, a in r[4]] for r in rows]})
-
-    def join_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = shared.value
-        for batch in batches:
-            ways = zip(batch["class"], batch["before"], batch["after"])
-            yield pd.DataFrame({"row": batch["row"], "more": batch["more"], "found": batch["found"],
-                                "rest": [m.rest(*w) for w in ways]})
-
-    rows = docs.select(F.col(key).alias("key"), held_out.alias("held_out"), F.col(text).cast("binary").alias("text"))
-    part = settled(rows.mapInPandas(score, schema).withColumn("row", F.monotonically_increasing_id()), "brown-scores")
-    rare = part.select("row", F.inline("rare")).join(beyond, "word", "left").withColumn(
-        "class", F.coalesce("class", (classes + _shape_column(F.col("word"))).cast("long")))
-    rest = rare.groupBy("row").agg(
-        F.sum(F.log10(F.coalesce(F.col("n"), F.lit(0)) + 0.5)).alias("more"), F.count("n").alias("found"),
-        F.array_sort(F.collect_list(F.struct("position", "class", "before", "after"))).alias("ways")
-        ).select("row", "more", "found", "ways.class", "ways.before", "ways.after").mapInPandas(
-            join_up, "row long, more double, found long, rest double")
-    return part.drop("rare").join(rest, "row", "left").select(
-        F.col("key").alias(key), "held_out", "n_tokens",
-        (F.col("n_known") + F.coalesce("found", F.lit(0))).alias("n_known"),
-        F.lit(model.train_tokens).cast("long").alias("train_tokens"),
-        (F.col("base_score") + F.coalesce("more", F.lit(0.0))).alias("base_score"),
-        (F.col("score") + F.coalesce("more", F.lit(0.0)) + F.coalesce("rest", F.lit(0.0))).alias("score"))
+                         StructField("train_tokens", LongType()), StructField("base_score", DoubleType()),
+                         StructField("score", DoubleType())])
+
+    def score(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for data, keys in zip(part.column("data"), part.column("keys")):
+                batch = Batch.unpacked(data.as_py())
+                known, base, got = shared.value.scores(batch)
+                yield pa.RecordBatch.from_arrays(
+                    [keys.values, pa.array(batch.train == 0), pa.array(batch.tokens.astype(np.int64) + 1),
+                     pa.array(known.astype(np.int64)), pa.array(np.full(len(known), train_tokens, dtype=np.int64)),
+                     pa.array(base), pa.array(got)], schema.names)
+
+    return batches.select("data", "keys").mapInArrow(score, schema)
