@@ -7,15 +7,16 @@ negative components the complements are added. The sum is exact and is itself a
 picked from the most significant slice downward: a slice either narrows the candidates or admits them; rows still equal
 after the last slice are ties, of which the smallest ids are taken. Only the picked rows' scores are ever written out.
 
-The queries are a stated set and meet all rows, in blocks: queries are cut into groups of about `QUERY_ROWS`, each pair of
-query group and candidate block is one task-sized unit of bounded size, and a row goes to each unit of its block. Blocks
-are dealt by a hash, so a vector that a third of all rows share fills no unit. A unit returns k rows per query, which a
-ranked window reduces before the shuffle.
+The index is built once: each block's slices are written, a bit a slice and row. The queries are a stated set and meet all
+rows, in blocks: queries are cut into groups of about `QUERY_ROWS`, and each pair of query group and block is one
+task-sized unit of bounded size, to which the block's slices go. Blocks are dealt by a hash, so a vector that a third of
+all rows share fills no unit. A unit returns k rows per query, which a ranked window reduces before the shuffle.
 
 Defined cases: vectors that are null or hold a null or a non-finite component, and rows with a null id, take no part.
 Vectors are compared with those of the same length only. Rows are told apart by position: a repeated row of a query is
-a candidate for it. With fewer than k candidates all are returned. Extra columns are ignored. Scores have to fit a
-long. An empty table gives an empty table.
+a candidate for it. With fewer than k candidates all are returned. Extra columns are ignored. Vectors with a component
+that exceeds `LARGEST` when quantised take no part; scores that do not fit a long are returned as the nearest long, in
+which they are ties. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ BLOCK_ROWS = 1 << 14
 QUERY_ROWS = 2048             # a candidate row is shuffled once for so many queries
 LEAST_UNITS, LEAST_QUERIES = 16, 256
 SCALE = 256
+LARGEST = 2.0 ** 62           # of a quantised component
+_LONG = (1 << 63) - 1
 
 
 class SlicedBlock:
@@ -49,9 +52,22 @@ class SlicedBlock:
                   for b in range(self.bits)]
         plain = (np.ascontiguousarray(np.stack(slices)).view(np.uint64).reshape(self.bits * self.width, -1) if slices
                  else np.zeros((0, len(lifted) // 64), dtype=np.uint64))
+        self._hold(plain, n)
+
+    def _hold(self, plain: np.ndarray, n: int) -> None:
         self.slices = np.vstack([plain, ~plain])
-        self.rows = np.zeros(len(lifted) // 64, dtype=np.uint64)
-        self.rows.view(np.uint8)[:] = np.packbits(np.arange(len(lifted)) < n, bitorder="little")
+        self.rows = np.zeros(plain.shape[1], dtype=np.uint64)
+        self.rows.view(np.uint8)[:] = np.packbits(np.arange(64 * plain.shape[1]) < n, bitorder="little")
+
+    def packed(self) -> bytes:
+        return self.slices[:self.bits * self.width].tobytes()
+
+    @classmethod
+    def unpacked(cls, data: bytes, n: int, width: int, low: int, bits: int) -> SlicedBlock:
+        block = cls.__new__(cls)
+        block.width, block.low, block.bits = width, low, bits
+        block._hold(np.frombuffer(data, dtype=np.uint64).reshape(bits * width, -(-n // 64)), n)
+        return block
 
     def scores(self, query: np.ndarray) -> tuple[list[np.ndarray], int]:
         """(slices of all scores plus a constant, the constant); the least significant slice first."""
@@ -122,7 +138,8 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, key: str = "vec_id", vector:
           scale: int = SCALE, block_rows: int = BLOCK_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
     """(query_id, rank, key, score): for each query row its k best other rows. `is_query` is a condition on the rows."""
     finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    rows = vectors.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).where(finite).select(
+    rows = vectors.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).where(finite).where(F.forall(
+        vector, lambda x: F.abs(x.cast("double") * scale) <= LARGEST)).select(
         F.col(key).alias("id"), F.coalesce(is_query, F.lit(False)).alias("asks"),
         F.transform(vector, lambda x: F.floor(x.cast("double") * scale)).alias("x"))
     rows = settled(rows.withColumn("width", F.size("x")).withColumn("row", F.monotonically_increasing_id()), "topk-rows")
@@ -131,8 +148,19 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, key: str = "vec_id", vector:
     # Few blocks get more groups of fewer queries, so that all cores have a unit.
     more = min(-(-asking // LEAST_QUERIES), -(-LEAST_UNITS // blocks))
     groups = max(1, -(-asking // query_rows), more)
-    candidates = rows.select("width", F.pmod(F.xxhash64("row"), F.lit(blocks)).alias("block"),
-                             F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("part"), "id", "row", "x")
+    kind = rows.schema["id"].dataType.simpleString()
+    dealt = rows.select("width", F.pmod(F.xxhash64("row"), F.lit(blocks)).alias("block"), "id", "row", "x")
+
+    def built(there: pd.DataFrame) -> pd.DataFrame:
+        there = there.sort_values(["id", "row"])
+        block = SlicedBlock(np.array(there["x"].tolist(), dtype=np.int64).reshape(len(there), -1))
+        return pd.DataFrame({
+            "width": there["width"].iloc[:1], "block": there["block"].iloc[:1], "low": block.low, "bits": block.bits,
+            "ids": [there["id"].to_numpy()], "places": [there["row"].to_numpy()], "slices": [block.packed()]})
+
+    index = settled(dealt.groupBy("width", "block").applyInPandas(
+        built, f"width int, block long, low long, bits int, ids array<{kind}>, places array<long>, slices binary"), "topk-index")
+    candidates = index.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
     # The queries' columns have names of their own: both sides come from one table.
     queries = rows.where("asks").select(
         F.col("width").alias("q_width"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("q_block"),
@@ -142,15 +170,14 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, key: str = "vec_id", vector:
     def search(there: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple] = []
         if len(there) and len(asked):
-            there = there.sort_values(["id", "row"])
-            ids, places = there["id"].to_numpy(), {r: p for p, r in enumerate(there["row"].tolist())}
-            block = SlicedBlock(np.array(there["x"].tolist(), dtype=np.int64).reshape(len(there), -1))
+            width, low, bits, ids, rows_, slices = there.iloc[0][["width", "low", "bits", "ids", "places", "slices"]]
+            places = {r: p for p, r in enumerate(rows_.tolist())}
+            block = SlicedBlock.unpacked(slices, len(rows_), int(width), int(low), int(bits))
             for query, row, x in zip(asked["q_id"], asked["q_row"], asked["q_x"]):
-                out += [(row, query, ids[r], s) for r, s in block.top(
+                out += [(row, query, ids[r], max(-_LONG - 1, min(_LONG, s))) for r, s in block.top(
                     np.asarray(x, dtype=np.int64), k, places.get(row, -1))]
         return pd.DataFrame(out, columns=["row", "query_id", "id", "score"])
 
-    kind = rows.schema["id"].dataType.simpleString()
     found = candidates.groupBy("width", "block", "part").cogroup(queries.groupBy("q_width", "q_block", "q_part")).applyInPandas(
         search, f"row long, query_id {kind}, id {kind}, score long")
     ranked = found.withColumn("rank", F.row_number().over(W.partitionBy("row").orderBy(F.desc("score"), "id")))

@@ -51,6 +51,22 @@ def test_edges(spark):
     assert found(spark, []) == [] and found(spark, [(1, [1.0])]) == [] and found(spark, [(5, [1.0])]) == []
 
 
+def test_large_components(spark):
+    """Quantised components up to 2^62 take part; scores beyond a long are the nearest long, and ties there."""
+    rows = [(0, [1e17, 1.0]), (5, [1e15, 1.0]), (1, [1e15, 3.0]), (2, [-1e15, 0.0]), (3, [1.0, 2.0]), (4, [0.0, 1.0])]
+    got = found(spark, rows, k=9)
+    assert all(0 not in (r[0], r[2]) for r in got) and {r[0] for r in got} == {5}
+    assert [r[2] for r in got] == [1, 3, 4, 2] and got[0][3] == 2 ** 63 - 1 and got[-1][3] == -2 ** 63
+
+
+def test_an_index_is_built_once_and_read_back(spark):
+    x = np.random.default_rng(3).integers(-70, 90, (150, 5))
+    block = q.SlicedBlock(x)
+    again = q.SlicedBlock.unpacked(block.packed(), 150, 5, block.low, block.bits)
+    for query in x[:20]:
+        assert again.top(query, 7) == block.top(query, 7)
+
+
 def test_slices_hold_the_scores():
     rng = np.random.default_rng(0)
     x, query = rng.integers(-300, 200, (130, 9)), rng.integers(-99, 99, 9)
