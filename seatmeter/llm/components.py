@@ -10,19 +10,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seatmeter.llm.common import settled
+from seatmeter.session import MAX_BROADCAST_ROWS
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, few: bool) -> DataFrame:
     """Link every larger neighbour of u to the smallest of u and its neighbours."""
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return both.join(F.broadcast(least) if few else least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, few: bool) -> DataFrame:
     """Link u and its smaller neighbours to the smallest of them. Edges have u > v."""
     least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    moved = edges.join(F.broadcast(least) if few else least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -43,7 +44,9 @@ def components(edges: DataFrame, limit: int = 60) -> DataFrame:
     for _ in range(limit):
         if not mark[0]:
             return edges
-        edges = settled(_small_star(_large_star(edges)), "components")
+        # There are at most twice as many nodes as links. Few of them are broadcast, so a hub's links stay spread out.
+        few = 2 * mark[0] <= MAX_BROADCAST_ROWS
+        edges = settled(_small_star(_large_star(edges, few), few), "components")
         before, mark = mark, _mark(edges)
         if mark == before:
             return edges

@@ -14,7 +14,9 @@ sphere. A pair separated by a sphere is found from its inner side only.
 A bounded sample gives the upper levels of the trees (`ROUTING_SAMPLE` fingerprints at most); they deal out home points
 and boundary-overlapping visitors to shards. A shard goes on dividing the same way in memory and compares what is left
 exactly, over all 64 bits. It returns only links to the smallest fingerprint of each local component: linear in its
-rows, however dense a group is. Shards beyond `SHARD_PAIRS` pairs are split by query rows.
+rows, however dense a group is. Shards beyond `SHARD_PAIRS` pairs are split into a grid, by home points and by asking
+ones, so a group that no sphere divides is held whole by no task. There, asking points visit both sides of a sphere, as
+the spheres of two parts differ.
 
 Defined cases: null and empty texts, and texts without words, have fingerprint zero and link to each other like any
 others. A text with fewer words than a shingle is one shingle. Repeated rows get equal results. Null ids are allowed;
@@ -35,6 +37,7 @@ from pyspark.sql.types import LongType
 
 from seatmeter.llm.common import settled, spare
 from seatmeter.llm.components import components
+from seatmeter.session import attach
 
 SHINGLE = 4
 DISTANCE = 4
@@ -216,25 +219,33 @@ def links(prints: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS,
 
     routed = settled(prints.mapInPandas(route, "tree int, shard int, fp long, home boolean"), "simhash-shards")
     # At most blocks * 2^16 shards, whatever the input.
+    home, rows = F.sum(F.col("home").cast("long")), F.count("*")
+    side = F.lit(float(max(1, int(shard_pairs ** 0.5))))
+    split = home * rows > shard_pairs
     sizes = routed.groupBy("tree", "shard").agg(
-        F.ceil(F.sum(F.col("home").cast("long")) * F.count("*") / F.lit(shard_pairs)).cast("int").alias("parts"))
-    own_part = F.pmod(F.xxhash64("fp"), F.greatest("parts", F.lit(1))).cast("int")
-    dealt = (routed.join(sizes, ["tree", "shard"])
-             .withColumn("own", own_part)
-             .withColumn("part", F.explode(F.when(F.col("home"), F.sequence(F.lit(0), F.greatest("parts", F.lit(1)) - 1))
-                                           .otherwise(F.array("own"))))
-             .select("tree", "shard", "part", "fp", "home", (F.col("own") == F.col("part")).alias("asks")))
+        F.when(split, F.ceil(home / side)).otherwise(1).cast("int").alias("homes"),
+        F.when(split, F.ceil(rows / side)).otherwise(1).cast("int").alias("asking"))
+    part = lambda name, seed: F.pmod(F.xxhash64("fp", F.lit(seed)), F.col(name)).cast("int")
+    each = lambda name: F.sequence(F.lit(0), F.col(name) - 1)
+    placed = routed.join(sizes, ["tree", "shard"])
+    at_home = placed.where("home AND homes * asking > 1").withColumn("h", part("homes", 1)).withColumn("a", F.explode(each("asking")))
+    asks = placed.withColumn("a", part("asking", 2)).withColumn("h", F.explode(each("homes")))
+    # kind 0: a home point in a part of a grid; 1: one of a whole shard, which also asks; 2: a visitor, or a home point
+    # that asks in a part of a grid.
+    visits = F.when(F.col("home") & (F.col("homes") * F.col("asking") == 1), 1).otherwise(2)
+    columns = ["tree", "shard", "h", "a", "fp"]
+    dealt = at_home.select(*columns, F.lit(0).alias("kind")).union(asks.select(*columns, visits.alias("kind")))
 
     def look(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        points = np.sort(group["fp"].to_numpy(dtype=np.int64).view(np.uint64))
+        points = np.unique(group["fp"].to_numpy(dtype=np.int64).view(np.uint64))
         found = Links(points)
         place = np.searchsorted(points, group["fp"].to_numpy(dtype=np.int64).view(np.uint64))
-        home, asks = group["home"].to_numpy(dtype=bool), group["asks"].to_numpy(dtype=bool)
-        found.search(place[home], place[home & asks], place[~home], masks[key[0]], radius, distance)
+        kind = group["kind"].to_numpy()
+        found.search(place[kind <= 1], place[kind == 1], place[kind == 2], masks[key[0]], radius, distance)
         moved = found.root != np.arange(len(points))
         return pd.DataFrame({"u": points[moved].view(np.int64), "v": points[found.root[moved]].view(np.int64)})
 
-    return dealt.groupBy("tree", "shard", "part").applyInPandas(look, "u long, v long")
+    return dealt.groupBy("tree", "shard", "h", "a").applyInPandas(look, "u long, v long")
 
 
 def component_ids(prints: DataFrame, key: str, distance: int = DISTANCE) -> DataFrame:
@@ -243,8 +254,11 @@ def component_ids(prints: DataFrame, key: str, distance: int = DISTANCE) -> Data
     stars = components(links(classes.select("fp"), distance)).select(
         F.col("u").alias("fp"), F.col("v").alias("root"))
     placed = classes.join(stars, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = placed.groupBy("root").agg(F.min("first").alias("component_id"))
-    return placed.join(least, "root").select("fp", "root", "component_id")
+    # Only components of several fingerprints need another one's key. Few of them go to the rows, so that a component
+    # with very many members stays spread out.
+    least = placed.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("members")).where("members > 1")
+    found = attach(placed, least.select("root", "component_id"), ["root"], "left")
+    return found.select("fp", "root", F.coalesce("component_id", "first").alias("component_id"))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE,
