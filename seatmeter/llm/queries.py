@@ -101,12 +101,20 @@ def _captures(pages: DataFrame) -> DataFrame:
 
 
 def _entries(pages: DataFrame) -> DataFrame:
-    """Listings of hosts (for some weeks, later again), of parent domains (for good) and reviewed hosts (allowed)."""
+    """Listings of hosts (for some weeks, later again), of parent domains (for good), reviewed hosts (allowed), and the
+    same for first parts of paths: of hosts (blocked for some weeks) and of parent domains (allowed)."""
     hosts = pages.select(urls.host(F.col("url")).alias("entry")).where("entry <> ''").distinct()
     hosts = hosts.withColumn("n", _number(F.col("entry")))
     parents = (hosts.where("entry rlike '[.].*[.].*[.]'").select(F.regexp_replace("entry", "^[^.]+[.]", "").alias("entry"))
                .distinct().withColumn("n", _number(F.col("entry"))))
 
+    part = F.regexp_extract("url", urls.FIRST_PART, 1)
+    sections = pages.select(urls.host(F.col("url")).alias("host"), part.alias("part")).where("host <> '' AND part <> ''").distinct()
+    numbered = lambda df: df.distinct().withColumn("n", _number(F.col("entry")))
+    own = numbered(sections.select(F.concat("host", F.lit("/"), "part").alias("entry")))
+    above = numbered(sections.where("host rlike '[.].*[.].*[.]'").select(
+        F.concat(F.regexp_replace("host", "^[^.]+[.]", ""), F.lit("/"), "part").alias("entry")))
+
     def changes(df: DataFrame, chosen: str, category: str, verdict: str, days: list[tuple[str, str]]) -> DataFrame:
         at = F.array(*[F.struct(F.timestamp_seconds(_YEAR + F.expr(day) * 86400).alias("at"),
                                 F.lit(action).alias("action")) for day, action in days])
@@ -116,7 +124,9 @@ def _entries(pages: DataFrame) -> DataFrame:
     return (changes(hosts, "n % 4 = 0", "spam", "block",
                     [("n % 200", "list"), ("n % 200 + 30 + n % 50", "delist"), ("n % 200 + 120", "list")])
             .union(changes(parents, "n % 3 = 0", "malware", "block", [("n % 250", "list")]))
-            .union(changes(hosts, "n % 10 = 4", "reviewed", "allow", [("100", "list"), ("250", "delist")])))
+            .union(changes(hosts, "n % 10 = 4", "reviewed", "allow", [("100", "list"), ("250", "delist")]))
+            .union(changes(own, "n % 5 = 1", "forum", "block", [("n % 150", "list"), ("n % 150 + 90", "delist")]))
+            .union(changes(above, "n % 3 = 1", "archive", "allow", [("n % 120", "list")])))
 
 
 @query
@@ -136,12 +146,21 @@ h AS (SELECT entry, ('0x' || substr(md5(entry), 1, 6))::BIGINT AS n
 p AS (SELECT entry, ('0x' || substr(md5(entry), 1, 6))::BIGINT AS n FROM (
         SELECT DISTINCT regexp_replace(entry, '^[^.]+[.]', '') AS entry FROM h
         WHERE regexp_matches(entry, '[.].*[.].*[.]'))),
+s AS (SELECT DISTINCT host, part FROM c WHERE host <> '' AND part <> ''),
+o AS (SELECT DISTINCT host || '/' || part AS entry FROM s),
+a AS (SELECT DISTINCT regexp_replace(host, '^[^.]+[.]', '') || '/' || part AS entry FROM s
+      WHERE regexp_matches(host, '[.].*[.].*[.]')),
 v AS (SELECT entry, 'spam' AS category, 'block' AS verdict, n % 200 AS f, n % 200 + 30 + n % 50 AS u FROM h WHERE n % 4 = 0
       UNION ALL SELECT entry, 'spam', 'block', n % 200 + 120, 99999 FROM h WHERE n % 4 = 0
       UNION ALL SELECT entry, 'malware', 'block', n % 250, 99999 FROM p WHERE n % 3 = 0
-      UNION ALL SELECT entry, 'reviewed', 'allow', 100, 250 FROM h WHERE n % 10 = 4),
-k AS (SELECT r, t, unnest(list_transform(range(1, greatest(len(string_split(host, '.')) - 1, 1) + 1),
+      UNION ALL SELECT entry, 'reviewed', 'allow', 100, 250 FROM h WHERE n % 10 = 4
+      UNION ALL SELECT entry, 'forum', 'block', n % 150, n % 150 + 90 FROM (
+        SELECT entry, ('0x' || substr(md5(entry), 1, 6))::BIGINT AS n FROM o) WHERE n % 5 = 1
+      UNION ALL SELECT entry, 'archive', 'allow', n % 120, 99999 FROM (
+        SELECT entry, ('0x' || substr(md5(entry), 1, 6))::BIGINT AS n FROM a) WHERE n % 3 = 1),
+d AS (SELECT r, t, part, unnest(list_transform(range(1, greatest(len(string_split(host, '.')) - 1, 1) + 1),
         lambda i: array_to_string(string_split(host, '.')[i:], '.'))) AS entry FROM c WHERE host <> ''),
+k AS (SELECT r, t, entry FROM d UNION ALL SELECT r, t, entry || '/' || part FROM d WHERE part <> ''),
 hits AS (SELECT k.r, v.entry, category, verdict FROM k JOIN v ON k.entry = v.entry
          AND t >= {_YEAR} + f * 86400 AND t < {_YEAR} + u * 86400),
 best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY length(entry) DESC, verdict = 'block' DESC,
