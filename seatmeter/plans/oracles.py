@@ -307,6 +307,29 @@ _TABLES = {
         SELECT poll_id, server_hostname, 'tool_' || (k % 5), 'v2.0', vendor_daemon, 999, k % 9,
                TIMESTAMP '2099-01-01 00:00:00', sampled_at
         FROM polls WHERE server_type = 'rlm'""",
+    "form_pools": """
+        SELECT poll_id, server_hostname, feature_name AS name, '3.1' AS version, '' AS vendor_daemon, total_licenses,
+               1 AS used_licenses, CAST(NULL AS TIMESTAMP) AS expiration_date, sampled_at FROM polls WHERE k % 8 = 2
+        UNION ALL SELECT poll_id, server_hostname, feature_name, '4.2', '', total_licenses,
+               CASE WHEN total_licenses > 0 THEN least(used_licenses, total_licenses) ELSE used_licenses END, NULL, sampled_at
+        FROM polls WHERE k % 8 = 3
+        UNION ALL SELECT poll_id, server_hostname, upper(feature_name), '', '', total_licenses, 1, NULL, sampled_at
+        FROM polls WHERE k % 8 = 3
+        UNION ALL SELECT poll_id, server_hostname, feature_name, '7.0', vendor_daemon, total_licenses, 1,
+               TIMESTAMP '2026-06-20 00:00:00', sampled_at FROM polls WHERE k % 8 = 4
+        UNION ALL SELECT poll_id, server_hostname, upper(feature_name), '7.0', vendor_daemon, 5, 0,
+               TIMESTAMP '2026-07-01 00:00:00', sampled_at FROM polls WHERE k % 8 = 4
+        UNION ALL SELECT poll_id, server_hostname, feature_name, v, vendor_daemon, n,
+               CASE WHEN total_licenses > 0 THEN least(used_licenses * n // total_licenses, n) ELSE 0 END, e, sampled_at
+        FROM polls, (VALUES ('1.0', 2, TIMESTAMP '2099-01-01'), ('2.0', 3, TIMESTAMP '2036-01-01')) x(v, n, e)
+        WHERE k % 8 = 5
+        UNION ALL SELECT poll_id, server_hostname, feature_name, v, CASE WHEN v = '3.0' THEN '' ELSE vendor_daemon END, 4, 0, e,
+               sampled_at
+        FROM polls, (VALUES ('1.0', TIMESTAMP '2026-03-15'), ('2.0', TIMESTAMP '2099-01-01'), ('3.0', TIMESTAMP '2036-01-01'),
+                            ('4.0', TIMESTAMP '2027-11-09')) x(v, e)
+        WHERE k % 8 = 6
+        UNION ALL SELECT poll_id, server_hostname, feature_name, '', '', total_licenses, 3, NULL, sampled_at
+        FROM polls WHERE k % 8 = 7""",
     "text_pools": "SELECT * FROM flex_pools UNION ALL SELECT * FROM rlm_pools",
 }
 
@@ -352,6 +375,63 @@ _BODIES = {
                (SELECT count(*) FROM holders h WHERE h.poll_id = polls.poll_id) AS users
         FROM polls LEFT JOIN (SELECT poll_id, count(*) AS n, sum(used_licenses) AS used FROM text_pools GROUP BY 1)
           USING (poll_id)""",
+    "forms_status": """
+        SELECT CAST(poll_id AS VARCHAR) AS dump_id, server_hostname AS hostname,
+               CASE WHEN k % 8 IN (0, 1, 7) THEN 'down' ELSE 'up' END AS service,
+               CASE WHEN k % 8 = 7 THEN '' ELSE 'lic' || (k % 3) END AS master,
+               CASE WHEN k % 8 = 7 THEN '' ELSE '11.19.' || (k % 4) END AS version,
+               CASE k % 8 WHEN 0 THEN 'Cannot read data from ' || server_hostname
+                    WHEN 1 THEN 'Error getting status from ' || server_hostname ELSE '' END AS message,
+               sampled_at AS last_checked
+        FROM polls""",
+    "forms_features": f"SELECT {_DUMP_POOL} FROM form_pools",
+    "forms_checkouts": """
+        SELECT CAST(poll_id AS VARCHAR) AS dump_id, server_hostname,
+               CASE WHEN k % 8 = 3 THEN upper(feature_name) ELSE feature_name END AS feature_name, u AS username, 'pc' AS host,
+               CASE u WHEN 'fay' THEN TIMESTAMP '1998-02-03 07:05:00' WHEN 'gus' THEN TIMESTAMP '2024-04-05 17:30:00'
+                    ELSE date_trunc('minute', sampled_at) END AS checked_out_at,
+               '9' AS version, CASE k % 8 WHEN 2 THEN '3.1' WHEN 3 THEN '4.2' WHEN 4 THEN '7.0' ELSE '' END AS license_version
+        FROM polls, (VALUES (2, 'ann'), (3, 'bob'), (4, 'cy'), (5, 'dan'), (7, 'eve'), (7, 'fay'), (7, 'gus')) x(form, u)
+        WHERE k % 8 = form""",
+    "unsupported_dumps": """
+        SELECT CAST(poll_id AS VARCHAR) AS dump_id, server_hostname AS host,
+               'unsupported server type: ' || CASE WHEN poll_id % 15 = 0 THEN '' ELSE 'spm' END AS reason
+        FROM polls WHERE poll_id % 5 = 0""",
+    "pool_checkouts": f"""
+        SELECT f.id, c.server_hostname, c.feature_name, c.license_version, f.expiration_date, c.username, c.host,
+               c.version AS client_version, c.checked_out_at,
+               CASE WHEN s >= 86400 THEN (s // 86400) || 'd ' || (s // 3600 % 24) || 'h ' || (s // 60 % 60) || 'm'
+                    WHEN s >= 3600 THEN (s // 3600) || 'h ' || (s // 60 % 60) || 'm' ELSE (s // 60) || 'm' END AS age,
+               CASE WHEN s >= 86400 THEN (s // 86400) || 'd ' || (s // 3600 % 24) || 'h'
+                    WHEN s >= 3600 THEN (s // 3600) || 'h ' || (s // 60 % 60) || 'm'
+                    WHEN s >= 60 THEN (s // 60) || 'm' ELSE s || 's' END AS duration
+        FROM (SELECT *, {_AGE} AS s FROM checkouts) c JOIN features f ON f.server_hostname = c.server_hostname AND f.name = c.feature_name
+             AND f.version = c.license_version
+        WHERE c.username LIKE '%7'""",
+    "servers_from_files": """
+        SELECT id, hostname, description, type, cacti_id, webui, created_at, updated_at, file
+        FROM servers, (VALUES ('json'), ('csv')) x(file)""",
+    "heatmap_documents": """
+        SELECT server_hostname, feature_name, string_agg(hour || ':' || CAST(round(coalesce(avg_usage, 0) * 1000) AS BIGINT) || ':'
+               || coalesce(peak_usage, 0), ' ' ORDER BY hour) AS hourly_data
+        FROM (SELECT DISTINCT server_hostname, feature_name FROM hourly)
+        CROSS JOIN (SELECT CAST(range AS INTEGER) AS hour FROM range(24))
+        LEFT JOIN hourly USING (server_hostname, feature_name, hour) GROUP BY 1, 2""",
+    "series_comparison_table": """
+        SELECT CAST(CAST(date AS VARCHAR) || ' ' || time AS TIMESTAMP) AS timestamp,
+               max(users_count) FILTER (WHERE feature_name = 'view') AS first,
+               max(users_count) FILTER (WHERE feature_name = 'click') AS second
+        FROM feature_usage
+        WHERE date >= DATE '2024-01-01' AND (server_hostname, feature_name) IN (
+            ('27000@nation-3.example.com', 'view'), ('27000@nation-8.example.com', 'click'))
+        GROUP BY 1""",
+    "export_report_json": """
+        SELECT 'summary' AS section, 'license_utilization' AS a, '' AS b, (SELECT count(*) FROM servers) AS x,
+               (SELECT count(*) FROM current_util) AS y
+        UNION ALL SELECT 'servers', hostname, type, id, length(webui) FROM servers
+        UNION ALL SELECT 'utilization', server_hostname, feature_name, total_licenses, used_licenses FROM current_util
+        UNION ALL SELECT 'statistics', server_hostname, feature_name, peak_usage, min_usage FROM stats
+        UNION ALL SELECT 'heatmap', server_hostname, feature_name, 24, sum(peak_usage) FROM hourly GROUP BY 2, 3""",
     "deep_page": """
         SELECT server_hostname, feature_name, date, time, users_count FROM feature_usage
         ORDER BY users_count DESC, date, time, server_hostname, feature_name

@@ -143,6 +143,24 @@ def hourly_heatmap(spark, sf):
     return usage.hourly_heatmap(d.feature_usage(spark, sf), AS_OF, 30)
 
 
+@query
+def heatmap_documents(spark, sf):
+    """One row per series; its 24 hours as text."""
+    rows = usage.heatmap_documents(d.feature_usage(spark, sf), AS_OF, 30)
+    hours = F.transform("hourly_data", lambda h: F.concat_ws(
+        ":", h["hour"].cast("string"), F.round(h["avg_usage"] * 1000).cast("long").cast("string"), h["peak_usage"].cast("string")))
+    return rows.withColumn("hourly_data", F.array_join(hours, " "))
+
+
+@query
+def series_comparison_table(spark, sf):
+    """The comparison with a column per series."""
+    chosen = [("27000@nation-3.example.com", "view"), ("27000@nation-8.example.com", "click")]
+    wanted = spark.createDataFrame(chosen, "server_hostname string, feature_name string")
+    table = usage.comparison_table(usage.series_comparison(d.feature_usage(spark, sf), wanted, AS_OF, 30), chosen)
+    return table.toDF("timestamp", "first", "second")
+
+
 @query
 def series_comparison(spark, sf):
     chosen = usage.top_series(inventory.utilization_now(d.pools(spark, sf)))
@@ -317,6 +335,24 @@ def checkout_detail_of_feature(spark, sf):
     return checkouts.checkout_detail(d.checkouts(spark, sf), AS_OF, server=host, feature="VIEW")
 
 
+@query
+def pool_checkouts(spark, sf):
+    """Every checkout below its pools."""
+    held = checkouts.pool_checkouts(d.features(spark, sf), d.held_checkouts(spark, sf), AS_OF)
+    return held.select("id", "server_hostname", "feature_name", "license_version", "expiration_date", "username", "host",
+                       "client_version", "checked_out_at", "age", "duration")
+
+
+@query
+def servers_from_files(spark, sf):
+    """The configured servers, written as JSON and as CSV and read back."""
+    folder, rows = export.new_folder(spark, "servers"), d.servers(spark, sf).withColumn("type", F.upper(F.concat("type", F.lit(" "))))
+    rows.write.json(f"{folder}/json")
+    rows.write.option("header", True).csv(f"{folder}/csv")
+    return tables.read_servers(spark, f"{folder}/json").withColumn("file", F.lit("json")).unionByName(
+        tables.read_servers(spark, f"{folder}/csv", "csv").withColumn("file", F.lit("csv")))
+
+
 @query
 def checked_out_only(spark, sf):
     return checkouts.checked_out_only(d.features(spark, sf), d.held_checkouts(spark, sf))
@@ -486,6 +522,26 @@ def rlm_checkouts(spark, sf):
     return rlm.rlm_checkouts(d.dumps(spark, sf).where("server_type = 'rlm'"))
 
 
+@query
+def forms_status(spark, sf):
+    return flexlm.flexlm_status(d.dump_forms(spark, sf))
+
+
+@query
+def forms_features(spark, sf):
+    return flexlm.flexlm_features(d.dump_forms(spark, sf))
+
+
+@query
+def forms_checkouts(spark, sf):
+    return flexlm.flexlm_checkouts(d.dump_forms(spark, sf))
+
+
+@query
+def unsupported_dumps(spark, sf):
+    return extract.unsupported(d.other_dumps(spark, sf))
+
+
 # --- streams, run over all available input
 
 
@@ -615,6 +671,28 @@ def export_report(spark, sf):
         stats.withColumn("section", F.lit("statistics")), allowMissingColumns=True)
 
 
+@query
+def export_report_json(spark, sf):
+    """All five sections of the report, written as JSON and read back, two texts and two numbers of each row."""
+    report = export.combined_report(d.servers(spark, sf), d.features(spark, sf), d.feature_usage(spark, sf), AS_OF)
+    folder = export.write_report_json(report, export.new_folder(spark, "export"))
+    back = {name: spark.read.schema(rows.schema).json(f"{folder}/{name}") for name, rows in report.items()}
+    peaks = F.aggregate("hourly_data.peak_usage", F.lit(0).cast("long"), lambda n, x: n + x)
+    taken = {
+        "summary": ("report_type", "server_filter", F.col("total_servers"), F.col("total_features")),
+        "servers": ("hostname", "type", F.col("id"), F.length("webui")),
+        "utilization": ("server_hostname", "feature_name", F.col("total_licenses"), F.col("used_licenses")),
+        "statistics": ("server_hostname", "feature_name", F.col("peak_usage"), F.col("min_usage")),
+        "heatmap": ("server_hostname", "feature_name", F.size("hourly_data"), peaks),
+    }
+    parts = [back[name].select(F.lit(name).alias("section"), F.col(a).alias("a"), F.col(b).alias("b"),
+                               x.cast("long").alias("x"), y.cast("long").alias("y")) for name, (a, b, x, y) in taken.items()]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 @query
 def export_names(spark, sf):
     hosts = d.features(spark, sf).select("server_hostname", "name").distinct()

@@ -146,6 +146,50 @@ def live_pools(spark: SparkSession, sf_dir: str) -> DataFrame:
         "server_hostname", F.when(F.col("server_type") == "flexlm", standby).otherwise(F.col("server_hostname")))
 
 
+def dump_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One FlexLM text per poll in one of eight forms that `dumps` has not: answers that fail, checkouts whose license
+    version has to be found elsewhere, license files with the expiry before the vendor, other dates, and full years."""
+    count = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    log = polls(spark, sf_dir).withColumn("dump_id", F.col("poll_id").cast("string")).repartition(count, "dump_id")
+    k, f, vd, total = F.col("k"), F.col("feature_name"), F.col("vendor_daemon"), F.col("total_licenses")
+    line = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    up = line("    lic", k % 3, ".example.com: license server UP (MASTER) v11.19.", k % 4)
+
+    def usage(name: Column) -> Column:
+        return line("Users of ", name, ":  (Total of ", total, " licenses issued;  Total of ", F.col("used_licenses"),
+                    " licenses in use)")
+
+    def holder(user: str, start: Column) -> Column:
+        return line("    ", user, " pc /dev/tty (v9) (lic/27000 1), start ", start)
+
+    start = line("Mon ", F.date_format("sampled_at", "M/d H:mm"))
+    forms = [
+        [up, "Cannot read data from license server", usage(f)],
+        [up, usage(f), "Error getting status: timed out", line(f, " 1.0 4 vd permanent")],
+        [up, usage(f), holder("ann", start), line('  "', f, '" v3.1, vendor: ', vd)],
+        [up, usage(f), line('  "', f, '" v4.2, vendor: ', vd), usage(F.upper(f)), holder("bob", start)],
+        [up, usage(f), holder("cy", start), line(f, " 7.0 ", total, " ", vd, " 20-jun-2026"),
+         line(F.upper(f), " 7.0 5 1-jul-2026 ", vd)],
+        [up, usage(f), holder("dan", start), line(f, " 1.0 2 ", vd, " permanent"), line(f, " 2.0 3 1-jan-0 ", vd)],
+        [up, line(f, " 1.0 4 2026-03-15 ", vd), line(f, " 2.0 4 5-xyz-2026 ", vd), line(f, " 3.0 4 1-jan-0000"),
+         line(f, " 4.0 4 09-nov-2027 ", vd)],
+        [usage(f), holder("eve", line("Mon ", F.date_format("sampled_at", "M/d/yyyy H:mm"))), holder("fay", F.lit("Tue 2/3/98 7:05")),
+         holder("gus", F.lit("Wed 4/5/24 17:30")), holder("hal", F.lit("Someday 4/5 17:30"))],
+    ]
+    text = F.lit("")
+    for number, lines in enumerate(forms):
+        text = F.when(k % 8 == number, F.concat_ws("\n", *[F.lit(x) if isinstance(x, str) else x for x in lines])).otherwise(text)
+    return log.select("dump_id", F.col("server_hostname").alias("host"), F.lit("flexlm").alias("server_type"),
+                      F.col("sampled_at").alias("captured_at"), text.alias("text"))
+
+
+def other_dumps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All status texts; every fifth is of a type without an extraction, and some of those of none."""
+    number = F.col("dump_id").cast("long")
+    kind = F.when(number % 15 == 0, F.lit(None)).when(number % 5 == 0, "spm").otherwise(F.col("server_type"))
+    return dumps(spark, sf_dir).withColumn("server_type", kind)
+
+
 def redirected_dumps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All status texts; those of each seventh nation come from a host that is not configured."""
     silent = servers(spark, sf_dir).where(F.col("id") % 7 == 0).select(F.col("hostname").alias("host"), F.lit(True).alias("silent"))
