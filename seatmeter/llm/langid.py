@@ -4,10 +4,11 @@ Learning counts hashed letter trigrams per language over all training documents:
 language and task, then a sum. The model has languages times `BINS` numbers (256 KB a language), whatever the corpus.
 
 Inference sees a document as words, each written in one of several languages. A word's likelihood in a language is the
-product over its trigrams; expectation-maximisation estimates the languages' proportions. Starting from all languages,
-the one with the smallest proportion is left out as long as that lowers the Bayesian information criterion, which
+product over its trigrams; expectation-maximisation estimates the languages' proportions, until none changes by more than
+`TOLERANCE`. A word counts as often as it occurs and is looked at once. Starting from all languages, the one with the smallest proportion is left out as long as that lowers the Bayesian information criterion, which
 leaves the language set. The document's language is the one with the largest proportion, and the score is that
-proportion. All of a text is used, and scoring is one narrow pass without a shuffle.
+proportion. All of a text is used, read in parts, so that a task holds its different words and not all of them. Scoring
+is one narrow pass without a shuffle.
 
 Defined cases: a null text, or one without any letter, is `und` with score 0 and no languages. Training rows with a
 null language or text are passed over. Without any training row everything is `und`. Ties go to the smaller language
@@ -17,8 +18,9 @@ held in). An empty table gives an empty table.
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
-from typing import Iterator
+from typing import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -30,7 +32,9 @@ from seatmeter.llm.common import remainder
 
 BINS = 1 << 16
 SMOOTH = 0.5
-STEPS = 10
+TOLERANCE = 1e-7             # of a proportion, where expectation-maximisation ends
+STEPS = 10_000               # guards against a fault only
+PART = 1 << 20               # characters of a text read at once
 CELLS = 2_000_000            # trigrams times languages looked up at once
 HISTOGRAMS = 128             # languages a learning task counts before it passes on what it has
 UNKNOWN = "und"
@@ -41,6 +45,17 @@ RESULT = StructType([StructField("lang", StringType()), StructField("score", Dou
 _LETTERS = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
 
 
+def _parts(text: str) -> Iterator[str]:
+    """The text, cut at blanks."""
+    at = 0
+    while at < len(text):
+        end = at + PART
+        while end < len(text) and text[end] not in " \n\t":
+            end += 1
+        yield text[at:end]
+        at = end
+
+
 def _words(text: str) -> list[bytes]:
     """Lower-cased words; ASCII characters other than letters divide them."""
     return text.lower().encode().translate(_LETTERS).split()
@@ -65,27 +80,43 @@ class Model:
         return np.add.reduceat(self.table[grams], starts, axis=0)
 
 
-def _mixture(likelihood: np.ndarray, owner: np.ndarray, starts: np.ndarray, shares: np.ndarray,
+def _mixture(likelihood: np.ndarray, times: np.ndarray, owner: np.ndarray, starts: np.ndarray, shares: np.ndarray,
              ) -> tuple[np.ndarray, np.ndarray]:
-    """(shares, log-likelihood) per document after `STEPS` rounds from the given shares."""
-    n = np.diff(starts, append=len(owner))[:, None]
+    """(shares, log-likelihood) per document, from the given shares on. Documents whose shares rest leave the rounds."""
+    out, open_ = shares.copy(), np.arange(len(starts))
+    l, t, o, s, p = likelihood, times, owner, starts, shares
+    n = np.add.reduceat(t, s)[:, None]
     for _ in range(STEPS):
-        mixed = likelihood * shares[owner]
-        shares = np.add.reduceat(mixed / mixed.sum(axis=1, keepdims=True), starts, axis=0) / n
-    total = np.log((likelihood * shares[owner]).sum(axis=1))
-    return shares, np.add.reduceat(total, starts)
-
-
-def proportions(model: Model, documents: list[list[bytes]]) -> np.ndarray:
-    """Language shares of each document (one word at least), zero outside the chosen set."""
-    counts = np.array([len(d) for d in documents])
-    logs = model.word_logs([w for d in documents for w in d]).astype(np.float64)
+        mixed = l * p[o]
+        mixed *= (t / mixed.sum(axis=1))[:, None]
+        new = np.add.reduceat(mixed, s, axis=0) / n
+        moving = np.abs(new - p).max(axis=1) > TOLERANCE
+        p = new
+        out[open_] = p
+        if not moving.any():
+            break
+        if moving.sum() < 0.7 * len(moving):
+            rows = moving[o]
+            sizes = np.diff(s, append=len(o))[moving]
+            open_, p, n, l, t = open_[moving], p[moving], n[moving], l[rows], t[rows]
+            o, s = np.repeat(np.arange(len(sizes)), sizes), np.cumsum(sizes) - sizes
+    total = times * np.log((likelihood * out[owner]).sum(axis=1))
+    return out, np.add.reduceat(total, starts)
+
+
+def proportions(model: Model, documents: list[Iterable[bytes]]) -> np.ndarray:
+    """Language shares of each document (its words, or a count of them; one at least), zero outside the chosen set."""
+    held = [d if isinstance(d, Counter) else Counter(d) for d in documents]
+    counts = np.array([len(d) for d in held])
+    times = np.fromiter((n for d in held for n in d.values()), dtype=np.float64, count=int(counts.sum()))
+    logs = model.word_logs([w for d in held for w in d]).astype(np.float64)
     # Far worse languages keep a tiny likelihood, so that a set without the best one still has a value.
     likelihood = np.exp(np.maximum(logs - logs.max(axis=1, keepdims=True), -60.0))
-    owner, starts = np.repeat(np.arange(len(documents)), counts), np.cumsum(counts) - counts
+    owner, starts = np.repeat(np.arange(len(held)), counts), np.cumsum(counts) - counts
+    words = np.add.reduceat(times, starts)
     k = len(model.languages)
-    shares, value = _mixture(likelihood, owner, starts, np.full((len(documents), k), 1.0 / k))
-    active = np.full(len(documents), k)
+    shares, value = _mixture(likelihood, times, owner, starts, np.full((len(held), k), 1.0 / k))
+    active = np.full(len(held), k)
     open_ = np.flatnonzero(active > 1)
     while len(open_):
         rows = np.concatenate([np.arange(starts[i], starts[i] + counts[i]) for i in open_])
@@ -94,8 +125,8 @@ def proportions(model: Model, documents: list[list[bytes]]) -> np.ndarray:
         fewer[np.arange(len(open_)), smallest] = 0
         fewer /= fewer.sum(axis=1, keepdims=True)
         own = np.repeat(np.arange(len(open_)), counts[open_])
-        fewer, got = _mixture(likelihood[rows], own, np.cumsum(counts[open_]) - counts[open_], fewer)
-        better = 2 * (value[open_] - got) <= np.log(np.maximum(counts[open_], 2))
+        fewer, got = _mixture(likelihood[rows], times[rows], own, np.cumsum(counts[open_]) - counts[open_], fewer)
+        better = 2 * (value[open_] - got) <= np.log(np.maximum(words[open_], 2))
         chosen = open_[better]
         shares[chosen], value[chosen], active[chosen] = fewer[better], got[better], active[chosen] - 1
         # A share that has died out counts as left out, at no cost in likelihood.
@@ -118,7 +149,9 @@ def learned(docs: DataFrame, text: str = "text", language: str = "lang") -> Mode
 
         for batch in batches:
             for lang, text_ in zip(batch["lang"], batch["text"]):
-                if words := _words(text_):
+                for part in _parts(text_):
+                    if not (words := _words(part)):
+                        continue
                     if lang not in counts:
                         if len(counts) == HISTOGRAMS:
                             yield from flushed()
@@ -150,7 +183,7 @@ def language(text: Column, model: Model) -> Column:
         limit = max(1, CELLS // max(1, len(model.languages)))
         for texts in batches:
             out: list[tuple] = [(UNKNOWN, 0.0, [], [])] * len(texts)
-            waiting: list[tuple[int, list[bytes]]] = []
+            waiting: list[tuple[int, Counter[bytes]]] = []
             size = 0
 
             def settle() -> None:
@@ -163,8 +196,10 @@ def language(text: Column, model: Model) -> Column:
             for place, text_ in enumerate(texts):
                 if text_ is None or not model.languages or not letter.search(text_):
                     continue
-                waiting.append((place, _words(text_)))
-                size += len(text_)
+                waiting.append((place, Counter()))
+                for part in _parts(text_):
+                    waiting[-1][1].update(_words(part))
+                size += min(len(text_), 8 * len(waiting[-1][1]))
                 if size >= limit:
                     settle()
                     size = 0

@@ -74,3 +74,32 @@ def test_many_languages_pass_through_tasks(spark, monkeypatch):
     monkeypatch.setattr(q, "HISTOGRAMS", 2)
     docs = edge_docs(spark, [(i, "abc def " * 3 + "qxz"[i % 3] * 6, f"l{i % 5}", "a") for i in range(50)])
     assert q.learned(docs).languages == [f"l{k}" for k in range(5)]
+
+
+def test_rounds_end_at_a_tolerance_and_words_count_as_often_as_they_occur():
+    """Three documents that need very different numbers of rounds, together as alone, and as by the definition."""
+    rng = np.random.default_rng(4)
+    model = q.Model(["a", "b", "c"], np.log(rng.dirichlet([0.3] * q.BINS, 3).T + 1e-7).astype(np.float32))
+    words = [bytes(rng.integers(97, 123, 5).astype(np.uint8)) for _ in range(40)]
+    documents = [words * 3 + words[:7] * 2, words[5:9], words[:25]]
+    together = q.proportions(model, documents)
+    for got, document in zip(together, documents):
+        assert np.allclose(got, q.proportions(model, [q.Counter(document)])[0])
+        logs = model.word_logs(document).astype(float)
+        lik = np.exp(np.maximum(logs - logs.max(axis=1, keepdims=True), -60.0))
+        pi = (got > 0) / (got > 0).sum()
+        for _ in range(5000):
+            r = lik * pi
+            pi = (r / r.sum(axis=1, keepdims=True)).mean(axis=0)
+        assert np.allclose(got, pi, atol=1e-4)
+
+
+def test_long_texts_are_read_in_parts(spark, monkeypatch):
+    text = "The house of the north is by the water " * 40_000 + "x" * 1_200_000 + " \n" * 500_000
+    assert "".join(q._parts(text)) == text and max(map(len, q._parts(text))) < 2_300_000
+    monkeypatch.setattr(q, "PART", 50)
+    cut = [w for part in q._parts(text[:5000]) for w in q._words(part)]
+    assert cut == q._words(text[:5000])
+    docs = edge_docs(spark, [(k, t, g, "a") for k, (t, g) in enumerate(
+        [("the house of the north", "en"), ("das haus am see im winter", "de")] * 4)] + [(99, text, None, "a")])
+    assert {r.doc_id: r.lang_pred for r in q.language_report(docs).collect()}[99] == "en"
