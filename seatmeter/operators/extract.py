@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seatmeter.operators import flexlm, rlm
-from seatmeter.session import attach
+from seatmeter.session import attach, settle
 
 
 def latest_dumps(dumps: DataFrame) -> DataFrame:
@@ -32,6 +32,24 @@ def all_checkouts(dumps: DataFrame) -> DataFrame:
         rlm.rlm_checkouts(_of_type(dumps, "rlm")))
 
 
+class Parsed:
+    """Texts whose lines are read and classified once and written, for jobs that want several of their contents. Texts of
+    other types have none."""
+
+    def __init__(self, dumps: DataFrame) -> None:
+        self.flexlm = settle(flexlm.read_lines(_of_type(dumps, "flexlm")))
+        self.rlm = settle(rlm.read_lines(_of_type(dumps, "rlm")))
+
+    def status(self) -> DataFrame:
+        return flexlm.status_of(self.flexlm).unionByName(rlm.status_of(self.rlm))
+
+    def features(self) -> DataFrame:
+        return flexlm.features_of(self.flexlm).unionByName(rlm.features_of(self.rlm))
+
+    def checkouts(self) -> DataFrame:
+        return flexlm.checkouts_of(self.flexlm).unionByName(rlm.checkouts_of(self.rlm))
+
+
 def unsupported(dumps: DataFrame) -> DataFrame:
     """Texts no extraction exists for, with the reason."""
     known = F.coalesce(F.col("server_type").isin("flexlm", "rlm"), F.lit(False))

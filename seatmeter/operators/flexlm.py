@@ -118,7 +118,13 @@ def _fields(lines: DataFrame) -> DataFrame:
     )
 
 
-def _in_context(dumps: DataFrame) -> DataFrame:
+def read_lines(dumps: DataFrame) -> DataFrame:
+    """The lines of interest with their fields: all that the texts are needed for. Settled, they serve the status, the
+    pools and the checkouts of the same texts."""
+    return _fields(_classified(dumps))
+
+
+def _in_context(lines: DataFrame) -> DataFrame:
     """Lines of interest up to the first fatal one, with the state the lines above them left."""
     kind, name = F.col("kind"), F.col("name")
     whole = in_order().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -126,7 +132,7 @@ def _in_context(dumps: DataFrame) -> DataFrame:
     named_last = carried(F.when(F.col("denies"), "").when(kind == "usage", name))
     current = carried(F.when(kind.isin("usage", "uncounted"), name))
     fatal_line = F.min(F.when(kind.isin(list(FATAL)), F.col("line_no"))).over(whole)
-    lines = _fields(_classified(dumps)).select(
+    lines = lines.select(
         "*", named_last.alias("named_last"), current.alias("current"), fatal_line.alias("fatal_line"))
 
     denied = F.col("denies") & (F.coalesce("named_last", F.lit("")) != "")
@@ -147,10 +153,14 @@ def _in_context(dumps: DataFrame) -> DataFrame:
 
 
 def flexlm_status(dumps: DataFrame) -> DataFrame:
+    return status_of(read_lines(dumps))
+
+
+def status_of(lines: DataFrame) -> DataFrame:
     """One row per text; a text without an answer of the server means down."""
     kind = F.col("kind")
     up_at = F.when(kind == "up", F.col("line_no"))
-    seen = _in_context(dumps).groupBy("dump_id", "host", "captured_at").agg(
+    seen = _in_context(lines).groupBy("dump_id", "host", "captured_at").agg(
         F.max_by("master", up_at).alias("master"), F.max_by("server_version", up_at).alias("version"),
         F.max(F.when(kind.isin(list(FATAL)), kind)).alias("fatal"),
     )
@@ -167,7 +177,7 @@ def flexlm_status(dumps: DataFrame) -> DataFrame:
     ).select(*STATUS_COLUMNS)
 
 
-def _attributed(dumps: DataFrame) -> DataFrame:
+def _attributed(lines: DataFrame) -> DataFrame:
     """Lines keyed by feature, with what the whole text says about that feature.
 
     Checkouts get their license version here: of their block, else of a block of the feature, else of a
@@ -175,7 +185,7 @@ def _attributed(dumps: DataFrame) -> DataFrame:
     """
     kind, at = F.col("kind"), F.col("line_no")
     rows = (
-        _in_context(dumps)
+        _in_context(lines)
         .withColumn("key", F.when(kind.isin("inline", "checkout"), F.col("current")).otherwise(F.col("name")))
         .where(F.col("key").isNotNull() & ((kind != "checkout") | F.col("started").isNotNull()))
     )
@@ -211,7 +221,11 @@ def _attributed(dumps: DataFrame) -> DataFrame:
 
 
 def flexlm_checkouts(dumps: DataFrame) -> DataFrame:
-    return _attributed(dumps).where(F.col("kind") == "checkout").select(
+    return checkouts_of(read_lines(dumps))
+
+
+def checkouts_of(lines: DataFrame) -> DataFrame:
+    return _attributed(lines).where(F.col("kind") == "checkout").select(
         "dump_id", F.col("host").alias("server_hostname"), F.col("key").alias("feature_name"),
         "username", F.col("user_host").alias("host"), F.col("started").alias("checked_out_at"),
         F.col("client_version").alias("version"),
@@ -220,6 +234,10 @@ def flexlm_checkouts(dumps: DataFrame) -> DataFrame:
 
 
 def flexlm_features(dumps: DataFrame) -> DataFrame:
+    return features_of(read_lines(dumps))
+
+
+def features_of(lines: DataFrame) -> DataFrame:
     """License pools per text: license-file lines by (name, version, expiry), uncounted features, and
     features only a usage line names. Used licenses follow the checkouts of the pool's version, else the
     usage line in proportion to the pool."""
@@ -229,7 +247,7 @@ def flexlm_features(dumps: DataFrame) -> DataFrame:
     def survives(last_line: str) -> Column:
         return F.coalesce(F.col(last_line) > removed, F.lit(False))
 
-    rows = _attributed(dumps).where(F.col("fatal_line").isNull())
+    rows = _attributed(lines).where(F.col("fatal_line").isNull())
     usage_only = (
         (kind == "usage") & (at == F.col("usage_line")) & survives("usage_line") & ~survives("pool_line")
         & ~survives("uncounted_line")

@@ -34,12 +34,21 @@ def _classified(dumps: DataFrame) -> DataFrame:
     return lines.select("*", first_kind(tests).alias("kind"))
 
 
+def read_lines(dumps: DataFrame) -> DataFrame:
+    """The lines of interest, and the first one of each text. Settled, they serve status, pools and checkouts."""
+    return _classified(dumps).where(F.col("kind").isNotNull() | (F.col("line_no") == 0))
+
+
 def rlm_status(dumps: DataFrame) -> DataFrame:
+    return status_of(_classified(dumps))
+
+
+def status_of(lines: DataFrame) -> DataFrame:
     """One row per text: the last of "status on" and "vendor not running" decides the service state."""
     line, kind, at = F.col("line"), F.col("kind"), F.col("line_no")
     vendor_down = (kind == "vendor") & (group(line, VENDOR, 2) != "Yes")
     state = F.when(kind == "status", "up").when(vendor_down, "warning")
-    seen = _classified(dumps).groupBy("dump_id", "host", "captured_at").agg(
+    seen = lines.groupBy("dump_id", "host", "captured_at").agg(
         F.max_by(state, F.when(state.isNotNull(), at)).alias("service"),
         F.max_by(group(line, STATUS, 1), F.when(kind == "status", at)).alias("master"),
         F.max_by(group(line, SOFTWARE, 1), F.when(kind == "software", at)).alias("version"),
@@ -54,12 +63,16 @@ def rlm_status(dumps: DataFrame) -> DataFrame:
 
 
 def rlm_features(dumps: DataFrame) -> DataFrame:
+    return features_of(_classified(dumps))
+
+
+def features_of(lines: DataFrame) -> DataFrame:
     """One pool per feature name and text: the last count line below a header of that name."""
     line, kind = F.col("line"), F.col("kind")
     header_name = group(line, HEADER, 1)
     is_tool = header_name.isin(EXCLUDED)
     context = (
-        _classified(dumps).where(kind.isin("vendor", "header", "count", "uncounted"))
+        lines.where(kind.isin("vendor", "header", "count", "uncounted"))
         .withColumn("current", carried(F.when(kind == "header", F.when(is_tool, "").otherwise(header_name))))
         .withColumn("version", carried(F.when(kind == "header", F.when(is_tool, "").otherwise(
             group(line, HEADER, 2)))))
@@ -85,11 +98,15 @@ def rlm_features(dumps: DataFrame) -> DataFrame:
 
 
 def rlm_checkouts(dumps: DataFrame) -> DataFrame:
+    return checkouts_of(_classified(dumps))
+
+
+def checkouts_of(lines: DataFrame) -> DataFrame:
     """One row per checkout line; each line stands for itself, so stored texts are not shuffled at all."""
     line = F.col("line")
     holder = group(line, CHECKOUT, 3)
     return (
-        _classified(dumps).where(F.col("kind") == "checkout")
+        lines.where(F.col("kind") == "checkout")
         .select(
             "dump_id", F.col("host").alias("server_hostname"), group(line, CHECKOUT, 1).alias("feature_name"),
             F.substring_index(holder, "@", 1).alias("username"), F.substring_index(holder, "@", -1).alias("host"),

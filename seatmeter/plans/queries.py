@@ -762,8 +762,8 @@ def pool_history(spark, sf):
 @query
 def checkout_changes(spark, sf):
     """From all status texts: who appeared and who left between the captures of each server."""
-    texts = d.dumps(spark, sf)
-    return changes.checkout_changes(changes.captures_of(extract.all_status(texts)), extract.all_checkouts(texts))
+    texts = extract.Parsed(d.dumps(spark, sf))
+    return changes.checkout_changes(changes.captures_of(texts.status()), texts.checkouts())
 
 
 @query

@@ -37,12 +37,13 @@ def alert_feed(alerts: DataFrame) -> DataFrame:
 def status_messages(dumps: DataFrame) -> DataFrame:
     """One message per status text with its status, pools and checkouts. `status_feed` does this on a stream.
 
-    The lists gather what one text contains, so a single input value bounds them.
+    The texts are read once. The lists gather what one text contains, so a single input value bounds them.
     """
-    status = extract.all_status(dumps)
-    pools = extract.all_features(dumps).groupBy("dump_id").agg(
+    parsed = extract.Parsed(dumps)
+    status = parsed.status()
+    pools = parsed.features().groupBy("dump_id").agg(
         F.collect_list(F.struct("name", "version", "total_licenses", "used_licenses")).alias("features"))
-    holders = extract.all_checkouts(dumps).groupBy("dump_id").agg(
+    holders = parsed.checkouts().groupBy("dump_id").agg(
         F.collect_list(F.struct("feature_name", "username", "host", "checked_out_at")).alias("users"))
     joined = status.join(pools, "dump_id", "left").join(holders, "dump_id", "left")
     channel = F.concat(F.lit("server:"), "hostname")

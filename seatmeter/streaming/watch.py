@@ -42,8 +42,9 @@ class CheckoutWatch:
 
     def __call__(self, dumps: DataFrame, batch_id: int) -> None:
         spark = dumps.sparkSession
-        answered = self._written(changes.captures_of(extract.all_status(dumps)), CAPTURE, "captures", batch_id)
-        held = self._written(extract.all_checkouts(dumps).select("dump_id", *changes.HOLDING[1:]).distinct(), HELD,
+        parsed = extract.Parsed(dumps)
+        answered = self._written(changes.captures_of(parsed.status()), CAPTURE, "captures", batch_id)
+        held = self._written(parsed.checkouts().select("dump_id", *changes.HOLDING[1:]).distinct(), HELD,
                              "held", batch_id)
         last = stored(spark, CAPTURE, [self._path("last", batch_id - 1)])
         holding = stored(spark, HELD, [self._path("holding", batch_id - 1)])
