@@ -93,18 +93,23 @@ def _code_column(word: Column) -> Column:
 def word_counts(texts: DataFrame) -> DataFrame:
     """(word, n) over all rows of `texts`, whose one column text is binary."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter[bytes] = Counter()
+
+        def passed_on() -> pa.RecordBatch:
+            word = pa.array(list(held), pa.binary()).cast(pa.string())
+            return pa.RecordBatch.from_arrays([word, pa.array(list(held.values()), pa.int64())], ["word", "n"])
+
         for batch in batches:
-            for text in batch["text"]:
-                held.update(tokens(text))
+            for text in batch.column(0):
+                held.update(tokens(text.as_py()))
                 if len(held) > COUNTER:
-                    yield pd.DataFrame({"word": [w.decode() for w in held], "n": list(held.values())})
+                    yield passed_on()
                     held.clear()
         if held:
-            yield pd.DataFrame({"word": [w.decode() for w in held], "n": list(held.values())})
+            yield passed_on()
 
-    return texts.mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 class Lexicon:
@@ -140,13 +145,12 @@ class Lexicon:
         return state
 
     def ids(self, words: list[bytes], known: dict[bytes, int]) -> np.ndarray:
-        """The place of each word, -1 - code for words that have none. `known` keeps codes found before."""
-        place = self.places(words)
+        """The place of each word. Words without a place are numbered after the end's, in the order in which `known`
+        takes them in."""
+        find, first = self.place.get, len(self.counts) + 1
+        place = np.fromiter((find(w, -1) for w in words), dtype=np.int64, count=len(words))
         for k in np.flatnonzero(place < 0).tolist():
-            word = words[k]
-            if word not in known:
-                known[word] = -1 - code(word)
-            place[k] = known[word]
+            place[k] = first + known.setdefault(words[k], len(known))
         return place
 
 
@@ -344,16 +348,16 @@ def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
     return tuple(out)
 
 
-def _grouped(word: np.ndarray, item: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Different words, the number of items of each, the items, and how often."""
-    order = np.lexsort((item, word))
-    word, item, n = word[order], item[order], n[order]
-    new_word = np.append(True, word[1:] != word[:-1])[:len(word)]
-    first = np.flatnonzero(new_word | np.append(True, item[1:] != item[:-1])[:len(word)])
-    n = np.add.reduceat(n, first) if len(first) else n
-    word, item = word[first], item[first]
-    starts = np.flatnonzero(new_word[first])
-    return word[starts], np.diff(np.append(starts, len(word))), item, n
+def _grouped(word: np.ndarray, size: np.ndarray, item: np.ndarray, n: np.ndarray,
+             ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Different words, the number of items of each, the items, and how often, from rows that may repeat."""
+    words, rank = np.unique(word, return_inverse=True)
+    cell = np.repeat(rank, size) << 16 | item
+    order = np.argsort(cell)
+    cell, n = cell[order], n[order].astype(np.int64)
+    first = np.flatnonzero(np.diff(cell, prepend=-1))
+    cell, n = cell[first], np.add.reduceat(n, first) if len(first) else n
+    return words, np.bincount(cell >> 16, minlength=len(words)), cell & 0xFFFF, n
 
 
 def neighbours(texts: DataFrame, lexicon, buckets: int) -> DataFrame:
@@ -363,16 +367,23 @@ def neighbours(texts: DataFrame, lexicon, buckets: int) -> DataFrame:
     def sides(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex = lexicon.value
 
-        def dealt(held: list[np.ndarray]) -> pa.RecordBatch:
+        def dealt(held: list[np.ndarray], known: dict[bytes, int]) -> pa.RecordBatch:
+            codes = np.fromiter(map(code, known), dtype=np.int64, count=len(known))
+            # By number: places, the end, the words beyond.
+            states = np.concatenate([lex.state, [lex.end], lex.clustered + (codes & 7)])
+            names = np.concatenate([np.arange(len(lex.state) + 1), -1 - codes])
             # Where one text meets the next, both are ends.
             word = np.concatenate(held)
-            place = word >= 0
-            state = np.where(place, np.append(lex.state, lex.end)[np.maximum(word, 0)], lex.clustered + (-1 - word & 7))
+            state = states[word]
             tail = np.flatnonzero((state >= lex.clustered) & (state != lex.end))
-            beside = [np.where(word[tail + k] == word[tail], lex.states, state[tail + k]) for k in (1, -1)]
-            found = _grouped(np.concatenate([word[tail]] * 2), np.concatenate([2 * beside[0], 2 * beside[1] + 1]),
-                             np.ones(2 * len(tail), dtype=np.int64))
-            return _by_bucket(*found, buckets)
+            cells = []
+            for side, k in enumerate((1, -1)):
+                beside = np.where(word[tail + k] == word[tail], lex.states, state[tail + k])
+                cells.append(word[tail] << 16 | 2 * beside + side)
+            cell, n = np.unique(np.concatenate(cells), return_counts=True)
+            row, item = cell >> 16, cell & 0xFFFF
+            starts = np.flatnonzero(np.diff(row, prepend=-1))
+            return _by_bucket(names[row[starts]], np.diff(np.append(starts, len(row))), item, n, buckets)
 
         held, n = [], 0
         known: dict[bytes, int] = {}
@@ -382,16 +393,15 @@ def neighbours(texts: DataFrame, lexicon, buckets: int) -> DataFrame:
                 held += [edge, lex.ids(tokens(text.as_py()), known), edge]
                 n += len(held[-2])
                 if n > BATCH:
-                    yield dealt(held)
+                    yield dealt(held, known)
                     held, n = [], 0
                     known.clear()
         if held:
-            yield dealt(held)
+            yield dealt(held, known)
 
     def merge(held: list[bytes]) -> bytes:
         parts = [_unpack(data) for data in held]
-        return _pack(*_grouped(np.concatenate([np.repeat(p[0], p[1]) for p in parts]),
-                               *(np.concatenate([p[k].astype(np.int64) for p in parts]) for k in (2, 3))))
+        return _pack(*_grouped(*(np.concatenate(x) for x in zip(*parts))))
 
     rows = texts.mapInArrow(sides, "bucket int, data binary")
     return settled(_merged(rows, merge, buckets), "brown-tail", compression="zstd")
@@ -667,13 +677,16 @@ def resolved(docs: DataFrame, clustering: Clustering, reader) -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         r, number = reader.value, TaskContext.get().partitionId() << 32
+        known: dict[bytes, int] = {}
 
-        def asked(part: pa.RecordBatch, held: list[np.ndarray], number: int) -> pa.RecordBatch:
+        def asked(part: pa.RecordBatch, held: list[np.ndarray], known: dict[bytes, int], number: int) -> pa.RecordBatch:
             ids = np.concatenate(held)
             sizes = np.array([len(h) for h in held])
             owner = np.repeat(np.arange(len(held)), sizes)
-            found = ids >= 0
-            codes, rare = np.unique(-1 - ids[~found], return_inverse=True)
+            found = ids < len(r.cls)
+            # Different words that share a code are one.
+            codes, rank = np.unique(np.fromiter(map(code, known), dtype=np.int64, count=len(known)), return_inverse=True)
+            rare = rank[ids[~found] - len(r.cls) - 1]
             by = lambda w: np.bincount(owner[found], weights=w, minlength=len(held))
             sequence = np.full(len(ids), UNKNOWN)
             sequence[found] = r.cls[ids[found]]
@@ -690,11 +703,11 @@ def resolved(docs: DataFrame, clustering: Clustering, reader) -> DataFrame:
         for batch in batches:
             held, n, first = [], 0, 0
             for k, text in enumerate(batch.column("text")):
-                known: dict[bytes, int] = {} if not held else known
                 held.append(r.lexicon.ids(tokens(text.as_py()), known))
                 n += len(held[-1])
                 if n >= BATCH or k + 1 == batch.num_rows:
-                    yield asked(batch.slice(first, len(held)), held, number)
+                    yield asked(batch.slice(first, len(held)), held, known, number)
+                    known.clear()
                     held, n, first, number = [], 0, k + 1, number + 1
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
