@@ -45,8 +45,12 @@ POOL_KINDS = {"pool_permanent": POOL_PERMANENT, "pool_vendor_date": POOL_VENDOR_
               "pool_date_vendor": POOL_DATE_VENDOR}
 
 
-# A simpler pattern that holds wherever the first one does. Trying it first spares most lines a pattern
-# that backtracks for long where it does not match, the checkout pattern above all.
+# Text that a line has, in lower case, wherever the pattern matches, and a simpler pattern that holds there. Tried first,
+# they spare most lines a pattern that backtracks for long where it does not match, the checkout pattern above all.
+QUICK_TEXT = {
+    SERVER_UP: "license server up", USAGE: "issued;", UNCOUNTED: "uncounted, node-locked", CHECKOUT: "start",
+    POOL_PERMANENT: "permanent", POOL_VENDOR_DATE: "-", POOL_DATE_VENDOR: "-", NO_SUCH_FEATURE: "no such feature exists",
+}
 QUICK_TEST = {
     CHECKOUT: r"start\s+\w+\s+\d", POOL_PERMANENT: r"(?i)\d\s+\w+\s+permanent",
     POOL_VENDOR_DATE: r"\d-\w+-\d+$", POOL_DATE_VENDOR: r"\d-\w+-\d", INLINE_VERSION: r'^\s+"',
@@ -54,9 +58,12 @@ QUICK_TEST = {
 
 
 def _matches(pattern: str) -> Column:
-    line = F.col("line")
-    quick = QUICK_TEST.get(pattern)
-    return line.rlike(quick) & line.rlike(pattern) if quick else line.rlike(pattern)
+    test = F.col("line").rlike(pattern)
+    if pattern in QUICK_TEST:
+        test = F.col("line").rlike(QUICK_TEST[pattern]) & test
+    if pattern in QUICK_TEXT:
+        test = F.contains("low", F.lit(QUICK_TEXT[pattern])) & test
+    return test
 
 
 def _classified(dumps: DataFrame) -> DataFrame:
@@ -68,12 +75,13 @@ def _classified(dumps: DataFrame) -> DataFrame:
         *[(name, _matches(pattern)) for name, pattern in POOL_KINDS.items()],
         ("checkout", _matches(CHECKOUT)),
     ]
-    lines = numbered_lines(dumps).select(
+    lines = numbered_lines(dumps).withColumn("low", F.lower("line")).select(
         "*", first_kind(tests).alias("kind"), _matches(NO_SUCH_FEATURE).alias("denies"),
         _matches(INLINE_VERSION).alias("inlines"),
     )
     # The first line stands for a text without any line of interest.
-    return lines.where(F.col("kind").isNotNull() | F.col("denies") | F.col("inlines") | (F.col("line_no") == 0))
+    return lines.drop("low").where(
+        F.col("kind").isNotNull() | F.col("denies") | F.col("inlines") | (F.col("line_no") == 0))
 
 
 def _fields(lines: DataFrame) -> DataFrame:
