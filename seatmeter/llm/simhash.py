@@ -11,6 +11,9 @@ into `blocks` parts, with one tree per part: two fingerprints within `distance`
 hold with that smaller radius. For 4 bits and three parts the radius is 1 and about a third of the points cross a
 sphere. A pair separated by a sphere is found from its inner side only.
 
+Every level of routing makes about a quarter more visitors (rows a point and tree, measured on random fingerprints: 1.4 at
+depth 2, 2.7 at 5, 5.6 at 8, 9.7 at 10), so shards are large and levels few: 16 levels serve four billion fingerprints.
+
 A bounded sample gives the upper levels of the trees (`ROUTING_SAMPLE` fingerprints at most); they deal out home points
 and boundary-overlapping visitors to shards. A shard goes on dividing the same way in memory and compares what is left
 exactly, over all 64 bits. It returns only links to the smallest fingerprint of each local component: linear in its
@@ -43,8 +46,8 @@ SHINGLE = 4
 DISTANCE = 4
 BLOCKS = 3
 ROUTING_SAMPLE = 1 << 18      # fingerprints on the driver, 2 MB
-SHARD_POINTS = 8192           # wanted home points in a shard
-SHARD_PAIRS = 1 << 28         # pairs a task may have to look at before its shard is split
+SHARD_POINTS = 1 << 16        # wanted home points in a shard
+SHARD_PAIRS = 1 << 33         # pairs a task may have to look at before its shard is split
 LEAF_PAIRS = 1 << 19          # pairs compared at once
 
 
