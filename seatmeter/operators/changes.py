@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from seatmeter.operators.ranges import DAY, following, numbered, previous
 from seatmeter.schemas import POOL_KEY
+from seatmeter.session import settle
 
 HOLDING = ["server_hostname", "feature_name", "username", "host"]
 
@@ -25,11 +26,12 @@ def pool_history(polls: DataFrame, span: str = "month") -> DataFrame:
         F.max(F.struct("poll_id", "total_licenses", "used_licenses")).alias("last"))
     states = states.select(*POOL_KEY, "at", F.col("last.total_licenses").alias("total_licenses"),
                            F.col("last.used_licenses").alias("used_licenses"))
-    rounds = rounds.select(F.col("server_hostname").alias("r_server"), F.col("at").alias("r_at"), "round",
-                           F.col("next.at").alias("next_at"))
+    rounds = settle(rounds.select(F.col("server_hostname").alias("r_server"), F.col("at").alias("r_at"), "round",
+                                  F.col("next.at").alias("next_at")))
     states = states.join(rounds, F.col("server_hostname").eqNullSafe(F.col("r_server")) & (F.col("at") == F.col("r_at")))
     state = ["total_licenses", "used_licenses"]
-    states = previous(states, POOL_KEY, "at", [], F.struct("round", "next_at", *state), "before", span)
+    # What is read twice by the next steps is computed once.
+    states = settle(previous(states, POOL_KEY, "at", [], F.struct("round", "next_at", *state), "before", span))
     gap = F.col("before.round") + 1 < F.col("round")
     same = F.struct(*state).eqNullSafe(F.struct(*[F.col(f"before.{c}") for c in state]))
     listed = F.struct("at", F.lit(True).alias("listed"), *state)
@@ -60,9 +62,9 @@ def checkout_changes(captures: DataFrame, checkouts: DataFrame, span: str = DAY)
     one holder. Sets are never gathered: a holder's captures are numbered, and a gap in the numbers is a change.
     """
     order = numbered(captures, ["server_hostname"], "at", ["dump_id"], "n", span)
-    order = following(order, ["server_hostname"], "at", ["dump_id"], F.struct("at", "dump_id"), "next", span)
+    order = settle(following(order, ["server_hostname"], "at", ["dump_id"], F.struct("at", "dump_id"), "next", span))
     held = checkouts.select("dump_id", *HOLDING[1:]).distinct().join(order, "dump_id")
-    seen = previous(held, HOLDING, "at", ["dump_id"], F.struct("n"), "before", span)
+    seen = settle(previous(settle(held), HOLDING, "at", ["dump_id"], F.struct("n"), "before", span))
     seen = following(seen, HOLDING, "at", ["dump_id"], F.struct("n"), "after", span)
     came = F.coalesce(F.col("before.n") + 1 != F.col("n"), F.lit(True))
     went = F.col("next").isNotNull() & F.coalesce(F.col("after.n") != F.col("n") + 1, F.lit(True))

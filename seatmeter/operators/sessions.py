@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seatmeter.operators.ranges import DAY, previous, running
+from seatmeter.session import settle
 
 HOLDER = ["feature_name", "username"]
 
@@ -27,6 +28,7 @@ def checkout_sessions(events: DataFrame, span: str = DAY) -> DataFrame:
     held: there is none, and it has no end. unmatched: a return after a return, or as the first event; it has no start.
     """
     moves = timed(events.where(F.col("event_type").isin("IN", "OUT"))).select(*HOLDER, "at", "id", "event_type")
+    moves = settle(moves)                              # read three times below
     steps = previous(moves, HOLDER, "at", ["id"], F.struct("at", "event_type"), "before", span)
     out_before = F.coalesce(F.col("before.event_type") == "OUT", F.lit(False))
     is_out = F.col("event_type") == "OUT"
@@ -52,7 +54,7 @@ def concurrency(sessions: DataFrame, span: str = DAY) -> DataFrame:
         F.struct(F.col("ended_at").alias("at"), F.lit(-1).alias("step"), F.lit(0).alias("started")))))
     steps = steps.where("at IS NOT NULL").groupBy("feature_name", "at").agg(
         F.sum("step").alias("step"), F.sum("started").alias("started"))
-    return running(steps, ["feature_name"], "at", [], {"users": F.col("step")}, span)
+    return running(settle(steps), ["feature_name"], "at", [], {"users": F.col("step")}, span)
 
 
 def peak_concurrency(sessions: DataFrame, span: str = DAY) -> DataFrame:
@@ -86,7 +88,7 @@ def denials_at_capacity(events: DataFrame, polls: DataFrame, span: str = DAY) ->
     denied = timed(events.where(F.col("event_type") == "DENIED")).select(
         "feature_name", "at", F.lit(1).alias("kind"), "id", "username", "reason", F.lit(0).cast("long").alias("total"),
         F.lit(0).cast("long").alias("used"), F.lit(0).alias("polls"))
-    both = running(changes.unionByName(denied), ["feature_name"], "at", ["kind", "id"], {
+    both = running(settle(changes.unionByName(denied)), ["feature_name"], "at", ["kind", "id"], {
         "total_licenses": F.col("total"), "used_licenses": F.col("used"), "seen": F.col("polls")}, span)
     known = F.col("seen") > 0
     total, used = (F.when(known, F.col(c)) for c in ("total_licenses", "used_licenses"))
