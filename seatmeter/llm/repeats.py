@@ -2,10 +2,9 @@
 
 A byte goes if a `length`-byte string that covers it also starts anywhere else. Shards of a few megabytes each sort their
 own suffixes; what follows a suffix orders its row, what precedes it is the row's symbol, as in a Burrows-Wheeler
-transform. The shards' rows meet by range of the order (the buckets), where their interleave is refined: rows with an
-equal prefix form a block, blocks divide in the next round by deeper prefixes and the symbols before them, and rows that
-stand alone leave. Blocks that are left at the full length are the repeated intervals. Suffixes are sorted once, in their
-shard, and only merged afterwards.
+transform. The shards' rows meet in buckets, where their interleave is refined: rows with an equal prefix form a block,
+blocks divide by deeper prefixes and the symbols before them, and rows that stand alone leave. Blocks that are left at the
+full length are the repeated intervals. Suffixes are sorted once, in their shard, and only merged afterwards.
 
 One refinement per byte, as the method has it, would be `length` rounds over every byte. Three things make it two rounds:
 
@@ -22,7 +21,8 @@ One refinement per byte, as the method has it, would be `length` rounds over eve
 Hashes have 64 bits, and rows are equal by two of them over different blocks of the bytes.
 
 Rows that are equal within a shard travel once, so a passage that a third of all documents holds reaches its bucket once
-per shard. The number of buckets follows the bytes. Texts are written once, with row numbers, and never shuffled while
+per shard. Rows are dealt by all that they hold, so a passage with other bytes about it in every text is spread out, too.
+The number of buckets follows the bytes. Texts are written once, with row numbers, and never shuffled while
 the found spans fit a broadcast (checked); beyond that they are joined by row number.
 
 Defined cases: a null text is empty; texts below `length` bytes keep all. Every occurrence is removed, the first too.
@@ -52,6 +52,7 @@ BROADCAST_SPANS = 1_000_000  # 16 MB; more spans are joined by a shuffle
 
 _PARTS = "bucket int, batch long, data binary"
 _FOUND = "uid long, start long, stop long, open boolean"
+_REPEATS, _OPEN, _KINDS, _DIRECTORY = -1, -2, -3, -4      # what a row says instead of a bucket
 _TWICE = np.uint32(1 << 31)
 _ROW = np.dtype([("follows", "<u8"), ("all", "<u8"), ("place", "<u4")])
 _POSITION = np.uint64((1 << 24) - 1)
@@ -157,6 +158,10 @@ def _unpacked(data: bytes, columns: int) -> list[np.ndarray]:
     return list(np.cumsum(np.frombuffer(zlib.decompress(data), dtype=np.int64).reshape(columns, -1), axis=1))
 
 
+def _range(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    return ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+
+
 def _equal_rows(follows: np.ndarray, every: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(order, block, kind): rows sorted, and numbers of equal prefixes and of equal rows in that order."""
     order = np.lexsort((every, follows))
@@ -176,39 +181,19 @@ def shard(batch: int, uid: np.ndarray, lo: np.ndarray, n: np.ndarray, follows: n
     rows = np.zeros(len(chosen), dtype=_ROW)
     rows["follows"], rows["all"] = follows[chosen], every[chosen]
     rows["place"] = chosen.astype(np.uint32) | np.where(again[chosen] > 0, _TWICE, np.uint32(0))
-    bucket = ((rows["follows"] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+    bucket = _range(mixed(rows["follows"], rows["all"]), buckets)
+    by = np.argsort(bucket, kind="stable")
+    rows, bucket = rows[by], bucket[by]
     cuts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])[:len(bucket)])
     data = [rows[a:b].tobytes() for a, b in zip(cuts, np.append(cuts[1:], len(rows)))]
     return pa.RecordBatch.from_arrays(
-        [pa.array([-1 - batch % buckets, *bucket[cuts].tolist()], pa.int32()),
+        [pa.array([_DIRECTORY - batch % buckets, *bucket[cuts].tolist()], pa.int32()),
          pa.array([batch] * (len(data) + 1), pa.int64()), pa.array([_packed(uid, lo, n, again), *data], pa.binary())],
         ["bucket", "batch", "data"])
 
 
-def interleaved(parts: DataFrame, buckets: int, name: str) -> DataFrame:
-    """(bucket, batch, data): which rows of each shard are repeats (bucket 0), which lie in a block whose rows differ
-    (bucket 1, one row of each kind), and the directories (negative buckets)."""
-
-    def merged(held: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
-        rows = np.frombuffer(b"".join(data for _, data in held), dtype=_ROW)
-        owner = np.repeat(np.arange(len(held)), [len(data) // _ROW.itemsize for _, data in held])
-        order, block, kind = _equal_rows(rows["follows"], rows["all"])
-        place = rows["place"][order]
-        copies = np.bincount(kind, 1 + (place & _TWICE > 0))
-        first = np.append(True, kind[1:] != kind[:-1])[:len(kind)]
-        differing = np.bincount(block[first]) > 1
-        place &= ~_TWICE
-        owner = owner[order]
-        out: list[tuple[int, int, bytes]] = []
-        for number, chosen in ((0, copies[kind] > 1), (1, first & differing[block])):
-            whose, places = owner[chosen], place[chosen]
-            by = np.argsort(whose, kind="stable")
-            cuts = np.flatnonzero(np.diff(whose[by], prepend=-1))
-            for a, b in zip(cuts, np.append(cuts[1:], len(by))):
-                out.append((number, held[whose[by[a]]][0], places[by[a:b]].tobytes()))
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(
-            zip(*out), (pa.int32(), pa.int64(), pa.binary()))], ["bucket", "batch", "data"]) if out else pa.RecordBatch.from_pylist(
-                [], pa.schema([("bucket", pa.int32()), ("batch", pa.int64()), ("data", pa.binary())]))
+def _by_bucket(rows: DataFrame, buckets: int, merge, order: str = "bucket") -> DataFrame:
+    """`merge` of each bucket's (batch, data), which yields (bucket, batch, data); negative buckets pass as they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
@@ -218,15 +203,109 @@ def interleaved(parts: DataFrame, buckets: int, name: str) -> DataFrame:
                 yield got.filter(pa.array(number < 0))
             for k in np.flatnonzero(number >= 0).tolist():
                 if number[k] != now and held:
-                    yield from merged(held)
+                    yield _rows(merge(now, held))
                     held = []
-                now = number[k]
+                now = int(number[k])
                 held.append((got.column("batch")[k].as_py(), got.column("data")[k].as_py()))
         if held:
-            yield from merged(held)
+            yield _rows(merge(now, held))
+
+    return rows.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, _PARTS)
+
+
+def _rows(out: Iterator[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    columns = list(zip(*out)) or [[], [], []]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.binary()))],
+                                      ["bucket", "batch", "data"])
+
+
+def interleaved(parts: DataFrame, buckets: int, name: str) -> DataFrame:
+    """(bucket, batch, data): which rows of each shard are repeats (`_REPEATS`), one row of each kind by bucket
+    (`_KINDS`, with the bucket as batch), and the directories (other negative buckets)."""
+
+    def merged(bucket: int, held: list[tuple[int, bytes]]) -> Iterator[tuple[int, int, bytes]]:
+        rows = np.frombuffer(b"".join(data for _, data in held), dtype=_ROW)
+        owner = np.repeat(np.arange(len(held)), [len(data) // _ROW.itemsize for _, data in held])
+        order, _, kind = _equal_rows(rows["follows"], rows["all"])
+        place, owner = rows["place"][order], owner[order]
+        copies = np.bincount(kind, 1 + (place & _TWICE > 0))
+        first = np.append(True, kind[1:] != kind[:-1])[:len(kind)]
+        place = place & ~_TWICE
+        for a, b, chosen in _cut(owner, copies[kind] > 1):
+            yield _REPEATS, held[owner[chosen[a]]][0], place[chosen[a:b]].tobytes()
+        batch = np.array([number for number, _ in held], dtype="<i8")[owner[first]]
+        yield _KINDS, bucket, b"".join((rows["follows"][order[first]].tobytes(), batch.tobytes(), place[first].tobytes()))
+
+    return settled(_by_bucket(parts, buckets, merged), name, compression="zstd")
+
+
+def _cut(owner: np.ndarray, wanted: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(start, stop, places) of the wanted places of each owner."""
+    chosen = np.flatnonzero(wanted)
+    chosen = chosen[np.argsort(owner[chosen], kind="stable")]
+    cuts = np.flatnonzero(np.diff(owner[chosen], prepend=-1))
+    for a, b in zip(cuts, np.append(cuts[1:], len(chosen))):
+        yield a, b, chosen
+
 
-    rows = parts.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, _PARTS)
-    return settled(rows, name)
+def _kinds(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n = len(data) // 20
+    return (np.frombuffer(data, "<u8", n), np.frombuffer(data, "<i8", n, 8 * n), np.frombuffer(data, "<u4", n, 16 * n))
+
+
+def differing(merged: DataFrame, buckets: int) -> DataFrame:
+    """(bucket, batch, data): by shard, the rows (one of each kind) of blocks that hold several kinds (`_OPEN`).
+
+    Rows of one prefix lie in many buckets, so a prefix that very many texts share, each with other bytes about it, is
+    never gathered: each bucket tells the prefix's own bucket once whether it has one kind or more, and hears whether
+    there are several.
+    """
+    kinds = merged.where(F.col("bucket") == _KINDS)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for got in batches:
+            for sender, data in zip(got.column("batch").to_pylist(), got.column("data")):
+                follows, n = np.unique(_kinds(data.as_py())[0], return_counts=True)
+                bucket = _range(follows, buckets)
+                cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
+                yield _rows((int(bucket[a]), sender, follows[a:b].tobytes() + (n[a:b] > 1).tobytes())
+                            for a, b in zip(cuts, np.append(cuts[1:], len(follows))))
+
+    def answer(bucket: int, held: list[tuple[int, bytes]]) -> Iterator[tuple[int, int, bytes]]:
+        sizes = [len(data) // 9 for _, data in held]
+        follows = np.concatenate([np.frombuffer(data, "<u8", n) for (_, data), n in zip(held, sizes)])
+        more = np.concatenate([np.frombuffer(data, "u1", n, 8 * n) for (_, data), n in zip(held, sizes)])
+        _, block = np.unique(follows, return_inverse=True)
+        several = (np.bincount(block, 1 + more) > 1)[block]
+        for (sender, _), part in zip(held, np.split(several, np.cumsum(sizes)[:-1])):
+            yield bucket, sender, part.tobytes()
+
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, flags = None, None, []
+
+        def done() -> pa.RecordBatch:
+            follows, batch, place = _kinds(held)
+            several = np.frombuffer(b"".join(flags), dtype=bool)
+            chosen = several[np.searchsorted(np.unique(follows), follows)]
+            shard, owner = np.unique(batch, return_inverse=True)
+            return _rows((_OPEN, int(shard[owner[c[a]]]), place[c[a:b]].tobytes()) for a, b, c in _cut(owner, chosen))
+
+        for got in batches:
+            for bucket, sender, data in zip(*(got.column(c).to_pylist() for c in ("bucket", "batch", "data"))):
+                if sender != now and held is not None:
+                    yield done()
+                    held, flags = None, []
+                now = sender
+                if bucket < 0:
+                    held = data
+                else:
+                    flags.append(data)                 # by bucket, which is the order of the prefixes
+        if held is not None:
+            yield done()
+
+    answers = _by_bucket(kinds.mapInArrow(ask, _PARTS), buckets, answer)
+    return (kinds.unionByName(answers).repartition("batch").sortWithinPartitions("batch", "bucket")
+            .mapInArrow(opened, _PARTS))
 
 
 def placed(found: DataFrame, length: int) -> DataFrame:
@@ -255,11 +334,11 @@ def placed(found: DataFrame, length: int) -> DataFrame:
                     yield from spans(held[0][0], *held[1:])
                     held = ([], [], [])
                 now = batch
-                held[max(bucket, -1) + 1].append(data)
+                held[1 if bucket == _REPEATS else 2 if bucket == _OPEN else 0].append(data)
         if held[0]:
             yield from spans(held[0][0], *held[1:])
 
-    return found.repartition("batch").sortWithinPartitions("batch", "bucket").mapInArrow(run, _FOUND)
+    return found.where(F.col("bucket") != _KINDS).repartition("batch").sortWithinPartitions("batch").mapInArrow(run, _FOUND)
 
 
 # ---- documents --------------------------------------------------------------------------------------------------
@@ -364,8 +443,8 @@ def repeats_removed(docs: DataFrame, key: str = "doc_id", text: str = "text", le
                                F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("data")), "repeats-texts",
                    compression="zstd")
     buckets = 1 + (docs.agg(F.sum(F.octet_length("data").cast("long"))).first()[0] or 0) // BUCKET_BYTES
-    found = settled(placed(interleaved(_anchored_shards(docs, shape, buckets), buckets, "repeats-anchors"), length),
-                    "repeats-anchored")
+    merged = interleaved(_anchored_shards(docs, shape, buckets), buckets, "repeats-anchors")
+    found = settled(placed(merged.unionByName(differing(merged, buckets)), length), "repeats-anchored")
     opened = found.where("open").drop("open")
     strings = opened.agg(F.sum(F.col("stop") - F.col("start"))).first()[0] or 0
     spans = found.where("NOT open").drop("open")

@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from __spark_entry__ import queries
 from seatmeter.llm import repeats as q
@@ -117,3 +118,17 @@ def test_edges(spark):
 def test_long_blanks(spark):
     texts = [b" " * 1_000_000, b"\n" * 500 + b"x" * 399, b"\n" * 399]
     assert [s for s, _ in found(spark, texts, 400)] == [[(0, 1_000_000)], [(0, 500)], []]
+
+
+def test_a_passage_with_other_bytes_about_it_everywhere_is_spread_out(spark):
+    """Rows of one prefix, each with other bytes before and after it, lie in all buckets, and are still compared."""
+    rng = random.Random(3)
+    text = lambda n: bytes(rng.choice(b"abcdefgh") for _ in range(n))
+    passage = text(90)
+    texts = [text(60) + passage + text(60) for _ in range(400)]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "uid long, data binary").repartition(3)
+    merged = q.interleaved(q._anchored_shards(docs, q.Shape(80), 8), 8, "test")
+    kinds = {r.batch: len(r.data) // 20 for r in merged.where(F.col("bucket") == q._KINDS).collect()}
+    assert len(kinds) == 8 and max(kinds.values()) < 2 * sum(kinds.values()) / 8
+    assert q.differing(merged, 8).count() > 0
+    assert found(spark, texts, 80) == brute(texts, 80)
