@@ -62,6 +62,7 @@ PRIOR = 50.0                 # weight of the class shares in a transition
 COUNTER = 500_000            # distinct words a counting task holds before it passes them on
 BATCH = 2_000_000            # tokens of a batch
 BUCKET_ITEMS = 2_000_000     # neighbours, or different words asked for, to a bucket
+MERGED_BYTES = 1 << 25       # neighbours a bucket takes in before it merges them
 SMALL = 16                   # counts up to this are looked up when gains are computed
 UNKNOWN = 255                # in a sequence of classes: a word beyond the dictionary
 
@@ -423,10 +424,11 @@ def _by_bucket(word: np.ndarray, size: np.ndarray, item: np.ndarray, n: np.ndarr
 
 
 def _merged(rows: DataFrame, merge, buckets: int) -> DataFrame:
-    """One row per bucket, from all of its rows."""
+    """One row per bucket, from all of its rows. They are merged whenever `MERGED_BYTES` have come, so a task holds the
+    bucket's words and their items once, however many batches have them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
+        now, held, more = None, [], 0
 
         def done() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([merge(held)], pa.binary())],
@@ -436,9 +438,12 @@ def _merged(rows: DataFrame, merge, buckets: int) -> DataFrame:
             for bucket, data in zip(batch.column(0).to_pylist(), batch.column(1)):
                 if bucket != now and held:
                     yield done()
-                    held = []
+                    held, more = [], 0
                 now = bucket
                 held.append(data.as_py())
+                more += len(held[-1])
+                if len(held) > 1 and more > MERGED_BYTES + len(held[0]):
+                    held, more = [merge(held)], 0
         if held:
             yield done()
 

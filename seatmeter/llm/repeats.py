@@ -33,7 +33,7 @@ may divide a character. An empty table gives an empty table.
 from __future__ import annotations
 
 import zlib
-from typing import Iterator
+from typing import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +48,7 @@ LENGTH = 400
 UNIT = 1 << 22               # bytes of a shard; a longer text is a shard of its own
 PIECE = 1 << 17              # positions hashed at once
 BUCKET_BYTES = 1 << 24       # bytes of text to a bucket: about 350,000 rows
+MERGED_ROWS = 2_000_000      # rows a bucket takes in before it merges them
 BROADCAST_SPANS = 1_000_000  # 16 MB; more spans are joined by a shuffle
 
 _PARTS = "bucket int, batch long, data binary"
@@ -192,28 +193,89 @@ def shard(batch: int, uid: np.ndarray, lo: np.ndarray, n: np.ndarray, follows: n
         ["bucket", "batch", "data"])
 
 
-def _by_bucket(rows: DataFrame, buckets: int, merge, order: str = "bucket") -> DataFrame:
-    """`merge` of each bucket's (batch, data), which yields (bucket, batch, data); negative buckets pass as they are."""
+def _by_bucket(rows: DataFrame, buckets: int, merger) -> DataFrame:
+    """Each bucket's (batch, data) go to a `merger` of its own, which gives (bucket, batch, data) as it takes them in, and
+    the rest at its end. Negative buckets pass as they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
+        now, held = None, None
         for got in batches:
             number = got.column("bucket").to_numpy()
             if (number < 0).any():
                 yield got.filter(pa.array(number < 0))
             for k in np.flatnonzero(number >= 0).tolist():
-                if number[k] != now and held:
-                    yield _rows(merge(now, held))
-                    held = []
-                now = int(number[k])
-                held.append((got.column("batch")[k].as_py(), got.column("data")[k].as_py()))
+                if number[k] != now:
+                    if held:
+                        yield _rows(held.rest())
+                    now, held = int(number[k]), merger(int(number[k]))
+                out = held.take(got.column("batch")[k].as_py(), got.column("data")[k].as_py())
+                if out:
+                    yield _rows(out)
         if held:
-            yield _rows(merge(now, held))
+            yield _rows(held.rest())
 
     return rows.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, _PARTS)
 
 
-def _rows(out: Iterator[tuple[int, int, bytes]]) -> pa.RecordBatch:
+class Interleave:
+    """The merge of the shards' rows of one bucket. It holds different rows, however many shards send the same one."""
+
+    def __init__(self, bucket: int):
+        self.bucket, self.held, self.batches = bucket, [], []
+        self.told = 0                                  # rows at the beginning of what is held that were merged before
+
+    def take(self, batch: int, data: bytes) -> list[tuple[int, int, bytes]]:
+        self.held.append(np.frombuffer(data, dtype=_ROW))
+        self.batches.append(np.full(len(self.held[-1]), batch, dtype="<i8"))
+        return self._merged() if sum(map(len, self.held)) - self.told > MERGED_ROWS + self.told else []
+
+    def _merged(self) -> list[tuple[int, int, bytes]]:
+        """Rows found to be repeats. One of each kind stays, a repeat among them marked as such."""
+        rows, batch = np.concatenate(self.held), np.concatenate(self.batches)
+        order, _, kind = _equal_rows(rows["follows"], rows["all"])
+        rows, batch = rows[order], batch[order]
+        twice = rows["place"] & _TWICE > 0
+        copies = np.bincount(kind, 1 + twice)
+        repeat = (copies > 1)[kind]
+        # A row that stayed and was marked has been told.
+        fresh = repeat & ~((order < self.told) & twice)
+        first = np.append(True, kind[1:] != kind[:-1])[:len(kind)]
+        place = rows["place"] & ~_TWICE
+        shard, owner = np.unique(batch, return_inverse=True)
+        out = [(_REPEATS, int(shard[owner[c[a]]]), place[c[a:b]].tobytes()) for a, b, c in _cut(owner, fresh)]
+        kept = rows[first].copy()
+        kept["place"] = place[first] | np.where(repeat[first], _TWICE, np.uint32(0))
+        self.held, self.batches, self.told = [kept], [batch[first]], len(kept)
+        return out
+
+    def rest(self) -> list[tuple[int, int, bytes]]:
+        out = self._merged()
+        kinds, batch = self.held[0], self.batches[0]
+        place = (kinds["place"] & ~_TWICE).astype("<u4")
+        return [*out, (_KINDS, self.bucket, kinds["follows"].tobytes() + batch.tobytes() + place.tobytes())]
+
+
+class Answers:
+    """Which prefixes of one bucket have several kinds of rows: of all buckets together, each asking once."""
+
+    def __init__(self, bucket: int):
+        self.bucket, self.held = bucket, []
+
+    def take(self, sender: int, data: bytes) -> list[tuple[int, int, bytes]]:
+        self.held.append((sender, data))
+        return []
+
+    def rest(self) -> list[tuple[int, int, bytes]]:
+        sizes = [len(data) // 9 for _, data in self.held]
+        follows = np.concatenate([np.frombuffer(data, "<u8", n) for (_, data), n in zip(self.held, sizes)])
+        more = np.concatenate([np.frombuffer(data, "u1", n, 8 * n) for (_, data), n in zip(self.held, sizes)])
+        _, block = np.unique(follows, return_inverse=True)
+        several = (np.bincount(block, 1 + more) > 1)[block]
+        return [(self.bucket, sender, part.tobytes())
+                for (sender, _), part in zip(self.held, np.split(several, np.cumsum(sizes)[:-1]))]
+
+
+def _rows(out: Iterable[tuple[int, int, bytes]]) -> pa.RecordBatch:
     columns = list(zip(*out)) or [[], [], []]
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.binary()))],
                                       ["bucket", "batch", "data"])
@@ -223,20 +285,7 @@ def interleaved(parts: DataFrame, buckets: int, name: str) -> DataFrame:
     """(bucket, batch, data): which rows of each shard are repeats (`_REPEATS`), one row of each kind by bucket
     (`_KINDS`, with the bucket as batch), and the directories (other negative buckets)."""
 
-    def merged(bucket: int, held: list[tuple[int, bytes]]) -> Iterator[tuple[int, int, bytes]]:
-        rows = np.frombuffer(b"".join(data for _, data in held), dtype=_ROW)
-        owner = np.repeat(np.arange(len(held)), [len(data) // _ROW.itemsize for _, data in held])
-        order, _, kind = _equal_rows(rows["follows"], rows["all"])
-        place, owner = rows["place"][order], owner[order]
-        copies = np.bincount(kind, 1 + (place & _TWICE > 0))
-        first = np.append(True, kind[1:] != kind[:-1])[:len(kind)]
-        place = place & ~_TWICE
-        for a, b, chosen in _cut(owner, copies[kind] > 1):
-            yield _REPEATS, held[owner[chosen[a]]][0], place[chosen[a:b]].tobytes()
-        batch = np.array([number for number, _ in held], dtype="<i8")[owner[first]]
-        yield _KINDS, bucket, b"".join((rows["follows"][order[first]].tobytes(), batch.tobytes(), place[first].tobytes()))
-
-    return settled(_by_bucket(parts, buckets, merged), name, compression="zstd")
+    return settled(_by_bucket(parts, buckets, Interleave), name, compression="zstd")
 
 
 def _cut(owner: np.ndarray, wanted: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
@@ -271,15 +320,6 @@ def differing(merged: DataFrame, buckets: int) -> DataFrame:
                 yield _rows((int(bucket[a]), sender, follows[a:b].tobytes() + (n[a:b] > 1).tobytes())
                             for a, b in zip(cuts, np.append(cuts[1:], len(follows))))
 
-    def answer(bucket: int, held: list[tuple[int, bytes]]) -> Iterator[tuple[int, int, bytes]]:
-        sizes = [len(data) // 9 for _, data in held]
-        follows = np.concatenate([np.frombuffer(data, "<u8", n) for (_, data), n in zip(held, sizes)])
-        more = np.concatenate([np.frombuffer(data, "u1", n, 8 * n) for (_, data), n in zip(held, sizes)])
-        _, block = np.unique(follows, return_inverse=True)
-        several = (np.bincount(block, 1 + more) > 1)[block]
-        for (sender, _), part in zip(held, np.split(several, np.cumsum(sizes)[:-1])):
-            yield bucket, sender, part.tobytes()
-
     def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held, flags = None, None, []
 
@@ -303,7 +343,7 @@ def differing(merged: DataFrame, buckets: int) -> DataFrame:
         if held is not None:
             yield done()
 
-    answers = _by_bucket(kinds.mapInArrow(ask, _PARTS), buckets, answer)
+    answers = _by_bucket(kinds.mapInArrow(ask, _PARTS), buckets, Answers)
     return (kinds.unionByName(answers).repartition("batch").sortWithinPartitions("batch", "bucket")
             .mapInArrow(opened, _PARTS))
 

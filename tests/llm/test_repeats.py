@@ -132,3 +132,36 @@ def test_a_passage_with_other_bytes_about_it_everywhere_is_spread_out(spark):
     assert len(kinds) == 8 and max(kinds.values()) < 2 * sum(kinds.values()) / 8
     assert q.differing(merged, 8).count() > 0
     assert found(spark, texts, 80) == brute(texts, 80)
+
+
+def test_a_bucket_merges_as_it_goes(monkeypatch):
+    """Rows from many shards, merged in one go or every few rows: the same repeats, each told once, and the same kinds."""
+    rng = np.random.default_rng(6)
+    sent = []
+    for batch in range(60):
+        rows = np.zeros(10, dtype=q._ROW)
+        rows["follows"], rows["all"] = rng.integers(0, 30, 10), rng.integers(0, 4, 10)
+        rows["place"] = np.arange(10)
+        rows = rows[np.unique(rows[["follows", "all"]], return_index=True)[1]]
+        rows["place"][rng.random(len(rows)) < 0.1] |= q._TWICE
+        sent.append((batch, rows))
+    results = []
+    for limit in (1 << 30, 25, 0):
+        monkeypatch.setattr(q, "MERGED_ROWS", limit)
+        merge, out = q.Interleave(7), []
+        for batch, rows in sent:
+            out += merge.take(batch, rows.tobytes())
+        out += merge.rest()
+        told = sorted((b, p) for n, b, d in out if n == q._REPEATS for p in np.frombuffer(d, "<u4").tolist())
+        assert len(told) == len(set(told))
+        kinds = [q._kinds(d) for n, _, d in out if n == q._KINDS]
+        assert len(kinds) == 1
+        results.append((told, sorted(kinds[0][0].tolist())))
+    assert results[0] == results[1] == results[2]
+    every = {}
+    for batch, rows in sent:
+        for f, a, p in rows.tolist():
+            every.setdefault((f, a), []).append((batch, p))
+    want = sorted((b, p & 0x7FFFFFFF) for places in every.values() for b, p in places
+                  if len(places) > 1 or any(x & int(q._TWICE) for _, x in places))
+    assert results[0][0] == want
