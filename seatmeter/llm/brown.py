@@ -38,10 +38,10 @@ import math
 from collections import Counter
 from copy import copy
 from dataclasses import dataclass
+from itertools import repeat
 from typing import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
@@ -62,6 +62,7 @@ PRIOR = 50.0                 # weight of the class shares in a transition
 COUNTER = 500_000            # distinct words a counting task holds before it passes them on
 BATCH = 2_000_000            # tokens of a batch
 BUCKET_ITEMS = 2_000_000     # neighbours, or different words asked for, to a bucket
+PAIR_BUCKETS = 16
 MERGED_BYTES = 1 << 25       # neighbours a bucket takes in before it merges them
 SMALL = 16                   # counts up to this are looked up when gains are computed
 UNKNOWN = 255                # in a sequence of classes: a word beyond the dictionary
@@ -135,48 +136,17 @@ class Lexicon:
 
     def places(self, words: list[bytes]) -> np.ndarray:
         """The place of each word in the lexicon, -1 for those that have none."""
-        return np.fromiter((self.place.get(w, -1) for w in words), dtype=np.int64, count=len(words))
-
-    def states_of(self, words: list[bytes]) -> np.ndarray:
-        place = self.places(words)
-        missing = np.flatnonzero(place < 0)
-        state = self.state[place] if len(self.state) else np.zeros(len(words), dtype=np.int64)
-        state[missing] = self.clustered + np.fromiter((shape(words[k]) for k in missing.tolist()), dtype=np.int64,
-                                                      count=len(missing))
-        return state
+        return np.fromiter(map(self.place.get, words, repeat(-1)), dtype=np.int64, count=len(words))
 
     def ids(self, words: list[bytes], known: dict[bytes, int]) -> np.ndarray:
         """The place of each word. Words without a place are numbered after the end's, in the order in which `known`
         takes them in."""
-        find, first = self.place.get, len(self.counts) + 1
-        place = np.fromiter((find(w, -1) for w in words), dtype=np.int64, count=len(words))
+        place, first = self.places(words), len(self.counts) + 1
         for k in np.flatnonzero(place < 0).tolist():
             place[k] = first + known.setdefault(words[k], len(known))
         return place
 
 
-def pair_counts(texts: DataFrame, lexicon) -> DataFrame:
-    """(pair, n): how often one state follows another; pair = first * states + second. `lexicon` is a broadcast."""
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lex = lexicon.value
-        held, n = [], 0
-        for batch in batches:
-            for text in batch["text"]:
-                state = np.concatenate([[lex.end], lex.states_of(tokens(text)), [lex.end]])
-                held.append(state[:-1] * lex.states + state[1:])
-                n += len(held[-1])
-                if n > 4_000_000:
-                    pair, times = np.unique(np.concatenate(held), return_counts=True)
-                    yield pd.DataFrame({"pair": pair, "n": times})
-                    held, n = [], 0
-        if held:
-            pair, times = np.unique(np.concatenate(held), return_counts=True)
-            yield pd.DataFrame({"pair": pair, "n": times})
-
-    return texts.mapInPandas(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
-
-
 def _xlogx(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1.0))
 
@@ -361,21 +331,31 @@ def _grouped(word: np.ndarray, size: np.ndarray, item: np.ndarray, n: np.ndarray
     return words, np.bincount(cell >> 16, minlength=len(words)), cell & 0xFFFF, n
 
 
-def neighbours(texts: DataFrame, lexicon, buckets: int) -> DataFrame:
-    """(bucket, data): the words of the tail with 2 * state + side of the words beside them (side 0: after it) and how
-    often; the state after the end's is the word itself. A word has at most 4,016 of these. `lexicon` is a broadcast."""
+def gathered(texts: DataFrame, lexicon, buckets: int) -> DataFrame:
+    """(bucket, data). Below `buckets`: the words of the tail with 2 * state + side of the words beside them (side 0: after
+    it) and how often; the state after the end's is the word itself, so a word has at most 4,016 of these. From there on,
+    in `PAIR_BUCKETS` more: how often one state follows another, by first * states + second. `lexicon` is a broadcast."""
 
     def sides(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex = lexicon.value
 
-        def dealt(held: list[np.ndarray], known: dict[bytes, int]) -> pa.RecordBatch:
+        def dealt(held: list[np.ndarray], known: dict[bytes, int]) -> Iterator[pa.RecordBatch]:
             codes = np.fromiter(map(code, known), dtype=np.int64, count=len(known))
             # By number: places, the end, the words beyond.
             states = np.concatenate([lex.state, [lex.end], lex.clustered + (codes & 7)])
             names = np.concatenate([np.arange(len(lex.state) + 1), -1 - codes])
-            # Where one text meets the next, both are ends.
+            # Where one text meets the next, both are ends, which are not a pair.
             word = np.concatenate(held)
             state = states[word]
+            meet = np.cumsum([len(h) for h in held])[2::3] - 1
+            pair, n = np.unique(np.delete(state[:-1] * lex.states + state[1:], meet[:-1]), return_counts=True)
+            order = np.argsort(pair % PAIR_BUCKETS, kind="stable")
+            pair, n = pair[order], n[order]
+            cuts = np.flatnonzero(np.diff(pair % PAIR_BUCKETS, prepend=-1))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(buckets + pair[cuts] % PAIR_BUCKETS, pa.int32()), pa.array(
+                    [np.stack([pair[a:b], n[a:b]]).astype("<i8").tobytes() for a, b in zip(cuts, np.append(cuts[1:], len(pair)))],
+                    pa.binary())], ["bucket", "data"])
             tail = np.flatnonzero((state >= lex.clustered) & (state != lex.end))
             cells = []
             for side, k in enumerate((1, -1)):
@@ -384,7 +364,7 @@ def neighbours(texts: DataFrame, lexicon, buckets: int) -> DataFrame:
             cell, n = np.unique(np.concatenate(cells), return_counts=True)
             row, item = cell >> 16, cell & 0xFFFF
             starts = np.flatnonzero(np.diff(row, prepend=-1))
-            return _by_bucket(names[row[starts]], np.diff(np.append(starts, len(row))), item, n, buckets)
+            yield _by_bucket(names[row[starts]], np.diff(np.append(starts, len(row))), item, n, buckets)
 
         held, n = [], 0
         known: dict[bytes, int] = {}
@@ -394,18 +374,22 @@ def neighbours(texts: DataFrame, lexicon, buckets: int) -> DataFrame:
                 held += [edge, lex.ids(tokens(text.as_py()), known), edge]
                 n += len(held[-2])
                 if n > BATCH:
-                    yield dealt(held, known)
+                    yield from dealt(held, known)
                     held, n = [], 0
                     known.clear()
         if held:
-            yield dealt(held, known)
+            yield from dealt(held, known)
 
-    def merge(held: list[bytes]) -> bytes:
+    def merge(bucket: int, held: list[bytes]) -> bytes:
+        if bucket >= buckets:
+            pair, n = np.concatenate([np.frombuffer(data, "<i8").reshape(2, -1) for data in held], axis=1)
+            pair, rank = np.unique(pair, return_inverse=True)
+            return np.stack([pair, np.bincount(rank, weights=n).astype(np.int64)]).astype("<i8").tobytes()
         parts = [_unpack(data) for data in held]
         return _pack(*_grouped(*(np.concatenate(x) for x in zip(*parts))))
 
     rows = texts.mapInArrow(sides, "bucket int, data binary")
-    return settled(_merged(rows, merge, buckets), "brown-tail", compression="zstd")
+    return settled(_merged(rows, merge, buckets + PAIR_BUCKETS), "brown-tail", compression="zstd")
 
 
 def _by_bucket(word: np.ndarray, size: np.ndarray, item: np.ndarray, n: np.ndarray, buckets: int) -> pa.RecordBatch:
@@ -431,7 +415,7 @@ def _merged(rows: DataFrame, merge, buckets: int) -> DataFrame:
         now, held, more = None, [], 0
 
         def done() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([merge(held)], pa.binary())],
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([merge(now, held)], pa.binary())],
                                               ["bucket", "data"])
 
         for batch in batches:
@@ -443,7 +427,7 @@ def _merged(rows: DataFrame, merge, buckets: int) -> DataFrame:
                 held.append(data.as_py())
                 more += len(held[-1])
                 if len(held) > 1 and more > MERGED_BYTES + len(held[0]):
-                    held, more = [merge(held)], 0
+                    held, more = [merge(now, held)], 0
         if held:
             yield done()
 
@@ -563,23 +547,24 @@ def clustered_words(texts: DataFrame, counts: DataFrame, clustered: int, classes
     documents = texts.count()
     lexicon = Lexicon(*frequent(counts, dictionary), clustered)
     shared = spark.sparkContext.broadcast(lexicon)
-    # At most (clustered + 7)^2 rows of two numbers, as Arrow buffers.
-    pairs = pair_counts(texts, shared).toArrow()
-    pair = pairs["pair"].to_numpy()
+    c = lexicon.clustered
+    beside_tail = 2 * ((counts.agg(F.sum("n")).first()[0] or 0) - float(lexicon.counts[:c].sum()))
+    buckets = 1 + int(beside_tail) // BUCKET_ITEMS
+    tail = gathered(texts, shared, buckets)
+    # At most (clustered + 7)^2 pairs of numbers.
+    pairs = [np.frombuffer(r["data"], "<i8").reshape(2, -1) for r in tail.where(F.col("bucket") >= buckets).select("data").collect()]
+    pair, n = np.concatenate([np.zeros((2, 0), dtype=np.int64), *pairs], axis=1)
     order = np.argsort(pair)
-    n = pairs["n"].to_numpy()[order].astype(np.float64)
+    n = n[order].astype(np.float64)
     first, second = (x.astype(np.int32) for x in np.divmod(pair[order], lexicon.states))
     del pairs, pair, order
-    c = lexicon.clustered
+    tail = tail.where(F.col("bucket") < buckets)
     head = exchanged(first, second, n, c, lexicon.states, classes)[:c]
     classes = max(1, min(classes, c))
     end = classes + SHAPES
     states = c + end + 1
     inner = ((first < c) | (first == lexicon.end)) & ((second < c) | (second == lexicon.end))
     head_pairs = [*(np.where(x[inner] == lexicon.end, states - 1, x[inner]).astype(np.int64) for x in (first, second)), n[inner]]
-    beside_tail = float(n[~((first < c) | (first == lexicon.end))].sum())
-    buckets = 1 + int(2 * beside_tail) // BUCKET_ITEMS
-    tail = neighbours(texts, shared, buckets)
     cls = np.append(classes + lexicon.shapes, end)
     shapes = np.append(lexicon.shapes, 0)
     for _ in range(PASSES):
