@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from seatmeter.functions import metrics as m
 from seatmeter.operators import extract, inventory
 from seatmeter.operators.inventory import first_seen_samples
+from seatmeter.operators.ranges import running
 from seatmeter.schemas import FEATURE_USAGE, FEATURES, SAMPLE_KEY
 from seatmeter.session import attach
 from seatmeter.streaming.flow import for_each, removed, stored
@@ -119,11 +120,14 @@ class Collector:
 
     def __call__(self, dumps: DataFrame, batch_id: int) -> None:
         spark = dumps.sparkSession
-        # Extracted pools are read several times below; they are written once and read back.
+        # Extracted pools are read several times below; they are written once and read back, and so are the numbered ones.
         pools = extract.all_features(dumps).withColumn("is_active", F.lit(True))
         polled_path = f"{self.folder}/polled/batch_id={batch_id}"
         pools.write.mode("overwrite").parquet(polled_path)
         batch = self._numbered(spark.read.schema(pools.schema).parquet(polled_path), batch_id)
+        numbered_path = f"{self.folder}/numbered/batch_id={batch_id}"
+        batch.write.mode("overwrite").parquet(numbered_path)
+        batch = spark.read.schema(batch.schema).parquet(numbered_path)
 
         refreshed = inventory.refresh_inventory(self.features(spark, batch_id - 1), batch)
         refreshed.write.mode("overwrite").parquet(self.features_path(batch_id))
@@ -131,16 +135,18 @@ class Collector:
             "id", "server_hostname", F.col("name").alias("feature_name"), F.to_date("last_updated").alias("date"),
             m.minute_text(F.col("last_updated")).alias("time"), F.col("used_licenses").alias("users_count")), batch_id)
         removed(spark, polled_path)
+        removed(spark, numbered_path)
         removed(spark, self.features_path(batch_id - 2))
 
     @staticmethod
     def _numbered(pools: DataFrame, batch_id: int) -> DataFrame:
         """Unique ids that grow with the batch and, in it, with the capture time.
 
-        The running count goes over one row per text, of which a micro-batch has at most its number of files.
+        A micro-batch of bundles has any number of texts, so the running count goes by hour.
         """
         texts = pools.groupBy("dump_id").agg(F.min("last_updated").alias("at"), F.count("*").alias("n"))
-        before = F.sum("n").over(Window.orderBy("at", "dump_id")) - F.col("n")
+        texts = running(texts.withColumn("batch", F.lit(batch_id)), ["batch"], "at", ["dump_id"], {"upto": F.col("n")}, "hour")
+        before = F.col("upto") - F.col("n")
         place = F.row_number().over(Window.partitionBy("dump_id").orderBy("name", "version", "expiration_date"))
         return (pools.join(texts.select("dump_id", before.alias("before")), "dump_id")
                 .withColumn("id", F.lit(batch_id << 32) + F.col("before") + place).drop("before"))

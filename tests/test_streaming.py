@@ -45,6 +45,18 @@ def test_stored_texts_are_parsed_where_they_are_read(spark, tmp_path):
         assert "Generate posexplode" in below and "value" not in below.split("[plan_id")[0].split("Project")[0]
 
 
+def test_pools_are_numbered_without_gathering_all_texts(spark):
+    at = lambda hour, minute: datetime(2024, 3, 1, hour, minute)
+    pools = spark.createDataFrame(
+        [("b", "x", "1", None, at(9, 5)), ("b", "w", "1", None, at(9, 5)), ("a", "x", "1", None, at(9, 5)),
+         ("c", "x", "1", None, at(8, 59)), ("d", "x", "1", None, None), ("e", "x", "1", None, at(23, 0))],
+        "dump_id string, name string, version string, expiration_date timestamp, last_updated timestamp")
+    numbered = ingest.Collector._numbered(pools, 2)
+    assert "SinglePartition" not in numbered._jdf.queryExecution().executedPlan().toString()
+    ids = {(r.dump_id, r.name): r.id - (2 << 32) for r in numbered.collect()}
+    assert ids == {("d", "x"): 1, ("c", "x"): 2, ("a", "x"): 3, ("b", "w"): 4, ("b", "x"): 5, ("e", "x"): 6}
+
+
 def test_collect(spark, tmp_path):
     source, store = tmp_path / "in", str(tmp_path / "store")
     capture(source, "20240301120500", text("cad", 3, "mesh 1.0 4 acme permanent\n"))
