@@ -26,7 +26,9 @@ def expiry_timestamp(text: Column) -> Column:
     attempts = [
         F.when(year_zero.rlike(shape), F.try_to_timestamp(words, F.lit(form))) for shape, form in EXPIRY_FORMATS
     ]
-    return F.coalesce(*attempts, F.lit(PERMANENT_EXPIRY).cast("timestamp"))
+    # Every readable shape has digits; a text without any, most often `permanent`, is not tried.
+    found = F.when(text.rlike(r"\d"), F.coalesce(*attempts))
+    return F.coalesce(found, F.lit(PERMANENT_EXPIRY).cast("timestamp"))
 
 
 def _this_year(text: Column, year: Column) -> Column:
@@ -39,9 +41,14 @@ def _this_year(text: Column, year: Column) -> Column:
     )
 
 
-def flexlm_start(text: Column, captured_at: Column) -> Column:
-    """`Mon 1/2/2024 15:04`, `Mon 1/2/24 15:04` or `Mon 1/2 15:04`; NULL when it is none of these."""
-    clock = F.regexp_replace(F.when(text.rlike(WEEKDAYS), F.regexp_replace(text, "^[A-Za-z]+ +", "")), " +", " ")
+def flexlm_clock(text: Column) -> Column:
+    """A start as FlexLM prints it, without its weekday; NULL when it has none."""
+    return F.regexp_replace(F.when(text.rlike(WEEKDAYS), F.regexp_replace(text, "^[A-Za-z]+ +", "")), " +", " ")
+
+
+def clock_time(clock: Column, captured_at: Column) -> Column:
+    """`1/2/2024 15:04`, `1/2/24 15:04` or `1/2 15:04`; NULL when it is none of these. `clock` is read several times, so
+    it is a column that was computed before."""
     # Two-digit years up to 68 lie in this century, from 69 on in the last one.
     full = F.regexp_replace(
         F.regexp_replace(clock, r"^(\d+/\d+)/([0-5]\d|6[0-8]) ", "$1/20$2 "),

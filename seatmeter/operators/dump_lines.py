@@ -26,6 +26,12 @@ def numbered_lines(dumps: DataFrame) -> DataFrame:
     return lines.where((F.col("line_no") == 0) | (F.trim("line") != ""))
 
 
+def with_computed(rows: DataFrame, **columns: Column) -> DataFrame:
+    """`rows` with further columns, each computed once a row. The planner moves a filter on a projected column below the
+    projection, where it computes the column again, and again what that is made of; past a generator it moves none."""
+    return rows.select("*", F.inline(F.array(F.struct(*[value.alias(name) for name, value in columns.items()]))))
+
+
 def first_kind(tests: list[tuple[str, Column]]) -> Column:
     """Name of the first test that holds, NULL when none does."""
     kind = F.lit(None).cast("string")
@@ -64,5 +70,10 @@ def count_at(line: Column, pattern: str, number: int) -> Column:
     return F.coalesce(F.nullif(group(line, pattern, number), F.lit("")).try_cast("int"), F.lit(0))
 
 
+def lowered(text: Column) -> Column:
+    """Lower case. The planner's own function takes microseconds, so it gets only texts in which something may change."""
+    return F.when(text.rlike(r"[^\x20-\x40\x5b-\x7e]"), F.lower(text)).otherwise(text)
+
+
 def stripped(text: Column) -> Column:
     return F.regexp_replace(text, r"^\s+|\s+$", "")

@@ -12,10 +12,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seatmeter.functions.dates import expiry_timestamp, flexlm_start
+from seatmeter.functions.dates import clock_time, expiry_timestamp, flexlm_clock
 from seatmeter.operators.dump_lines import (
-    CHECKOUT_COLUMNS, FEATURE_COLUMNS, STATUS_COLUMNS, carried, first_kind, in_order, numbered_lines, parts,
-    stripped,
+    CHECKOUT_COLUMNS, FEATURE_COLUMNS, STATUS_COLUMNS, carried, first_kind, in_order, lowered, numbered_lines,
+    parts, stripped,
 )
 
 # Line patterns, and the license count of an uncounted feature.
@@ -45,13 +45,14 @@ POOL_KINDS = {"pool_permanent": POOL_PERMANENT, "pool_vendor_date": POOL_VENDOR_
               "pool_date_vendor": POOL_DATE_VENDOR}
 
 
-# Text that a line has, in lower case, wherever the pattern matches, and a simpler pattern that holds there. Tried first,
-# they spare most lines a pattern that backtracks for long where it does not match, the checkout pattern above all.
+# Text that a line has wherever the pattern matches, and a simpler pattern that holds there. Tried first, they spare most
+# lines a pattern that backtracks for long where it does not match, the checkout pattern above all.
 QUICK_TEXT = {
-    SERVER_UP: "license server up", USAGE: "issued;", UNCOUNTED: "uncounted, node-locked", CHECKOUT: "start",
-    POOL_PERMANENT: "permanent", POOL_VENDOR_DATE: "-", POOL_DATE_VENDOR: "-", NO_SUCH_FEATURE: "no such feature exists",
+    SERVER_UP: "license server UP", USAGE: ";", UNCOUNTED: "-", CHECKOUT: "start", POOL_VENDOR_DATE: "-",
+    POOL_DATE_VENDOR: "-",
 }
 QUICK_TEST = {
+    USAGE: r"(?i)issued;", UNCOUNTED: r"(?i)uncounted, node-locked",
     CHECKOUT: r"start\s+\w+\s+\d", POOL_PERMANENT: r"(?i)\d\s+\w+\s+permanent",
     POOL_VENDOR_DATE: r"\d-\w+-\d+$", POOL_DATE_VENDOR: r"\d-\w+-\d", INLINE_VERSION: r'^\s+"',
 }
@@ -62,7 +63,7 @@ def _matches(pattern: str) -> Column:
     if pattern in QUICK_TEST:
         test = F.col("line").rlike(QUICK_TEST[pattern]) & test
     if pattern in QUICK_TEXT:
-        test = F.contains("low", F.lit(QUICK_TEXT[pattern])) & test
+        test = F.contains("line", F.lit(QUICK_TEXT[pattern])) & test
     return test
 
 
@@ -75,12 +76,12 @@ def _classified(dumps: DataFrame) -> DataFrame:
         *[(name, _matches(pattern)) for name, pattern in POOL_KINDS.items()],
         ("checkout", _matches(CHECKOUT)),
     ]
-    lines = numbered_lines(dumps).withColumn("low", F.lower("line")).select(
+    lines = numbered_lines(dumps).select(
         "*", first_kind(tests).alias("kind"), _matches(NO_SUCH_FEATURE).alias("denies"),
         _matches(INLINE_VERSION).alias("inlines"),
     )
     # The first line stands for a text without any line of interest.
-    return lines.drop("low").where(
+    return lines.where(
         F.col("kind").isNotNull() | F.col("denies") | F.col("inlines") | (F.col("line_no") == 0))
 
 
@@ -109,6 +110,7 @@ def _fields(lines: DataFrame) -> DataFrame:
     def number(place: int) -> Column:
         return F.coalesce(part(place).try_cast("int"), F.lit(0))
 
+    lines = lines.withColumn("clock", flexlm_clock(F.when(is_checkout, stripped(part(3)))))
     return lines.select(
         "dump_id", "host", "captured_at", "line_no", "kind", "denies",
         F.when(kind.isin("usage", "uncounted") | is_pool, stripped(part(0))).alias("name"),
@@ -122,7 +124,7 @@ def _fields(lines: DataFrame) -> DataFrame:
         F.when(is_checkout, stripped(part(0))).alias("username"),
         F.when(is_checkout, stripped(part(1))).alias("user_host"),
         F.when(is_checkout, stripped(part(2))).alias("client_version"),
-        flexlm_start(F.when(is_checkout, stripped(part(3))), F.col("captured_at")).alias("started"),
+        clock_time(F.col("clock"), F.col("captured_at")).alias("started"),
     )
 
 
@@ -146,7 +148,7 @@ def _in_context(lines: DataFrame) -> DataFrame:
     denied = F.col("denies") & (F.coalesce("named_last", F.lit("")) != "")
     early = F.coalesce(kind.isin("up", "usage", *FATAL), F.lit(False))
     inline = F.col("inline_name").isNotNull() & F.col("current").isNotNull() & ~early
-    matches = inline & (F.lower("inline_name") == F.lower("current"))
+    matches = inline & (lowered(F.col("inline_name")) == lowered(F.col("current")))
     # The first line stays in any case: it stands for a text without any line of interest.
     lines = (
         lines.where(F.col("fatal_line").isNull() | (F.col("line_no") <= F.col("fatal_line")))
@@ -196,9 +198,11 @@ def _attributed(lines: DataFrame) -> DataFrame:
         _in_context(lines)
         .withColumn("key", F.when(kind.isin("inline", "checkout"), F.col("current")).otherwise(F.col("name")))
         .where(F.col("key").isNotNull() & ((kind != "checkout") | F.col("started").isNotNull()))
+        .withColumn("folded", lowered(F.col("key")))
     )
-    feature = Window.partitionBy("dump_id", "key")
-    any_case = Window.partitionBy("dump_id", F.lower("key"))
+    # One order serves both: a feature is part of the features of its name in any case.
+    feature = Window.partitionBy("dump_id", "folded", "key")
+    any_case = Window.partitionBy("dump_id", "folded")
     is_pool = kind.isin(list(POOL_KINDS))
     usage_at = F.when(kind == "usage", at)
     inline_at = F.when(F.col("inline_version").isNotNull(), at)
@@ -267,22 +271,25 @@ def features_of(lines: DataFrame) -> DataFrame:
         .when(uncounted, "")
         .when(kind == "checkout", F.col("license_version"))
     )
-    rows = rows.withColumn("record_version", record_version)
-    same_version = Window.partitionBy("dump_id", "key", "record_version")
-    rows = rows.withColumn("by_version", F.count_if(kind == "checkout").over(same_version))
-
+    # Checkouts are grouped along and counted, then only the groups of pools stay. The groups come in the order that the
+    # count over those of one version needs.
+    same_version = Window.partitionBy("dump_id", "folded", "key", "record_version")
+    in_pool = (is_pool & (at > removed)) | usage_only | uncounted
     pools = (
-        rows.where((is_pool & (at > removed)) | usage_only | uncounted)
+        rows.withColumn("record_version", record_version).withColumn("in_pool", F.coalesce(in_pool, F.lit(False)))
+        .where(F.col("in_pool") | (kind == "checkout"))
         .withColumn("expires", F.when(is_pool, expiry_timestamp(F.col("expiry_text"))))
-        .groupBy("dump_id", "host", "captured_at", "key", "record_version", "expires")
+        .groupBy("dump_id", "folded", "key", "record_version", "host", "captured_at", "expires")
         .agg(
+            F.bool_or("in_pool").alias("in_pool"), F.count_if(kind == "checkout").alias("holders"),
             F.sum(F.when(kind == "uncounted", UNCOUNTED_LICENSES).otherwise(F.col("total"))).alias("pool_total"),
-            F.min_by("vendor", "line_no").alias("vendor_daemon"),
+            F.min_by("vendor", F.when(F.col("in_pool"), at)).alias("vendor_daemon"),
             F.max(F.when(kind == "usage", F.col("used")).otherwise(0)).alias("base_used"),
             F.max(F.when(survives("usage_line"), F.col("usage_total"))).alias("usage_total"),
             F.max(F.when(survives("usage_line"), F.col("usage_used"))).alias("usage_used"),
-            F.max("by_name").alias("by_name"), F.max("by_version").alias("by_version"),
+            F.max("by_name").alias("by_name"),
         )
+        .withColumn("by_version", F.sum("holders").over(same_version)).where("in_pool")
     )
     # The guard inside the division keeps it safe wherever the planner evaluates it.
     share = F.expr("(cast(usage_used as bigint) * pool_total) div nullif(usage_total, 0)")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from seatmeter.functions.dates import expiry_timestamp, rlm_start
 from seatmeter.operators.dump_lines import (
     CHECKOUT_COLUMNS, FEATURE_COLUMNS, STATUS_COLUMNS, carried, count_at, first_kind, group, numbered_lines,
-    stripped,
+    stripped, with_computed,
 )
 
 # Line patterns, names that are tools and not features, the count of an uncounted license.
@@ -31,7 +31,7 @@ def _classified(dumps: DataFrame) -> DataFrame:
         ("checkout", line.rlike(CHECKOUT)),
     ]
     lines = numbered_lines(dumps).withColumn("line", stripped(F.col("line")))
-    return lines.select("*", first_kind(tests).alias("kind"))
+    return with_computed(lines, kind=first_kind(tests))
 
 
 def read_lines(dumps: DataFrame) -> DataFrame:
@@ -48,12 +48,15 @@ def status_of(lines: DataFrame) -> DataFrame:
     line, kind, at = F.col("line"), F.col("kind"), F.col("line_no")
     vendor_down = (kind == "vendor") & (group(line, VENDOR, 2) != "Yes")
     state = F.when(kind == "status", "up").when(vendor_down, "warning")
-    seen = lines.groupBy("dump_id", "host", "captured_at").agg(
-        F.max_by(state, F.when(state.isNotNull(), at)).alias("service"),
-        F.max_by(group(line, STATUS, 1), F.when(kind == "status", at)).alias("master"),
-        F.max_by(group(line, SOFTWARE, 1), F.when(kind == "software", at)).alias("version"),
-        F.max_by(group(line, VENDOR, 1), F.when(vendor_down, at)).alias("down_vendor"),
-    )
+    # Each pattern is run on the lines of its kind only.
+    seen = lines.select(
+        "dump_id", "host", "captured_at", "line_no", state.alias("state"),
+        F.when(kind == "status", group(line, STATUS, 1)).alias("master"),
+        F.when(kind == "software", group(line, SOFTWARE, 1)).alias("version"),
+        F.when(vendor_down, group(line, VENDOR, 1)).alias("down_vendor"),
+    ).groupBy("dump_id", "host", "captured_at").agg(*[
+        F.max_by(name, F.when(F.col(name).isNotNull(), at)).alias(into) for name, into in
+        [("state", "service"), ("master", "master"), ("version", "version"), ("down_vendor", "down_vendor")]])
     message = F.concat(F.lit("ISV "), "down_vendor", F.lit(" appears to be down on "), "host")
     return seen.select(
         "dump_id", F.col("host").alias("hostname"), F.coalesce("service", F.lit("down")).alias("service"),

@@ -4,8 +4,10 @@ from collections import defaultdict
 from datetime import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from seatmeter.operators import flexlm
+from seatmeter.operators.dump_lines import lowered
 
 HOST = "27000@lic.example.org"
 CAPTURED = datetime(2024, 3, 9, 8, 30)
@@ -162,3 +164,18 @@ def test_one_shuffle(spark):
         "dump_id string, host string, server_type string, captured_at timestamp, text string")
     plan = flexlm.flexlm_features(dumps)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+    # Lines in order, features with their other cases, pools: the count over a version needs no order of its own.
+    assert plan.count("Sort [") == 3
+
+
+def test_lines_are_not_put_in_lower_case(spark):
+    dumps = spark.createDataFrame(
+        [("1", HOST, "flexlm", CAPTURED, "x")],
+        "dump_id string, host string, server_type string, captured_at timestamp, text string")
+    assert "lower(" not in flexlm.read_lines(dumps)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_lowered(spark):
+    texts = ["cad", "CAD-1", "a{z}", "@[`", "\u0130x", "\u212a", "\u00c4\u00e4", "tab\t", "", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert rows.where(~lowered(F.col("t")).eqNullSafe(F.lower("t"))).count() == 0

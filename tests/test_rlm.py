@@ -81,3 +81,8 @@ def test_type_dispatch(spark, dumps):
     both = dumps.unionByName(odd)
     assert extract.all_features(both).count() == rlm.rlm_features(dumps).count()
     assert [r.reason for r in extract.unsupported(both).collect()] == ["unsupported server type: spm"]
+
+
+def test_each_line_is_classified_once(dumps):
+    plan = rlm.read_lines(dumps)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("rlm status on") == 1 and plan.count("regexp_replace") == 1
