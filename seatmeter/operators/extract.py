@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seatmeter.operators import flexlm, rlm
-from seatmeter.session import attach, settle
+from seatmeter.session import attach, settle, unsettle
 
 
 def latest_dumps(dumps: DataFrame) -> DataFrame:
@@ -49,6 +49,11 @@ class Parsed:
     def checkouts(self) -> DataFrame:
         return flexlm.checkouts_of(self.flexlm).unionByName(rlm.checkouts_of(self.rlm))
 
+    def remove(self) -> None:
+        """Delete the written lines, when all that is made of them has been written."""
+        unsettle(self.flexlm)
+        unsettle(self.rlm)
+
 
 def unsupported(dumps: DataFrame) -> DataFrame:
     """Texts no extraction exists for, with the reason."""

@@ -24,6 +24,9 @@ from seatmeter.streaming import feed, flow, ingest
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
+# Compressed texts of one micro-batch of the status feed. What a micro-batch takes on disk besides goes when it is written.
+FEED_BYTES = 128 << 20
+
 
 def rounded(df: DataFrame, places: int = 6) -> DataFrame:
     """Doubles rounded, so that two engines' last bits compare equal."""
@@ -604,8 +607,9 @@ def collected_usage(spark, sf):
 def stream_status_texts(spark, sf):
     """Status messages of all texts, read from bundles; of their data the state and what the lists add up to."""
     folder = export.new_folder(spark, "texts")
-    dumps.write_bundles(d.dumps(spark, sf), f"{folder}/texts")
-    feed.status_feed(dumps.stream_bundles(spark, f"{folder}/texts"), f"{folder}/feed", every=None).awaitTermination()
+    dumps.write_bundles(d.dumps(spark, sf), f"{folder}/texts", compression="gzip")
+    texts = dumps.stream_bundles(spark, f"{folder}/texts", bytes_per_trigger=FEED_BYTES)
+    feed.status_feed(texts, f"{folder}/feed", every=None).awaitTermination()
     data = F.from_json("data", "service string, features array<struct<used_licenses: int>>, users array<struct<username: string>>")
     messages = feed.StatusFeed(f"{folder}/feed").messages(spark).withColumn("data", data)
     used = F.aggregate("data.features.used_licenses", F.lit(0).cast("long"), lambda n, x: n + x)

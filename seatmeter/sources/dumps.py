@@ -3,7 +3,8 @@
 One file per capture lies below `<folder>/<server type>/<host>/<yyyyMMddHHmmss>.txt`. Very many small files are slow to
 list and to open, so captures can also be kept in bundles: text files of records that end with the ASCII record separator
 (0x1E, which no status text contains), each a header line `<id> <server type> <microseconds since 1970> <host>` and the
-text. Bundles are split among tasks like any text file.
+text. Bundles are split among tasks like any text file; compressed by gzip they take less than a tenth of the space, and each
+is read by one task.
 """
 
 from __future__ import annotations
@@ -11,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seatmeter.session import SHUFFLE_FILES_GO, with_settings
+
 # Fixed value: where a capture lies below the folder.
 _PATH = r"/(flexlm|rlm)/([^/]+)/(\d{14})[^/]*$"
 
@@ -18,13 +21,15 @@ _PATH = r"/(flexlm|rlm)/([^/]+)/(\d{14})[^/]*$"
 RECORD_END = "\x1e"
 
 
-def write_bundles(dumps: DataFrame, folder: str) -> None:
-    """Append captures as bundles. Nulls in the header are written as `-`, and a null text as an empty one."""
+def write_bundles(dumps: DataFrame, folder: str, compression: str = "none") -> None:
+    """Append captures as bundles, one to a partition. Nulls in the header are written as `-`, and a null text as an empty one."""
     part = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("-"))
     header = F.concat_ws(" ", F.regexp_replace(part("dump_id"), r"\s", "_"), F.regexp_replace(part("server_type"), r"\s", "_"),
                          F.coalesce(F.unix_micros("captured_at").cast("string"), F.lit("-")), part("host"))
     body = F.regexp_replace(F.coalesce("text", F.lit("")), RECORD_END, "")
-    dumps.select(F.concat(header, F.lit("\n"), body).alias("value")).write.mode("append").option("lineSep", RECORD_END).text(folder)
+    records = dumps.select(F.concat(header, F.lit("\n"), body).alias("value"))
+    with with_settings(dumps.sparkSession, SHUFFLE_FILES_GO):
+        records.write.mode("append").option("lineSep", RECORD_END).text(folder, compression=compression)
 
 
 def _unbundled(records: DataFrame) -> DataFrame:
@@ -41,8 +46,11 @@ def read_bundles(spark: SparkSession, folder: str) -> DataFrame:
     return _unbundled(spark.read.option("lineSep", RECORD_END).text(folder))
 
 
-def stream_bundles(spark: SparkSession, folder: str, files_per_trigger: int = 1000) -> DataFrame:
-    reader = spark.readStream.option("lineSep", RECORD_END).option("maxFilesPerTrigger", files_per_trigger)
+def stream_bundles(spark: SparkSession, folder: str, files_per_trigger: int = 1000,
+                   bytes_per_trigger: int | None = None) -> DataFrame:
+    """A micro-batch takes whole bundles: `bytes_per_trigger` of them as they lie there, at least one, else a number of files."""
+    limit = ("maxBytesPerTrigger", bytes_per_trigger) if bytes_per_trigger else ("maxFilesPerTrigger", files_per_trigger)
+    reader = spark.readStream.option("lineSep", RECORD_END).option(*limit)
     return _unbundled(reader.text(folder))
 
 

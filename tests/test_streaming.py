@@ -2,16 +2,18 @@
 
 import random
 from datetime import date, datetime, timedelta
-from urllib.parse import quote
+from pathlib import Path
+from urllib.parse import quote, urlparse
 
 import pytest
 from pyspark.sql import functions as F
 
 from seatmeter.operators import alerts as queue
 from seatmeter.operators import flexlm, rlm
+from seatmeter.plans import queries
 from seatmeter.plans.queries import QUERIES
 from seatmeter.schemas import ALERTS
-from seatmeter.sources.dumps import read_dumps, stream_dumps
+from seatmeter.sources.dumps import read_dumps, stream_bundles, stream_dumps, write_bundles
 from seatmeter.streaming import alerts, feed, ingest
 
 HOST = "27000@lic.example.org"
@@ -308,3 +310,54 @@ def test_status_feed_of_a_stream(spark, tmp_path):
     assert ['"used_licenses":3' in mine[0].data, '"used_licenses":4' in mine[1].data] == [True, True]
     down = feed.subscribed(messages, ["server:other"]).first()
     assert '"service":"down"' in down.data and '"features":[]' in down.data
+
+
+def lines_left(spark):
+    folder = spark.sparkContext.getCheckpointDir()
+    return set(Path(urlparse(folder).path).glob("rdd-*")) if folder else set()
+
+
+def test_status_feed_keeps_its_messages_only(spark, tmp_path):
+    source, target, before = tmp_path / "in", str(tmp_path / "out"), lines_left(spark)
+    for stamp, used in (("20240301120500", 3), ("20240301121000", 4)):
+        capture(source, stamp, text("cad", used))
+        feed.status_feed(stream_dumps(spark, str(source)), target, every=None).awaitTermination()
+    feed.StatusFeed(target)(read_dumps(spark, str(source)), 1)
+    feed.StatusFeed(target)(read_dumps(spark, str(source)).limit(0), 2)
+    assert feed.StatusFeed(target).messages(spark).count() == 3
+    assert lines_left(spark) == before
+    assert spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes", None) is None
+
+
+def test_micro_batches_take_as_many_compressed_bundles_as_asked(spark, tmp_path):
+    rows = [(str(n % 20), f"h{n % 3}", "flexlm", datetime(2024, 3, 1, 12, n % 20), text("cad", n % 20)) for n in range(23)]
+    rows += [("r", "h", "rlm", datetime(2024, 3, 1), "rlm status on a\n"), (None, "h", "flexlm", None, "x"), ("n", "h", None, None, "x")]
+    rows = spark.createDataFrame(rows, "dump_id string, host string, server_type string, captured_at timestamp, text string")
+    source = tmp_path / "in"
+    write_bundles(rows.repartition(5, "dump_id"), str(source), compression="gzip")
+    bundles = list(source.glob("*.txt.gz"))
+    assert 1 < len(bundles) <= 5 and not list(source.glob("*.txt"))
+    for limit, batches in ((1, len(bundles)), (1 << 20, 1)):
+        target = tmp_path / f"out{limit}"
+        feed.status_feed(stream_bundles(spark, str(source), bytes_per_trigger=limit), str(target), every=None).awaitTermination()
+        assert len(list((target / "messages").glob("batch_id=*"))) == batches
+        got, want = (sorted(map(str, m.collect())) for m in (feed.StatusFeed(str(target)).messages(spark), feed.status_messages(rows)))
+        assert got == want and len(got) == 25
+
+
+def test_status_texts_query_leaves_compressed_texts_and_messages(spark, tmp_path, monkeypatch):
+    sf, kept = str(tmp_path / "sf"), tmp_path / "kept"
+    spark.sql("""SELECT id AS event_id, timestamp_ntz'2024-01-03 10:00:00' + make_dt_interval(0, 0, id) AS ts, id AS user_id,
+        'view' AS event_type, double(id % 50) AS value, concat('{"k": ', id % 23, '}') AS props FROM range(100)""") \
+        .write.parquet(f"{sf}/events.parquet")
+    spark.sql("SELECT int(id) AS n_nationkey, concat('N', id) AS n_name, 0 AS n_regionkey FROM range(25)").write.parquet(f"{sf}/nation.parquet")
+    monkeypatch.setattr(queries.export, "new_folder", lambda spark, kind: str(kept))
+    before, found = lines_left(spark), {}
+    for limit in (1 << 20, 1):
+        monkeypatch.setattr(queries, "FEED_BYTES", limit)
+        kept = tmp_path / f"kept{limit}"
+        found[limit] = sorted(map(str, QUERIES["stream_status_texts"](spark, sf).collect()))
+        assert list((kept / "texts").glob("*.txt.gz")) and not list((kept / "texts").glob("*.txt"))
+        assert (len(list((kept / "feed/messages").glob("batch_id=*"))) > 1) == (limit == 1)
+    assert found[1] == found[1 << 20] and len(found[1]) == 100
+    assert lines_left(spark) == before
